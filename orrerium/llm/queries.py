@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from orrerium.llm import language, quality
 from orrerium.llm.common import quiet_arrow, table
 from orrerium.llm.decontaminate import decontaminate
+from orrerium.llm.html import host, main_text
+from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
 
 
@@ -28,8 +32,47 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("kept")
 
 
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet_arrow(spark, 2000)
+    return quality.score(table(spark, sf_dir, "documents"))
+
+
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet_arrow(spark, 2000)
+    docs = table(spark, sf_dir, "documents")
+    out = language.identify(docs, language.train(docs))
+    return out.select("doc_id", "text_lang", "language", "confidence", F.col("accepted").alias("kept"))
+
+
+def op8b_language_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages: their text, the language their markup declares, and their host; the text model is that of the documents."""
+    quiet_arrow(spark, 2000)
+    pages = table(spark, sf_dir, "pages")
+    said = pages.select("page_id", "url", "html", F.regexp_extract("html", r"(?i)<html[^>]*\slang\s*=\s*[\"']?([a-zA-Z]+)", 1).alias("declared"))
+    rows = said.select("page_id", "declared", host(F.col("url")).alias("host"), F.regexp_replace("html", r"(?s)<(script|style)\b.*?</\1>|<[^>]*>", " ").alias("text"))
+    return language.identify(rows, language.train(table(spark, sf_dir, "documents")), "declared", "host").select("page_id", "declared", "text_lang", "language", "confidence", "accepted")
+
+
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet_arrow(spark, 2000)
+    return main_text(table(spark, sf_dir, "pages"))
+
+
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet_arrow(spark, 2000)
+    return ngram_join(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_packing": op2_packing, "op5_decontaminate": op5_decontaminate}
+    return {
+        "op2_packing": op2_packing,
+        "op5_decontaminate": op5_decontaminate,
+        "op7_quality": op7_quality,
+        "op8_language": op8_language,
+        "op8b_language_pages": op8b_language_pages,
+        "op9_main_text": op9_main_text,
+        "op10_ngram_join": op10_ngram_join,
+    }
 
 
 OP5_SQL = r"""
@@ -48,5 +91,16 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 90 * (x.n + y.n - c)),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT min(b) FROM r WHERE r.a = d.doc_id), doc_id)) AS component_id FROM d LEFT JOIN n USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op10_ngram_join": OP10_SQL}
