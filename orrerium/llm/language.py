@@ -75,8 +75,8 @@ def _array(cols: list[Column]) -> Column:
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str = "lang", host: str = "source") -> DataFrame:
     """All columns of docs plus text_lang, language, confidence and accepted.
 
-    docs: text, a column of declared languages and one of hosts (either may be null in any row). Null and empty
-    texts have no likelihood of their own and go by the other evidence, but are never accepted. A declared value
+    docs: text, a column of declared languages and one of hosts (either may be null in any row). Texts of under three
+    bytes have no likelihood of their own and go by the other evidence; null and blank ones are never accepted. A declared value
     that is no known language counts as one 'other'; hosts differ by letter case only are one; without a dot a host has an
     empty suffix. Ties go to the language first in order. Repeated rows are judged one by one. Columns
     that begin with `_zz` are reserved.
@@ -117,7 +117,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     total = F.aggregate("_zzscore", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_zztop")))
     spelled = _array([F.lit(x) for x in names])
     rows = rows.withColumns({"text_lang": F.element_at(spelled, F.col("_zzguess")), "language": F.element_at(spelled, at.cast("int")), "confidence": 1.0 / total})
-    rows = rows.withColumn("accepted", (F.col("confidence") >= CONFIDENCE) & F.col("_zzguess").isNotNull())
+    rows = rows.withColumn("accepted", (F.col("confidence") >= CONFIDENCE) & (F.octet_length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     return rows.select(*docs.columns, "text_lang", "language", "confidence", "accepted")
 
 

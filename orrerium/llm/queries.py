@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.llm import language, quality
+from orrerium.llm import language, lm, quality
 from orrerium.llm.common import quiet_arrow, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.html import host, main_text
@@ -27,6 +27,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def pieces_path(spark: SparkSession) -> str:
+    """The subword vocabulary: setting orrerium.pieces, or the public one with byte fallback."""
+    import public_tokenizers
+
+    return spark.conf.get("orrerium.pieces", None) or public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"), pieces_path(spark))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet_arrow(spark, 2000)
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("kept")
@@ -66,6 +77,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_packing": op2_packing,
+        "op4_lattice_lm": op4_lattice_lm,
         "op5_decontaminate": op5_decontaminate,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
