@@ -11,6 +11,7 @@ from orrerium.llm import language, lm, quality
 from orrerium.llm.common import quiet_arrow, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.html import host, main_text
+from orrerium.llm.near_vectors import near_vectors
 from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
 
@@ -22,6 +23,10 @@ def tokenizer_path(spark: SparkSession) -> str:
     return spark.conf.get("orrerium.tokenizer", None) or public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet_arrow(spark, 2000)
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark))
@@ -76,6 +81,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_near_vectors": op1_near_vectors,
         "op2_packing": op2_packing,
         "op4_lattice_lm": op4_lattice_lm,
         "op5_decontaminate": op5_decontaminate,
@@ -87,6 +93,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+OP1_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+f AS (SELECT * FROM v WHERE label IS NOT NULL AND e IS NOT NULL AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM f a JOIN f b ON a.label = b.label AND a.vec_id <> b.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.93),
+r(a, b) AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a),
+n AS (SELECT a, count(*) AS n FROM l GROUP BY a), m AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.b, vec_id)) AS component_id, vec_id <= coalesce(m.b, vec_id) AS kept
+FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
 b AS (SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
@@ -115,4 +131,4 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT mi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_join": OP10_SQL}
