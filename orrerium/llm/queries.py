@@ -14,6 +14,7 @@ from orrerium.llm.html import host, main_text
 from orrerium.llm.near_vectors import near_vectors
 from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
+from orrerium.llm.repeats import remove_repeats
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -32,6 +33,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(spark))
 
 
+def op3_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet_arrow(spark, 2000)
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("kept")
+
+
 def pieces_path(spark: SparkSession) -> str:
     """The subword vocabulary: setting orrerium.pieces, or the public one with byte fallback."""
     import public_tokenizers
@@ -83,6 +89,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
         "op2_packing": op2_packing,
+        "op3_repeats": op3_repeats,
         "op4_lattice_lm": op4_lattice_lm,
         "op5_decontaminate": op5_decontaminate,
         "op7_quality": op7_quality,
