@@ -1,14 +1,73 @@
-"""A document pipeline of five stages, each writing Parquet that the next one reads."""
+"""A document pipeline of five stages, each writing Parquet that the next one reads.
+
+Every stage takes (spark, docs, sf_dir) and works on all that its predecessor kept. All but the last return
+the columns of documents (doc_id, text, lang, source, n_chars).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from orrerium.llm import language
+from orrerium.llm.common import materialise, quiet_arrow, table
+from orrerium.llm.decontaminate import decontaminate
+from orrerium.llm.ngram_join import ngram_join
+from orrerium.llm.packing import pack_documents
+from orrerium.llm.queries import tokenizer_path
+from orrerium.llm.repeats import remove_repeats
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Near copies share this many of 100 five-word shingles.
+SHINGLE, SHARE, OF = 5, 80, 100
+#: Bytes of a passage that may not repeat.
+PASSAGE = 400
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language is told with confidence; lang becomes that language. Blank texts go."""
+    quiet_arrow(spark, 2000)
+    found = language.identify(docs, language.train(docs)).where("accepted")
+    return found.withColumn("lang", F.col("language")).select(*COLUMNS)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of near copies: that of the smallest id, once."""
+    quiet_arrow(spark, 2000)
+    kept = ngram_join(docs, SHINGLE, SHARE, OF).where("doc_id = component_id").select("doc_id").distinct()
+    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*COLUMNS)
+
+
+def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the passages that repeat among them."""
+    quiet_arrow(spark, 2000)
+    cut = materialise(remove_repeats(docs, PASSAGE).where("n_removed > 0").select("doc_id", "kept"), "cut")
+    text = F.coalesce("kept", "text")
+    return docs.join(cut, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of the benchmark."""
+    quiet_arrow(spark, 2000)
+    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
+    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of training sequences."""
+    quiet_arrow(spark, 2000)
+    return pack_documents(docs, tokenizer_path(spark))
 
-from orrerium.llm.common import materialise, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language", identify_language),
+    ("near_copies", drop_near_copies),
+    ("repeats", cut_repeats),
+    ("decontaminate", drop_contaminated),
+    ("packing", pack),
+]
 #: The stages aren't SQL: tests hold them against brute force.
 ORACLE_SQL: str | None = None
 

@@ -15,6 +15,7 @@ from orrerium.llm.near_vectors import near_vectors
 from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
 from orrerium.llm.repeats import remove_repeats
+from orrerium.llm.warc import canonical, resolve
 
 
 def tokenizer_path(spark: SparkSession) -> str:
@@ -54,6 +55,23 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("kept")
 
 
+def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as a full response at the time of its id, and asked for again when all have been seen: the server
+    says not modified for the page's own validator, so pages that a later one of their canonical URL replaced mismatch."""
+    pages = table(spark, sf_dir, "pages")
+    tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    full = pages.select(
+        F.format_string("r%d", "page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("type"), F.lit(200).alias("status"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("age"), F.lit("0")).alias("headers"), F.col("html").cast("binary").alias("body"),
+    )
+    again = pages.select(
+        F.format_string("v%d", "page_id").alias("record_id"), "url", (F.col("page_id") + 10**12).alias("ts"), F.lit("revisit").alias("type"), F.lit(304).alias("status"),
+        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("none"), F.lit("age"), F.col("page_id").cast("string")).alias("headers"), F.lit(None).cast("binary").alias("body"),
+    )
+    out = resolve(full.unionByName(again))
+    return out.select("record_id", "canonical_url", "state", "source_id", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("body_md5"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["age"].alias("age"))
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet_arrow(spark, 2000)
     return quality.score(table(spark, sf_dir, "documents"))
@@ -92,6 +110,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_repeats": op3_repeats,
         "op4_lattice_lm": op4_lattice_lm,
         "op5_decontaminate": op5_decontaminate,
+        "op6_warc_revisits": op6_warc_revisits,
         "op7_quality": op7_quality,
         "op8_language": op8_language,
         "op8b_language_pages": op8b_language_pages,
@@ -126,6 +145,19 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+OP6_SQL = r"""
+WITH p AS (SELECT page_id, html, regexp_replace(trim(url), '#.*$', '') AS u FROM pages),
+q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?@]*@)?([^/?]*)', 1)), ':(80|443)$', ''), '^www\.', '') AS host,
+  regexp_replace(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '/+$', '') AS path,
+  array_to_string(list_sort([x FOR x IN string_split(regexp_extract(u, '\?(.*)$', 1), '&') IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)')]), '&') AS query FROM p),
+c AS (SELECT page_id, html, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM q),
+l AS (SELECT canonical_url, max(page_id) AS page_id FROM c WHERE html IS NOT NULL GROUP BY canonical_url),
+j AS (SELECT c.*, l.page_id AS source, s.html AS body, CASE WHEN l.page_id IS NULL THEN 'unmatched' WHEN md5(coalesce(c.html, '')) = md5(s.html) THEN 'resolved' ELSE 'mismatched' END AS state
+  FROM c LEFT JOIN l USING (canonical_url) LEFT JOIN pages s ON s.page_id = l.page_id)
+SELECT 'v' || page_id AS record_id, canonical_url, state, 'r' || source AS source_id, CASE WHEN state = 'resolved' THEN CAST(strlen(body) AS BIGINT) END AS n_bytes, CASE WHEN state = 'resolved' THEN md5(body) END AS body_md5,
+  CASE WHEN state = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN state = 'resolved' THEN CAST(page_id AS VARCHAR) END AS age FROM j
+"""
+
 OP10_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents),
 s AS (SELECT DISTINCT doc_id, array_to_string(w[i : i + 2], ' ') AS g FROM d, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS t(i) WHERE len(w) > 0),
@@ -138,4 +170,4 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT mi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op5_decontaminate": OP5_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL}
