@@ -103,7 +103,7 @@ def value_status(name: str, have: set[str]) -> Column:
     def said(suffix: str) -> Column:
         return truthy(f"{name}_{suffix}") if f"{name}_{suffix}" in have else F.lit(False)
 
-    return F.when(said("was_imputed"), "imputed").when(said("was_physically_derived"), "derived").when(col(name).isNull(), "missing").otherwise("observed")
+    return F.when(said("was_imputed"), "imputed").when(said("was_physically_derived"), "derived").when(col(name).isNull() if name in have else F.lit(False), "missing").otherwise("observed")
 
 
 def quality_of(name: str, have: set[str]) -> Column:
