@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, text_chunks, words
+from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, partitions, text_chunks, words
 from orrerium.llm.components import components
 
 #: Coordinates of a point, points of a leaf, and the most documents and shingles of a block of a cluster.
@@ -112,28 +112,37 @@ class Classes:
         return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
 
 
-def profile(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2, keys): size, 128-bit sum of the set, and its keys. An empty set's sum is its own."""
+def profile(docs: DataFrame, n: int) -> DataFrame:
+    """(doc_id, n_shingles, s1, s2): size and 128-bit sum of each set. An empty set's sum is its own."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(p, q)
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column(1)):
                 row, g = shingles(buf, off, n)
-                size = np.bincount(row, minlength=j - i)
                 s1, s2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
                 np.add.at(s1, row, mix(g))
                 np.add.at(s2, row, mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                who, key = classes.keys(row, g, size)
-                order = np.argsort(who, kind="stable")
-                bounds = np.concatenate([[0], np.cumsum(np.bincount(who, minlength=j - i))]).astype(np.int32)
-                keys = pa.ListArray.from_arrays(pa.array(bounds), pa.array(key[order].view(np.int64)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64)), keys], ["doc_id", "n_shingles", "s1", "s2", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.bincount(row, minlength=j - i), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["doc_id", "n_shingles", "s1", "s2"])
 
-    out = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, keys array<long>")
+    out = docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
     return out.withColumn("s1", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("s1")))
 
 
+def set_keys(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
+    """(doc_id, key): the keys of each set. Shingled anew, as keys written beside the profile would be most of the disk."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        classes = Classes(p, q)
+        for batch in batches:
+            for i, j, buf, off in text_chunks(batch.column(1)):
+                row, g = shingles(buf, off, n)
+                who, key = classes.keys(row, g, np.bincount(row, minlength=j - i))
+                order = np.argsort(who, kind="stable")
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + who[order])), pa.array(key[order].view(np.int64))], ["doc_id", "key"])
+
+    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, key long")
+
+
 class Tree:
     """An R-tree of packed leaves over points of shingle counts, ordered by set size."""
 
@@ -180,6 +189,19 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, p: int, q: int
     return out
 
 
+def _chain(group: pa.Table) -> pa.Table:
+    """Each set of a bucket's common keys, with the least set of the same key; once each."""
+    key, doc = group.column("key").to_numpy(), group.column("doc_id").to_numpy()
+    order = np.lexsort((doc, key))
+    key, doc = key[order], doc[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    low = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
+    more = doc != low
+    pairs = np.unique(np.stack([doc[more], low[more]]), axis=1)
+    return pa.table({"doc_id": pa.array(pairs[0]), "low": pa.array(pairs[1])})
+
+
 def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """Every document with the size of its shingle set and its component of links (q * overlap >= p * union).
 
@@ -189,15 +211,16 @@ def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFr
     64-bit hashes. Returns doc_id, n_shingles, component_id.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    rows = materialise(profile(docs, n, p, q), "profile")
+    rows = materialise(profile(docs, n), "profile")
     reps = materialise(rows.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    chosen = rows.join(reps.where("n_shingles > 0").select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    keyed = chosen.select("doc_id", F.explode("keys").alias("key"))
-    shared = materialise(keyed.groupBy("key").agg(F.min("doc_id").alias("low"), F.count(F.lit(1)).alias("c")).where("c > 1").select("key", "low"), "keys")
-    chain = keyed.join(shared, "key").where("doc_id <> low").select("doc_id", "low")
-    cluster = components(chain)
+    dealt = set_keys(docs, n, p, q).withColumn("bucket", F.pmod(F.hash("key"), F.lit(partitions(docs.sparkSession))))
+    cluster = components(dealt.groupBy("bucket").applyInArrow(_chain, "doc_id long, low long"))
     roots = cluster.select(F.col("component").alias("id"), "component").distinct()
-    members = materialise(cluster.unionByName(roots).select(F.col("id").alias("doc_id"), F.col("component").alias("c")), "clusters")
+    members = cluster.unionByName(roots).select(F.col("id").alias("doc_id"), F.col("component").alias("c"))
+    # Of equal sets only the representative is compared; a cluster of one class has nothing to compare.
+    members = members.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
+    more = members.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c")
+    members = materialise(members.join(more, "c", "left_semi"), "clusters")
     found = components(_verified(docs, rows, members, n, p, q))
     top = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     return rows.select("doc_id", "n_shingles", "s1", "s2").join(materialise(top, "tops"), ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
@@ -209,7 +232,8 @@ def _verified(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, p: i
     blocks = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s")).select("c", F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     blocks = materialise(blocks, "blocks")
     placed = materialise(members.join(blocks, "c").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "placed")
-    texts = docs.join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    # Merged at any size: a plan that broadcasts small sides would say nothing of large ones.
+    texts = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = texts.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
 
     def close(key: tuple, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
