@@ -12,7 +12,7 @@ import numpy as np
 from orrerium.llm.common import _BYTE, _R, mix
 
 #: Numbers (words x positions x piece lengths) that are held at a time.
-CELLS = 2_000_000
+CELLS = 600_000
 #: Zipf's law on the vocabulary's own order of scores: probability ~ 1 / (rank + this).
 RANK_SHIFT = 50.0
 

@@ -25,7 +25,7 @@ from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, par
 from orrerium.llm.lattice import Pieces, marginals
 
 #: Bytes of text in a part, about.
-PART_BYTES = 32 << 20
+PART_BYTES = 8 << 20
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 _PIECES: dict[str, Pieces] = {}
@@ -45,27 +45,30 @@ def _tokens(texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray,
         yield i, j, b, start, end, row, Rolling(b).spans(start, end)
 
 
+def _gathered(buf: np.ndarray, start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The bytes of the spans, one after the other."""
+    upto = np.cumsum(n)
+    return buf[np.repeat(start - upto + n, n) + np.arange(upto[-1] if len(upto) else 0)]
+
+
 class Lexicon:
     """The distinct words of a part: hash, spelling, and count in training texts."""
 
     def __init__(self, texts: pa.Array, train: np.ndarray):
-        hashes, counts, spelt, n = [], [], [], []
+        none = np.zeros(0, np.int64)
+        hashes, counts, spelt, sizes = [none.astype(np.uint64)], [none], [np.zeros(0, np.uint8)], [none]
         for i, _, b, start, end, row, h in _tokens(texts):
             u, first, inv = np.unique(h, return_index=True, return_inverse=True)
             hashes.append(u)
             counts.append(np.bincount(inv, train[i + row].astype(float), minlength=len(u)).astype(np.int64))
-            n.append((end - start)[first])
-            raw = b.tobytes()
-            spelt.append([raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist(), strict=True)])
-        h = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
-        c = np.concatenate(counts) if counts else np.zeros(0, np.int64)
-        self.hash, first, inv = np.unique(h, return_index=True, return_inverse=True)
-        self.count = np.bincount(inv, c, minlength=len(self.hash)).astype(np.int64)
-        flat = [w for s in spelt for w in s]
-        chosen = [flat[k] for k in first.tolist()]
-        self.buf = np.frombuffer(b"".join(chosen), np.uint8)
-        self.end = np.cumsum([len(w) for w in chosen], dtype=np.int64) if chosen else np.zeros(0, np.int64)
-        self.start = self.end - (np.array([len(w) for w in chosen], np.int64) if chosen else 0)
+            sizes.append((end - start)[first])
+            spelt.append(_gathered(b, start[first], sizes[-1]))
+        self.hash, first, inv = np.unique(np.concatenate(hashes), return_index=True, return_inverse=True)
+        self.count = np.bincount(inv, np.concatenate(counts), minlength=len(self.hash)).astype(np.int64)
+        n, buf = np.concatenate(sizes), np.concatenate(spelt)
+        self.buf = _gathered(buf, (np.cumsum(n) - n)[first], n[first])
+        self.end = np.cumsum(n[first])
+        self.start = self.end - n[first]
 
 
 def _reestimated(expected: np.ndarray, ends: float) -> np.ndarray:
