@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from orrerium.llm.bwt import Shard, merge
 from orrerium.llm.common import Rolling, materialise, mix, partitions, text_chunks
 
-#: Bytes of a chunk of documents, and the different hulls of a core beyond which its strings are dealt out by hash.
-CHUNK = 4 << 20
+#: Bytes of a chunk of documents (a pass holds some ten times as much), and the different hulls of a core beyond which its strings are dealt out by hash.
+CHUNK = 1 << 20
 HOT_HULLS = 256
 GRAM = 8
 _WHOLE, _HULL, _EACH = 0, 1, 2
