@@ -159,7 +159,7 @@ def cluster(covered: DataFrame, features: Sequence[str], eps: float, min_samples
         held, label = group[label >= 0], label[label >= 0]
         cubes = held["cube_id"].to_numpy()
         names = [f"cube{c}_cluster{k}" for c, k in zip(cubes, label, strict=True)]
-        return pd.DataFrame({**{k: held[k].tolist() for k in keys}, "node_id": names, "cube_id": cubes, "cluster_id": label, id_column: held[id_column].to_numpy()})
+        return pd.DataFrame({**{k: held[k].to_numpy() for k in keys}, "node_id": pd.Series(names, dtype=object), "cube_id": cubes, "cluster_id": label, id_column: held[id_column].to_numpy()})
 
     kinds = dict(covered.dtypes)
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node_id string, cube_id int, cluster_id long", f"{id_column} {kinds[id_column]}"])
