@@ -86,7 +86,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
 
     graphs = materialise(sharded.select("label", "dim", "shard", "rep", "n", "v").groupBy("label", "dim", "shard").applyInPandas(build, _BLOB.format(kind=kind)), "graphs")
     other = graphs.select("label", "dim", F.col("shard").alias("q"), F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights"), F.col("vectors").alias("q_vectors"))
-    pairs = graphs.join(other, ["label", "dim"]).where("q >= shard")
+    # Dealt out anew: grouping would else keep all pairs of a label where the join has put them.
+    pairs = graphs.join(other, ["label", "dim"]).where("q >= shard").repartition("label", "dim", "shard", "q")
 
     def probe(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         r = group.iloc[0]
