@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,19 +129,28 @@ def profile(docs: DataFrame, n: int) -> DataFrame:
     return out.withColumn("s1", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("s1")))
 
 
-def set_keys(docs: DataFrame, n: int, p: int, q: int) -> DataFrame:
-    """(doc_id, key): the keys of each set. Shingled anew, as keys written beside the profile would be most of the disk."""
+def set_keys(docs: DataFrame, n: int, p: int, q: int, buckets: int) -> DataFrame:
+    """(bucket, keys, docs): the keys of the sets of a run of documents, packed by bucket with the documents that have them.
+
+    Shingled anew, as keys written beside the profile would be most of the disk. A document's keys stand together, so the
+    packed ids take little.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes = Classes(p, q)
+        classes, tight = Classes(p, q), zstandard.ZstdCompressor(level=1)
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column(1)):
                 row, g = shingles(buf, off, n)
                 who, key = classes.keys(row, g, np.bincount(row, minlength=j - i))
-                order = np.argsort(who, kind="stable")
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(i + who[order])), pa.array(key[order].view(np.int64))], ["doc_id", "key"])
+                ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
+                bucket = (key % np.uint64(buckets)).astype(np.int64)
+                order = np.lexsort((who, bucket))
+                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+                full = np.flatnonzero(np.diff(cut)).tolist()
+                at = [order[cut[b] : cut[b + 1]] for b in full]
+                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([key[x].tobytes() for x in at], pa.binary()), pa.array([tight.compress(ids[who[x]].astype(np.int64).tobytes()) for x in at], pa.binary())], ["bucket", "keys", "docs"])
 
-    return docs.where("doc_id is not null").mapInArrow(run, "doc_id long, key long")
+    return docs.where("doc_id is not null").mapInArrow(run, "bucket int, keys binary, docs binary")
 
 
 class Tree:
@@ -191,7 +201,9 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, p: int, q: int
 
 def _chain(group: pa.Table) -> pa.Table:
     """Each set of a bucket's common keys, with the least set of the same key; once each."""
-    key, doc = group.column("key").to_numpy(), group.column("doc_id").to_numpy()
+    loose = zstandard.ZstdDecompressor()
+    key = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
+    doc = np.frombuffer(b"".join(loose.decompress(x) for x in group.column("docs").to_pylist()), np.int64)
     order = np.lexsort((doc, key))
     key, doc = key[order], doc[order]
     new = np.ones(len(key), bool)
@@ -213,7 +225,7 @@ def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFr
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialise(profile(docs, n), "profile")
     reps = materialise(rows.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    dealt = set_keys(docs, n, p, q).withColumn("bucket", F.pmod(F.hash("key"), F.lit(partitions(docs.sparkSession))))
+    dealt = set_keys(docs, n, p, q, partitions(docs.sparkSession))
     cluster = components(dealt.groupBy("bucket").applyInArrow(_chain, "doc_id long, low long"))
     roots = cluster.select(F.col("component").alias("id"), "component").distinct()
     members = cluster.unionByName(roots).select(F.col("id").alias("doc_id"), F.col("component").alias("c"))
