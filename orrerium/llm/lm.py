@@ -25,7 +25,7 @@ from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, par
 from orrerium.llm.lattice import Pieces, marginals
 
 #: Bytes of text in a part, about.
-PART_BYTES = 8 << 20
+PART_BYTES = 6 << 20
 #: The hash that stands for the end of a text.
 END = np.uint64(0x5851F42D4C957F2D)
 _PIECES: dict[str, Pieces] = {}
@@ -97,6 +97,7 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, held_out: int = 1) -
     docs, buckets = _dealt(docs)
 
     def learn(group: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         part, (text, held) = group.column("part")[0].as_py(), (group.column(c).combine_chunks() for c in ("text", "held_out"))
         train = ~held.to_numpy(zero_copy_only=False)
         lex = Lexicon(text, train)
@@ -163,6 +164,7 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, held_out: int = 1) -
     def judge(key: tuple, group: pa.Table, sent: pa.Table) -> pa.Table:
         if not len(group):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
+        pa.default_memory_pool().release_unused()
         text, held = (group.column(c).combine_chunks() for c in ("text", "held_out"))
         lex = Lexicon(text, ~held.to_numpy(zero_copy_only=False))
         p = _pieces(model_file)

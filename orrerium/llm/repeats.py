@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from orrerium.llm.bwt import Shard, merge
 from orrerium.llm.common import Rolling, materialise, mix, partitions, text_chunks
 
-#: Bytes of a chunk of documents (a pass holds some ten times as much), and the different hulls of a core beyond which its strings are dealt out by hash.
-CHUNK = 1 << 20
+#: Bytes of a chunk of documents (a pass holds some hundred times as much), and the different hulls of a core beyond which its strings are dealt out by hash.
+CHUNK = 512 << 10
 HOT_HULLS = 256
 GRAM = 8
 _WHOLE, _HULL, _EACH = 0, 1, 2
@@ -120,6 +120,7 @@ _FOUND = {"chunk": pa.int64(), "starts": pa.binary()}
 
 def _judge(group: pa.Table) -> pa.Table:
     """A bucket of cores: which runs are repeated whole, and which must send more."""
+    pa.default_memory_pool().release_unused()
     chunks, cores, hulls, runs = group.column("chunk").to_pylist(), *(_numbers(group.column(c), np.uint64) for c in ("core", "hull")), _numbers(group.column("run"), np.int32)
     who = np.repeat(np.arange(len(chunks)), [len(x) for x in cores])
     core, hull, run = np.concatenate(cores), np.concatenate(hulls), np.concatenate(runs)
@@ -220,6 +221,7 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     asked = materialise(sent.groupBy("bucket").applyInArrow(_judge, "chunk long, kind int, runs binary"), "runs")
 
     def send(key: tuple, mine: pa.Table, ask: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         out: list[tuple] = []
         if len(mine) and len(ask):
             chunk, buf, off = key[0].as_py(), *_open(mine.column("off")[0].as_py(), mine.column("data")[0].as_py())
@@ -243,6 +245,7 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     replies = asked.where(F.col("kind") == _WHOLE).select("chunk", "runs", F.lit(None).cast("binary").alias("starts")).unionByName(found.select("chunk", F.lit(None).cast("binary").alias("runs"), "starts"))
 
     def finish(mine: pa.Table, told: pa.Table) -> pa.Table:
+        pa.default_memory_pool().release_unused()
         out: list[tuple] = []
         for ids, off, data in zip(*(mine.column(c).to_pylist() for c in ("ids", "off", "data")), strict=True):
             buf, off = _open(off, data)

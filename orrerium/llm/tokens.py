@@ -186,7 +186,7 @@ class WordBpe:
 
     def encode(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """Each text's ids; null is an empty text."""
-        for i, j, buf, off in text_chunks(texts, CHUNK_BYTES):
+        for i, j, buf, off in text_chunks(texts, 2 * CHUNK_BYTES):
             flat, ends, odd = self._plain(buf, off)
             for k in range(j - i):
                 if odd[k]:
