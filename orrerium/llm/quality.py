@@ -19,6 +19,8 @@ BUCKETS = 1 << 10
 #: Texts that the scorer is fitted on, about (drawn by a hash of the id): bounds the one task that fits it.
 FIT_ROWS = 20_000
 KEEP = 0.5
+#: What labellers are taken to be built for: of good texts, each calls at most this share bad.
+FALSE_ALARM = 5e-4
 ROUNDS = 60
 
 _PLAIN = np.zeros(256, bool)
@@ -64,7 +66,7 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 def votes(s: np.ndarray) -> np.ndarray:
     """-1 bad, 0 abstains, 1 good, of every labeller; nan abstains."""
-    bad = np.array([s[:, 0] > 0.08, s[:, 1] > 0.5, s[:, 2] > 0.3, s[:, 3] < 4, (s[:, 4] < 1.5) | (s[:, 4] > 25), (s[:, 5] < 0.25) & (s[:, 3] > 20), s[:, 6] > 0.3, s[:, 7] > 0.3])
+    bad = np.array([s[:, 0] > 0.08, s[:, 1] > 0.5, s[:, 2] > 0.3, s[:, 3] < 2, (s[:, 4] < 1.5) | (s[:, 4] > 25), (s[:, 5] < 0.25) & (s[:, 3] > 20), s[:, 6] > 0.3, s[:, 7] > 0.3])
     good = np.array([s[:, 0] < 0.01, s[:, 1] < 0.15, s[:, 2] < 0.08, s[:, 3] > 20, (s[:, 4] > 2.5) & (s[:, 4] < 12), s[:, 5] > 0.3, (s[:, 6] < 0.1), s[:, 7] < 0.02])
     return (good.astype(np.int8) - bad.astype(np.int8)).T
 
@@ -87,7 +89,8 @@ def accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -
     """Expectation-maximisation over vote patterns: (share of good, P(vote | class) as labeller x class x vote, posterior of good).
 
     Faults are of many kinds and a text seldom has two, so it starts from bad where any labeller votes bad, and from
-    good where any votes good and none bad; a labeller that always abstains keeps even odds.
+    good where any votes good and none bad. As faults don't overlap, agreement alone would let the good class take in all
+    faults but the commonest; so a labeller's false alarms are held to FALSE_ALARM. A labeller that always abstains keeps even odds.
     """
     post = np.where((patterns < 0).any(1), 0.1, np.where((patterns > 0).any(1), 0.9, 0.5))
     share, table = 0.5, np.full((patterns.shape[1], 2, 3), 1 / 3)
@@ -97,6 +100,8 @@ def accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -
         for v in (-1, 0, 1):
             table[:, :, v + 1] = ((patterns == v).T.astype(float) @ w.T) + 1
         table /= table.sum(2, keepdims=True)
+        table[:, 1, 0] = np.minimum(table[:, 1, 0], FALSE_ALARM)
+        table[:, 1] /= table[:, 1].sum(1, keepdims=True)
         logit = np.full(len(patterns), np.log(share / (1 - share)))
         for k in range(patterns.shape[1]):
             logit += np.log(table[k, 1, patterns[:, k] + 1] / table[k, 0, patterns[:, k] + 1])
