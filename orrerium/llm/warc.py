@@ -92,7 +92,8 @@ def _records(raw: bytes) -> Iterator[tuple]:
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
-        head = _headers(f)
+        if (head := _headers(f)) is None:
+            return
         size = int(head.get("content-length") or 0)
         block = f.read(size)
         if len(block) < size:
@@ -102,7 +103,7 @@ def _records(raw: bytes) -> Iterator[tuple]:
             continue
         first, _, rest = block.partition(b"\r\n")
         b = io.BytesIO(rest)
-        http = _headers(b)
+        http = _headers(b) or {}
         if d := head.get("warc-payload-digest"):
             http["warc-payload-digest"] = d
         status = first.split()
@@ -112,12 +113,15 @@ def _records(raw: bytes) -> Iterator[tuple]:
         yield (head.get("warc-record-id"), head.get("warc-target-uri"), int(when.timestamp() * 1_000_000), kind, int(status[1]) if len(status) > 1 and status[1].isdigit() else None, http, b.read() if kind == "response" else None)
 
 
-def _headers(f: io.BufferedIOBase) -> dict[str, str]:
+def _headers(f: io.BufferedIOBase) -> dict[str, str] | None:
+    """Header lines up to the blank one; None if the file ends before it."""
     out: dict[str, str] = {}
-    while (line := f.readline().rstrip(b"\r\n")):
+    while line := f.readline():
+        if not (line := line.rstrip(b"\r\n")):
+            return out
         name, _, value = line.partition(b":")
         out[name.decode("latin-1").strip().lower()] = value.decode("latin-1").strip()
-    return out
+    return None
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
