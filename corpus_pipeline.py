@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.llm import language
-from orrerium.llm.common import materialise, quiet_arrow, table
+from orrerium.llm.common import materialise, quiet_arrow, release, split_by_ids, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
@@ -26,39 +26,48 @@ SHINGLE, SHARE, OF = 5, 80, 100
 PASSAGE = 400
 
 
+def _begin(spark: SparkSession) -> None:
+    """A stage starts when the one before it has been written, so that one's own tables can go."""
+    quiet_arrow(spark, 2000)
+    release(spark)
+
+
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; lang becomes that language. Blank texts go."""
-    quiet_arrow(spark, 2000)
+    _begin(spark)
     found = language.identify(docs, language.train(docs)).where("accepted")
     return found.withColumn("lang", F.col("language")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies: that of the smallest id, once. Rows without an id stay."""
-    quiet_arrow(spark, 2000)
-    kept = ngram_join(docs, SHINGLE, SHARE, OF).where("doc_id = component_id").select("doc_id").distinct()
-    named = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return named.select(*COLUMNS).unionByName(docs.where("doc_id is null").select(*COLUMNS))
+    _begin(spark)
+    gone = materialise(ngram_join(docs, SHINGLE, SHARE, OF).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
+    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
+    maybe, rest = split_by_ids(docs, gone.unionByName(twice), "doc_id")
+    return maybe.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat among them."""
-    quiet_arrow(spark, 2000)
+    """All documents, without the passages that repeat among them; rows without an id keep their text."""
+    _begin(spark)
     cut = materialise(remove_repeats(docs, PASSAGE).where("n_removed > 0").select("doc_id", "kept"), "cut")
+    maybe, rest = split_by_ids(docs, cut.select("doc_id"), "doc_id")
     text = F.coalesce("kept", "text")
-    return docs.join(cut, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    changed = maybe.join(cut, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    return changed.unionByName(rest.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of the benchmark."""
-    quiet_arrow(spark, 2000)
+    _begin(spark)
     hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
     return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    quiet_arrow(spark, 2000)
+    _begin(spark)
     return pack_documents(docs, tokenizer_path(spark))
 
 
@@ -78,5 +87,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
-            docs = materialise(docs, f"pipeline-{k}-{name}")
+            docs = materialise(docs, f"pipeline-{k}-{name}", keep=True)
     return docs

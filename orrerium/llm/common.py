@@ -1,15 +1,15 @@
 """Shared pieces: table access, written tables, and byte-level kernels over Arrow batches."""
 
-from __future__ import annotations
-
 import atexit
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a kernel turns into 64-bit arrays at a time (a longer text is one chunk by itself).
 CHUNK_BYTES = 1 << 20
@@ -28,13 +28,18 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: lineage is cut and executors may be lost."""
+def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write df as Parquet in the shared folder and read it back: lineage is cut and executors may be lost.
+
+    Tables go when the driver ends, or by release() unless kept.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
+    if not keep:
+        _WRITTEN.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
@@ -146,3 +151,49 @@ def words(buf: np.ndarray, off: np.ndarray, alphabet: np.ndarray) -> tuple[np.nd
 def quiet_arrow(spark: SparkSession, rows: int) -> None:
     """Rows of an Arrow batch: whole texts travel in it, so the batch is kept small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+#: Bits of an id filter: what is broadcast is this many, whatever the number of ids.
+FILTER_BITS = 1 << 23
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the ids, rows that surely have none): only the first need a join.
+
+    `ids` has one column of longs. The filter is a bit set of fixed size; too many ids make it let more through, never less.
+    Null ids are among the second.
+    """
+
+    def slots(x: np.ndarray) -> np.ndarray:
+        return (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(FILTER_BITS, bool)
+        for batch in batches:
+            bits[slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False))] = True
+        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
+
+    packed = np.zeros(FILTER_BITS // 8, np.uint8)
+    for (got,) in ids.select(ids.columns[0]).coalesce(16).mapInArrow(gather, "bits binary").collect():  # 16 sets of a MB
+        packed |= np.frombuffer(got, np.uint8)
+    known = df.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+    @F.pandas_udf("boolean")
+    def may(x: pd.Series) -> pd.Series:
+        there = x.notna().to_numpy()
+        out = np.zeros(len(x), bool)
+        s = slots(x[there].to_numpy().astype(np.int64))
+        out[there] = np.frombuffer(known.value, np.uint8)[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1
+        return pd.Series(out)
+
+    test = may(F.col(column).cast("long"))
+    return df.where(test), df.where(~test)
+
+
+_WRITTEN: list[str] = []
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the tables written so far: for callers who know that what was built on them has itself been written."""
+    while _WRITTEN:
+        _remove(spark, _WRITTEN.pop())

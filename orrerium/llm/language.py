@@ -101,14 +101,15 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     best = F.array_position("_zzll", F.array_max("_zzll")).cast("int")
     rows = rows.withColumns({"_zzguess": F.when(F.octet_length(F.trim(F.coalesce("text", F.lit("")))) > 2, best), "_zzhost": F.lower(F.coalesce(F.col(host).cast("string"), F.lit("")))})
     rows = rows.withColumn("_zzsaid", F.coalesce(F.array_position(_array([F.lit(x) for x in names]), F.lower(F.col(declared).cast("string"))), F.lit(-1)).cast("int"))
-    rows = materialise(rows, "likelihoods")
+    # What is counted is written without the texts; likelihoods are worked out once more for the result.
+    seen = materialise(rows.select("_zzguess", "_zzsaid", "_zzhost"), "evidence")
     said = np.full((n + 2, n), 0.5)
-    for g, s, c in rows.where("_zzguess is not null").groupBy("_zzguess", "_zzsaid").count().collect():  # at most 200 x 202 rows
+    for g, s, c in seen.where("_zzguess is not null").groupBy("_zzguess", "_zzsaid").count().collect():  # at most 200 x 202 rows
         said[s, g - 1] += c
     said = np.log(said / said.sum(0))
     # Row -1 is a missing or unknown declaration, 0 an other one.
     evidence = F.create_map(*[x for s in range(-1, n + 1) for x in (F.lit(s), _array([F.lit(float(v)) for v in said[s]]))])
-    priors = materialise(_priors(rows, n), "host-priors")
+    priors = materialise(_priors(seen, n), "host-priors")
     rows = rows.join(priors, "_zzhost", "left")
     flat = _array([F.lit(-math.log(n))] * n)
     score = F.zip_with(F.zip_with("_zzll", evidence[F.col("_zzsaid")], lambda a, b: a + b), F.coalesce("_zzprior", flat), lambda a, b: a + b)

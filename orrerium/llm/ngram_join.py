@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, partitions, text_chunks, words
+from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, partitions, split_by_ids, text_chunks, words
 from orrerium.llm.components import components
 
 #: Coordinates of a point, points of a leaf, and the most documents and shingles of a block of a cluster.
@@ -245,7 +245,7 @@ def _verified(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, p: i
     blocks = materialise(blocks, "blocks")
     placed = materialise(members.join(blocks, "c").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "placed")
     # Merged at any size: a plan that broadcasts small sides would say nothing of large ones.
-    texts = docs.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    texts = split_by_ids(docs, placed.select("doc_id"), "doc_id")[0].join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = texts.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
 
     def close(key: tuple, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
