@@ -11,7 +11,7 @@ def test_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     counts = []
     for name, stage in corpus_pipeline.STAGES[:-1]:
-        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), f"test-{name}")
+        docs = corpus_pipeline.materialise(stage(spark, docs, sf_dir), f"test-{name}", keep=True)
         assert docs.columns == corpus_pipeline.COLUMNS
         counts.append(docs.count())
     assert sorted(counts, reverse=True) == counts and counts[1] == counts[2] > counts[3] > 0

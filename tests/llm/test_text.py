@@ -148,14 +148,14 @@ def test_language_of_odd_texts(spark):
     assert language.identify(empty, language.train(empty)).count() == 0
 
 
-def test_em_finds_the_good_labeller():
+def test_em_finds_faults_that_do_not_overlap():
     rng = np.random.default_rng(0)
-    y = rng.random(4000) < 0.8
-    v = np.stack([np.where(rng.random(4000) < acc, np.where(y, 1, -1), 0) for acc in (0.9, 0.5, 0.5)], 1)
-    noise = rng.integers(-1, 2, (4000, 1))
-    _, table, post = quality.accuracies(np.hstack([v, noise]), np.ones(4000))
-    assert ((post > 0.5) == y).mean() > 0.9
-    assert abs(table[3, 0] - table[3, 1]).max() < 0.15 < abs(table[0, 0] - table[0, 1]).max()
+    fault = rng.integers(0, 15, 6000)  # faults 0 to 2, each a fifteenth of all
+    v = np.stack([np.where(fault == k, -1, np.where(rng.random(6000) < 0.8, 1, 0)) for k in range(3)], 1)
+    noise = rng.integers(0, 2, (6000, 1))
+    share, table, post = quality.accuracies(np.hstack([v, noise]), np.ones(6000))
+    assert ((post < 0.5) == (fault < 3)).mean() > 0.99
+    assert abs(share - 0.8) < 0.02 and abs(table[3, 0] - table[3, 1]).max() < 0.1
 
 
 def test_quality_against_labels(spark, sf_dir):
