@@ -90,9 +90,11 @@ def accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -
 
     Faults are of many kinds and a text seldom has two, so it starts from bad where any labeller votes bad, and from
     good where any votes good and none bad. As faults don't overlap, agreement alone would let the good class take in all
-    faults but the commonest; so a labeller's false alarms are held to FALSE_ALARM. A labeller that always abstains keeps even odds.
+    faults but the commonest; so a labeller's false alarms are held to FALSE_ALARM, and what none calls bad stays good. A labeller that always abstains keeps even odds.
     """
-    post = np.where((patterns < 0).any(1), 0.1, np.where((patterns > 0).any(1), 0.9, 0.5))
+    called = (patterns < 0).any(1)
+    least = np.where(called, 0.0, np.where((patterns > 0).any(1), 0.9, 0.5))
+    post = np.where(called, 0.1, least)
     share, table = 0.5, np.full((patterns.shape[1], 2, 3), 1 / 3)
     for _ in range(rounds):
         w = np.stack([weight * (1 - post), weight * post])
@@ -105,7 +107,7 @@ def accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -
         logit = np.full(len(patterns), np.log(share / (1 - share)))
         for k in range(patterns.shape[1]):
             logit += np.log(table[k, 1, patterns[:, k] + 1] / table[k, 0, patterns[:, k] + 1])
-        post = 1 / (1 + np.exp(-np.clip(logit, -50, 50)))
+        post = np.maximum(1 / (1 + np.exp(-np.clip(logit, -50, 50))), least)
     return float(share), table, post
 
 
