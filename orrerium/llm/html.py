@@ -1,8 +1,8 @@
 """Main text of web pages: page structure, and site templates found by counting subtrees per host.
 
-Pass one hashes every element subtree outside main content and counts, in Spark, on how many pages
-of a host it stands. Pass two drops subtrees that recur, structural boilerplate by its element or
-class, and returns the blocks that are left.
+Pass one hashes the boxes of a page's content (its articles or main elements, else all of it) and
+counts, in Spark, on how many pages of a host each stands. Pass two drops boxes that recur,
+structural boilerplate by its element or class, and returns the blocks that are left.
 """
 
 from __future__ import annotations
@@ -18,15 +18,17 @@ from pyspark.sql import functions as F
 
 from orrerium.llm.common import materialise
 
-#: A subtree is template if it stands on at least this many pages of its host and this share of them.
+#: A box is template if it stands on at least this many pages of its host that differ in content.
 LEAST_PAGES = 5
-LEAST_SHARE = 0.05
 
 #: Element classes of HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 DROPPED = RAW | {"head", "nav", "aside", "footer", "form", "button", "select", "option", "svg", "canvas", "object", "dialog", "menu", "math", "audio", "video", "map", "datalist", "fieldset"}
 BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "center", "dd", "details", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "html", "li", "main", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: Parts of a text, list or table, which recur in texts that are no copies and go only with a box that holds them; elements that hold boxes.
+PARTS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "caption", "figcaption", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
+HOLDERS = {"#root", "html", "body", "div", "section", "article", "main", "center", "header"}
 CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: An element that opens here ends an open sibling of these names, up to the given limits.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -105,37 +107,55 @@ def _end(stack: list[Node], names: set[str], limits: set[str]) -> None:
             return
 
 
-def subtrees(root: Node) -> dict[int, int]:
-    """Hash of each element outside main content by identity, children first; elements without text have none."""
-    out: dict[int, int] = {}
-    todo: list[tuple[Node, bool]] = [(root, False)]
-    digest: dict[int, bytes] = {}
+def subtrees(root: Node) -> tuple[dict[int, int], int]:
+    """(hash of each box of the page's content by identity, hash of the content): of what extract() would return.
+
+    No box: the content itself and its sole wrappers, elements without text, words within a sentence, and PARTS with what
+    is all that they hold.
+    """
+    heads = _mains(root) or [root]
+    order: list[Node] = []
+    todo = list(heads)
     while todo:
-        node, ready = todo.pop()
-        if not ready:
-            todo.append((node, True))
-            todo += [(c, False) for c in node.children if isinstance(c, Node) and not c.main and c.tag not in ("script", "style")]
-            continue
-        h = hashlib.blake2b(f"{node.tag} {node.name}".encode(), digest_size=8)
-        filled = False
-        for c in node.children:
+        x = todo.pop()
+        order.append(x)
+        todo += [c for c in x.children if isinstance(c, Node) and not c.drop]
+    digest: dict[int, bytes] = {}
+    out: dict[int, int] = {}
+    for x in reversed(order):
+        h = hashlib.blake2b(f"{x.tag} {x.name}".encode(errors="replace"), digest_size=8)
+        inner: list[Node] = []
+        text = False
+        for c in x.children:
             if isinstance(c, str):
                 if t := " ".join(c.split()):
-                    filled = True
-                    h.update(b"\0" + t.encode())
+                    text = True
+                    h.update(b"\0" + t.encode(errors="replace"))
             elif id(c) in digest:
-                filled = True
+                inner.append(c)
                 h.update(b"\1" + digest[id(c)])
-        if filled:
-            digest[id(node)] = h.digest()
-            if node.tag not in ("#root", "html", "body"):
-                out[id(node)] = int.from_bytes(h.digest(), "little", signed=True)
-    return out
+        if not (text or inner):
+            continue
+        digest[id(x)] = h.digest()
+        alone = len(inner) == 1 and not text
+        for c in inner:
+            if c.tag in PARTS or (alone and x.tag in PARTS) or (c.tag not in BLOCKS and (text or x.tag not in HOLDERS)):
+                continue
+            out[id(c)] = int.from_bytes(digest[id(c)], "little", signed=True)
+    for x in heads:
+        while True:
+            out.pop(id(x), None)
+            inner = [c for c in x.children if id(c) in digest]
+            if len(inner) != 1 or inner[0].tag not in HOLDERS or any(isinstance(c, str) and c.strip() for c in x.children):
+                break
+            x = inner[0]
+    whole = hashlib.blake2b(b"".join(digest.get(id(x), b"") for x in heads), digest_size=8)
+    return out, int.from_bytes(whole.digest(), "little", signed=True)
 
 
 def extract(root: Node, template: set[int]) -> str:
     """Text of the blocks that are no boilerplate, in page order, joined by spaces."""
-    hashes = subtrees(root) if template else {}
+    hashes = subtrees(root)[0] if template else {}
     main = _mains(root)
     blocks: list[str] = []
     line: list[str] = []
@@ -187,37 +207,38 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
-    """(host, hashes): the subtrees outside main content that recur over a host's pages.
+def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+    """(page, hashes): of each page the boxes that recur over its host's pages; pages without any are left out.
 
-    A hash counts once a page. The share bounds a host's list: it can't be longer than the mean number of
-    subtrees of its pages over the share.
+    pages: page, host, html; equal pages of a host have one key. A hash counts once a page, and pages of a host with equal content
+    count once: an article that a site shows under many addresses is not a template.
     """
 
-    def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            hosts, found = [], []
-            for h, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                mine = {*subtrees(parse(page or "")).values()} | {0}  # 0 counts the pages
-                hosts += [h] * len(mine)
-                found += mine
-            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(found, pa.int64())], ["host", "hash"])
+            found, whole = [], []
+            for page in batch.column(2).to_pylist():
+                mine, content = subtrees(parse(page or ""))
+                found.append(sorted({*mine.values()}))
+                whole.append(content)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["page", "host", "content", "hashes"])
 
-    counts = pages.select(host(F.col("url")).alias("host"), F.col("html").cast("string")).mapInArrow(hashes, "host string, hash long").groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") >= least_pages) | (F.col("hash") == 0))
-    counts = materialise(counts, "subtrees")
-    total = counts.where("hash = 0").select("host", F.col("n").alias("pages"))
-    return counts.where("hash <> 0").join(total, "host").where(F.col("n") >= F.col("pages") * least_share).groupBy("host").agg(F.collect_list("hash").alias("hashes"))
+    known = materialise(pages.select("page", F.xxhash64("host").alias("host"), "html").mapInArrow(boxes, "page long, host long, content long, hashes array<long>").where(F.size("hashes") > 0), "boxes")
+    counts = known.dropDuplicates(["host", "content"]).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
+    common = materialise(counts.where(F.col("n") >= least_pages).select("host", "hash"), "common")
+    held = known.dropDuplicates(["page"]).select("page", "host", F.explode("hashes").alias("hash")).join(common, ["host", "hash"])
+    return held.groupBy("page").agg(F.collect_list("hash").alias("hashes"))
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: float = LEAST_SHARE) -> DataFrame:
+def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Every page with its main text: page_id, url, text, n_chars (code points); repeated rows one by one.
 
     pages: page_id, url, html; other columns are left aside. Null and empty pages have an empty text; pages without a URL
-    share the empty host. Unlike template subtrees, main content (article, main) isn't compared between pages: an
-    article that a site shows under many addresses is not a template.
+    share the empty host.
     """
-    known = materialise(templates(pages, least_pages, least_share), "templates")
     pages = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.col("html").cast("string"))
+    pages = pages.withColumn("page", F.xxhash64("host", "html"))
+    known = materialise(templates(pages, least_pages), "templates")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -225,4 +246,4 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES, least_share: flo
             texts = [extract(parse(page or ""), set(t or ())) for page, t in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    return pages.join(known, "host", "left").select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")
+    return pages.join(known, "page", "left").select("page_id", "url", "html", "hashes").mapInArrow(run, f"page_id {kinds['page_id']}, url {kinds['url']}, text string, n_chars long")

@@ -194,6 +194,17 @@ def test_site_templates_go(spark):
     assert got[3] == "story 3" and got[90] == "" and len(got) == 22
 
 
+def test_templates_within_articles_go(spark):
+    box = "<div class='x1'><h3>Join us</h3><p>Ten letters a year.</p></div>"
+    rows = [(k, f"http://host.example/{k}", f"<body><article><div><h2>Why</h2><p>story {k} of <a href='/f'>France</a> it is.</p><ul><li>salt<li>item {k}</ul>{box}</div></article>") for k in range(8)]
+    rows += [(100 + k, f"http://host.example/copy/{k}", "<body><main><p>One text.</p><p>Under many addresses.</p></main>") for k in range(9)]
+    rows += [(200 + k, f"http://big.example/{k}", f"<article><p>tale {k}</p>{'<p>Seen by few.</p>' if k < 5 else ''}</article>") for k in range(150)]
+    rows += [(900, "http://other.example/", f"<article><p>kept</p>{box}</article>")]
+    got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got[3] == "Why story 3 of France it is. salt item 3" and got[104] == "One text. Under many addresses."
+    assert got[202] == "tale 2" and got[900] == "kept Join us Ten letters a year." and len(got) == len(rows)
+
+
 def test_revisits(spark):
     def row(i, url, ts, kind, status, headers, body):
         return (i, url, ts, kind, status, headers, body)
