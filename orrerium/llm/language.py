@@ -20,8 +20,10 @@ from orrerium.llm.common import LOWER, materialise, text_chunks
 BUCKETS = 1 << 13
 TEMPER = 1 / 3
 SMOOTHING = 5.0
-#: A label counts as a language if at least this share of labelled texts bears it; so there are at most 200.
-LEAST_LABEL_SHARE = 0.005
+#: Pseudo-counts of trigrams by which a language is smoothed towards the corpus.
+SMOOTHING_TRIGRAMS = 500.0
+#: The commonest labels are languages, up to this many; those of all further labels together are one other language.
+MOST_LANGUAGES = 200
 #: A text is kept if its language is this likely.
 CONFIDENCE = 0.5
 
@@ -38,22 +40,26 @@ def _trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return row[:-2][ok], (t[ok] >> np.uint32(19)).astype(np.int64)
 
 
-def labels_of(docs: DataFrame, label: str) -> list[str]:
-    """The languages: labels of at least LEAST_LABEL_SHARE of the labelled rows."""
-    counts = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).groupBy(F.lower(label).alias("l")).count()
-    total = counts.agg(F.sum("count")).first()[0] or 0
-    return sorted(r[0] for r in counts.where(F.col("count") >= LEAST_LABEL_SHARE * total).select("l").collect())
+def labels_of(docs: DataFrame, label: str) -> tuple[list[str], bool]:
+    """(the languages, whether there are further ones): the MOST_LANGUAGES commonest labels of texts, however rare."""
+    counts = docs.where(F.col(label).isNotNull() & F.col("text").isNotNull()).groupBy(F.lower(F.col(label).cast("string")).alias("l")).count()
+    top = [r[0] for r in counts.orderBy(F.desc("count"), "l").limit(MOST_LANGUAGES + 1).select("l").collect()]
+    return sorted(top[:MOST_LANGUAGES]), len(top) > MOST_LANGUAGES
 
 
 def train(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
-    """(languages, log probability of each bucket by language) from all labelled texts; add-half smoothing."""
-    names = labels_of(docs, label)
+    """(languages, log probability of each bucket by language) from all labelled texts, smoothed towards the corpus.
+
+    Where there are labels beyond MOST_LANGUAGES, one more row of probabilities is that of all of them.
+    """
+    names, more = labels_of(docs, label)
     code = {n: k for k, n in enumerate(names)}
+    classes = len(names) + more
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(names) * BUCKETS, np.int64)
+        total = np.zeros(classes * BUCKETS, np.int64)
         for batch in batches:
-            lang = np.array([code.get(x, -1) for x in batch.column(0).to_pylist()])
+            lang = np.array([-1 if x is None else code.get(x, len(names)) for x in batch.column(0).to_pylist()])
             for i, _, buf, off in text_chunks(batch.column(1)):
                 row, t = _trigrams(buf, off)
                 k = lang[i + row] if len(row) else row
@@ -61,10 +67,12 @@ def train(docs: DataFrame, label: str = "lang") -> tuple[list[str], np.ndarray]:
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["slot", "n"])
 
-    seen = docs.select(F.lower(F.col(label).cast("string")), F.col("text").cast("string")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most 200 languages' buckets
-    n = np.full((max(len(names), 1), BUCKETS), 0.5)
+    seen = docs.select(F.lower(F.col(label).cast("string")), F.col("text").cast("string")).mapInArrow(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).collect()  # at most 201 languages' buckets
+    n = np.zeros((max(classes, 1), BUCKETS))
     for slot, c in seen:
         n[slot // BUCKETS, slot % BUCKETS] += c
+    whole = n.sum(0) + 0.5
+    n += SMOOTHING_TRIGRAMS * whole / whole.sum()
     return names, np.log(n / n.sum(1, keepdims=True))
 
 
@@ -77,16 +85,17 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str
 
     docs: text, a column of declared languages and one of hosts (either may be null in any row). Texts of under three
     bytes have no likelihood of their own and go by the other evidence; null and blank ones are never accepted. A declared value
-    that is no known language counts as one 'other'; hosts differ by letter case only are one; without a dot a host has an
+    that is no known language counts as one 'other'; a text of the model's other language has its declared value as language (null
+    without one) and `other` as text_lang; hosts differ by letter case only are one; without a dot a host has an
     empty suffix. Ties go to the language first in order. Repeated rows are judged one by one. Columns
     that begin with `_zz` are reserved.
     """
     names, logp = model
     spark = docs.sparkSession
-    n = len(names)
-    if not n:
+    n = len(logp)
+    if not names:
         return docs.withColumns({"text_lang": F.lit(None).cast("string"), "language": F.lit(None).cast("string"), "confidence": F.lit(0.0), "accepted": F.lit(False)})
-    known = spark.sparkContext.broadcast(logp)  # at most 200 x BUCKETS numbers
+    known = spark.sparkContext.broadcast(logp)  # at most 201 x BUCKETS numbers
 
     @F.pandas_udf("array<double>")
     def likelihood(texts: pd.Series) -> pd.Series:
@@ -104,7 +113,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     # What is counted is written without the texts; likelihoods are worked out once more for the result.
     seen = materialise(rows.select("_zzguess", "_zzsaid", "_zzhost"), "evidence")
     said = np.full((n + 2, n), 0.5)
-    for g, s, c in seen.where("_zzguess is not null").groupBy("_zzguess", "_zzsaid").count().collect():  # at most 200 x 202 rows
+    for g, s, c in seen.where("_zzguess is not null").groupBy("_zzguess", "_zzsaid").count().collect():  # at most 201 x 203 rows
         said[s, g - 1] += c
     said = np.log(said / said.sum(0))
     # Row -1 is a missing or unknown declaration, 0 an other one.
@@ -116,8 +125,9 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     rows = rows.withColumn("_zzscore", score).withColumn("_zztop", F.array_max("_zzscore"))
     at = F.array_position("_zzscore", F.col("_zztop"))
     total = F.aggregate("_zzscore", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_zztop")))
-    spelled = _array([F.lit(x) for x in names])
-    rows = rows.withColumns({"text_lang": F.element_at(spelled, F.col("_zzguess")), "language": F.element_at(spelled, at.cast("int")), "confidence": 1.0 / total})
+    spelled = [F.lit(x) for x in names]
+    own, most = ([F.lit("other")], [F.col(declared).cast("string")]) if n > len(names) else ([], [])
+    rows = rows.withColumns({"text_lang": F.element_at(_array(spelled + own), F.col("_zzguess")), "language": F.element_at(_array(spelled + most), at.cast("int")), "confidence": 1.0 / total})
     rows = rows.withColumn("accepted", (F.col("confidence") >= CONFIDENCE) & (F.octet_length(F.trim(F.coalesce("text", F.lit("")))) > 0))
     return rows.select(*docs.columns, "text_lang", "language", "confidence", "accepted")
 

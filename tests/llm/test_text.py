@@ -129,6 +129,28 @@ def test_likelihoods(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
 
 
+def rare_languages(spark):
+    words = {"en": "the house and street with them".split(), "fr": "une maison dans les rues avec".split(), "fi": "yksi talo kadulla heidän kanssaan".split(), "eu": "etxe bat kalean haiekin batera".split()}
+    rows, n = [], 0
+    for lang, many in (("en", 800), ("fr", 300), ("fi", 4), ("eu", 3)):
+        for k in range(many):
+            rows.append((n := n + 1, " ".join(words[lang][(k * 7 + j * (1 + k % 4)) % len(words[lang])] for j in range(30)), lang, "h.example"))
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+
+
+def test_rare_languages_are_told(spark):
+    rows, docs = rare_languages(spark)
+    got = language.identify(docs.withColumn("said", F.lit(None).cast("string")), language.train(docs), "said").collect()
+    assert len(got) == len(rows) and all(r.language == r.lang and r.accepted for r in got)
+
+
+def test_languages_beyond_the_bound_stay_as_declared(spark, monkeypatch):
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 2)
+    _, docs = rare_languages(spark)
+    got = language.identify(docs, language.train(docs)).collect()
+    assert all(r.language == r.lang and r.accepted for r in got) and {r.text_lang for r in got if r.lang in ("fi", "eu")} == {"other"}
+
+
 def test_languages_of_held_out_texts(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     train, test = docs.where("doc_id % 2 = 0"), docs.where("doc_id % 2 = 1")
