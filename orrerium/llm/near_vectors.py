@@ -17,15 +17,16 @@ from orrerium.llm.common import materialise
 from orrerium.llm.components import components
 from orrerium.llm.hnsw import Graph
 
-#: Classes of a shard; the first beam; queries of an audit and the recall that it asks for.
+#: Classes of a shard; the first beam; queries of an audit, planted ones of a shard's audit, and the recall that both ask for.
 SHARD_ROWS = 4096
 BEAM = 32
 AUDIT = 64
+PLANTS = 1024
 RECALL = 0.999
 #: What the search's single precision may be off.
 SLACK = 1e-4
 
-_BLOB = "label {kind}, dim int, shard int, ids binary, weights binary, vectors binary, graph binary"
+_BLOB = "label {kind}, dim int, shard int, ids binary, weights binary, vectors binary, graph binary, beam int"
 
 
 def _union(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
@@ -45,8 +46,41 @@ def _union(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(nodes[k].tolist(), nodes[low[k]].tolist(), strict=True))
 
 
+def plant(base: np.ndarray, least: float, n: int = PLANTS) -> np.ndarray:
+    """Unit vectors of cosine `least` to 1 to a row of base each: half of them lie towards another row, half anywhere."""
+    rnd = np.random.default_rng(len(base))
+    b = base[rnd.integers(len(base), size=n)]
+    to = np.where(np.arange(n)[:, None] % 2, base[rnd.integers(len(base), size=n)], rnd.normal(size=b.shape))
+    to = to - (to * b).sum(1, keepdims=True) * b
+    long = np.linalg.norm(to, axis=1, keepdims=True)
+    cos = rnd.uniform(min(least + SLACK, 1), 1, (n, 1))
+    out = cos * b + np.sqrt(1 - cos**2) * np.where(long > 1e-9, to / np.maximum(long, 1e-9), 0)
+    return out / np.linalg.norm(out, axis=1, keepdims=True)
+
+
+def audited_beam(graph: Graph, own: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> int:
+    """The narrowest beam (of those doubled from `beam`) that finds `recall` of the links of planted queries.
+
+    Every plant has a link, so no shard passes on an audit without any, however sparse the links of the other shards to it.
+    """
+    base = own / np.linalg.norm(own, axis=1, keepdims=True)
+    if beam >= len(base):
+        return beam
+    plants = plant(base, least)
+    truth = int((plants @ base.T >= least).sum())
+    while beam < len(base):
+        a, b = graph.within(plants.astype(np.float32), least - SLACK, beam)
+        if (np.einsum("ad,ad->a", plants[a], base[b]) >= least).sum() >= recall * truth:
+            break
+        beam *= 2
+    return beam
+
+
 def search(graph: Graph, own: np.ndarray, queries: np.ndarray, least: float, beam: int = BEAM, recall: float = RECALL) -> tuple[np.ndarray, np.ndarray]:
-    """(query, row) of cosine >= least in double precision. Beams widen until an audit against a scan finds `recall`."""
+    """(query, row) of cosine >= least in double precision. Beams widen until an audit against a scan finds `recall`.
+
+    The audit's queries may have no link at all, so `beam` is to be that of audited_beam().
+    """
     unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
     base = own / np.linalg.norm(own, axis=1, keepdims=True)
     q = unit.astype(np.float32)
@@ -82,7 +116,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(group["v"].to_list()).astype(np.float64)
         graph = Graph.build((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))
-        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [group["rep"].to_numpy(np.int64).tobytes()], "weights": [group["n"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [graph.dump()]})
+        return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [group["rep"].to_numpy(np.int64).tobytes()], "weights": [group["n"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [graph.dump()], "beam": [audited_beam(graph, v, least)]})
 
     graphs = materialise(sharded.select("label", "dim", "shard", "rep", "n", "v").groupBy("label", "dim", "shard").applyInPandas(build, _BLOB.format(kind=kind)), "graphs")
     other = graphs.select("label", "dim", F.col("shard").alias("q"), F.col("ids").alias("q_ids"), F.col("weights").alias("q_weights"), F.col("vectors").alias("q_vectors"))
@@ -93,7 +127,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
         r = group.iloc[0]
         ids, weights, qi, qw = (np.frombuffer(x, np.int64) for x in (r.ids, r.weights, r.q_ids, r.q_weights))
         own, queries = (np.frombuffer(x).reshape(-1, r.dim) for x in (r.vectors, r.q_vectors))
-        a, b = search(Graph.load(r.graph), own, queries, least)
+        a, b = search(Graph.load(r.graph), own, queries, least, int(r.beam))
         if r.q == r.shard:
             # Both ways of a pair, found by either.
             a, b = a[a != b], b[a != b]

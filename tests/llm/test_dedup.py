@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from orrerium.llm import bwt, ngram_join, repeats
 from orrerium.llm.components import components
 from orrerium.llm.hnsw import Graph
-from orrerium.llm.near_vectors import near_vectors
+from orrerium.llm.near_vectors import audited_beam, near_vectors, search
 
 UPPER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -178,3 +178,23 @@ def test_graph_survives_its_dump():
     a, b = g.within(x, 0.9, 32)
     want = np.argwhere(x @ x.T >= 0.9)
     assert len(set(zip(a.tolist(), b.tolist(), strict=True)) & {tuple(w) for w in want.tolist()}) >= 0.99 * len(want)
+
+
+def test_beams_widen_where_sampled_queries_have_no_links():
+    class Narrow:
+        """Finds nothing below a beam of 256."""
+
+        def __init__(self, x):
+            self.x = x
+
+        def within(self, q, least, beam):
+            a, b = np.nonzero(q @ self.x.T >= least)
+            return (a, b) if beam >= 256 else (a[:0], b[:0])
+
+    rnd = np.random.default_rng(9)
+    own, queries = rnd.normal(size=(1000, 32)), rnd.normal(size=(2000, 32))
+    queries[701] = own[5] + 0.01 * rnd.normal(size=32)
+    graph = Narrow((own / np.linalg.norm(own, axis=1, keepdims=True)).astype(np.float32))
+    beam = audited_beam(graph, own, 0.93)
+    a, b = search(graph, own, queries, 0.93, beam)
+    assert beam == 256 and (a.tolist(), b.tolist()) == ([701], [5])
