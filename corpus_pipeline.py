@@ -22,8 +22,8 @@ from orrerium.llm.repeats import remove_repeats
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Near copies share this many of 100 five-word shingles.
 SHINGLE, SHARE, OF = 5, 80, 100
-#: Bytes of a passage that may not repeat.
-PASSAGE = 400
+#: Bytes of a passage that may not repeat: passages of over 50 words have as many at four bytes a word with its space.
+PASSAGE = 200
 
 
 def _begin(spark: SparkSession) -> None:

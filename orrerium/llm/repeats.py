@@ -39,8 +39,8 @@ _WHOLE, _HULL, _EACH = 0, 1, 2
 
 
 def slack_for(least: int) -> int:
-    """A power of two, up to 128, of at most a quarter of the least length."""
-    return max(1, min(128, 1 << max(0, (least // 4).bit_length() - 1)))
+    """A power of two, up to 64, of at most a third of the least length."""
+    return max(1, min(64, 1 << max(0, (least // 3).bit_length() - 1)))
 
 
 class Runs:

@@ -17,3 +17,14 @@ def test_stages(spark, sf_dir):
     assert sorted(counts, reverse=True) == counts and counts[1] == counts[2] > counts[3] > 0
     packed = corpus_pipeline.STAGES[-1][1](spark, docs, sf_dir)
     assert packed.select("doc_id").distinct().count() == counts[-1]
+
+
+def test_passages_of_over_50_words_are_cut(spark, sf_dir):
+    said = " ".join(f"{chr(97 + k % 26)}{k:04d}" for k in range(54))
+    own = [" ".join(f"{d}word{k}" for k in range(60)) for d in "xyz"]
+    rows = [(1, f"{own[0]} {said} {own[0][::-1]}"), (2, f"{own[1]} {said} {own[1][::-1]}"), (3, own[2])]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.cut_repeats(spark, docs, sf_dir).collect()}
+    assert len(said) < 330 and "a0026" not in got[1].text + got[2].text
+    assert got[1].text.startswith(own[0][:-6]) and got[1].text.endswith(own[0][::-1][6:]) and got[3].text == own[2]
+    assert all(r.n_chars == len(r.text) for r in got.values())
