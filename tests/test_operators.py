@@ -145,3 +145,11 @@ def test_sources(spark, tmp_path):
     assert [(r.source, r.target) for r in tables.graph_edges(spark, g).collect()] == [("n1", "n2")]
     assert tables.latest(spark, f"file://{tmp_path}/*.csv").endswith("c.csv")
     assert tables.snake("Planet Name (AU)") == "planet_name_au"
+
+
+def test_medoid_of_a_large_node_is_that_of_all_pairs(spark):
+    # The centroid lies between the two heaps, nearest to the few rows there; the medoid is in the larger heap.
+    x = [0.0] * 12_000 + [2.0] * 9_000 + [0.9]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "row_index long, z_0 double")
+    m = rows.select(F.lit("c").alias(regions.KEY), F.lit("n").alias("node_id"), "row_index", "z_0", F.lit(0.0).alias("z_1"), F.lit(0.0).alias("z_2"), F.lit(True).alias("r3_valid"))
+    assert [r.row_index for r in regions.medoids(m).collect()] == [0]
