@@ -136,8 +136,10 @@ def suspicious(relative: Column, missing: Column, expected: Column) -> Column:
     return F.coalesce((expected > 0) & (relative > 1) & (missing <= expected + 1e-9), F.lit(False))
 
 
-def confidence(members: Column, imputed: Column, score: Column) -> Column:
-    return F.when((members >= 10) & (imputed <= 0.2) & (score > 0), "higher").when((members >= 5) & (imputed <= 0.5), "medium").otherwise("lower")
+def confidence(shadow: Column, imputed: Column, deficit: Column) -> Column:
+    """How much a case can bear: by shadow score (unknown: 0), imputed share of its coordinates (unknown: 1) and deficit (unknown: 0)."""
+    s, i, d = F.coalesce(shadow, F.lit(0.0)), F.coalesce(imputed, F.lit(1.0)), F.coalesce(deficit, F.lit(0.0))
+    return F.when((s >= 0.22) & (i <= 0.10) & (d >= 0.30), "higher").when((s >= 0.15) & (i <= 0.20), "medium").otherwise("lower")
 
 
 def most_probable(columns: dict[str, Column]) -> Column:

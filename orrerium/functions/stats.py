@@ -75,15 +75,33 @@ def assortativity(edges: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def fdr(df: DataFrame, p: str, out: str = "q_value", keys: list[str] | None = None) -> DataFrame:
-    """Benjamini-Hochberg q-values of p by group; null p have none. Ranks are of all rows of a group, so a group should be one table's tests."""
+    """Benjamini-Hochberg q-values of p by group; null p have none.
+
+    A q-value depends on the distinct values and their counts alone. Without keys these are cut into ranges of values, so that
+    no task orders them all; with keys a group's distinct values are one task's.
+    """
     keys = keys or []
-    known = F.col(p).isNotNull()
-    w = Window.partitionBy(*keys, known)
-    rank = F.row_number().over(w.orderBy(F.col(p)))
-    raw = F.col(p) * F.count(F.lit(1)).over(w) / rank
-    rows = df.withColumn("_raw", raw).withColumn("_rank", rank)
-    least = F.min("_raw").over(w.orderBy(F.col("_rank").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn(out, F.when(known, F.least(least, F.lit(1.0)))).drop("_raw", "_rank")
+    values = df.where(F.col(p).isNotNull()).groupBy(*keys, p).agg(F.count(F.lit(1)).alias("_m"))
+    part = [*keys]
+    if not keys:
+        edges = values.agg(F.percentile_approx(p, [k / 64 for k in range(1, 64)], 1000)).first()[0] or []
+        values = values.withColumn("_slot", F.size(F.filter(F.array(*[F.lit(float(e)) for e in edges]).cast("array<double>"), lambda e: e < F.col(p))))
+        part = ["_slot"]
+    w = Window.partitionBy(*part)
+    upto = F.sum("_m").over(w.orderBy(p))
+    if keys:
+        rows = values.withColumn("_raw", F.col(p) * F.sum("_m").over(w) / upto)
+    else:
+        sums = values.groupBy("_slot").agg(F.sum("_m").alias("_t"))  # at most 64 rows, here and below
+        sums = sums.withColumns({"_before": F.sum("_t").over(Window.orderBy("_slot")) - F.col("_t"), "_all": F.sum("_t").over(Window.partitionBy(F.lit(0)))})
+        rows = values.join(F.broadcast(sums.drop("_t")), "_slot").withColumn("_raw", F.col(p) * F.col("_all") / (F.col("_before") + upto))
+    rows = rows.withColumn("_least", F.min("_raw").over(w.orderBy(F.col(p).desc())))
+    if not keys:
+        later = rows.groupBy("_slot").agg(F.min("_raw").alias("_r"))
+        later = later.select("_slot", F.min("_r").over(Window.orderBy(F.col("_slot").desc()).rowsBetween(Window.unboundedPreceding, -1)).alias("_later"))
+        rows = rows.join(F.broadcast(later), "_slot").withColumn("_least", F.least("_least", "_later"))
+    found = rows.select(*keys, p, F.least("_least", F.lit(1.0)).alias(out))
+    return df.join(found, [*keys, p], "left").select(*df.columns, out)
 
 
 def weighted_quantiles(df: DataFrame, keys: list[str], value: str, weight: str, quantiles: list[float]) -> DataFrame:

@@ -114,54 +114,77 @@ def median_fill(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(stats), how="cross").withColumns({f: F.coalesce(to_numeric(f), F.col(f"_{f}")) for f in features}).drop(*stats.columns)
 
 
-def knn_fill(df: DataFrame, features: Sequence[str], k: int = 7, most_rows: int = 200_000, id_column: str = "row_index") -> DataFrame:
+def knn_fill(df: DataFrame, features: Sequence[str], k: int = 7, block: int = 200_000, id_column: str = "row_index") -> DataFrame:
     """Missing cells as the inverse-distance mean of the k nearest rows that have the value.
 
-    Distances are over shared coordinates, scaled up for missing ones. The reference rows are broadcast if there are at most
-    `most_rows` of them; of more, that many are drawn by a hash of the id and serve as the reference (a documented bound).
+    Distances are over shared coordinates, scaled up for missing ones. Every row is a donor: they are dealt into blocks by a hash of
+    the id, one block is broadcast at a time, and each missing cell keeps the nearest k so far. What a task holds is a block and a
+    batch; the work is the product of rows with holes and of donors, as exact neighbours under missing coordinates ask for.
     """
     features = list(features)
     have = df.where(" or ".join(f"`{f}` is not null" for f in features)).select(id_column, *features)
-    n = have.count()
-    ref = have if n <= most_rows else have.orderBy(F.xxhash64(id_column)).limit(most_rows)
-    known = df.sparkSession.sparkContext.broadcast(ref.select(*features).toPandas().to_numpy(np.float64))
+    blocks = max(1, -(-have.count() // block))
+    out = df.withColumns({f: F.col(f).cast("double") for f in features} | {"_near": F.lit(None).cast("binary")})
+    schema = out.schema
+    place = F.pmod(F.xxhash64(id_column), F.lit(blocks))
+    for n in range(blocks):
+        donors = have if blocks == 1 else have.where(place == n)
+        known = df.sparkSession.sparkContext.broadcast(donors.select(*features).toPandas().to_numpy(np.float64))  # a block
+        out = out.mapInPandas(_nearest_donors(known, features, k, n == blocks - 1), schema)
+        if n < blocks - 1:
+            out = written(out, "knn-fill")
+    return out.drop("_near").withColumns({f: F.when(~F.isnan(f), F.col(f)) for f in features})
+
+
+def _nearest_donors(known, features: list[str], k: int, last: bool):
+    """Over batches: each hole's nearest donors so far (kept in _near), or at the last block its value."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         r = known.value
         there = ~np.isnan(r)
         r0 = np.where(there, r, 0.0)
+        f = len(features)
         for b in batches:
             x = b[features].to_numpy(np.float64)
             holes = np.isnan(x)
-            for lo in range(0, len(x), 256):
-                at = lo + np.flatnonzero(holes[lo : lo + 256].any(1) & ~holes[lo : lo + 256].all(1))
-                if not len(at):
-                    continue
+            near = b["_near"].to_numpy(object)
+            todo = np.flatnonzero(holes.any(1) & ~holes.all(1))
+            for lo in range(0, len(todo), 256):
+                at = todo[lo : lo + 256]
+                # Of each row and feature the distances of k donors, and their values.
+                held = np.stack([np.frombuffer(s).reshape(2, f, k) if s is not None else np.stack([np.full((f, k), np.inf), np.zeros((f, k))]) for s in near[at]]).copy()
                 q = ~holes[at]
                 q0 = np.where(q, x[at], 0.0)
                 both = q.astype(float) @ there.T
                 d2 = (q0**2) @ there.T + q.astype(float) @ (r0**2).T - 2 * q0 @ r0.T
-                d = np.sqrt(np.maximum(d2, 0) * np.where(both > 0, x.shape[1] / np.maximum(both, 1), np.inf))
-                for j in range(x.shape[1]):
-                    need = np.flatnonzero(~q[:, j])
-                    donors = np.flatnonzero(there[:, j])
+                d = np.sqrt(np.maximum(d2, 0) * np.where(both > 0, f / np.maximum(both, 1), np.inf))
+                for j in range(f):
+                    need, donors = np.flatnonzero(~q[:, j]), np.flatnonzero(there[:, j])
                     if not len(need) or not len(donors):
                         continue
                     dj = d[np.ix_(need, donors)]
                     m = min(k, len(donors))
-                    near = np.argpartition(dj, m - 1, 1)[:, :m]
-                    dn, v = np.take_along_axis(dj, near, 1), r[donors, j][near]
-                    exact = dn <= 0
-                    w = np.where(exact.any(1, keepdims=True), exact, 1.0 / np.where(dn > 0, dn, 1.0))
-                    w = np.where(np.isfinite(dn), w, 0.0)
-                    total = w.sum(1)
-                    x[at[need], j] = np.where(total > 0, (w * v).sum(1) / np.where(total > 0, total, 1), np.nan)
-            b[features] = x
+                    best = np.argpartition(dj, m - 1, 1)[:, :m]
+                    dn = np.hstack([held[need, 0, j], np.take_along_axis(dj, best, 1)])
+                    v = np.hstack([held[need, 1, j], r[donors, j][best]])
+                    order = np.lexsort((v, dn), axis=1)[:, :k]
+                    held[need, 0, j], held[need, 1, j] = np.take_along_axis(dn, order, 1), np.take_along_axis(v, order, 1)
+                if not last:
+                    near[at] = [h.tobytes() for h in held]
+                    continue
+                dn, v = held[:, 0], held[:, 1]
+                exact = dn <= 0
+                w = np.where(exact.any(2, keepdims=True), exact, 1.0 / np.where(dn > 0, dn, 1.0))
+                w = np.where(np.isfinite(dn), w, 0.0)
+                total = w.sum(2)
+                x[at] = np.where(q, x[at], np.where(total > 0, (w * v).sum(2) / np.where(total > 0, total, 1), np.nan))
+            if last:
+                b[features] = x
+                near = np.full(len(b), None, object)
+            b["_near"] = near
             yield b
 
-    out = df.withColumns({f: F.col(f).cast("double") for f in features})
-    done = out.mapInPandas(run, out.schema)
-    return done.withColumns({f: F.when(~F.isnan(f), F.col(f)) for f in features})
+    return run
 
 
 def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:

@@ -68,37 +68,95 @@ def nearest(queries: DataFrame, known: DataFrame, features: Sequence[str], k: in
 
 def dbscan_eps(points: DataFrame, features: Sequence[str], min_samples: int = 4, percentile: float = 0.90, id_column: str = "id") -> DataFrame:
     """One row, eps: the quantile of the distances to the (min_samples - 1)-th other point, positive ones only; then the
-    95th, 90th, 75th percentile and the median, then a thousandth."""
+    95th, 90th, 75th percentile and the median, then the median of the features' spreads, then a thousandth. A single point has 0.5."""
     k = max(2, min_samples) - 1
-    d = nearest(points, points, features, k, id_column, id_column).where((F.col("rank") == k) & (F.col("distance") > 0))
+    near = nearest(points, points, features, k, id_column, id_column)
+    # With fewer points than asked for, the farthest there is.
+    d = near.groupBy("query").agg(F.max_by("distance", "rank").alias("distance")).where("distance > 0")
     steps = [percentile, 0.95, 0.90, 0.75, 0.50]
-    return d.agg(*[F.percentile("distance", p).alias(f"p{i}") for i, p in enumerate(steps)]).select(F.coalesce(*[F.when(F.col(f"p{i}") > 0, F.col(f"p{i}")) for i in range(len(steps))], F.lit(1e-3)).alias("eps"))
+    far = d.agg(*[F.percentile("distance", p).alias(f"p{i}") for i, p in enumerate(steps)])
+    whole = points.dropna(subset=list(features)).agg(F.count(F.lit(1)).alias("n"), *[F.stddev_pop(f).alias(f"s{i}") for i, f in enumerate(features)])
+    spread = F.array_sort(F.array(*[F.col(f"s{i}") for i in range(len(features))]))
+    middle = (F.get(spread, F.lit((len(features) - 1) // 2)) + F.get(spread, F.lit(len(features) // 2))) / 2.0
+    eps = F.coalesce(*[F.when(F.col(f"p{i}") > 0, F.col(f"p{i}")) for i in range(len(steps))], F.when(middle > 0, middle), F.lit(1e-3))
+    return far.crossJoin(whole).select(F.when(F.col("n") == 1, 0.5).when(F.col("n") > 1, eps).alias("eps"))  # one row each
 
 
-def analog_estimates(candidates: DataFrame, catalog: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 35, query_id: str = "id", known_id: str = "id") -> DataFrame:
-    """Of each candidate's k nearest complete rows, in units of the features' spread: number, median and the 16th and 84th percentile of each target."""
-    sd = catalog.dropna(subset=list(features)).agg(*[F.stddev_pop(f).alias(f"_sd_{f}") for f in features])
-
-    def scaled(df: DataFrame) -> DataFrame:
-        return df.join(F.broadcast(sd), how="cross").withColumns({f: F.col(f) / F.when(F.col(f"_sd_{f}") > 0, F.col(f"_sd_{f}")).otherwise(1.0) for f in features}).drop(*sd.columns)
-
-    near = nearest(scaled(candidates), scaled(catalog), features, k, query_id, known_id, skip_self=False)
-    rows = near.join(catalog.select(F.col(known_id).alias("neighbour"), *targets), "neighbour")
+def _of_analogs(rows: DataFrame, by: str, targets: Sequence[str]) -> DataFrame:
     cols = []
     for t in targets:
         q = F.percentile(t, F.array(F.lit(0.16), F.lit(0.5), F.lit(0.84)))
         cols += [q[1].alias(f"{t}_median"), q[0].alias(f"{t}_q16"), q[2].alias(f"{t}_q84")]
-    return rows.groupBy(F.col("query").alias(query_id)).agg(F.count(F.lit(1)).alias("n_analogs"), *cols).withColumn("analog_support_score", F.least(0.6 * F.col("n_analogs") / k + 0.4, F.lit(1.0)))
+    return rows.groupBy(by).agg(F.count(F.lit(1)).alias("n_analogs"), *cols)
+
+
+def analog_estimates(candidates: DataFrame, catalog: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 35, query_id: str = "id", known_id: str = "id", optional: Sequence[str] = ()) -> DataFrame:
+    """Of each candidate's k nearest rows: number, median and the 16th and 84th percentile of each target.
+
+    Candidates that have the optional features are compared with rows that have them, too; the others without them. Each
+    pool is in units of its own spread. Candidates without the other features have no analogs and aren't returned.
+    """
+    optional = list(optional)
+    lacks = " or ".join(f"`{f}` is null" for f in optional)
+    pools = [([*features, *optional], candidates.where(f"not ({lacks})"))] if optional else []
+    pools.append((list(features), candidates.where(lacks) if optional else candidates))
+    parts = []
+    for used, own in pools:
+        sd = catalog.dropna(subset=used).agg(*[F.stddev_pop(f).alias(f"_sd_{f}") for f in used])
+
+        def scaled(df: DataFrame, sd: DataFrame = sd, used: Sequence[str] = used) -> DataFrame:
+            return df.join(F.broadcast(sd), how="cross").withColumns({f: F.col(f) / F.when(F.col(f"_sd_{f}") > 0, F.col(f"_sd_{f}")).otherwise(1.0) for f in used}).drop(*sd.columns)
+
+        parts.append(nearest(scaled(own), scaled(catalog), used, k, query_id, known_id, skip_self=False))
+    near = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    out = _of_analogs(near.join(catalog.select(F.col(known_id).alias("neighbour"), *targets), "neighbour"), "query", targets)
+    known = sum((F.when(F.col(f"{t}_median").isNotNull(), 0.4 / len(targets)).otherwise(0.0) for t in targets), F.lit(0.0))
+    return out.withColumnRenamed("query", query_id).withColumn("analog_support_score", F.least(0.6 * F.least(F.col("n_analogs") / k, F.lit(1.0)) + known, F.lit(1.0)))
+
+
+def with_fallback(estimates: DataFrame, targets: Sequence[str]) -> DataFrame:
+    """Targets without analogs from their interpolation between both sides of the gap (columns interp_<target>, logarithms), and
+    candidate_estimation_method: analog_neighbors, local_interpolation or hybrid."""
+    used = {t: F.col(f"{t}_median").isNull() & F.col(f"interp_{t}").isNotNull() for t in targets}
+    method = F.lit("analog_neighbors")
+    for t in targets:
+        method = F.when(used[t], F.when(method == "analog_neighbors", "local_interpolation").otherwise("hybrid")).otherwise(method)
+    out = estimates.withColumn("candidate_estimation_method", method)
+    return out.withColumns({f"{t}_{s}": F.when(used[t], F.pow(F.lit(10.0), F.col(f"interp_{t}"))).otherwise(F.col(f"{t}_{s}")) for t in targets for s in ("q16", "q84", "median")})
+
+
+def analog_space(df: DataFrame, reference: DataFrame, features: Sequence[str]) -> DataFrame:
+    """Features as they are compared: missing ones as the reference's median, then in units of its interquartile range after that."""
+    middle = reference.agg(*[F.median(f).alias(f"_m_{f}") for f in features])
+    filled = reference.join(F.broadcast(middle), how="cross").select(*[F.coalesce(F.col(f), F.col(f"_m_{f}")).alias(f) for f in features])
+    ends = filled.agg(*[F.percentile(f, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"_q_{f}") for f in features])
+    out = df.join(F.broadcast(middle.crossJoin(ends)), how="cross")  # one row
+    scale = {f: F.when(F.col(f"_q_{f}")[2] > F.col(f"_q_{f}")[0], F.col(f"_q_{f}")[2] - F.col(f"_q_{f}")[0]).otherwise(1.0) for f in features}
+    return out.withColumns({f: (F.coalesce(F.col(f), F.col(f"_m_{f}")) - F.col(f"_q_{f}")[1]) / scale[f] for f in features}).drop(*middle.columns, *ends.columns)
+
+
+def analog_neighbours(candidates: DataFrame, catalog: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 75, temperature: float = 1.0, query_id: str = "id", known_id: str = "id", least: int = 2) -> DataFrame:
+    """query, neighbour, distance, rank, weight = exp(-d^2 / 2 t^2) and the neighbour's targets.
+
+    Rows of the catalog with `least` known features and all targets are analogs; candidates are compared whatever they lack.
+    """
+    known = sum((F.when(F.col(f).isNotNull(), 1).otherwise(0) for f in features), F.lit(0))
+    pool = catalog.where(known >= least).dropna(subset=list(targets)) if targets else catalog.where(known >= least)
+    near = nearest(analog_space(candidates, pool, features), analog_space(pool, pool, features), features, k, query_id, known_id, skip_self=False)
+    near = near.withColumn("weight", F.exp(-F.col("distance") * F.col("distance") / (2.0 * max(temperature, 1e-6) ** 2)))
+    return near.join(pool.select(F.col(known_id).alias("neighbour"), *targets), "neighbour")
 
 
-def weighted_analogs(candidates: DataFrame, catalog: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 75, temperature: float = 1.0, quantiles: Sequence[float] = (0.05, 0.5, 0.95), query_id: str = "id", known_id: str = "id") -> DataFrame:
-    """Weighted quantiles of each target over the k nearest rows, weights exp(-d^2 / 2 t^2)."""
+def weighted_analogs(candidates: DataFrame, catalog: DataFrame, features: Sequence[str], targets: Sequence[str], k: int = 75, temperature: float = 1.0, quantiles: Sequence[float] = (0.05, 0.5, 0.95), query_id: str = "id", known_id: str = "id", classes: tuple[str, Sequence[str]] | None = None) -> DataFrame:
+    """Each candidate's analogs in summary: how many and how near, weighted quantiles of each target, and with `classes` (a column of
+    the catalog and its values) the weight of each class among them."""
     from orrerium.functions.stats import weighted_quantiles
 
-    near = nearest(candidates, catalog, features, k, query_id, known_id, skip_self=False)
-    rows = near.withColumn("weight", F.exp(-F.col("distance") * F.col("distance") / (2.0 * temperature * temperature))).join(catalog.select(F.col(known_id).alias("neighbour"), *targets), "neighbour")
-    rows = written(rows, "analogs")
-    out = rows.groupBy("query").agg(F.count(F.lit(1)).alias("n_analogs"), F.min("distance").alias("nearest_distance"))
+    extra = [classes[0]] if classes and classes[0] not in targets else []
+    pool = catalog.withColumn("_c", F.coalesce(F.col(extra[0]).cast("string"), F.lit(""))).drop(*extra) if extra else catalog
+    rows = written(analog_neighbours(candidates, pool, features, [*targets, *(["_c"] if extra else [])], k, temperature, query_id, known_id), "analogs")
+    kinds = [F.coalesce(F.try_divide(F.sum(F.when(F.col("_c") == c, F.col("weight")).otherwise(0.0)), F.sum("weight")), F.lit(0.0)).alias(f"analog_prob_{c}") for c in classes[1]] if extra else []
+    out = rows.groupBy("query").agg(F.count(F.lit(1)).alias("n_analogs"), F.min("distance").alias("nearest_distance"), F.median("distance").alias("median_distance"), *kinds)
     for t in targets:
         q = weighted_quantiles(rows, ["query"], t, "weight", list(quantiles))
         out = out.join(q.withColumnsRenamed({c: f"{t}_{c}" for c in q.columns if c != "query"}), "query", "left")

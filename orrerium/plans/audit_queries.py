@@ -401,24 +401,26 @@ def ati_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, edges, a = _anchored(spark, sf_dir)
     best = regions.best_deficit(regions.deficits(a, m, edges)).drop("anchor")
     rows = regions.representativeness(a, regions.node_geometry(m)).join(best, ["config_id", "node_id"], "left").join(_toi(m).select("config_id", "node_id", "TOI", "n_members"), ["config_id", "node_id"])
-    return rounded(regions.robust_anchors(regions.ati(rows)).select("config_id", "node_id", "row_index", "TOI", "delta_rel_best", "deficit_stability", "representativeness", "ATI", "ATI_rank", "conservative_rank", "rank_shift"))
+    return rounded(regions.ati(rows).select("config_id", "node_id", "row_index", "TOI", "delta_rel_best", "deficit_stability", "representativeness", "ATI", "ATI_rank"))
 
 
-@query("""WITH n AS (SELECT n_name AS node_id, avg(s_acctbal) / 10000 AS f1, count(*) / 100 AS f2 FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name), e AS (SELECT unnest([0.5, 1.0, 2.0]) AS e),
-c AS (SELECT node_id, a.e * 10 + b.e AS combo, pow(greatest(f1, 0), a.e) * pow(greatest(f2, 0), b.e) AS s FROM n, e a, e b), r AS (SELECT *, rank() OVER (PARTITION BY combo ORDER BY s DESC) + (count(*) OVER (PARTITION BY combo, s) - 1) / 2.0 AS rk FROM c)
+_FACTORS = {"f1": "avg(s_acctbal) / 10000e0", "f2": "count(1) / 100e0", "f3": "1 - avg(s_suppkey % 7) / 7e0", "f4": "max(s_acctbal) / 10000e0 - 0.5e0"}
+
+
+@query(f"""WITH n AS (SELECT n_name AS node_id, {', '.join(f'{e} AS {c}' for c, e in _FACTORS.items())} FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name), e AS (SELECT unnest([0.5, 1.0, 2.0]) AS e),
+c AS (SELECT node_id, a.e * 1000 + b.e * 100 + c.e * 10 + d.e AS combo, {' * '.join(f'pow(greatest({f}, 0) + 1e-9, {x}.e)' for f, x in zip(_FACTORS, 'abcd', strict=True))} AS s FROM n, e a, e b, e c, e d), r AS (SELECT *, rank() OVER (PARTITION BY combo ORDER BY s DESC) + (count(*) OVER (PARTITION BY combo, s) - 1) / 2.0 AS rk FROM c)
 SELECT 'x' AS config_id, node_id, round(avg(CAST(rk AS DOUBLE)), 6) AS mean_rank, round(stddev_pop(CAST(rk AS DOUBLE)), 6) AS rank_std, CAST(min(rk) AS DOUBLE) AS best_rank, CAST(max(rk) AS DOUBLE) AS worst_rank,
-  CASE WHEN stddev_pop(rk) <= 2 THEN 'robust' WHEN stddev_pop(rk) <= 5 THEN 'moderately_sensitive' ELSE 'weight_sensitive' END AS robustness_class FROM r GROUP BY node_id""")
+  CASE WHEN stddev_pop(rk) <= 2 THEN 'robust_region' WHEN stddev_pop(rk) <= 5 THEN 'moderately_sensitive_region' ELSE 'fragile_region' END AS region_robustness_class FROM r GROUP BY node_id""")
 def rank_sensitivity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.lit("x").alias("config_id"), F.col("n_name").alias("node_id")).agg((F.avg("s_acctbal") / 10000).alias("f1"), (F.count(F.lit(1)) / 100).alias("f2"))
-    return rounded(regions.robustness(regions.rank_sensitivity(rows, ["f1", "f2"])))
+    both = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey"))
+    rows = both.groupBy(F.lit("x").alias("config_id"), F.col("n_name").alias("node_id")).agg(*[F.expr(e).alias(c) for c, e in _FACTORS.items()])
+    return rounded(regions.robustness(regions.rank_sensitivity(rows, list(_FACTORS))))
 
 
-@query("""WITH s AS (SELECT n_name AS node_id, least(greatest(avg(s_acctbal) / 10000, 0), 1) AS radius_purity, least(count(*) / 10, 1) AS method_purity FROM supplier JOIN nation ON n_nationkey = s_nationkey GROUP BY n_name)
-SELECT node_id, round(radius_purity, 6) AS physical_evidence_score, round(method_purity, 6) AS observational_bias_score, CASE WHEN radius_purity < 0.55 AND method_purity < 0.55 THEN 'weak_region' WHEN radius_purity - method_purity >= 0.15 THEN 'physical_region' WHEN method_purity - radius_purity >= 0.15 THEN 'observational_region' ELSE 'mixed_region' END AS region_label,
-  CASE WHEN greatest(radius_purity, method_purity) >= 0.75 THEN 'high' ELSE 'medium' END AS confidence FROM s""")
-def region_synthesis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).groupBy(F.col("n_name").alias("node_id")).agg((F.avg("s_acctbal") / 10000).alias("radius_purity"), (F.count(F.lit(1)) / 10).alias("method_purity"))
-    return rounded(regions.synthesis(rows).select("node_id", "physical_evidence_score", "observational_bias_score", "region_label", "confidence"))
+@query("""SELECT p_partkey, CASE WHEN s >= 0.22 AND coalesce(i, 1) <= 0.1 AND coalesce(d, 0) >= 0.3 THEN 'higher' WHEN s >= 0.15 AND coalesce(i, 1) <= 0.2 THEN 'medium' ELSE 'lower' END AS confidence FROM (SELECT p_partkey, p_size / 100.0 AS s, CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 30 / 100.0 END AS i, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 50 / 100.0 END AS d FROM part)""")
+def case_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_size / 100e0 AS s", "CASE WHEN p_partkey % 4 <> 0 THEN p_partkey % 30 / 100e0 END AS i", "CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 50 / 100e0 END AS d")
+    return c.select("p_partkey", labels.confidence(F.col("s"), F.col("i"), F.col("d")).alias("confidence"))
 
 
 # Neighbours, clusters, models -------------------------------------------------------------------------------------
@@ -445,10 +447,48 @@ def dbscan_eps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.dbscan_eps(_vectors(spark, sf_dir), DIMS))
 
 
-@query()
+_LACKING = "l AS (SELECT id, label, CASE WHEN id % 5 <> 0 THEN e0 END AS e0, CASE WHEN id % 3 <> 0 THEN e1 END AS e1, e2, CASE WHEN label <> 1 THEN e3 END AS e3, label IS NOT NULL AND CAST(id % 5 <> 0 AS INTEGER) + CAST(id % 3 <> 0 AS INTEGER) + CAST(label <> 1 AS INTEGER) > 0 AS ok FROM v)"
+_SPACE = f"""{VECTORS}, {_LACKING}, pool AS (SELECT * FROM l WHERE ok), md AS (SELECT {', '.join(f'median({d}) AS m{k}' for k, d in enumerate(DIMS[:4]))} FROM pool),
+fl AS (SELECT id, label, ok, {', '.join(f'coalesce({d}, m{k}) AS x{k}' for k, d in enumerate(DIMS[:4]))} FROM l, md), qs AS (SELECT {', '.join(f'median(x{k}) AS c{k}, quantile_cont(x{k}, 0.75) - quantile_cont(x{k}, 0.25) AS s{k}' for k in range(4))} FROM fl WHERE ok),
+sp AS (SELECT id, label, ok, {', '.join(f'(x{k} - c{k}) / CASE WHEN s{k} > 0 THEN s{k} ELSE 1 END AS z{k}' for k in range(4))} FROM fl, qs),
+an AS (SELECT a.id, b.id AS other, b.label, sqrt({' + '.join(f'(a.z{k} - b.z{k}) ** 2' for k in range(4))}) AS d FROM sp a, sp b WHERE b.ok), ak AS (SELECT *, exp(-d * d / 2) AS w FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS rk FROM an) WHERE rk <= 15)"""
+
+
+def _lacking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _vectors(spark, sf_dir)
+    return v.selectExpr("id", "label", "CASE WHEN id % 5 <> 0 THEN e0 END AS e0", "CASE WHEN id % 3 <> 0 THEN e1 END AS e1", "e2", "CASE WHEN label <> 1 THEN e3 END AS e3", "label * 1e0 AS y", "CAST(label AS STRING) AS kind")
+
+
+@query(f"""WITH {_SPACE} SELECT id, count(*) AS n_analogs, round(min(d), 5) AS nearest_distance, round(median(d), 5) AS median_distance, round(coalesce(sum(w) FILTER (label = 0), 0) / sum(w), 5) AS analog_prob_0, round(coalesce(sum(w) FILTER (label = 1), 0) / sum(w), 5) AS analog_prob_1 FROM ak GROUP BY id""")
 def weighted_analogs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = _vectors(spark, sf_dir).withColumn("y", F.col("label") * 1.0)
-    return rounded(knn.weighted_analogs(v, v, DIMS[:4], ["y"], 15), 5)
+    v = _lacking(spark, sf_dir)
+    out = knn.weighted_analogs(v, v.dropna(subset=["label"]), DIMS[:4], ["y"], 15, classes=("kind", ["0", "1"]))
+    return rounded(out.select("id", "n_analogs", "nearest_distance", "median_distance", "analog_prob_0", "analog_prob_1"), 5)
+
+
+@query(f"WITH {_SPACE} SELECT id AS query, other AS neighbour, round(d, 5) AS distance, CAST(rk AS INTEGER) AS rank, round(w, 5) AS weight FROM ak")
+def analog_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = _lacking(spark, sf_dir)
+    out = knn.analog_neighbours(v, v.dropna(subset=["label"]), DIMS[:4], ["y"], 15)
+    return rounded(out.select("query", "neighbour", "distance", "rank", "weight"), 5)
+
+
+_POOL = "p AS (SELECT p_partkey AS id, log10(p_retailprice) AS lp, log10(p_size) AS la, CASE WHEN p_partkey % 3 <> 0 THEN log10(1 + p_partkey % 17) END AS lm, CASE WHEN p_partkey % 7 <> 0 THEN p_size * 1.5::DOUBLE END AS mass, CASE WHEN p_partkey % 2 <> 0 THEN NULL ELSE p_retailprice END AS radius FROM part)"
+_ASK = "c AS (SELECT s_suppkey AS id, log10(900 + s_suppkey * 10) AS lp, log10(1 + s_suppkey % 50) AS la, CASE WHEN s_suppkey % 4 <> 0 THEN log10(1 + s_suppkey % 13) END AS lm FROM supplier)"
+
+
+@query(f"""WITH {_POOL}, {_ASK}, s3 AS (SELECT stddev_pop(lp) AS a, stddev_pop(la) AS b, stddev_pop(lm) AS c FROM p WHERE lm IS NOT NULL), s2 AS (SELECT stddev_pop(lp) AS a, stddev_pop(la) AS b FROM p),
+d AS (SELECT c.id, p.id AS other, mass, radius, sqrt(((c.lp - p.lp) / s3.a) ** 2 + ((c.la - p.la) / s3.b) ** 2 + ((c.lm - p.lm) / s3.c) ** 2) AS d FROM c, p, s3 WHERE c.lm IS NOT NULL AND p.lm IS NOT NULL
+  UNION ALL SELECT c.id, p.id, mass, radius, sqrt(((c.lp - p.lp) / s2.a) ** 2 + ((c.la - p.la) / s2.b) ** 2) FROM c, p, s2 WHERE c.lm IS NULL),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, other) AS r FROM d) WHERE r <= 10), e AS (SELECT id, count(*) AS n_analogs, median(mass) AS mm, quantile_cont(mass, 0.16) AS m16, CASE WHEN id % 5 = 0 THEN NULL ELSE median(radius) END AS rm FROM k GROUP BY id)
+SELECT id, n_analogs, round(mm, 6) AS mass_median, round(m16, 6) AS mass_q16, round(coalesce(rm, pow(10, 0.5)), 6) AS radius_median, CASE WHEN rm IS NULL THEN 'local_interpolation' ELSE 'analog_neighbors' END AS candidate_estimation_method FROM e""")
+def candidate_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pool = table(spark, sf_dir, "part").selectExpr("p_partkey AS id", "log10(p_retailprice) AS lp", "log10(p_size) AS la", "CASE WHEN p_partkey % 3 <> 0 THEN log10(1 + p_partkey % 17) END AS lm", "CASE WHEN p_partkey % 7 <> 0 THEN p_size * 1.5e0 END AS mass", "CASE WHEN p_partkey % 2 <> 0 THEN NULL ELSE p_retailprice END AS radius")
+    asked = table(spark, sf_dir, "supplier").selectExpr("s_suppkey AS id", "log10(900 + s_suppkey * 10) AS lp", "log10(1 + s_suppkey % 50) AS la", "CASE WHEN s_suppkey % 4 <> 0 THEN log10(1 + s_suppkey % 13) END AS lm")
+    found = knn.analog_estimates(asked, pool, ["lp", "la"], ["mass", "radius"], 10, optional=["lm"])
+    # Every fifth has no analog with a radius.
+    found = found.withColumns({f"radius_{s}": F.when(F.col("id") % 5 != 0, F.col(f"radius_{s}")) for s in ("median", "q16", "q84")} | {"interp_mass": F.lit(0.25), "interp_radius": F.lit(0.5)})
+    return rounded(knn.with_fallback(found, ["mass", "radius"]).select("id", "n_analogs", "mass_median", "mass_q16", "radius_median", "candidate_estimation_method"))
 
 
 @query()

@@ -5,6 +5,8 @@ Paths go through Spark or its file systems only, so any store that Spark reads w
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import json
 import re
 import tempfile
@@ -17,17 +19,26 @@ from pyspark.sql.types import StructType
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: cuts lineage, outlives executors."""
+    """df as a Parquet table in the shared checkpoint folder: cuts lineage, outlives executors. It goes when the driver ends."""
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="orrerium-")
         spark.conf.set("spark.checkpoint.dir", root)
     path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the session has ended: the folder's owner clears it
+        fs, p = _fs(spark, path)
+        fs.delete(p, True)
+
+
 def nan_to_null(df: DataFrame) -> DataFrame:
     """NaN of floating columns as null."""
     return df.withColumns({c: F.nanvl(c, F.lit(None).cast(t)) for c, t in df.dtypes if t in ("double", "float")})
