@@ -5,11 +5,13 @@ Membership: config_id, node_id, row_index and a label column. A member may stand
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrerium.functions import stats
 from orrerium.functions.numeric import ratio
+from orrerium.operators.graph import both_ways, simple
+from orrerium.sources.tables import written
 
 #: A node is peripheral with at most this degree, or in a component of at most so many nodes.
 PERIPHERAL_DEGREE, PERIPHERAL_NODES = 1, 3
@@ -102,16 +104,60 @@ def _global(counts: DataFrame, keys: list[str]) -> DataFrame:
     return node.groupBy(*keys).agg((F.sum("top") / F.sum("m")).alias("weighted_purity"), (F.sum(F.col("m") * h) / F.sum("m")).alias("weighted_entropy"))
 
 
-def permutation_tests(membership: DataFrame, label: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """config_id, metric, observed, null_mean, null_std, z_score, p_value of purity (high) and entropy (low)."""
-    seen = membership.where(F.col(label).isNotNull()).groupBy("config_id", "node_id", label).agg(F.count(F.lit(1)).alias("n"))
-    observed = _global(seen, ["config_id"]).unpivot(["config_id"], ["weighted_purity", "weighted_entropy"], "metric", "observed")
-    null = _global(permutations(membership, label, n, seed), ["perm_id", "config_id"]).unpivot(["perm_id", "config_id"], ["weighted_purity", "weighted_entropy"], "metric", "null")
+def _nmi(counts: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """keys, node_method_nmi: mutual information over the mean of both entropies, from counts by node and label."""
+    def over(*more: str) -> Column:
+        return F.sum("n").over(Window.partitionBy(*keys, *more))
+
+    rows = counts.withColumns({"t": over(), "r": over("node_id"), "c": over(label)})
+    mi = rows.groupBy(*keys).agg(F.sum(F.col("n") / F.col("t") * F.log(F.col("n") * F.col("t") / (F.col("r") * F.col("c")))).alias("mi"), F.max("t").alias("t"))
+    for side, name in (("node_id", "ha"), (label, "hb")):
+        m = counts.groupBy(*keys, side).agg(F.sum("n").alias("m")).groupBy(*keys).agg((F.log(F.sum("m")) - F.sum(F.col("m") * F.log("m")) / F.sum("m")).alias(name))
+        mi = mi.join(m, keys)
+    mean = (F.col("ha") + F.col("hb")) / 2.0
+    return mi.select(*keys, F.when(mean <= 0, 1.0).otherwise(F.greatest(F.col("mi") / mean, F.lit(0.0))).alias("node_method_nmi"))
+
+
+def _assortativity(counts: DataFrame, edges: DataFrame, keys: list[str], label: str) -> DataFrame:
+    """keys, dominant_method_assortativity of the nodes' most frequent labels (ties in label order); null if it has no meaning."""
+    tops = counts.groupBy(*keys, "node_id").agg(F.min_by(label, F.struct(-F.col("n"), F.col(label))).alias("top"))
+    both = both_ways(simple(edges))
+    a = tops.withColumnsRenamed({"node_id": "source", "top": "la"}).join(both, ["config_id", "source"])
+    cells = a.join(tops.withColumnsRenamed({"node_id": "target", "top": "lb"}), [*keys, "target"]).groupBy(*keys, "la", "lb").agg(F.count(F.lit(1)).alias("n"))
+    total = cells.groupBy(*keys).agg(F.sum("n").alias("t"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("n")).otherwise(0)).alias("same"))
+    margin = cells.groupBy(*keys, "la").agg(F.sum("n").alias("m")).groupBy(*keys).agg(F.sum(F.col("m") * F.col("m")).alias("m2"))
+    rows = total.join(margin, keys).withColumn("ab", F.col("m2") / (F.col("t") * F.col("t")))
+    return rows.select(*keys, F.when(F.col("ab") < 1.0, (F.col("same") / F.col("t") - F.col("ab")) / (1.0 - F.col("ab"))).alias("dominant_method_assortativity"))
+
+
+#: Metrics of an audit, and whether a high one is extreme.
+METRICS = {"weighted_purity": True, "weighted_entropy": False, "node_method_nmi": True, "dominant_method_assortativity": True}
+
+
+def global_metrics(counts: DataFrame, keys: list[str], label: str, edges: DataFrame | None = None) -> DataFrame:
+    """keys, metric, value: purity, entropy and NMI of node by label counts, and with edges the assortativity of their top labels."""
+    out = _global(counts, keys).join(_nmi(counts, keys, label), keys)
+    if edges is not None:
+        out = out.join(_assortativity(counts, edges, keys, label), keys, "left")
+    return out.unpivot(keys, [m for m in METRICS if m in out.columns], "metric", "value")
+
+
+def label_counts(membership: DataFrame, label: str) -> DataFrame:
+    return membership.where(F.col(label).isNotNull()).groupBy("config_id", "node_id", label).agg(F.count(F.lit(1)).alias("n"))
+
+
+def permutation_tests(membership: DataFrame, label: str, n: int = 1000, seed: int = 42, edges: DataFrame | None = None) -> DataFrame:
+    """config_id, metric, observed, null_mean, null_std, z_score, p_value of purity, NMI and (with edges) assortativity, of which high
+    values are extreme, and of entropy, of which low ones are."""
+    observed = global_metrics(label_counts(membership, label), ["config_id"], label, edges).withColumnRenamed("value", "observed")
+    drawn = written(permutations(membership, label, n, seed), "permutations")
+    null = global_metrics(drawn, ["perm_id", "config_id"], label, edges).withColumnRenamed("value", "null")
     rows = null.join(F.broadcast(observed), ["config_id", "metric"])
     high = stats.empirical(F.col("observed"), F.col("null"))
     low = stats.empirical(F.col("observed"), F.col("null"), high=False)
     out = rows.groupBy("config_id", "metric").agg(F.first("observed").alias("observed"), F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_std"), high.alias("_high"), low.alias("_low"))
-    return out.select("config_id", "metric", "observed", "null_mean", "null_std", F.when(F.col("null_std") > 0, F.try_divide(F.col("observed") - F.col("null_mean"), "null_std")).alias("z_score"), F.when(F.col("metric") == "weighted_purity", F.col("_high")).otherwise(F.col("_low")).alias("p_value"))
+    up = F.col("metric").isin(*[m for m, high in METRICS.items() if high])
+    return out.select("config_id", "metric", "observed", "null_mean", "null_std", F.when(F.col("null_std") > 0, F.try_divide(F.col("observed") - F.col("null_mean"), "null_std")).alias("z_score"), F.when(up, F.col("_high")).otherwise(F.col("_low")).alias("p_value"))
 
 
 def enrichment(membership: DataFrame, label: str, n: int = 1000, seed: int = 42) -> DataFrame:

@@ -202,7 +202,7 @@ def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tol
     width = work.agg(*[F.max(F.abs(f)).alias(f) for f in features]).first().asDict()
     limit = tolerance * max((v or 0.0) for v in width.values())
     for _ in range(rounds):
-        moved = 0.0
+        moves = []
         for f in order:
             others = [c for c in features if c != f]
             terms = [F.lit(1.0), *[F.col(c) for c in others]]
@@ -217,11 +217,15 @@ def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tol
                     gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] or 0.0
             beta = np.linalg.solve(gram + ridge * got["g0_0"] * np.diag([0.0] + [1.0] * (n - 1)), np.array([got[f"y{i}"] or 0.0 for i in range(n)]))
             value = sum((float(b) * t for b, t in zip(beta, terms, strict=True)), F.lit(0.0))
-            work = work.withColumn("_new", F.when(F.col(gone[f]), value).otherwise(F.col(f))).withColumn("_move", F.abs(F.col("_new") - F.col(f)))
+            work = work.withColumn("_new", F.when(F.col(gone[f]), value).otherwise(F.col(f))).withColumn(f"_move_{f}", F.abs(F.col("_new") - F.col(f)))
             work = work.drop(f).withColumnRenamed("_new", f)
-            work = written(work, "iterative")
-            moved = max(moved, work.agg(F.max("_move")).first()[0] or 0.0)
-            work = work.drop("_move")
+            moves.append(f"_move_{f}")
+        if not moves:
+            break
+        # One table a round: within it, a feature's new values are an expression that the next one reads.
+        work = written(work, "iterative")
+        moved = max((x or 0.0) for x in work.agg(*[F.max(m) for m in moves]).first())
+        work = work.drop(*moves)
         if moved <= limit:
             break
     return work.select(*df.columns)

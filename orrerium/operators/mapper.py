@@ -169,12 +169,12 @@ def cluster(covered: DataFrame, features: Sequence[str], eps: float, min_samples
 def nerve(membership: DataFrame, id_column: str = "row_index") -> DataFrame:
     """config_id, source, target, n_shared_members, source_size, target_size, jaccard_members: nodes that share rows.
 
-    A row stands in at most a few cells of the cover, so the self-join by row is bounded by the cover's overlap.
+    A row stands in at most a few cells of the cover: one shuffle brings its nodes together, and what leaves it are counts of pairs.
     """
-    m = membership.select("config_id", "node_id", id_column).distinct()
-    size = m.groupBy("config_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = m.withColumnRenamed("node_id", "source"), m.withColumnRenamed("node_id", "target")
-    shared = a.join(b, ["config_id", id_column]).where("source < target").groupBy("config_id", "source", "target").agg(F.count(F.lit(1)).alias("n_shared_members"))
+    rows = membership.groupBy("config_id", id_column).agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
+    size = rows.select("config_id", F.explode("nodes").alias("node_id")).groupBy("config_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    pairs = F.expr("flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, size(nodes)), b -> struct(a AS source, b AS target))))")
+    shared = rows.where(F.size("nodes") > 1).select("config_id", F.explode(pairs).alias("p")).groupBy("config_id", "p.source", "p.target").agg(F.count(F.lit(1)).alias("n_shared_members"))
     out = shared.join(size.select("config_id", F.col("node_id").alias("source"), F.col("n").alias("source_size")), ["config_id", "source"]).join(size.select("config_id", F.col("node_id").alias("target"), F.col("n").alias("target_size")), ["config_id", "target"])
     out = out.withColumn("jaccard_members", ratio("n_shared_members", F.col("source_size") + F.col("target_size") - F.col("n_shared_members")))
     return out.select("config_id", "source", "target", "n_shared_members", "source_size", "target_size", "jaccard_members")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.functions import labels, stats
-from orrerium.operators import bias, graph, impute, knn, mapper, models, profile, regions
+from orrerium.operators import bias, characterise, graph, impute, knn, mapper, models, profile, regions
 from orrerium.plans.registry import Registry
 from orrerium.plans.tables import table
 
@@ -304,7 +304,25 @@ def js_kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bias.permutation_tests(_membership(spark, sf_dir), "method", 50))
+    m = graph.written(_membership(spark, sf_dir), "membership")
+    return rounded(bias.permutation_tests(m, "method", 50, edges=mapper.nerve(m)))
+
+
+@query(f"""WITH {NERVE}, {BIAS[len(COVER) + 2 :]}, t AS (SELECT sum(n) AS a FROM ct), r AS (SELECT node_id, sum(n) AS n FROM ct GROUP BY 1), c AS (SELECT method, sum(n) AS n FROM ct GROUP BY 1), i AS (SELECT sum(ct.n / a * ln(ct.n * a / (r.n * c.n))) AS mi FROM ct JOIN r USING (node_id) JOIN c USING (method), t),
+bt AS (SELECT source AS a, target AS b FROM nv UNION ALL SELECT target, source FROM nv), e AS (SELECT x.top AS la, y.top AS lb, count(*) AS n FROM bt JOIN nm x ON x.node_id = a JOIN nm y ON y.node_id = b GROUP BY ALL), s AS (SELECT sum(n) AS a, sum(n) FILTER (la = lb) AS d FROM e), ab AS (SELECT sum(m * m / (a * a)) AS ab FROM (SELECT la, sum(n) AS m FROM e GROUP BY la), s)
+SELECT 'cover' AS config_id, 'weighted_purity' AS metric, round(sum(m * purity) / sum(m), 6) AS value FROM nm UNION ALL SELECT 'cover', 'weighted_entropy', round(sum(m * h) / sum(m), 6) FROM nm
+UNION ALL SELECT 'cover', 'node_method_nmi', round(mi / (((SELECT -sum(n / a * ln(n / a)) FROM r, t) + (SELECT -sum(n / a * ln(n / a)) FROM c, t)) / 2), 6) FROM i UNION ALL SELECT 'cover', 'dominant_method_assortativity', CASE WHEN ab < 1 THEN round((d / a - ab) / (1 - ab), 6) END FROM s, ab""")
+def global_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = graph.written(_membership(spark, sf_dir), "membership")
+    return rounded(bias.global_metrics(bias.label_counts(m, "method"), ["config_id"], "method", mapper.nerve(m)))
+
+
+@query()
+def characterise_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as members whose size and mass go by what is known of them."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS row_index", "concat('h', CAST(p_partkey % 500 AS STRING)) AS hostname", "p_retailprice AS pl_orbper", "CAST(p_size AS DOUBLE) AS st_mass", "p_partkey % 17 + p_size / 10e0 AS pl_eqt")
+    rows = rows.selectExpr("*", "0.5e0 + st_mass / 5e0 AS pl_rade", "(0.5e0 + st_mass) * (1 + row_index % 7 / 10e0) AS pl_bmasse")
+    return rounded(characterise.validate(rows, "multiplanet"), 4)
 
 
 @query()
@@ -312,8 +330,7 @@ def label_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(bias.enrichment(_membership(spark, sf_dir), "method", 20))
 
 
-def _shadowed(m: DataFrame) -> DataFrame:
-    edges = mapper.nerve(m)
+def _shadowed(m: DataFrame, edges: DataFrame) -> DataFrame:
     nodes = bias.node_metrics(m, "method").select("config_id", "node_id", "n_members", F.col("purity").alias("top_method_fraction"), F.col("entropy_norm").alias("method_entropy_norm"))
     return regions.shadow_scores(nodes.join(regions.node_profiles(m, edges, "method"), ["config_id", "node_id"], "left"))
 
@@ -328,7 +345,7 @@ sh AS (SELECT 'cover' AS config_id, nm.node_id, m AS n_members, purity, ln(1 + m
 SELECT config_id, node_id, n_members, no_neighbors, round(size_weight, 6) AS size_weight, round(shadow, 6) AS shadow_score, CASE WHEN NOT no_neighbors AND shadow >= cut AND n_members < 10 THEN 'small_sample_shadow' WHEN NOT no_neighbors AND shadow >= cut THEN 'high_confidence_shadow' WHEN no_neighbors THEN 'no_neighbor_information' ELSE 'mixed_or_low_shadow' END AS shadow_class FROM s, c""")
 def shadow_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = graph.written(_membership(spark, sf_dir), "membership")
-    return rounded(regions.shadow_classes(_shadowed(m)).select("config_id", "node_id", "n_members", "no_neighbors", "size_weight", "shadow_score", "shadow_class"))
+    return rounded(regions.shadow_classes(_shadowed(m, graph.written(mapper.nerve(m), "nerve"))).select("config_id", "node_id", "n_members", "no_neighbors", "size_weight", "shadow_score", "shadow_class"))
 
 
 # R3, indices, robustness ------------------------------------------------------------------------------------------
@@ -362,7 +379,7 @@ def node_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _toi(m: DataFrame) -> DataFrame:
     edges = graph.written(mapper.nerve(m), "nerve")
     degree = graph.both_ways(edges).groupBy("config_id", F.col("source").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
-    nodes = _shadowed(m.select("config_id", "node_id", "row_index", "method")).join(degree, ["config_id", "node_id"], "left").na.fill(0, ["degree"]).withColumn("I_R3", F.lit(0.0))
+    nodes = _shadowed(m.select("config_id", "node_id", "row_index", "method"), edges).join(degree, ["config_id", "node_id"], "left").na.fill(0, ["degree"]).withColumn("I_R3", F.lit(0.0))
     nodes = nodes.join(regions.distance_to_neighbours(m, edges).select("config_id", "node_id", "physical_distance_v_to_N1"), ["config_id", "node_id"], "left")
     return regions.toi(regions.network_support(nodes))
 
