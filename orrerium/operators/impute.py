@@ -108,6 +108,14 @@ def bounded(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]]
     return df.withColumns({f: clip(F.col(f), lo, hi) for f, (lo, hi) in bounds.items() if f in df.columns})
 
 
+def bound_counts(df: DataFrame, bounds: dict[str, tuple[float | None, float | None]] = BOUNDS) -> DataFrame:
+    """feature, low, high, n_below, n_above: the cells that bounded() moves. One pass."""
+    used = {f: b for f, b in bounds.items() if f in df.columns}
+    zero = F.lit(0).cast("long")
+    cols = [F.struct(F.lit(f).alias("feature"), F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high"), (F.count_if(to_numeric(f) < lo) if lo is not None else zero).alias("n_below"), (F.count_if(to_numeric(f) > hi) if hi is not None else zero).alias("n_above")) for f, (lo, hi) in used.items()]
+    return df.agg(F.array(*cols).alias("a")).select(F.explode("a").alias("r")).select("r.*")
+
+
 def median_fill(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """Missing cells as the feature's median; a feature without any value stays null."""
     stats = df.agg(*[F.median(to_numeric(f)).alias(f"_{f}") for f in features])

@@ -12,7 +12,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrerium.functions.numeric import ratio, z_score
+from orrerium.operators.graph import component_stats
 from orrerium.operators.knn import nearest
+from orrerium.sources.tables import written
 
 #: Feature spaces and their other names.
 SPACES = {
@@ -215,6 +217,39 @@ def shuffled(points: DataFrame, features: Sequence[str], n: int = 30, seed: int
     return out.drop("_at")
 
 
+def resampled(points: DataFrame, features: Sequence[str], eps: float, config: Config, draws: int = 30, seed: int = 42, id_column: str = "row_index") -> DataFrame:
+    """kind (bootstrap or column_shuffle), metric, observed, mean, std, low and high (5th and 95th percentile), z: the graph of the
+    points against graphs of bootstrap draws and of points whose features have been dealt out anew, all under one configuration.
+
+    Every draw is a configuration of its own, so that all draws of a kind are one job. The lens is that of the plain points
+    (for shuffled ones of their shuffled values), so no draw fits one of its own, and the cells are those of all draws of a kind.
+    """
+    features = list(features)
+    centre, w = principal(points, features)
+
+    def lensed(df: DataFrame) -> DataFrame:
+        return df.withColumns({f"lens_{k}": sum(((F.col(f) - float(c)) * float(v) for f, c, v in zip(features, centre, w[k], strict=True)), F.lit(0.0)) for k in range(min(2, len(w)))} | ({"lens_1": F.lit(0.0)} if len(w) < 2 else {}))
+
+    def metrics(df: DataFrame, ident: str) -> DataFrame:
+        covered = cover(lensed(df), config.n_cubes, config.overlap).withColumn("config_id", F.col("_draw"))
+        members = written(cluster(covered, features, eps, config.min_samples, ident), "resampled")
+        edges = written(nerve(members, ident), "resampled-edges")
+        nodes = members.select("config_id", "node_id").distinct()
+        size = members.groupBy("config_id", "node_id").agg(F.count(F.lit(1)).alias("n")).groupBy("config_id").agg(F.count(F.lit(1)).cast("double").alias("n_nodes"), F.avg("n").alias("mean_node_size"))
+        e = edges.groupBy("config_id").agg(F.count(F.lit(1)).cast("double").alias("n_edges"))
+        b = component_stats(nodes, edges).groupBy("config_id").agg(F.count(F.lit(1)).cast("double").alias("beta_0"), F.sum("beta_1").cast("double").alias("beta_1"))
+        out = size.join(e, "config_id", "left").join(b, "config_id", "left").na.fill(0.0, ["n_edges", "beta_1"])
+        return out.unpivot(["config_id"], ["n_nodes", "n_edges", "beta_0", "beta_1", "mean_node_size"], "metric", "value")
+
+    plain = metrics(points.select(id_column, *features).withColumn("_draw", F.lit("plain")), id_column).select("metric", F.col("value").alias("observed"))
+    boot = bootstrap(points.select(id_column, *features), draws, seed=seed, id_column=id_column).withColumn("_draw", F.concat(F.lit("b"), F.col("boot_id").cast("string")))
+    boot = boot.withColumn("_row", F.col(id_column) * 64 + F.col("copy"))
+    null = shuffled(points, features, draws, seed, id_column).withColumn("_draw", F.concat(F.lit("s"), F.col("null_id").cast("string")))
+    every = metrics(boot, "_row").withColumn("kind", F.lit("bootstrap")).unionByName(metrics(null, id_column).withColumn("kind", F.lit("column_shuffle")))
+    out = every.groupBy("kind", "metric").agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("std"), F.percentile("value", 0.05).alias("low"), F.percentile("value", 0.95).alias("high"))
+    return out.join(F.broadcast(plain), "metric").withColumn("z", F.when(F.col("std") > 0, (F.col("observed") - F.col("mean")) / F.col("std")))
+
+
 def compare(metrics: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Distance of every two configurations in z-scored metrics, over those that both have."""
     z = metrics.select("config_id", F.array(*[z_score(F.col(c).cast("double")) for c in columns]).alias("z"))

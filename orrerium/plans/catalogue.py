@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from orrerium.plans import audit_queries, case_queries, context_queries, gap_queries, node_queries
+from orrerium.plans import audit_queries, case_queries, context_queries, gap_queries, node_queries, source_queries
 
-FAMILIES = (gap_queries, audit_queries, case_queries, node_queries, context_queries)
+FAMILIES = (gap_queries, audit_queries, case_queries, node_queries, context_queries, source_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

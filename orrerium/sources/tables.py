@@ -18,16 +18,21 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared checkpoint folder: cuts lineage, outlives executors. It goes when the driver ends."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, one of our own on a single machine only."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if spark.sparkContext.master.split("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="orrerium-")
         spark.conf.set("spark.checkpoint.dir", root)
-    path = f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a Parquet table in the shared checkpoint folder: cuts lineage, outlives executors. It goes when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
@@ -51,7 +56,7 @@ def read_catalog(spark: SparkSession, path: str, schema: StructType | str | None
 
 
 def read_table(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
-    """Parquet, CSV or JSON by the path's suffix."""
+    """Parquet, CSV or JSON by the path's suffix: .json files are one document each, .jsonl and .ndjson have one a line."""
     kind = re.sub(r"[/*]+$", "", path).rpartition(".")[2].lower()
     if kind in ("json", "jsonl", "ndjson"):
         reader = spark.read.option("multiLine", kind == "json")
@@ -139,6 +144,36 @@ MEMBER_NAMES = ("pl_name", "planet_name", "planet", "anchor_pl_name")
 EDGE_NAMES = {"source": ("source", "u", "from", "node_a", "src"), "target": ("target", "v", "to", "node_b", "dst")}
 
 
+def with_catalog(membership: DataFrame, catalog: DataFrame, id_column: str = "row_index", name: str = "pl_name") -> DataFrame:
+    """Membership with the catalogue's columns, by id, or by name where a member has no id. What the membership knows itself stays.
+
+    Ids and names of the catalogue are taken to be unique; of repeated ones the least row counts.
+    """
+    rest = [c for c in catalog.columns if c not in (id_column, name)]
+
+    def once(key: str) -> DataFrame:
+        one = catalog.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(F.struct(*rest)).alias("_row"))
+        return one.select(key, *[F.col(f"_row.{c}").alias(f"_c_{c}") for c in rest])
+
+    by_id = membership.where(F.col(id_column).isNotNull()).join(once(id_column), id_column, "left")
+    lost = membership.where(F.col(id_column).isNull())
+    by_name = lost.join(once(name), name, "left") if name in membership.columns and name in catalog.columns else lost.withColumns({f"_c_{c}": F.lit(None).cast(catalog.schema[c].dataType) for c in rest})
+    out = by_id.unionByName(by_name)
+    out = out.withColumns({c: F.coalesce(F.col(c), F.col(f"_c_{c}")) if c in membership.columns else F.col(f"_c_{c}") for c in rest})
+    return out.drop(*[f"_c_{c}" for c in rest])
+
+
+def discover(spark: SparkSession, pattern: str, preferred: Sequence[str] = (), explicit: str | None = None) -> str | None:
+    """The explicit path; else of a glob's paths the first that has the earliest preferred word in its name; else the first; None for none."""
+    if explicit:
+        return first_existing(spark, [explicit])
+    found = find(spark, pattern)
+    for word in preferred:
+        if at := next((p for p in found if word in p.rpartition("/")[2]), None):
+            return at
+    return found[0] if found else None
+
+
 def edges_of(df: DataFrame) -> DataFrame:
     return standardise(df, EDGE_NAMES)
 
@@ -180,7 +215,7 @@ def graph_json(membership: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
-    """A table sink: parquet, csv (with header) or json."""
+    """A table sink: parquet, csv (with header) or json (a document a line, to be read as .jsonl)."""
     writer = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
     {"parquet": writer.parquet, "csv": lambda p: writer.option("header", True).csv(p), "json": writer.json}[kind](path)
 
