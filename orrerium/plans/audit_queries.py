@@ -402,18 +402,36 @@ def _anchored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, D
     return m, edges, graph.written(regions.anchors(m.withColumnRenamed("method", "discoverymethod"), prefer="AF"), "anchors")
 
 
-@query()
+_D = "sqrt((a.z0 - b.z0) ** 2 + (a.z1 - b.z1) ** 2 + (a.z2 - b.z2) ** 2)"
+ANCHOR = f"""qm AS (SELECT a.node_id, a.row_index, round(sum({_D}), 9) AS t FROM xz a JOIN xz b ON a.node_id = b.node_id GROUP BY ALL), qd AS (SELECT node_id, arg_min(row_index, (t, row_index)) AS row_index FROM qm GROUP BY node_id),
+qc AS (SELECT xz.* FROM xz JOIN qd USING (node_id, row_index)), qa AS (SELECT * EXCLUDE (k) FROM (SELECT a.node_id, a.row_index, a.z0, a.z1, a.z2, {_D} AS d, row_number() OVER (PARTITION BY a.node_id ORDER BY method <> 'AF', {_D}, a.row_index) AS k FROM xz a JOIN qc b ON a.node_id = b.node_id JOIN mem m ON m.node_id = a.node_id AND m.row_index = a.row_index) WHERE k = 1)"""
+DEFICIT = f"""{ANCHOR}, qt AS (SELECT source AS a, target AS b FROM nv UNION ALL SELECT target, source FROM nv), q2 AS (SELECT DISTINCT x.a, y.b FROM qt x JOIN qt y ON y.a = x.b WHERE x.a <> y.b AND NOT EXISTS (SELECT 1 FROM qt w WHERE w.a = x.a AND w.b = y.b)),
+qr AS (SELECT node_id, node_id AS other, 0 AS ring FROM qa UNION ALL SELECT a, b, 1 FROM qt UNION ALL SELECT a, b, 2 FROM q2),
+qh AS (SELECT qr.node_id, b.row_index AS anchor, a.row_index, min({_D}) AS d, CAST(max(CASE ring WHEN 0 THEN 1 ELSE 0 END) AS INTEGER) AS in0, CAST(max(CASE ring WHEN 1 THEN 1 ELSE 0 END) AS INTEGER) AS in1, CAST(max(CASE ring WHEN 2 THEN 1 ELSE 0 END) AS INTEGER) AS in2 FROM qr JOIN xz a ON a.node_id = other JOIN qa b ON b.node_id = qr.node_id GROUP BY ALL),
+qi AS (SELECT *, row_index = anchor AS self, row_number() OVER (PARTITION BY node_id ORDER BY row_index = anchor, d, row_index) AS rk, least(greatest(floor(sqrt(count(*) OVER (PARTITION BY node_id))), 3), 10) AS k FROM qh),
+qs AS (SELECT node_id, anchor, median(d) FILTER (NOT self AND in0 = 1) AS m, quantile_cont(d, 0.75) FILTER (NOT self AND in0 = 1) AS q, max(d) FILTER (NOT self AND rk <= k) AS k, sum(in1) AS n1, sum(in2) AS n2 FROM qi GROUP BY ALL),
+ql AS (SELECT node_id, anchor, n1, n2, 'r_node_median' AS radius_type, m AS radius FROM qs UNION ALL SELECT node_id, anchor, n1, n2, 'r_node_q75', q FROM qs UNION ALL SELECT node_id, anchor, n1, n2, 'r_kNN', k FROM qs),
+qn AS (SELECT l.node_id, l.anchor, radius_type, radius, n1, n2, count(*) FILTER (NOT self AND d <= radius) AS o, count(*) FILTER (in1 = 1 AND d <= radius) AS e1, count(*) FILTER (in2 = 1 AND d <= radius) AS e2 FROM ql l JOIN qi USING (node_id) WHERE radius IS NOT NULL GROUP BY ALL),
+qe AS (SELECT *, CASE WHEN n1 >= 3 THEN e1 WHEN n2 >= 3 THEN e2 END AS e FROM qn), qf AS (SELECT *, e - o AS dn, (e - o) / (e + 1e-9) AS dr FROM qe)"""
+
+
+@query(f"WITH {COVER}, {R3SQL}, {ANCHOR} SELECT 'cover' AS config_id, node_id, row_index, CAST(0 AS DOUBLE) AS anchor_imputed_fraction, CAST(0 AS DOUBLE) AS r3_imputation_score, round(d, 6) AS distance_to_medoid, round(z0, 6) AS z_0, round(z1, 6) AS z_1, round(z2, 6) AS z_2 FROM qa")
 def anchor_select(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(_anchored(spark, sf_dir)[2])
 
 
-@query()
+@query(f"""WITH {NERVE}, {R3SQL}, {DEFICIT} SELECT 'cover' AS config_id, node_id, anchor, radius_type, round(radius, 6) AS radius, o AS "N_obs", e AS "N_exp_neighbors", dn AS "delta_N_neighbors", round(dr, 6) AS delta_rel_neighbors,
+  CASE WHEN dr IS NULL OR e <= 0 THEN 'undefined_reference' WHEN dr < 0 THEN 'overpopulated_reference' WHEN dr <= 0.1 THEN 'no_deficit' WHEN dr <= 0.3 THEN 'weak_deficit' WHEN dr <= 0.6 THEN 'moderate_deficit' ELSE 'strong_deficit' END AS deficit_class FROM qf""")
 def neighbor_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, edges, a = _anchored(spark, sf_dir)
-    return rounded(regions.audit_deficits(regions.deficits(a, m, edges)))
+    out = regions.deficits(a, m, edges)
+    return rounded(out.select("config_id", "node_id", "anchor", "radius_type", "radius", "N_obs", "N_exp_neighbors", "delta_N_neighbors", "delta_rel_neighbors", "deficit_class"))
 
 
-@query()
+@query(f"""WITH {TOI}, {DEFICIT}, qb AS (SELECT node_id, greatest(coalesce(max(dr), 0), 0) AS best, count(dr) AS n, count(*) FILTER (dr > 0) AS plus FROM qf GROUP BY node_id),
+qp AS (SELECT qa.node_id, row_index, exp(-((z0 - c0) ** 2 + (z1 - c1) ** 2 + (z2 - c2) ** 2) / (2 * CASE WHEN spread > 0 THEN spread ELSE 1e-9 END ** 2)) AS rep, toi, best, CASE WHEN n < 2 THEN 'undefined' WHEN plus = n THEN 'consistent_positive_deficit' WHEN plus > 0 THEN 'radius_sensitive_deficit' ELSE 'no_consistent_deficit' END AS st
+  FROM qa JOIN xg USING (node_id) LEFT JOIN qb USING (node_id) JOIN ts USING (node_id))
+SELECT 'cover' AS config_id, node_id, row_index, round(toi, 6) AS "TOI", round(best, 6) AS delta_rel_best, st AS deficit_stability, round(rep, 6) AS representativeness, round(toi * coalesce(best, 0) * rep, 6) AS "ATI", CAST(row_number() OVER (ORDER BY toi * coalesce(best, 0) * rep DESC, node_id) AS INTEGER) AS "ATI_rank" FROM qp""")
 def ati_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, edges, a = _anchored(spark, sf_dir)
     best = regions.best_deficit(regions.deficits(a, m, edges)).drop("anchor")

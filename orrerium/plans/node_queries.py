@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.operators import nodes, priors
+from orrerium.functions import physics
+from orrerium.operators import gaps, nodes, priors
 from orrerium.plans.case_queries import Query, but, columns, listed, rounded, share, shown
 from orrerium.plans.tables import table
 
@@ -312,3 +313,50 @@ def analog_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def validation_error_by_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "orders").selectExpr("CAST(o_custkey AS STRING) AS hostname", "o_totalprice / 1000e0 AS abs_logP_error")
     return rounded(priors.error_by_system(rows))
+
+
+_KNOWN = {"hostname": "concat('h', CAST(c_custkey % 50 AS STRING))", "pl_name": "concat('m', CAST(c_custkey AS STRING))", "pl_orbper": "CAST(1 + c_custkey % 37 AS DOUBLE)", "pl_orbsmax": "CASE WHEN c_custkey % 5 <> 0 THEN 0.05e0 + c_custkey % 9 / 10e0 END", "pl_rade": "CASE WHEN c_custkey % 7 <> 0 THEN 1e0 + c_custkey % 11 END", "pl_bmasse": "1e0 + c_custkey % 23", "st_mass": "0.5e0 + c_custkey % 50 / 40e0", "st_rad": "0.6e0 + c_custkey % 50 / 50e0"}
+_ASKED = {
+    "candidate_id": "p_partkey",
+    "hostname": "concat('h', CAST(p_partkey % 53 AS STRING))",
+    "dominant_method_group": "CASE p_partkey % 3 WHEN 0 THEN 'Transit' WHEN 1 THEN 'Radial Velocity' ELSE 'Mixed' END",
+    "candidate_period_days": "1e0 + p_partkey % 211",
+    "candidate_semimajor_au": but(6, "0.02e0 + p_partkey % 31 / 12e0"),
+    "candidate_radius_median": but(8, "0.4e0 + p_partkey % 13"),
+    "candidate_mass_median": but(9, "0.3e0 + p_partkey % 29"),
+    "candidate_stellar_mass": "0.5e0 + p_partkey % 50 / 40e0",
+    "candidate_stellar_radius": "0.6e0 + p_partkey % 50 / 50e0",
+    "gap_period_ratio": "1e0 + p_partkey % 8",
+    "gap_score": share(37),
+    "topology_score": but(5, share(41)),
+    "analog_support_score": share(43),
+    "data_quality_score": share(47),
+}
+_HARD = f"""k AS (SELECT {', '.join(listed(_KNOWN))} FROM customer), a AS (SELECT {', '.join(listed(_ASKED))} FROM part),
+o AS (SELECT hostname, median(pl_orbper) AS ot, median(st_rad * {physics.SUN_RADIUS_AU} / pl_orbsmax) AS op, median(pow(pl_rade / (st_rad * {physics.SUN_RADIUS_EARTHS}), 2)) AS od, median(pl_bmasse / (pow(st_mass, 2.0 / 3.0) * pow(pl_orbper, 1.0 / 3.0))) AS ov FROM k GROUP BY ALL),
+r AS (SELECT a.*, candidate_stellar_radius * {physics.SUN_RADIUS_AU} / candidate_semimajor_au / op AS rp, pow(candidate_radius_median / (candidate_stellar_radius * {physics.SUN_RADIUS_EARTHS}), 2) / od AS rd, candidate_mass_median / (pow(candidate_stellar_mass, 2.0 / 3.0) * pow(candidate_period_days, 1.0 / 3.0)) / ov AS rv, candidate_period_days / ot AS rt FROM a LEFT JOIN o USING (hostname)),
+h AS (SELECT *, coalesce(1 - least(rp, 1), 0) AS p, coalesce(1 - least(rd, 1), 0) AS d, coalesce(1 - least(rv, 1), 0) AS v, CASE WHEN rt > 1 THEN least(log10(rt), 1) ELSE 0 END AS t FROM (SELECT * REPLACE (CASE WHEN rp IS NULL THEN 1 ELSE rp END AS rp, CASE WHEN rd IS NULL THEN 1 ELSE rd END AS rd, CASE WHEN rv IS NULL THEN 1 ELSE rv END AS rv) FROM r)),
+e AS (SELECT *, CASE dominant_method_group WHEN 'Transit' THEN 0.45 * p + 0.35 * d + 0.2 * t WHEN 'Radial Velocity' THEN 0.6 * v + 0.4 * t ELSE 0.3 * p + 0.2 * d + 0.3 * v + 0.2 * t END AS s,
+  CASE dominant_method_group WHEN 'Transit' THEN CASE WHEN d >= greatest(p, t) AND d >= 0.25 THEN 'shallow_transit_depth' WHEN p >= greatest(d, t) AND p >= 0.25 THEN 'low_transit_probability' WHEN t >= 0.35 THEN 'long_period' ELSE 'unknown' END
+  WHEN 'Radial Velocity' THEN CASE WHEN v >= t AND v >= 0.25 THEN 'weak_RV_signal' WHEN t >= 0.35 THEN 'long_period' ELSE 'unknown' END
+  ELSE CASE WHEN greatest(p, d, v, t) < 0.25 THEN 'unknown' WHEN v = greatest(p, d, v, t) THEN 'weak_RV_signal' WHEN d = greatest(p, d, v, t) THEN 'shallow_transit_depth' WHEN p = greatest(p, d, v, t) THEN 'low_transit_probability' ELSE 'long_period' END END AS why FROM h),
+f AS (SELECT *, {' + '.join(f"{w} * coalesce({'s' if c == 'missing_detectability_score' else c}, 0)" for c, w in gaps.WEIGHTS.items())} AS score FROM e)"""
+
+
+@query(f"WITH {_HARD} SELECT candidate_id, round(s, 6) AS missing_detectability_score, why AS likely_missing_due_to, round(score, 6) AS candidate_priority_score, CASE WHEN score >= 0.7 AND (gap_period_ratio >= 4 OR gap_score >= 0.75) AND topology_score >= 0.35 AND s >= 0.35 AND why <> 'unknown' THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS candidate_priority_class FROM f")
+def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Detectability and priority where every part of them is known somewhere and unknown elsewhere."""
+    asked = table(spark, sf_dir, "part").selectExpr(*listed(_ASKED))
+    out = gaps.priority(gaps.detectability(asked, table(spark, sf_dir, "customer").selectExpr(*listed(_KNOWN))))
+    return shown(out, "candidate_id likely_missing_due_to candidate_priority_class", "missing_detectability_score candidate_priority_score")
+
+
+@query(f"""WITH {_HARD}, m AS (SELECT hostname, count(*) AS n_observed_planets FROM k GROUP BY ALL), c AS (SELECT *, CASE WHEN score >= 0.7 AND (gap_period_ratio >= 4 OR gap_score >= 0.75) AND topology_score >= 0.35 AND s >= 0.35 AND why <> 'unknown' THEN 'high' WHEN score >= 0.4 THEN 'medium' ELSE 'low' END AS class FROM f),
+g AS (SELECT hostname, count(*) AS n_gaps, max(gap_period_ratio) AS mg FROM a GROUP BY ALL), b AS (SELECT hostname, count(*) AS n, max(score) AS mx, avg(score) AS mn, arg_min(candidate_id, (-score, candidate_id)) AS best, arg_min(class, (-score, candidate_id)) AS class FROM c GROUP BY ALL)
+SELECT hostname, n_observed_planets, coalesce(n_gaps, 0) AS n_gaps, mg AS max_gap_ratio, coalesce(n, 0) AS n_candidates, round(mx, 6) AS max_priority_score, round(mn, 6) AS mean_priority_score, best AS best_candidate_id, coalesce(class, 'low') AS system_priority_class FROM m LEFT JOIN g USING (hostname) LEFT JOIN b USING (hostname)""")
+def system_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Systems whose best candidates are of every class."""
+    asked, known = table(spark, sf_dir, "part").selectExpr(*listed(_ASKED)), table(spark, sf_dir, "customer").selectExpr(*listed(_KNOWN))
+    scored = gaps.priority(gaps.detectability(asked, known))
+    meta = known.groupBy("hostname").agg(F.count(F.lit(1)).alias("n_observed_planets"))
+    return rounded(gaps.systems(meta, scored, asked.select("hostname", F.col("gap_period_ratio").alias("gap_ratio"))))
