@@ -165,7 +165,7 @@ def _nearest_donors(known, features: list[str], k: int, last: bool):
                 q0 = np.where(q, x[at], 0.0)
                 both = q.astype(float) @ there.T
                 d2 = (q0**2) @ there.T + q.astype(float) @ (r0**2).T - 2 * q0 @ r0.T
-                d = np.sqrt(np.maximum(d2, 0) * np.where(both > 0, f / np.maximum(both, 1), np.inf))
+                d = np.where(both > 0, np.sqrt(np.maximum(d2, 0) * f / np.maximum(both, 1)), np.inf)
                 for j in range(f):
                     need, donors = np.flatnonzero(~q[:, j]), np.flatnonzero(there[:, j])
                     if not len(need) or not len(donors):

@@ -143,3 +143,18 @@ def candidate_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 def key_variable_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("CAST(p_size AS DOUBLE) AS pl_rade", "p_retailprice AS other")
     return shown(context.with_role(profile.numeric_profile(rows, ["pl_rade", "other"])), "column role n", "mean")
+
+
+_HOLES = {"row_index": "p_partkey", "a": but(7, "sin(p_partkey)"), "b": but(5, "cos(p_partkey * 1.7e0)"), "c": but(4, "sin(p_partkey * 2.3e0)")}
+_SQUARES = " + ".join(f"coalesce((q.{f} - r.{f}) ** 2, 0)" for f in "abc")
+_SHARED = " + ".join(f"CAST(q.{f} IS NOT NULL AND r.{f} IS NOT NULL AS INTEGER)" for f in "abc")
+
+
+def _donors(f: str) -> str:
+    return f"""n{f} AS (SELECT row_index, sum(v / d) / sum(1 / d) AS {f} FROM (SELECT *, row_number() OVER (PARTITION BY row_index ORDER BY d, v) AS k FROM (SELECT q.row_index, r.{f} AS v, sqrt(({_SQUARES}) * 3 / ({_SHARED})) AS d FROM x q JOIN x r ON q.{f} IS NULL AND r.{f} IS NOT NULL AND {_SHARED} > 0)) WHERE k <= 7 GROUP BY row_index)"""
+
+
+@query(f"WITH x AS (SELECT {', '.join(listed(_HOLES))} FROM part), {', '.join(_donors(f) for f in 'abc')} SELECT x.row_index, {', '.join(f'round(coalesce(x.{f}, n{f}.{f}), 6) + 0.0 AS {f}' for f in 'abc')} FROM x LEFT JOIN na ON na.row_index = x.row_index LEFT JOIN nb ON nb.row_index = x.row_index LEFT JOIN nc ON nc.row_index = x.row_index")
+def nearest_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Missing cells from the nearest rows that have them; rows without any value stay as they are."""
+    return rounded(impute.knn_fill(table(spark, sf_dir, "part").selectExpr(*listed(_HOLES)), ["a", "b", "c"], block=700))
