@@ -1,9 +1,12 @@
 """Shared pieces: table access, written tables, and byte-level kernels over Arrow batches."""
 
 import atexit
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextvars import ContextVar
 
 import numpy as np
 import pandas as pd
@@ -20,30 +23,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); one of our own only where it is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir); where it is unset, one of our own on a single machine only."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="orrerium-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
+_STEP: ContextVar[list[str] | None] = ContextVar("step", default=None)
+
+
+@contextlib.contextmanager
+def step() -> Iterator[list[str]]:
+    """The paths of the tables that are written within: for callers who know when all that reads them has itself been written."""
+    held: list[str] = []
+    token = _STEP.set(held)
+    try:
+        yield held
+    finally:
+        _STEP.reset(token)
+
+
 def materialise(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: lineage is cut and executors may be lost.
 
-    Tables go when the driver ends, or by release() unless kept.
+    Tables go when the driver ends, or with the step that wrote them unless kept.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    if not keep:
-        _WRITTEN.append(path)
+    atexit.register(remove, spark, path)
+    if not keep and (held := _STEP.get()) is not None:
+        held.append(path)
     return spark.read.schema(schema).parquet(path)
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark._jvm
         p = jvm.org.apache.hadoop.fs.Path(path)
@@ -72,6 +91,7 @@ def text_chunks(texts: pa.Array, most: int = CHUNK_BYTES) -> Iterator[tuple[int,
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
         yield i, j, buf[off[i] : off[j]], off[i : j + 1] - off[i]
         i = j
+    trim()
 
 
 #: Byte tables of A-Z to a-z, and of the two word alphabets.
@@ -149,51 +169,65 @@ def words(buf: np.ndarray, off: np.ndarray, alphabet: np.ndarray) -> tuple[np.nd
 
 
 def quiet_arrow(spark: SparkSession, rows: int) -> None:
-    """Rows of an Arrow batch: whole texts travel in it, so the batch is kept small."""
+    """Rows of an Arrow batch, and its bytes: whole texts travel in it, so the batch is kept small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+BATCH_BYTES = 4 << 20
 #: Bits of an id filter: what is broadcast is this many, whatever the number of ids.
-FILTER_BITS = 1 << 23
+FILTER_BITS = 1 << 24
 
 
-def split_by_ids(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """(rows that may have one of the ids, rows that surely have none): only the first need a join.
+def _slots(ids: np.ndarray) -> np.ndarray:
+    return (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
 
-    `ids` has one column of longs. The filter is a bit set of fixed size; too many ids make it let more through, never less.
-    Null ids are among the second.
-    """
 
-    def slots(x: np.ndarray) -> np.ndarray:
-        return (mix(x.astype(np.int64).view(np.uint64)) % np.uint64(FILTER_BITS)).astype(np.int64)
+def id_filter(ids: DataFrame):
+    """A broadcast bit set of fixed size over one column of longs: too many ids make it let more through, never less."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.zeros(FILTER_BITS, bool)
         for batch in batches:
-            bits[slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False))] = True
+            bits[_slots(batch.column(0).drop_null().to_numpy(zero_copy_only=False))] = True
         yield pa.RecordBatch.from_arrays([pa.array([np.packbits(bits).tobytes()], pa.binary())], ["bits"])
 
     packed = np.zeros(FILTER_BITS // 8, np.uint8)
-    for (got,) in ids.select(ids.columns[0]).coalesce(16).mapInArrow(gather, "bits binary").collect():  # 16 sets of a MB
+    for (got,) in ids.select(ids.columns[0]).coalesce(4).mapInArrow(gather, "bits binary").collect():  # 4 sets of 2 MB
         packed |= np.frombuffer(got, np.uint8)
-    known = df.sparkSession.sparkContext.broadcast(packed.tobytes())
+    return ids.sparkSession.sparkContext.broadcast(packed.tobytes())
+
+
+def may_have(bits: bytes, ids: np.ndarray) -> np.ndarray:
+    s = _slots(ids)
+    return (np.frombuffer(bits, np.uint8)[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1).astype(bool)
+
+
+def split_by_ids(df: DataFrame, ids: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have one of the ids, rows that surely have none): only the first need a join. Null ids are among the second."""
+    known = id_filter(ids)
 
     @F.pandas_udf("boolean")
     def may(x: pd.Series) -> pd.Series:
         there = x.notna().to_numpy()
         out = np.zeros(len(x), bool)
-        s = slots(x[there].to_numpy().astype(np.int64))
-        out[there] = np.frombuffer(known.value, np.uint8)[s >> 3] >> (7 - (s & 7)).astype(np.uint8) & 1
+        out[there] = may_have(known.value, x[there].to_numpy())
         return pd.Series(out)
 
     test = may(F.col(column).cast("long"))
     return df.where(test), df.where(~test)
 
 
-_WRITTEN: list[str] = []
+def rows_of(df: DataFrame, ids: DataFrame, column: str) -> DataFrame:
+    """Rows that have one of the ids, and maybe others: by the filter, or by a join if there are too many ids for it. Rows without an id stay."""
+    if ids.count() > FILTER_BITS:
+        known = ids.select(F.col(ids.columns[0]).alias(column)).distinct()
+        return df.join(known, column, "left_semi").unionByName(df.where(F.col(column).isNull()))
+    return split_by_ids(df, ids, column)[0].unionByName(df.where(F.col(column).isNull()))
 
 
-def release(spark: SparkSession) -> None:
-    """Remove the tables written so far: for callers who know that what was built on them has itself been written."""
-    while _WRITTEN:
-        _remove(spark, _WRITTEN.pop())
+def trim() -> None:
+    """Give freed memory back to the system: workers live on, and what one group took would else be held beside the next."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries keep their own ways
+        ctypes.CDLL(None).malloc_trim(0)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,3 +34,20 @@ def components(edges: DataFrame) -> DataFrame:
         moved = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = materialise(moved.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "edges")
     return edges.select(F.col("u").alias("id"), F.col("v").alias("component"))
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each node but the least of its component under the links a-b, with the least."""
+    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = inv[: len(a)], inv[len(a) :]
+    low = np.arange(len(nodes))
+    while True:
+        new = low.copy()
+        np.minimum.at(new, x, low[y])
+        np.minimum.at(new, y, low[x])
+        new = np.minimum(new, new[new])
+        if (new == low).all():
+            break
+        low = new
+    k = np.flatnonzero(low != np.arange(len(nodes)))
+    return nodes[k], nodes[low[k]]

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrerium.llm.common import materialise
-from orrerium.llm.components import components
+from orrerium.llm.components import components, forest
 from orrerium.llm.hnsw import Graph
 
 #: Classes of a shard; the first beam; queries of an audit, planted ones of a shard's audit, and the recall that both ask for.
@@ -29,23 +29,6 @@ SLACK = 1e-4
 _BLOB = "label {kind}, dim int, shard int, ids binary, weights binary, vectors binary, graph binary, beam int"
 
 
-def _union(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
-    """Each node but the least of its component, with the least: a forest of the links a-b."""
-    nodes, inv = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inv[: len(a)], inv[len(a) :]
-    low = np.arange(len(nodes))
-    while True:
-        new = low.copy()
-        np.minimum.at(new, x, low[y])
-        np.minimum.at(new, y, low[x])
-        new = np.minimum(new, new[new])
-        if (new == low).all():
-            break
-        low = new
-    k = np.flatnonzero(low != np.arange(len(nodes)))
-    return list(zip(nodes[k].tolist(), nodes[low[k]].tolist(), strict=True))
-
-
 def plant(base: np.ndarray, least: float, n: int = PLANTS) -> np.ndarray:
     """Unit vectors of cosine `least` to 1 to a row of base each: half of them lie towards another row, half anywhere."""
     rnd = np.random.default_rng(len(base))
@@ -137,7 +120,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
         else:
             links = [(qi, np.bincount(a, weights[b], minlength=len(qi))), (ids, np.bincount(b, qw[a], minlength=len(ids)))]
         out = [(i, None, int(c)) for who, n in links for i, c in zip(who.tolist(), n.tolist(), strict=True) if c]
-        out += [(i, j, 0) for i, j in _union(qi[a], ids[b])]
+        out += [(i, j, 0) for i, j in zip(*(x.tolist() for x in forest(qi[a], ids[b])), strict=True)]
         return pd.DataFrame(out, columns=["id", "low", "n"]).astype({"id": "Int64", "low": "Int64", "n": "int64"})
 
     found = materialise(pairs.groupBy("label", "dim", "shard", "q").applyInPandas(probe, "id long, low long, n long"), "vector-links")

@@ -1,17 +1,15 @@
-"""Exact n-gram Jaccard self-join behind a count-vector R-tree.
-
-Candidates meet by an exact pigeonhole. Sizes fall into classes; two sets similar enough, the
-larger in class k, differ in at most D(k) shingles, so of G > D(k) hash groups of shingles one at
-least is equal in both, and it is a non-empty one unless a set has more than G - D(k) - 1 empty
-groups (then its empty groups are keys, too). Sets with a common key are chained into clusters.
-Within a cluster, the counts of shingles by group are points in an R-tree; a node is entered only
-if the sum of the coordinate minima of the point and the node's upper corner allows the overlap,
-and surviving pairs are verified on the shingles. Links found become components.
+"""Exact n-gram Jaccard self-join behind count-vector R-trees.
+
+Equal sets of shingles are one class. A set's rarest shingles (as many as two similar sets can't both
+miss; rarity by a sketch of fixed size, any order gives the same links) are its keys, and an R-tree stands over
+the sets of each key: the counts of shingles by hash group are its points, and a node is entered only if the sum of the
+coordinate minima of the point and the node's upper corner allows the overlap. What survives is joined to
+groups of sets that may be alike, within which an R-tree finds the pairs that are verified on the shingles. Links found
+become components. A key that many sets have is cut into blocks, and pairs of blocks are searched.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,14 +18,26 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, partitions, split_by_ids, text_chunks, words
-from orrerium.llm.components import components
+from orrerium.llm.common import FILTER_BITS, LOWER, NOT_SPACE, Rolling, id_filter, materialise, may_have, mix, partitions, rows_of, text_chunks, trim, words
+from orrerium.llm.components import components, forest
 
-#: Coordinates of a point, points of a leaf, and the most documents and shingles of a block of a cluster.
+#: Coordinates of a point, points of a node, and the most documents and shingles of a block of a cluster.
 DIMENSIONS = 64
-LEAF = 32
+NODE = 32
 BLOCK_DOCS = 4000
 BLOCK_SHINGLES = 4_000_000
+#: Counts by finer groups that a task holds.
+FINE_CELLS = 16_000_000
+#: Cells of the sketch of shingle frequencies (a byte each is broadcast), and its slices.
+SKETCH_BITS = 20
+SLICES = 32
+#: Sets of a key that are compared pair by pair; those beyond which a key is cut into blocks; keys sent at a time; text bytes of a bucket.
+FEW = 12
+HOT_KEY = 4096
+SENT_KEYS = 200_000
+BUCKET_BYTES = 8 << 20
+#: Buckets at least: a set's point goes once to each bucket that its keys fall into, so few buckets would make small inputs look cheap.
+LEAST_BUCKETS = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -62,133 +72,211 @@ def shingles(buf: np.ndarray, off: np.ndarray, n: int) -> tuple[np.ndarray, np.n
     return row[new], g[new]
 
 
-class Classes:
-    """Classes of set sizes for similarity p / q, and each class's number of hash groups and of spare ones."""
-
-    def __init__(self, p: int, q: int):
-        self.p, self.q = p, q
-        self.low = np.ones(1, np.int64)
-        self.groups = self.spare = np.zeros(0, np.int64)
-
-    def cover(self, most: int) -> None:
-        low = self.low.tolist()
-        while low[-1] <= most:
-            low.append(max(low[-1] + 1, -(-low[-1] * self.q // self.p)))
-        low.append(max(low[-1] + 1, -(-low[-1] * self.q // self.p)))
-        if len(low) == len(self.low):
-            return
-        groups, spare = [], []
-        for lo, hi in zip(low[:-1], low[1:], strict=True):
-            differ = 2 * (hi - 1) * (self.q - self.p) // (self.q + self.p)
-            z = math.ceil(1.2 * (differ + 1) * math.exp(-lo * self.p / self.q / (differ + 1))) + 1 if differ else 0
-            groups.append(differ + 1 + z)
-            spare.append(z)
-        self.low, self.groups, self.spare = np.array(low), np.array(groups), np.array(spare)
-
-    def keys(self, row: np.ndarray, g: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(row, key) of every set's hash groups, in its own size class and in the next if a partner may be there."""
-        self.cover(int(size.max(initial=1)) * self.q // self.p + 1)
-        own = np.searchsorted(self.low, size, "right") - 1
-        rows, keys = [], []
-        for up in (0, 1):
-            k = own + up
-            on = (size > 0) & ((up == 0) | (size * self.q // self.p >= self.low[k]))
-            n = np.where(on, self.groups[k], 0)
-            base = np.cumsum(n) - n
-            total = int(n.sum())
-            if not total:
-                continue
-            mine = on[row]
-            r, h = row[mine], g[mine]
-            at = base[r] + (mix(h ^ _ODD) % self.groups[k][r].astype(np.uint64)).astype(np.int64)
-            acc, cnt = np.zeros(total, np.uint64), np.bincount(at, minlength=total)
-            np.add.at(acc, at, mix(h + _ODD))
-            who = np.repeat(np.arange(len(size)), n)
-            slot = np.arange(total) - base[who]
-            empty = np.bincount(who[cnt == 0], minlength=len(size))
-            use = (cnt > 0) | (empty > self.spare[k])[who]
-            who, slot, acc = who[use], slot[use], acc[use]
-            rows.append(who)
-            keys.append(mix(acc * _ODD + mix((k[who] * 1_000_003 + slot).astype(np.uint64))))
-        return (np.concatenate(rows), np.concatenate(keys)) if rows else (np.zeros(0, np.int64), np.zeros(0, np.uint64))
+def class_of(row: np.ndarray, g: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, two 64-bit sums) of the set of each row: equal for equal sets."""
+    s1, s2 = np.zeros(rows, np.uint64), np.zeros(rows, np.uint64)
+    np.add.at(s1, row, mix(g))
+    np.add.at(s2, row, mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
+    return np.bincount(row, minlength=rows), s1.view(np.int64), s2.view(np.int64)
 
 
 def profile(docs: DataFrame, n: int) -> DataFrame:
-    """(doc_id, n_shingles, s1, s2): size and 128-bit sum of each set. An empty set's sum is its own."""
+    """(doc_id, n_shingles, s1, s2, name): size and 128-bit sum of each set, and these in 64 bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, j, buf, off in text_chunks(batch.column(1)):
-                row, g = shingles(buf, off, n)
-                s1, s2 = np.zeros(j - i, np.uint64), np.zeros(j - i, np.uint64)
-                np.add.at(s1, row, mix(g))
-                np.add.at(s2, row, mix(g ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(np.bincount(row, minlength=j - i), pa.int64()), pa.array(s1.view(np.int64)), pa.array(s2.view(np.int64))], ["doc_id", "n_shingles", "s1", "s2"])
+                size, s1, s2 = class_of(*shingles(buf, off, n), j - i)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(size, pa.int64()), pa.array(s1), pa.array(s2), pa.array(class_name(size, s1, s2))], ["doc_id", "n_shingles", "s1", "s2", "name"])
 
-    out = docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long")
-    return out.withColumn("s1", F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.col("s1")))
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, s1 long, s2 long, name long")
 
 
-def set_keys(docs: DataFrame, n: int, p: int, q: int, buckets: int) -> DataFrame:
-    """(bucket, keys, docs): the keys of the sets of a run of documents, packed by bucket with the documents that have them.
+def _texts(batch: pa.RecordBatch, known) -> pa.Array:
+    """Texts of rows that a filter of ids lets through, and of rows without an id."""
+    if known is None:
+        return batch.column(1)
+    ids = batch.column(0)
+    there = ids.is_valid().to_numpy(zero_copy_only=False)
+    keep = ~there
+    keep[there] = may_have(known.value, ids.drop_null().to_numpy(zero_copy_only=False))
+    return batch.column(1).filter(pa.array(keep))
+
+
+def sketch(docs: DataFrame, n: int, known=None) -> np.ndarray:
+    """For each cell of shingle hashes, 8 log2(1 + how many texts have a shingle there)."""
+    width = (1 << SKETCH_BITS) // SLICES
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells = np.zeros(1 << SKETCH_BITS, np.int64)
+        for batch in batches:
+            for _, _, buf, off in text_chunks(_texts(batch, known)):
+                cells += np.bincount((shingles(buf, off, n)[1] >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(cells))
+        yield pa.RecordBatch.from_arrays([pa.array(range(SLICES), pa.int32()), pa.array([cells[k * width : (k + 1) * width].astype(np.uint32).tobytes() for k in range(SLICES)], pa.binary())], ["slice", "cells"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                total[k] = total.get(k, 0) + np.frombuffer(x, np.uint32).astype(np.int64)
+        level = [np.minimum(255, 8 * np.log2(1.0 + x)).astype(np.uint8).tobytes() for x in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(level, pa.binary())], ["slice", "cells"])
+
+    out = np.zeros(1 << SKETCH_BITS, np.uint8)
+    for k, x in docs.select("doc_id", "text").mapInArrow(count, "slice int, cells binary").repartition(SLICES, "slice").mapInArrow(add, "slice int, cells binary").collect():  # a byte a cell
+        out[k * width : (k + 1) * width] = np.frombuffer(x, np.uint8)
+    return out
+
+
+def keys(row: np.ndarray, g: np.ndarray, size: np.ndarray, name: np.ndarray, level: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key): of each set the rarest shingles, one more than a set as similar may lack; hot ones once for each pair of blocks."""
+    cell = level[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
+    order = np.lexsort((g, cell, row))
+    first = np.cumsum(size) - size
+    lead = size - -(-size * p // q) + 1
+    take = order[np.arange(len(order)) - first[row] < lead[row]]
+    row, g, cell = row[take], g[take], cell[take]
+    spare = 2.0 ** (float(np.median(level)) / 8)
+    blocks = np.maximum(1, np.ceil((2.0 ** (cell / 8) - spare) / HOT_KEY)).astype(np.int64)
+    hot = np.flatnonzero(blocks > 1)
+    if not len(hot):
+        return row, g
+    times = blocks[hot]
+    who = np.repeat(hot, times)
+    other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+    mine = (mix(name[row[who]].view(np.uint64)) % blocks[who].astype(np.uint64)).astype(np.int64)
+    pair = np.minimum(mine, other) * 1_000_003 + np.maximum(mine, other)
+    cold = blocks == 1
+    return np.concatenate([row[cold], row[who]]), np.concatenate([g[cold], mix(g[who] * _ODD + mix(pair.astype(np.uint64)))])
+
+
+def points(row: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
+    """The counts of each set's shingles by hash group."""
+    at = row * DIMENSIONS + (g & np.uint64(DIMENSIONS - 1)).astype(np.int64)
+    return np.bincount(at, minlength=rows * DIMENSIONS).reshape(rows, DIMENSIONS).astype(np.int32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers below 2 ** 32 with their like bytes together, most of which are 0."""
+    return np.ascontiguousarray(x.astype("<u4").reshape(-1, 1).view(np.uint8).T).tobytes()
 
-    Shingled anew, as keys written beside the profile would be most of the disk. A document's keys stand together, so the
-    packed ids take little.
-    """
+
+def unplanes(raw: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
+
+
+def set_keys(docs: DataFrame, n: int, p: int, q: int, level: np.ndarray, buckets: int, ids=None) -> DataFrame:
+    """(bucket, keys, names, points): the keys of the sets of a run of documents, packed by bucket with their sets."""
+    known = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        classes, tight = Classes(p, q), zstandard.ZstdCompressor(level=1)
+        tight, held, n_held = zstandard.ZstdCompressor(level=1), [], 0
+
+        def send() -> pa.RecordBatch:
+            name, point, key = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3))
+            base = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
+            who = np.concatenate([x[2] + b for x, b in zip(held, base, strict=True)])
+            bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((who, bucket))
+            cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
+            full = np.flatnonzero(np.diff(cut)).tolist()
+            cols: list[list[bytes]] = [[], [], []]
+            for b in full:
+                at = order[cut[b] : cut[b + 1]]
+                # Keys stand in order of their set, so that each set's number of them says whose they are.
+                mine, times = np.unique(who[at], return_counts=True)
+                for c, x in zip(cols, (key[at].tobytes(), name[mine].tobytes(), tight.compress(planes(np.hstack([times[:, None], point[mine]])))), strict=True):
+                    c.append(x)
+            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "names", "points"])
+
         for batch in batches:
-            for i, j, buf, off in text_chunks(batch.column(1)):
+            for i, j, buf, off in text_chunks(_texts(batch, ids)):
                 row, g = shingles(buf, off, n)
-                who, key = classes.keys(row, g, np.bincount(row, minlength=j - i))
-                ids = batch.column(0).slice(i, j - i).to_numpy(zero_copy_only=False)
-                bucket = (key % np.uint64(buckets)).astype(np.int64)
-                order = np.lexsort((who, bucket))
-                cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-                full = np.flatnonzero(np.diff(cut)).tolist()
-                at = [order[cut[b] : cut[b + 1]] for b in full]
-                yield pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([key[x].tobytes() for x in at], pa.binary()), pa.array([tight.compress(ids[who[x]].astype(np.int64).tobytes()) for x in at], pa.binary())], ["bucket", "keys", "docs"])
+                size, s1, s2 = class_of(row, g, j - i)
+                name = class_name(size, s1, s2)
+                who, key = keys(row, g, size, name, known.value, p, q)
+                held.append((name, points(row, g, j - i), who, key))
+                n_held += len(key)
+                if n_held >= SENT_KEYS:
+                    yield send()
+                    held, n_held = [], 0
+        if n_held:
+            yield send()
+
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, names binary, points binary")
+
 
-    return docs.where("doc_id is not null").mapInArrow(run, "bucket int, keys binary, docs binary")
+def class_name(size: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
+    """A class in 64 bits, at least 0."""
+    return (mix(s1.view(np.uint64) + mix(s2.view(np.uint64) + size.astype(np.uint64))) >> np.uint64(1)).view(np.int64)
 
 
 class Tree:
-    """An R-tree of packed leaves over points of shingle counts, ordered by set size."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        self.size = np.array([len(s) for s in sets])
-        self.point = np.zeros((len(sets), DIMENSIONS), np.int32)
-        for k, s in enumerate(sets):
-            self.point[k] = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=DIMENSIONS)
-        self.order = np.lexsort((self.point[:, 0], self.size))
-        first = np.arange(0, len(sets), LEAF)
-        self.upper = np.maximum.reduceat(self.point[self.order], first) if len(sets) else self.point
-        self.least = self.size[self.order][first] if len(sets) else self.size
-        self.most = np.maximum.reduceat(self.size[self.order], first) if len(sets) else self.size
+    """An R-tree over points of shingle counts, packed in order of set size and of the coordinates that stand out.
+
+    levels[0] are the leaves; a node holds its children's upper corner and their least and largest size.
+    """
+
+    def __init__(self, point: np.ndarray, size: np.ndarray):
+        self.point, self.size = point, size
+        high = (point[:, :16] * DIMENSIONS > size[:, None]) @ (1 << np.arange(16)) if len(size) else size
+        self.order = np.lexsort((high, size))
+        self.levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        upper, least, most = point[self.order], size[self.order], size[self.order]
+        while len(upper) > 1 or not self.levels:
+            first = np.arange(0, len(upper), NODE)
+            if not len(first):
+                break
+            upper, least, most = np.maximum.reduceat(upper, first), np.minimum.reduceat(least, first), np.maximum.reduceat(most, first)
+            self.levels.append((upper, least, most))
 
     def search(self, point: np.ndarray, size: int, p: int, q: int) -> np.ndarray:
         """Sets whose bound on the overlap leaves similarity p / q possible."""
-        leaf = np.flatnonzero((self.most * q >= size * p) & (self.least * p <= size * q))
-        bound = np.minimum(self.upper[leaf], point).sum(1)
-        leaf = leaf[bound * (p + q) >= p * (size + np.maximum(self.least[leaf], -(-size * p // q)))]
-        at = (leaf[:, None] * LEAF + np.arange(LEAF)).ravel()
-        at = self.order[at[at < len(self.order)]]
-        return at[np.minimum(self.point[at], point).sum(1) * (p + q) >= p * (size + self.size[at])]
+        if not self.levels:
+            return np.zeros(0, np.int64)
+        at = np.arange(len(self.levels[-1][0]))
+        for k in range(len(self.levels) - 1, -1, -1):
+            upper, least, most = self.levels[k]
+            at = at[(most[at] * q >= size * p) & (least[at] * p <= size * q)]
+            at = at[np.minimum(upper[at], point).sum(1) * (p + q) >= p * (size + np.maximum(least[at], -(-size * p // q)))]
+            at = (at[:, None] * NODE + np.arange(NODE)).ravel()
+            at = at[at < (len(self.levels[k - 1][0]) if k else len(self.order))]
+        at = self.order[at]
+        return at[alike(self.point[at], self.size[at], point, size, p, q)]
+
+
+def alike(point: np.ndarray, size: np.ndarray, other: np.ndarray, other_size: np.ndarray | int, p: int, q: int) -> np.ndarray:
+    """Whether the sizes and the summed coordinate minima leave similarity p / q possible."""
+    fit = (np.minimum(size, other_size) * q >= np.maximum(size, other_size) * p) & (np.minimum(size, other_size) > 0)
+    return fit & (np.minimum(point, other).sum(1) * (p + q) >= p * (size + other_size))
 
 
 def links(left: list[np.ndarray], right: list[np.ndarray] | None, p: int, q: int) -> list[tuple[int, int]]:
     """A spanning forest of the links among `left`, or between `left` and `right` (indexes go on into it)."""
     sets = left + (right or [])
-    tree = Tree(right if right is not None else left)
+    size = np.array([len(s) for s in sets], np.int64)
+    point = np.zeros((len(sets), DIMENSIONS), np.int32)
+    for k, s in enumerate(sets):
+        point[k] = points(np.zeros(len(s), np.int64), s, 1)
     shift = len(left) if right is not None else 0
-    own = Tree(left) if right is not None else tree
+    tree = Tree(point[shift:], size[shift:])
+    # The same bound on finer groups, about two shingles to a group: most of what is unlike needn't be verified.
+    width = 1 << int(np.clip(np.ceil(np.log2(max(size.max(initial=1) / 2, 1))), 6, 12))
+    while width > DIMENSIONS and width * len(sets) > FINE_CELLS:
+        width //= 2
+    fine = np.zeros((len(sets), width), np.uint16)
+    for k, s in enumerate(sets):
+        fine[k] = np.minimum(np.bincount(((s >> np.uint64(6)) & np.uint64(width - 1)).astype(np.int64), minlength=width), 65535)
     group = np.arange(len(sets))
     out = []
     for i, s in enumerate(left):
-        cand = tree.search(own.point[i], len(s), p, q) + shift
+        cand = tree.search(point[i], len(s), p, q) + shift
         if right is None:
             cand = cand[cand < i]
+        cand = cand[group[cand] != group[i]]
+        bound = np.minimum(fine[cand], fine[i]).sum(1, dtype=np.int64)
+        some = (bound * (p + q) >= p * (len(s) + size[cand])) | (size[cand] > 65535)
+        cand = cand[some][np.argsort(-bound[some], kind="stable")]
         while len(cand := cand[group[cand] != group[i]]):
             j, cand = int(cand[0]), cand[1:]
             both = len(np.intersect1d(s, sets[j], assume_unique=True))
@@ -199,19 +287,82 @@ def links(left: list[np.ndarray], right: list[np.ndarray] | None, p: int, q: int
     return out
 
 
-def _chain(group: pa.Table) -> pa.Table:
-    """Each set of a bucket's common keys, with the least set of the same key; once each."""
+def _of_hot_key(who: np.ndarray, group: np.ndarray, point: np.ndarray, size: np.ndarray, p: int, q: int) -> list[tuple[int, int]]:
+    """Edges that join the sets `who` of one key as far as their bounds allow, beyond what `group` has joined.
+
+    Sets of the largest group needn't be searched from: a pair that ends in another one is found from there.
+    """
+    out: list[tuple[int, int]] = []
+    own = group[who].copy()
+    if (own == own[0]).all():
+        return out
+    tree, done, tried = Tree(point[who], size[who]), np.zeros(len(who), bool), 0
+    while True:
+        names, inv, times = np.unique(own, return_inverse=True, return_counts=True)
+        todo = np.flatnonzero(~done & (inv != times.argmax()))
+        if not len(todo):
+            return out
+        # A few steps to find the large group, then all that are left outside.
+        for k in todo[:1] if tried < 8 else todo:
+            done[k] = True
+            tried += 1
+            near = tree.search(point[who[k]], int(size[who[k]]), p, q)
+            for other in np.unique(own[near[own[near] != own[k]]]).tolist():
+                out.append((int(who[k]), int(who[near[own[near] == other][0]])))
+                own[own == other] = own[k]
+
+
+def meet(group: pa.Table, p: int, q: int) -> pa.Table:
+    """A bucket's sets that have a key in common and whose bounds allow a link, as a forest (a, b) of what may be alike."""
+    trim()
     loose = zstandard.ZstdDecompressor()
-    key = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
-    doc = np.frombuffer(b"".join(loose.decompress(x) for x in group.column("docs").to_pylist()), np.int64)
-    order = np.lexsort((doc, key))
-    key, doc = key[order], doc[order]
+    cols = {c: group.column(c).to_pylist() for c in ("keys", "names", "points")}
+    name = [np.frombuffer(x, np.int64) for x in cols["names"]]
+    base = np.cumsum([0] + [len(x) for x in name])
+    key = np.frombuffer(b"".join(cols["keys"]), np.uint64)
+    held = [unplanes(loose.decompress(x)).reshape(-1, DIMENSIONS + 1).astype(np.int32) for x in cols["points"]]
+    local = np.repeat(np.arange(base[-1]), np.concatenate([x[:, 0] for x in held]))
+    names, doc = np.unique(np.concatenate(name), return_inverse=True)
+    who = doc[local]
+    order = np.lexsort((who, key))
+    key, who = key[order], who[order]
     new = np.ones(len(key), bool)
-    new[1:] = key[1:] != key[:-1]
-    low = doc[np.maximum.accumulate(np.where(new, np.arange(len(key)), 0))]
-    more = doc != low
-    pairs = np.unique(np.stack([doc[more], low[more]]), axis=1)
-    return pa.table({"doc_id": pa.array(pairs[0]), "low": pa.array(pairs[1])})
+    new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
+    key, who = key[new], who[new]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    m = np.diff(np.append(first, len(key)))
+    first, m = first[m > 1], m[m > 1]
+    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+    if not len(m):
+        return none
+    # Points of those sets alone that share a key.
+    used = np.zeros(len(names), bool)
+    used[who[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]] = True
+    slot = np.cumsum(used) - 1
+    point, size = np.zeros((int(used.sum()), DIMENSIONS), np.int32), np.zeros(int(used.sum()), np.int64)
+    for k, x in enumerate(held):
+        d = doc[base[k] : base[k + 1]]
+        mine = used[d]
+        point[slot[d[mine]]] = x[mine, 1:]
+    size[:] = point.sum(1)
+    who, names = slot[who], names[used]
+    pairs = [np.zeros((0, 2), np.int64)]
+    for n in np.unique(m[m <= FEW]).tolist():
+        sets = who[first[m == n][:, None] + np.arange(n)]
+        x, y = np.triu_indices(n, 1)
+        pairs.append(np.unique(np.stack([sets[:, x].ravel(), sets[:, y].ravel()], 1), axis=0))
+    pairs = np.unique(np.concatenate(pairs), axis=0)
+    keep = [pairs[k : k + 100_000][alike(point[a[:, 0]], size[a[:, 0]], point[a[:, 1]], size[a[:, 1]], p, q)] for k in range(0, len(pairs), 100_000) for a in (pairs[k : k + 100_000],)]
+    edges = np.concatenate([pairs[:0], *keep])
+    own = np.arange(len(names))
+    at, low = forest(edges[:, 0], edges[:, 1])
+    own[at] = low
+    for f, n in sorted(zip(first[m > FEW].tolist(), m[m > FEW].tolist(), strict=True), key=lambda x: -x[1]):
+        if found := _of_hot_key(who[f : f + n], own, point, size, p, q):
+            for a, b in found:
+                own[own == own[b]] = own[a]
+    at = np.flatnonzero(own != np.arange(len(own)))
+    return pa.table({"a": pa.array(names[at]), "b": pa.array(names[own[at]])})
 
 
 def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
@@ -219,34 +370,42 @@ def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFr
 
     docs: doc_id, text; other columns are left aside. Words are runs of bytes other than ASCII white
     space, A-Z lower-cased. Null, empty and blank texts have no shingles and link with nothing.
-    Equal sets are one class, so repeated rows and copies cost one comparison. Shingles are compared by
+    Equal sets are one class, so repeated rows and copies cost one comparison; rows of one id with different texts are
+    different members, and rows without an id are members without a name (a component of such rows alone has a null id). Shingles are compared by
     64-bit hashes. Returns doc_id, n_shingles, component_id.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     rows = materialise(profile(docs, n), "profile")
-    reps = materialise(rows.groupBy("n_shingles", "s1", "s2").agg(F.min("doc_id").alias("rep")), "classes")
-    dealt = set_keys(docs, n, p, q, partitions(docs.sparkSession))
-    cluster = components(dealt.groupBy("bucket").applyInArrow(_chain, "doc_id long, low long"))
+    reps = rows.where("n_shingles > 0").groupBy("n_shingles", "s1", "s2", "name").agg(F.min("doc_id").alias("rep"))
+    reps = materialise(reps, "classes")
+    size, many = rows.agg(F.sum("n_shingles")).first()[0] or 0, reps.count()
+    # The representatives' texts alone: by a filter of ids, or by a join if there are too many for it.
+    known = id_filter(reps.select("rep")) if many <= FILTER_BITS else None
+    texts = docs if known else rows_of(docs, reps.select("rep"), "doc_id")
+    buckets = max(LEAST_BUCKETS, partitions(docs.sparkSession), -(-size * 6 // BUCKET_BYTES))
+    dealt = set_keys(texts, n, p, q, sketch(texts, n, known), buckets, known)
+    cluster = components(dealt.groupBy("bucket").applyInArrow(lambda g: meet(g, p, q), "a long, b long"))
     roots = cluster.select(F.col("component").alias("id"), "component").distinct()
-    members = cluster.unionByName(roots).select(F.col("id").alias("doc_id"), F.col("component").alias("c"))
-    # Of equal sets only the representative is compared; a cluster of one class has nothing to compare.
-    members = members.join(reps.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    more = members.groupBy("c").agg(F.count(F.lit(1)).alias("m")).where("m > 1").select("c")
-    members = materialise(members.join(more, "c", "left_semi"), "clusters")
-    found = components(_verified(docs, rows, members, n, p, q))
-    top = reps.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("n_shingles", "s1", "s2", F.coalesce("component", "rep").alias("component_id"))
-    return rows.select("doc_id", "n_shingles", "s1", "s2").join(materialise(top, "tops"), ["n_shingles", "s1", "s2"], "left").select("doc_id", "n_shingles", "component_id")
+    members = materialise(cluster.unionByName(roots).select(F.col("id").alias("name"), F.col("component").alias("c")), "clusters")
+    found = components(_verified(docs, reps, members, n, p, q))
+    named = reps.join(found.withColumnRenamed("id", "name"), "name", "left").withColumn("top", F.coalesce("component", "name"))
+    named = materialise(named.select("n_shingles", "s1", "s2", "rep", "top"), "named")
+    least = named.groupBy("top").agg(F.min("rep").alias("component_id"))
+    top = materialise(named.join(least, "top").select("n_shingles", "s1", "s2", "component_id"), "tops")
+    blank = rows.where("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    return rows.where("n_shingles > 0").join(top, ["n_shingles", "s1", "s2"]).select("doc_id", "n_shingles", "component_id").unionByName(blank)
 
 
-def _verified(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, p: int, q: int) -> DataFrame:
+def _verified(texts: DataFrame, reps: DataFrame, members: DataFrame, n: int, p: int, q: int) -> DataFrame:
     """Links (a, b) within clusters. A large cluster is cut into blocks, and pairs of blocks are compared."""
-    sizes = members.join(rows.select("doc_id", "n_shingles").distinct(), "doc_id")
+    sizes = materialise(reps.join(members, "name"), "members")
     blocks = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s")).select("c", F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    blocks = materialise(blocks, "blocks")
-    placed = materialise(members.join(blocks, "c").withColumn("mine", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")), "placed")
+    placed = sizes.select("name", "c", F.col("rep").alias("doc_id")).join(materialise(blocks, "blocks"), "c")
+    placed = materialise(placed.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")), "placed")
     # Merged at any size: a plan that broadcasts small sides would say nothing of large ones.
-    texts = split_by_ids(docs, placed.select("doc_id"), "doc_id")[0].join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = texts.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "doc_id", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
+    mine = rows_of(texts, placed.select("doc_id"), "doc_id")
+    spread = mine.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = spread.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "name", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
 
     def close(key: tuple, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
         sides = [[x for x in held if x[0] == s] for s in (key[1], key[2])]
@@ -257,17 +416,21 @@ def _verified(docs: DataFrame, rows: DataFrame, members: DataFrame, n: int, p: i
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, held = None, []
         for batch in batches:
-            keys = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
-            mine, ids = batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            at = list(zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True))
+            block, name = batch.column(3).to_pylist(), batch.column(4).to_pylist()
             for first, end, buf, off in text_chunks(batch.column(5)):
                 row, g = shingles(buf, off, n)
+                own = class_name(*class_of(row, g, end - first)).tolist()
                 cut = np.searchsorted(row, np.arange(end - first + 1))
                 for k in range(first, end):
-                    if keys[k] != now:
+                    if at[k] != now:
                         if len(held) > 1:
                             yield close(now, held)
-                        now, held = keys[k], []
-                    held.append((mine[k], ids[k], g[cut[k - first] : cut[k - first + 1]]))
+                        trim()
+                        now, held = at[k], []
+                    # Rows of one id may have other texts than the class that is named by it.
+                    if own[k - first] == name[k]:
+                        held.append((block[k], name[k], g[cut[k - first] : cut[k - first + 1]].copy()))
         if len(held) > 1:
             yield close(now, held)
 

@@ -48,6 +48,15 @@ def test_repeats_are_those_of_brute_force(spark, monkeypatch, k, hot):
     assert got == repeats_by_hand(rows, k)
 
 
+def test_repeats_of_production_length(spark):
+    rnd = random.Random(7)
+    base = "".join(rnd.choice("abcdefgh é") for _ in range(3000))
+    rows = [(d, "".join(rnd.choice("ab ") for _ in range(rnd.randrange(300))) + base[(i := rnd.randrange(2500)) : i + rnd.randrange(300, 700)] + "".join(rnd.choice("cd ") for _ in range(rnd.randrange(300)))) for d in range(60)]
+    rows += [(100, "x" * 900), (101, base[:399]), (102, base), (103, base[:2000] + "!" + base[2000:])]
+    got = sorted(tuple(r)[:5] for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), 400).collect())
+    assert got == repeats_by_hand(rows, 400)
+
+
 def test_repeats_of_nothing(spark):
     assert repeats.remove_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -126,6 +135,9 @@ def joined_by_hand(rows, n, p, q):
 @pytest.mark.parametrize(("n", "p", "q", "block"), [(3, 90, 100, 4000), (5, 80, 100, 4000), (3, 80, 100, 2)])
 def test_ngram_join_is_that_of_all_pairs(spark, monkeypatch, n, p, q, block):
     monkeypatch.setattr(ngram_join, "BLOCK_DOCS", block)
+    if block < 100:  # hot keys, too
+        monkeypatch.setattr(ngram_join, "FEW", 2)
+        monkeypatch.setattr(ngram_join, "HOT_KEY", 2)
     rows = near_texts()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit(1)).withColumn("low", F.lit(2))
     assert sorted(tuple(r) for r in ngram_join.ngram_join(df, n, p, q).collect()) == joined_by_hand(rows, n, p, q)
@@ -137,21 +149,34 @@ def test_ngram_join_of_nothing(spark):
 
 def test_keys_meet_for_every_similar_pair():
     rng = np.random.default_rng(0)
+    level = rng.integers(0, 40, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
+    level[rng.integers(0, len(level), len(level) // 3)] = 8 * 15
     for p, q in ((90, 100), (80, 100)):
-        c = ngram_join.Classes(p, q)
         for _ in range(60):
             size = int(rng.integers(1, 200))
-            a = rng.integers(0, 2**63, size).astype(np.uint64)
+            a = rng.integers(0, 2**63, size).astype(np.uint64) * np.uint64(2)
             differ = int(size * (q - p) / (q + p))
-            b = np.concatenate([a[differ // 2 :], rng.integers(0, 2**63, differ - differ // 2).astype(np.uint64)])
+            b = np.concatenate([a[differ // 2 :], rng.integers(0, 2**63, differ - differ // 2).astype(np.uint64) * np.uint64(2)])
             both = len(np.intersect1d(a, b))
             if q * both < p * (len(a) + len(b) - both):
                 continue
             row = np.repeat([0, 1], [len(a), len(b)])
-            who, key = c.keys(row, np.concatenate([a, b]), np.array([len(a), len(b)]))
+            who, key = ngram_join.keys(row, np.concatenate([a, b]), np.array([len(a), len(b)]), np.array([5, 6]), level, p, q)
             assert set(key[who == 0].tolist()) & set(key[who == 1].tolist())
 
 
+def test_tree_finds_what_a_scan_finds():
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 9, (40, ngram_join.DIMENSIONS))
+    point = np.maximum(0, base[rng.integers(0, 40, 3000)] + rng.integers(-1, 2, (3000, ngram_join.DIMENSIONS))).astype(np.int32)
+    size = point.sum(1)
+    tree = ngram_join.Tree(point, size)
+    assert len(tree.levels) == 3
+    for k in range(0, 3000, 100):
+        scan = np.flatnonzero(ngram_join.alike(point, size, point[k], size[k], 80, 100))
+        assert sorted(tree.search(point[k], int(size[k]), 80, 100).tolist()) == scan.tolist()
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(20, 16))
