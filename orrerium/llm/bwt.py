@@ -47,10 +47,11 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
     bwt = np.concatenate([s.bwt for s in shards])
     if bwt.max(initial=0) < 1 << 16:
         bwt = bwt.astype(np.uint16)
-    back = np.concatenate([s.back + b for s, b in zip(shards, base[:-1], strict=True)])
-    order = np.arange(base[-1])
-    block = np.zeros(len(order), np.int64)
-    common = np.full(len(order), depth)
+    small = np.int32 if base[-1] < 2**31 else np.int64
+    back = np.concatenate([s.back.astype(small) + small(b) for s, b in zip(shards, base[:-1], strict=True)])
+    order = np.arange(base[-1], dtype=small)
+    block = np.zeros(len(order), small)
+    common = np.full(len(order), depth, np.int32)
     fresh = np.zeros(len(order), bool)
     for h in range(1, depth + 1):
         c = bwt[order]
@@ -59,7 +60,7 @@ def merge(shards: list[Shard], depth: int) -> tuple[np.ndarray, np.ndarray]:
         new = np.zeros(len(order), bool)
         new[1:] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
         order = back[order[move]]
-        block = np.cumsum(new)
+        block = np.cumsum(new, dtype=small)
         common[new & ~fresh] = h - 1
         fresh |= new
     common[:1] = 0

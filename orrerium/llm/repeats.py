@@ -29,12 +29,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orrerium.llm.bwt import Shard, merge
-from orrerium.llm.common import Rolling, materialise, mix, partitions, text_chunks
+from orrerium.llm.common import Rolling, materialise, mix, partitions, text_chunks, trim
 
 #: Bytes of a chunk of documents (a pass holds some hundred times as much), and the different hulls of a core beyond which its strings are dealt out by hash.
 CHUNK = 512 << 10
+#: Chunks whose cores make a bucket, and whose hulls do.
+BUCKET_CHUNKS = 16
 HOT_HULLS = 256
 GRAM = 8
+_UPPER = np.uint64(0xFFFFFFFF00000000)
 _WHOLE, _HULL, _EACH = 0, 1, 2
 
 
@@ -50,17 +53,19 @@ class Runs:
         self.least, self.slack = least, slack_for(least)
         self.core = least - self.slack
         self.rolling = Rolling(buf)
+        # The upper half of a gram's hash and its place in one number, so that the least of a window is a plain minimum.
         low = self.rolling.windows(max(1, min(GRAM, self.core)))
-        at = np.arange(len(low), dtype=np.int32 if len(low) < 2**31 else np.int64)
+        low &= _UPPER
+        low |= np.arange(len(low), dtype=np.uint64)
         step = 1
         while step < self.slack and len(low) > step:
-            less = low[step:] < low[:-step]
-            low, at = np.where(less, low[step:], low[:-step]), np.where(less, at[step:], at[:-step])
+            low = np.minimum(low[step:], low[:-step])
             step *= 2
-        ends = np.repeat(off[1:], np.diff(off))
-        start = np.flatnonzero(np.arange(len(buf)) + least <= ends)
-        start = start[start < len(at)]
-        anchor = at[start].astype(np.int64)
+        head = np.ones(len(low), bool)
+        for o, e in zip(off[:-1].tolist(), off[1:].tolist(), strict=True):
+            head[max(o, e - least + 1) : e] = False
+        start = np.flatnonzero(head)
+        anchor = (low[start] & ~_UPPER).astype(np.int64)
         new = np.ones(len(start), bool)
         # An anchor lies within its text, so runs of different texts have different anchors.
         new[1:] = anchor[1:] != anchor[:-1]
@@ -120,7 +125,7 @@ _FOUND = {"chunk": pa.int64(), "starts": pa.binary()}
 
 def _judge(group: pa.Table) -> pa.Table:
     """A bucket of cores: which runs are repeated whole, and which must send more."""
-    pa.default_memory_pool().release_unused()
+    trim()
     chunks, cores, hulls, runs = group.column("chunk").to_pylist(), *(_numbers(group.column(c), np.uint64) for c in ("core", "hull")), _numbers(group.column("run"), np.int32)
     who = np.repeat(np.arange(len(chunks)), [len(x) for x in cores])
     core, hull, run = np.concatenate(cores), np.concatenate(hulls), np.concatenate(runs)
@@ -149,6 +154,7 @@ def _judge(group: pa.Table) -> pa.Table:
 
 def _resolve(group: pa.Table, least: int) -> pa.Table:
     """A bucket of hulls, merged, or of single strings, counted: the repeated starts of each chunk."""
+    trim()
     chunks = group.column("chunk").to_pylist()
     out = []
     if group.column("kind")[0].as_py() == _EACH:
@@ -162,9 +168,9 @@ def _resolve(group: pa.Table, least: int) -> pa.Table:
     shards, starts = [], []
     cores = [np.frombuffer(x[:n], np.uint64) for x, n in ((c, int.from_bytes(c[-8:], "little")) for c in group.column("c").to_pylist())]
     every = np.unique(np.concatenate(cores))
-    for own, bwt, back, start in zip(cores, _numbers(group.column("a"), np.int64), _numbers(group.column("b"), np.int64), _numbers(group.column("d"), np.int64), strict=True):
+    for own, bwt, back, start in zip(cores, *(_numbers(group.column(c), np.int32) for c in "abd"), strict=True):
         # Cores are symbols beyond the bytes, in one order in all shards.
-        bwt = np.where(bwt > 256, 257 + np.searchsorted(every, own)[np.maximum(bwt - 257, 0)] if len(own) else bwt, bwt)
+        bwt = np.where(bwt > 256, 257 + np.searchsorted(every, own).astype(np.int32)[np.maximum(bwt - 257, 0)] if len(own) else bwt, bwt)
         shards.append(Shard(bwt, back, start))
         starts.append(start)
     order, common = merge(shards, depth)
@@ -175,7 +181,7 @@ def _resolve(group: pa.Table, least: int) -> pa.Table:
     start = np.concatenate(starts)[order]
     hit = twice & (start >= 0)
     who = np.repeat(np.arange(len(shards)), [len(s.bwt) for s in shards])[order]
-    out = [(chunks[w], start[hit & (who == w)].tobytes()) for w in np.unique(who[hit])]
+    out = [(chunks[w], start[hit & (who == w)].astype(np.int64).tobytes()) for w in np.unique(who[hit])]
     return _table(out, _FOUND)
 
 
@@ -194,7 +200,8 @@ def _shard(buf: np.ndarray, runs: Runs, at: np.ndarray, core: np.ndarray) -> tup
     for k, h in zip(at.tolist(), head.tolist(), strict=True):
         n = int(runs.last[k] - runs.first[k]) + 1
         text_start[h : h + n] = np.arange(runs.first[k], runs.first[k] + n)
-    return shard.bwt.tobytes(), shard.back.tobytes(), own.tobytes() + len(own.tobytes()).to_bytes(8, "little"), text_start[shard.at].tobytes()
+    bwt, back, at = (x.astype(np.int32).tobytes() for x in (shard.bwt, shard.back, text_start[shard.at]))
+    return bwt, back, own.tobytes() + len(own.tobytes()).to_bytes(8, "little"), at
 
 
 def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
@@ -208,7 +215,7 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
     chunks = materialise(_chunked(docs), "chunks")
-    buckets = partitions(spark)
+    buckets = max(partitions(spark), -(-chunks.count() // BUCKET_CHUNKS))
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,12 +223,13 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
                 core, hull = Runs(*_open(off, data), least).hashes()
                 for b, at in _by_bucket(core, buckets):
                     yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([chunk], pa.int64()), *(pa.array([x[at].tobytes()], pa.binary()) for x in (core, hull)), pa.array([at.astype(np.int32).tobytes()], pa.binary())], ["bucket", "chunk", "core", "hull", "run"])
+                trim()
 
     sent = chunks.select("chunk", "off", "data").mapInArrow(anchors, "bucket int, chunk long, core binary, hull binary, run binary")
     asked = materialise(sent.groupBy("bucket").applyInArrow(_judge, "chunk long, kind int, runs binary"), "runs")
 
     def send(key: tuple, mine: pa.Table, ask: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        trim()
         out: list[tuple] = []
         if len(mine) and len(ask):
             chunk, buf, off = key[0].as_py(), *_open(mine.column("off")[0].as_py(), mine.column("data")[0].as_py())
@@ -230,7 +238,7 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
             kinds, told = ask.column("kind").to_pylist(), _numbers(ask.column("runs"), np.int32)
             if hulls := [t for k, t in zip(kinds, told, strict=True) if k == _HULL]:
                 at = np.concatenate(hulls)
-                out += [(b, _HULL, chunk, *_shard(buf, runs, at[x], core[at[x]])) for b, x in _by_bucket(core[at], max(1, buckets // 4))]
+                out += [(b, _HULL, chunk, *_shard(buf, runs, at[x], core[at[x]])) for b, x in _by_bucket(core[at], buckets)]
             if each := [t for k, t in zip(kinds, told, strict=True) if k == _EACH]:
                 at = np.concatenate(each)
                 n = runs.last[at] - runs.first[at] + 1
@@ -245,7 +253,7 @@ def remove_repeats(docs: DataFrame, least: int = 400) -> DataFrame:
     replies = asked.where(F.col("kind") == _WHOLE).select("chunk", "runs", F.lit(None).cast("binary").alias("starts")).unionByName(found.select("chunk", F.lit(None).cast("binary").alias("runs"), "starts"))
 
     def finish(mine: pa.Table, told: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        trim()
         out: list[tuple] = []
         for ids, off, data in zip(*(mine.column(c).to_pylist() for c in ("ids", "off", "data")), strict=True):
             buf, off = _open(off, data)
