@@ -1,10 +1,11 @@
 """Subword lattice likelihood of documents.
 
-Each word's probability is the discounted count of the whole word plus the discount's mass times
-its lattice marginal: the sum over all segmentations into a public vocabulary's pieces, whose
-probabilities start from the vocabulary's scores and are re-estimated by expectation-maximisation
-on the training words. Words are independent and a word begins with a piece that begins with a
-space, so the text's forward recursion is the product of its words'.
+A word is a lattice from its start to its end. Its edges are the pieces of a public vocabulary, weighted by the vocabulary's
+scores (as re-estimated by one step of expectation-maximisation over all training words), and one edge over the whole word,
+weighted by its discounted training count; the discount's mass leads into the pieces. The marginal sums over all paths
+in log space. Words are independent and a word begins with a piece that begins with a space, so the text's forward
+recursion is the product of its words'. Expected counts start from the vocabulary alone and are summed over all parts, so
+no score depends on how the documents are dealt out.
 
 Counting doesn't broadcast the corpus's words. Documents are dealt into parts by a hash; each part
 packs its distinct words' training counts, by hash, into a block for each bucket; a bucket sums
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, partitions, text_chunks, words
+from orrerium.llm.common import LOWER, NOT_SPACE, Rolling, materialise, mix, partitions, text_chunks, trim, words
 from orrerium.llm.lattice import Pieces, marginals
 
 #: Bytes of text in a part, about.
@@ -80,7 +81,7 @@ def _dealt(docs: DataFrame) -> tuple[DataFrame, int]:
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(max(partitions(spark), -(-size // PART_BYTES)))
-    return docs.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")), n
+    return docs.withColumn("part", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n)).cast("int")), n
 
 
 def score(docs: DataFrame, model_file: str, folds: int = 5, held_out: int = 1) -> DataFrame:
@@ -97,7 +98,7 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, held_out: int = 1) -
     docs, buckets = _dealt(docs)
 
     def learn(group: pa.Table) -> pa.Table:
-        pa.default_memory_pool().release_unused()
+        trim()
         part, (text, held) = group.column("part")[0].as_py(), (group.column(c).combine_chunks() for c in ("text", "held_out"))
         train = ~held.to_numpy(zero_copy_only=False)
         lex = Lexicon(text, train)
@@ -107,7 +108,6 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, held_out: int = 1) -
         expected = np.zeros(len(p.raw))
         if len(c):
             _, expected = marginals(p, p.start, lex.buf, s, e, c)
-            _, expected = marginals(p, _reestimated(expected, train.sum()), lex.buf, s, e, c)
         # A block for each bucket: hashes and counts, and in bucket -1 the pieces' expected counts and the number of ends.
         h, c = np.append(lex.hash, END), np.append(lex.count, train.sum())
         b = (mix(h) % np.uint64(buckets)).astype(np.int64)
@@ -164,7 +164,7 @@ def score(docs: DataFrame, model_file: str, folds: int = 5, held_out: int = 1) -
     def judge(key: tuple, group: pa.Table, sent: pa.Table) -> pa.Table:
         if not len(group):
             return pa.table({"doc_id": pa.array([], pa.int64()), "held_out": pa.array([], pa.bool_()), "n_tokens": pa.array([], pa.int64()), "n_known": pa.array([], pa.int64()), "train_tokens": pa.array([], pa.int64()), "base_score": pa.array([], pa.float64()), "score": pa.array([], pa.float64())})
-        pa.default_memory_pool().release_unused()
+        trim()
         text, held = (group.column(c).combine_chunks() for c in ("text", "held_out"))
         lex = Lexicon(text, ~held.to_numpy(zero_copy_only=False))
         p = _pieces(model_file)
