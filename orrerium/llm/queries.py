@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.llm import language, lm, quality
@@ -50,23 +50,37 @@ def op4_lattice_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"), pieces_path(spark))
 
 
+def op4b_word_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of op4 SQL can state: folds, counts and the base score."""
+    return op4_lattice_lm(spark, sf_dir).drop("score").withColumn("base_score", F.round("base_score", 6))
+
+
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     quiet_arrow(spark, 2000)
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("kept")
 
 
 def op6_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page as a full response at the time of its id, and asked for again when all have been seen: the server
-    says not modified for the page's own validator, so pages that a later one of their canonical URL replaced mismatch."""
+    """Every page as a full response, two of which share a time, and as a revisit: at the time of its response, before it, soon
+    after it or long after. Which validators a capture bears goes by its id, so that each of them decides some, and none others."""
     pages = table(spark, sf_dir, "pages")
+    k = F.col("page_id")
     tag = F.md5(F.coalesce("html", F.lit("")).cast("binary"))
+    day = F.concat(F.lit("day "), (k % 3).cast("string"))
+    plain = {"content-type": F.lit("text/html"), "age": F.lit("0")}
+
+    def headers(etag: Column, modified: Column, digest: Column, **more: Column) -> Column:
+        named = {"etag": F.when(etag, tag), "last-modified": F.when(modified, day), "warc-payload-digest": F.when(digest, tag)} | {n.replace("_", "-"): v for n, v in more.items()}
+        return F.map_filter(F.create_map(*[x for n, v in named.items() for x in (F.lit(n), v)]), lambda _, v: v.isNotNull())
+
     full = pages.select(
-        F.format_string("r%d", "page_id").alias("record_id"), "url", F.col("page_id").alias("ts"), F.lit("response").alias("type"), F.lit(200).alias("status"),
-        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("text/html"), F.lit("age"), F.lit("0")).alias("headers"), F.col("html").cast("binary").alias("body"),
+        F.format_string("r%d", k).alias("record_id"), "url", (k - k % 2).alias("ts"), F.lit("response").alias("type"), F.lit(200).alias("status"),
+        headers(k % 5 != 0, k % 4 != 1, k % 7 != 0, **{n.replace("-", "_"): v for n, v in plain.items()}).alias("headers"), F.col("html").cast("binary").alias("body"),
     )
+    when = F.when(k % 4 == 0, k - k % 2).when(k % 4 == 1, k - 1 - k * 13 % 1000).when(k % 4 == 2, k + 1 + k * 37 % 1000).otherwise(k + 10**6)
     again = pages.select(
-        F.format_string("v%d", "page_id").alias("record_id"), "url", (F.col("page_id") + 10**12).alias("ts"), F.lit("revisit").alias("type"), F.lit(304).alias("status"),
-        F.create_map(F.lit("etag"), tag, F.lit("content-type"), F.lit("none"), F.lit("age"), F.col("page_id").cast("string")).alias("headers"), F.lit(None).cast("binary").alias("body"),
+        F.format_string("v%d", k).alias("record_id"), "url", when.alias("ts"), F.lit("revisit").alias("type"), F.lit(304).alias("status"),
+        headers(k % 3 == 0, k % 2 == 1, k % 9 < 5, content_type=F.lit("none"), age=k.cast("string")).alias("headers"), F.lit(None).cast("binary").alias("body"),
     )
     out = resolve(full.unionByName(again))
     return out.select("record_id", "canonical_url", "state", "source_id", F.octet_length("body").cast("long").alias("n_bytes"), F.md5("body").alias("body_md5"), F.col("headers")["content-type"].alias("content_type"), F.col("headers")["age"].alias("age"))
@@ -109,6 +123,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_packing": op2_packing,
         "op3_repeats": op3_repeats,
         "op4_lattice_lm": op4_lattice_lm,
+        "op4b_word_base": op4b_word_base,
         "op5_decontaminate": op5_decontaminate,
         "op6_warc_revisits": op6_warc_revisits,
         "op7_quality": op7_quality,
@@ -129,6 +144,14 @@ SELECT vec_id, coalesce(n.n, 0) AS n_links, least(vec_id, coalesce(m.b, vec_id))
 FROM v LEFT JOIN n ON n.a = vec_id LEFT JOIN m ON m.a = vec_id
 """
 
+OP4B_SQL = r"""
+WITH t AS (SELECT list(v ORDER BY i) AS v FROM (SELECT i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) AS r(i))),
+h AS (SELECT doc_id, xor(list_reduce(list_concat([4294967295], [CAST(ascii(x) AS BIGINT) FOR x IN string_split(CAST(doc_id AS VARCHAR), '')]), lambda c, b: xor(c >> 8, t.v[(xor(c, b) & 255) + 1])), 4294967295) % 5 = 1 AS held_out,
+  list_concat([x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+') IF x <> ''], [' ']) AS w FROM documents, t),
+k AS (SELECT doc_id, held_out, unnest(w) AS x FROM h), c AS (SELECT x, count(*) AS c FROM k WHERE NOT held_out GROUP BY x), n AS (SELECT CAST(sum(c) AS BIGINT) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c) AS n_known, n AS train_tokens, round(sum(log10((coalesce(c, 0) + 0.5) / (n + 0.5 * (v + 1)))), 6) AS base_score FROM k LEFT JOIN c USING (x), n GROUP BY doc_id, held_out, n
+"""
+
 OP5_SQL = r"""
 WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM documents),
 b AS (SELECT item_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS w FROM benchmark),
@@ -151,11 +174,16 @@ q AS (SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(u, '^(?:[a-zA
   regexp_replace(regexp_extract(u, '^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//[^/?]*([^?]*)', 1), '/+$', '') AS path,
   array_to_string(list_sort([x FOR x IN string_split(regexp_extract(u, '\?(.*)$', 1), '&') IF x <> '' AND NOT regexp_matches(x, '^(utm_[^=]*|ref|fbclid|gclid|sessionid)(=|$)')]), '&') AS query FROM p),
 c AS (SELECT page_id, html, host || path || CASE WHEN query <> '' THEN '?' || query ELSE '' END AS canonical_url FROM q),
-l AS (SELECT canonical_url, max(page_id) AS page_id FROM c WHERE html IS NOT NULL GROUP BY canonical_url),
-j AS (SELECT c.*, l.page_id AS source, s.html AS body, CASE WHEN l.page_id IS NULL THEN 'unmatched' WHEN md5(coalesce(c.html, '')) = md5(s.html) THEN 'resolved' ELSE 'mismatched' END AS state
-  FROM c LEFT JOIN l USING (canonical_url) LEFT JOIN pages s ON s.page_id = l.page_id)
-SELECT 'v' || page_id AS record_id, canonical_url, state, 'r' || source AS source_id, CASE WHEN state = 'resolved' THEN CAST(strlen(body) AS BIGINT) END AS n_bytes, CASE WHEN state = 'resolved' THEN md5(body) END AS body_md5,
-  CASE WHEN state = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN state = 'resolved' THEN CAST(page_id AS VARCHAR) END AS age FROM j
+k AS (SELECT *, page_id AS k, md5(coalesce(html, '')) AS tag, 'day ' || (page_id % 3) AS day FROM c),
+r AS (SELECT 'r' || k AS record_id, canonical_url, k - k % 2 AS ts, html AS body, CASE WHEN k % 5 <> 0 THEN tag END AS e, CASE WHEN k % 4 <> 1 THEN day END AS m, CASE WHEN k % 7 <> 0 THEN tag END AS d FROM k WHERE html IS NOT NULL),
+v AS (SELECT 'v' || k AS record_id, k, canonical_url, CASE k % 4 WHEN 0 THEN k - k % 2 WHEN 1 THEN k - 1 - k * 13 % 1000 WHEN 2 THEN k + 1 + k * 37 % 1000 ELSE k + 1000000 END AS ts,
+  CASE WHEN k % 3 = 0 THEN tag END AS e, CASE WHEN k % 2 = 1 THEN day END AS m, CASE WHEN k % 9 < 5 THEN tag END AS d FROM k),
+a AS (SELECT v.record_id, arg_max(r.record_id, {'ts': r.ts, 'id': r.record_id}) AS source_id FROM v JOIN r ON r.canonical_url = v.canonical_url AND r.ts < v.ts GROUP BY v.record_id),
+j AS (SELECT v.*, r.record_id AS source_id, r.body, CASE WHEN r.record_id IS NULL THEN 'unmatched' WHEN v.e IS NOT NULL AND r.e IS NOT NULL THEN CASE WHEN v.e = r.e THEN 'resolved' ELSE 'mismatched' END
+  WHEN v.m IS NOT NULL AND r.m IS NOT NULL THEN CASE WHEN v.m = r.m THEN 'resolved' ELSE 'mismatched' END WHEN v.d IS NOT NULL AND r.d IS NOT NULL THEN CASE WHEN v.d = r.d THEN 'resolved' ELSE 'mismatched' END ELSE 'unvalidated' END AS state
+  FROM v LEFT JOIN a USING (record_id) LEFT JOIN r ON r.record_id = a.source_id)
+SELECT record_id, canonical_url, state, source_id, CASE WHEN state = 'resolved' THEN CAST(strlen(body) AS BIGINT) END AS n_bytes, CASE WHEN state = 'resolved' THEN md5(body) END AS body_md5,
+  CASE WHEN state = 'resolved' THEN 'text/html' END AS content_type, CASE WHEN state = 'resolved' THEN CAST(k AS VARCHAR) END AS age FROM j
 """
 
 OP10_SQL = r"""
@@ -170,4 +198,4 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT mi
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op4b_word_base": OP4B_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL}

@@ -6,9 +6,12 @@ their validators agree, and its headers from that response with the permitted on
 
 from __future__ import annotations
 
+import contextlib
 import gzip
 import io
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -56,9 +59,10 @@ def resolve(captures: DataFrame) -> DataFrame:
     validators = ("etag", "last-modified", "warc-payload-digest")
     seen = F.struct("ts", "record_id", *[_said(F.col("headers"), v).alias(f"v{k}") for k, v in enumerate(validators)])
     slim = rows.select("record_id", "url", "canonical_url", "ts", "type", F.coalesce(full, F.lit(False)).alias("full"), F.when(F.col("type") == "revisit", F.col("headers")).alias("headers"), seen.alias("seen"))
-    lo, hi = slim.agg(F.min("ts"), F.max("ts")).first()
-    width = ((hi - lo) // SLICES + 1) if lo is not None else 1
-    slim = materialise(slim.withColumn("slice", F.floor((F.col("ts") - F.lit(lo if lo is not None else 0)) / width)), "captures")
+    slim = materialise(slim, "captures-slim")
+    # Borders are quantiles of the times, so that slices hold about as many captures each; a time is in one slice only.
+    borders = sorted({int(x) for x in slim.stat.approxQuantile("ts", [k / SLICES for k in range(1, SLICES)], 0.002)})
+    slim = materialise(slim.withColumn("slice", F.size(F.filter(F.array(*[F.lit(x).cast("long") for x in borders]).cast("array<long>"), lambda x: x <= F.col("ts")))), "captures")
     known = slim.where("canonical_url is not null and ts is not null")
     # The latest response by slice, then before each slice; at most SLICES rows a URL.
     last = known.where("full").groupBy("canonical_url", "slice").agg(F.max("seen").alias("last"))
@@ -86,15 +90,56 @@ def resolve(captures: DataFrame) -> DataFrame:
 
 
 def _records(raw: bytes) -> Iterator[tuple]:
-    """Records of a WARC file, its members gzipped or not. A record that is cut off ends the file."""
-    data = gzip.GzipFile(fileobj=io.BytesIO(raw)) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw)
-    f = io.BufferedReader(data)
+    """Records of a WARC file, its members gzipped or not.
+
+    A record that is cut off, a damaged gzip member and a length that is no number end the file; a date that is none is null.
+    """
+    with contextlib.suppress(_Damaged):
+        yield from _read(raw)
+
+
+class _Damaged(Exception):
+    """Where the next record begins can't be told."""
+
+
+class _Inflated(io.RawIOBase):
+    """The bytes of gzip members one after the other, up to where they can't be inflated."""
+
+    def __init__(self, raw: bytes):
+        self.raw, self.at, self.member, self.held = memoryview(raw), 0, None, b""
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, to) -> int:
+        while not self.held and self.at < len(self.raw):
+            if self.member is None:
+                self.member = zlib.decompressobj(31)
+            piece = self.raw[self.at : self.at + 4096]
+            try:
+                self.held = self.member.decompress(piece)
+            except zlib.error:
+                self.at = len(self.raw)
+                break
+            self.at += len(piece) - len(self.member.unused_data)
+            if self.member.eof:
+                self.member = None
+        n = min(len(to), len(self.held))
+        to[:n], self.held = self.held[:n], self.held[n:]
+        return n
+
+
+def _read(raw: bytes) -> Iterator[tuple]:
+    f = io.BufferedReader(_Inflated(raw) if raw[:2] == b"\x1f\x8b" else io.BytesIO(raw))
     while line := f.readline():
         if not line.startswith(b"WARC/"):
             continue
         if (head := _headers(f)) is None:
             return
-        size = int(head.get("content-length") or 0)
+        length = head.get("content-length") or "0"
+        if not (length.isascii() and length.isdigit()):
+            raise _Damaged
+        size = int(length)
         block = f.read(size)
         if len(block) < size:
             return
@@ -107,10 +152,15 @@ def _records(raw: bytes) -> Iterator[tuple]:
         if d := head.get("warc-payload-digest"):
             http["warc-payload-digest"] = d
         status = first.split()
-        from datetime import datetime
+        yield (head.get("warc-record-id"), head.get("warc-target-uri"), _micros(head.get("warc-date")), kind, int(status[1]) if len(status) > 1 and status[1].isdigit() else None, http, b.read() if kind == "response" else None)
+
 
-        when = datetime.fromisoformat((head.get("warc-date") or "1970-01-01T00:00:00Z").replace("Z", "+00:00"))
-        yield (head.get("warc-record-id"), head.get("warc-target-uri"), int(when.timestamp() * 1_000_000), kind, int(status[1]) if len(status) > 1 and status[1].isdigit() else None, http, b.read() if kind == "response" else None)
+def _micros(date: str | None) -> int | None:
+    try:
+        when = datetime.fromisoformat((date or "").replace("Z", "+00:00"))
+    except ValueError:
+        return None
+    return int((when if when.tzinfo else when.replace(tzinfo=UTC)).timestamp() * 1_000_000)
 
 
 def _headers(f: io.BufferedIOBase) -> dict[str, str] | None:
