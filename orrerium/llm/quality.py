@@ -59,15 +59,15 @@ def statistics(buf: np.ndarray, off: np.ndarray) -> np.ndarray:
     lines, again = np.bincount(lr, minlength=n), np.bincount(lr[order][twice], minlength=n)
     upper, lower = count((buf > 64) & (buf < 91)), count((buf > 96) & (buf < 123))
     with np.errstate(all="ignore"):
-        out[:] = np.array([count(~_PLAIN[buf]) / size, upper / (upper + lower), count((buf == 33) | (buf == 63)) / w, w, size / w, kinds / np.minimum(w, 2000), again / lines, count(buf == 124) / w]).T
+        out[:] = np.array([count(~_PLAIN[buf]) / size, upper / (upper + lower), count((buf == 33) | (buf == 63)) / w, w, size / w, np.log(kinds) / np.log(w), again / lines, count(buf == 124) / w]).T
     out[~some] = np.nan
     return out
 
 
 def votes(s: np.ndarray) -> np.ndarray:
     """-1 bad, 0 abstains, 1 good, of every labeller; nan abstains."""
-    bad = np.array([s[:, 0] > 0.08, s[:, 1] > 0.5, s[:, 2] > 0.3, s[:, 3] < 2, (s[:, 4] < 1.5) | (s[:, 4] > 25), (s[:, 5] < 0.25) & (s[:, 3] > 20), s[:, 6] > 0.3, s[:, 7] > 0.3])
-    good = np.array([s[:, 0] < 0.01, s[:, 1] < 0.15, s[:, 2] < 0.08, s[:, 3] > 20, (s[:, 4] > 2.5) & (s[:, 4] < 12), s[:, 5] > 0.3, (s[:, 6] < 0.1), s[:, 7] < 0.02])
+    bad = np.array([s[:, 0] > 0.08, s[:, 1] > 0.5, s[:, 2] > 0.3, s[:, 3] < 2, (s[:, 4] < 1.5) | (s[:, 4] > 25), (s[:, 5] < 0.6) & (s[:, 3] > 20), s[:, 6] > 0.3, s[:, 7] > 0.3])
+    good = np.array([s[:, 0] < 0.01, s[:, 1] < 0.15, s[:, 2] < 0.08, s[:, 3] > 20, (s[:, 4] > 2.5) & (s[:, 4] < 12), (s[:, 5] > 0.65), (s[:, 6] < 0.1), s[:, 7] < 0.02])
     return (good.astype(np.int8) - bad.astype(np.int8)).T
 
 
@@ -114,14 +114,15 @@ def accuracies(patterns: np.ndarray, weight: np.ndarray, rounds: int = ROUNDS) -
 def fit(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 2.0, decay: float = 1e-5) -> np.ndarray:
     """Logistic regression on soft labels by accelerated gradient descent; the last weight is the bias."""
     x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    w = np.zeros(x.shape[1])
+    y = y.astype(np.float32)
+    w = np.zeros(x.shape[1], np.float32)
     v = w.copy()
     for _ in range(rounds):
-        at = w + 0.9 * v
-        g = x.T @ (1 / (1 + np.exp(-(x @ at))) - y) / len(x) + decay * at
-        v = 0.9 * v - rate * g
+        at = w + np.float32(0.9) * v
+        g = x.T @ (1 / (1 + np.exp(-(x @ at))) - y) / np.float32(len(x)) + np.float32(decay) * at
+        v = np.float32(0.9) * v - np.float32(rate) * g
         w = w + v
-    return w
+    return w.astype(np.float64)
 
 
 def _pattern(v: np.ndarray) -> np.ndarray:
