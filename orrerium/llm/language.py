@@ -5,7 +5,6 @@ host, smoothed towards those of its address suffix and these towards the corpus.
 grouped counts over the whole corpus.
 """
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +25,7 @@ SMOOTHING_TRIGRAMS = 500.0
 MOST_LANGUAGES = 200
 #: A text is kept if its language is this likely.
 CONFIDENCE = 0.5
+RESULT = ("text_lang", "language", "confidence", "accepted")
 
 
 def _trigrams(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -81,7 +81,7 @@ def _array(cols: list[Column]) -> Column:
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str = "lang", host: str = "source") -> DataFrame:
-    """All columns of docs plus text_lang, language, confidence and accepted.
+    """All columns of docs plus text_lang, language, confidence and accepted (which replace columns of docs of those names).
 
     docs: text, a column of declared languages and one of hosts (either may be null in any row). Texts of under three
     bytes have no likelihood of their own and go by the other evidence; null and blank ones are never accepted. A declared value
@@ -118,29 +118,37 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray], declared: str
     said = np.log(said / said.sum(0))
     # Row -1 is a missing or unknown declaration, 0 an other one.
     evidence = F.create_map(*[x for s in range(-1, n + 1) for x in (F.lit(s), _array([F.lit(float(v)) for v in said[s]]))])
-    priors = materialise(_priors(seen, n), "host-priors")
-    rows = rows.join(priors, "_zzhost", "left")
-    flat = _array([F.lit(-math.log(n))] * n)
-    score = F.zip_with(F.zip_with("_zzll", evidence[F.col("_zzsaid")], lambda a, b: a + b), F.coalesce("_zzprior", flat), lambda a, b: a + b)
+    counts, priors_of_all = _host_counts(seen, n)
+    rows = rows.join(materialise(counts, "host-counts"), "_zzhost", "left")
+    # A text's own guess is evidence already: its host and suffix speak without it.
+    whole = _array([F.lit(float(x)) for x in priors_of_all])
+    own = F.when(F.col("_zzguess").isNotNull(), 1.0).otherwise(0.0)
+
+    def prior(c: Column, i: Column) -> Column:
+        me = F.when(F.col("_zzguess") == i + 1, 1.0).otherwise(0.0)
+        parent = (F.get("_zzsuffix", i) - me + SMOOTHING * F.get(whole, i)) / (F.col("_zzsuffixes") - own + SMOOTHING)
+        return F.log((c - me + SMOOTHING * parent) / (F.col("_zzhosts") - own + SMOOTHING))
+
+    score = F.zip_with(F.zip_with("_zzll", evidence[F.col("_zzsaid")], lambda a, b: a + b), F.transform("_zzcounts", prior), lambda a, b: a + b)
     rows = rows.withColumn("_zzscore", score).withColumn("_zztop", F.array_max("_zzscore"))
     at = F.array_position("_zzscore", F.col("_zztop"))
     total = F.aggregate("_zzscore", F.lit(0.0), lambda acc, x: acc + F.exp(x - F.col("_zztop")))
     spelled = [F.lit(x) for x in names]
-    own, most = ([F.lit("other")], [F.col(declared).cast("string")]) if n > len(names) else ([], [])
-    rows = rows.withColumns({"text_lang": F.element_at(_array(spelled + own), F.col("_zzguess")), "language": F.element_at(_array(spelled + most), at.cast("int")), "confidence": 1.0 / total})
+    others, most = ([F.lit("other")], [F.col(declared).cast("string")]) if n > len(names) else ([], [])
+    # The declared value is read before a column of its name is replaced.
+    rows = rows.withColumn("_zzfound", F.struct(F.element_at(_array(spelled + others), F.col("_zzguess")).alias("text_lang"), F.element_at(_array(spelled + most), at.cast("int")).alias("language"), (1.0 / total).alias("confidence")))
+    rows = rows.withColumns({c: F.col(f"_zzfound.{c}") for c in RESULT[:3]})
     rows = rows.withColumn("accepted", (F.col("confidence") >= CONFIDENCE) & (F.octet_length(F.trim(F.coalesce("text", F.lit("")))) > 0))
-    return rows.select(*docs.columns, "text_lang", "language", "confidence", "accepted")
+    return rows.select(*[c for c in docs.columns if c not in RESULT], *RESULT)
 
 
-def _priors(rows: DataFrame, n: int) -> DataFrame:
-    """(_zzhost, _zzprior): log prior of each language by host."""
+def _host_counts(rows: DataFrame, n: int) -> tuple[DataFrame, np.ndarray]:
+    """(guesses of each language by host and by its suffix with their sums, the share of each language in all)."""
     counts = [F.sum(F.when(F.col("_zzguess") == k + 1, 1.0).otherwise(0.0)).alias(f"n{k}") for k in range(n)]
     hosts = materialise(rows.groupBy("_zzhost").agg(*counts).withColumn("suffix", F.regexp_extract("_zzhost", r"\.([^.]+)$", 1)), "hosts")
     suffixes = hosts.groupBy("suffix").agg(*[F.sum(f"n{k}").alias(f"s{k}") for k in range(n)])
     total = hosts.agg(*[F.sum(f"n{k}") for k in range(n)]).first()
     t = np.array([x or 0.0 for x in total]) + 1.0
-    t /= t.sum()
-    s_all, h_all = sum((F.col(f"s{k}") for k in range(n)), F.lit(0.0)), sum((F.col(f"n{k}") for k in range(n)), F.lit(0.0))
-    parent = [(F.col(f"s{k}") + SMOOTHING * float(t[k])) / (s_all + SMOOTHING) for k in range(n)]
-    smoothed = [F.log((F.col(f"n{k}") + SMOOTHING * parent[k]) / (h_all + SMOOTHING)) for k in range(n)]
-    return hosts.join(suffixes, "suffix").select("_zzhost", _array(smoothed).alias("_zzprior"))
+    columns = {"_zzcounts": [F.col(f"n{k}") for k in range(n)], "_zzsuffix": [F.col(f"s{k}") for k in range(n)]}
+    both = hosts.join(suffixes, "suffix").select("_zzhost", *[_array(c).alias(name) for name, c in columns.items()], *[sum(c, F.lit(0.0)).alias(name) for name, c in (("_zzhosts", columns["_zzcounts"]), ("_zzsuffixes", columns["_zzsuffix"]))])
+    return both, t / t.sum()
