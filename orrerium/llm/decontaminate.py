@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from orrerium.llm.common import ALNUM, LOWER, Rolling, materialise, mix, text_chunks, words
 
-#: Bytes of benchmark text that are broadcast; more go the way of a join.
-BROADCAST_BYTES = 64 << 20
+#: Bytes of benchmark text that are broadcast (a worker holds about six times as much); more go the way of a join.
+BROADCAST_BYTES = 16 << 20
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 REPORT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, kept string"
@@ -37,26 +37,36 @@ def _window_hash(h: np.ndarray, n: int) -> np.ndarray:
 
 
 class Windows:
-    """Windows of benchmark items: by length, their sorted hashes and their exact words."""
+    """Windows of benchmark items: by length, their hashes in order, and where each window's words stand in `text`."""
 
     def __init__(self, items: list[tuple[object, str | None]], n: int):
-        self.exact: dict[bytes, set[str]] = defaultdict(set)
-        hashes: dict[int, set[int]] = defaultdict(set)
-        for item, text in items:
+        self.names = [None if item is None else str(item) for item, _ in items]
+        parts, upto, held = [], 0, defaultdict(list)
+        for who, (_, text) in enumerate(items):
             for _, _, buf, off in text_chunks(pa.array([text], pa.string())):
                 b = LOWER[buf]
                 start, end, _ = words(b, off, ALNUM)
                 if not len(start):
                     continue
-                size = min(n, len(start))
-                raw = b.tobytes()
-                ws = [raw[s:e] for s, e in zip(start, end, strict=True)]
-                for k, h in enumerate(_window_hash(Rolling(b).spans(start, end), size).tolist()):
-                    hashes[size].add(h)
-                    who = self.exact[b" ".join(ws[k : k + size])]
-                    if item is not None:
-                        who.add(str(item))
-        self.hashes = {k: np.array(sorted(v), np.uint64) for k, v in hashes.items()}
+                size, raw = min(n, len(start)), b.tobytes()
+                parts.append(b" ".join([raw[s:e] for s, e in zip(start.tolist(), end.tolist(), strict=True)]) + b" ")
+                first = upto + np.cumsum(end - start + 1) - (end - start + 1)
+                h = _window_hash(Rolling(b).spans(start, end), size)
+                held[size].append((h, first[: len(h)], first[size - 1 :] + (end - start)[size - 1 :], np.full(len(h), who, np.int32)))
+                upto += len(parts[-1])
+        self.text = b"".join(parts)
+        self.by_size = {}
+        for size, found in held.items():
+            cols = [np.concatenate([f[k] for f in found]) for k in range(4)]
+            order = np.argsort(cols[0], kind="stable")
+            self.by_size[size] = tuple(c[order] for c in cols)
+
+    def owners(self, size: int, h: int, window: bytes) -> set[str] | None:
+        """The items that have the window; None if it only shares a hash, or no item has it."""
+        hashes, begin, end, who = self.by_size[size]
+        lo, hi = np.searchsorted(hashes, np.uint64(h)), np.searchsorted(hashes, np.uint64(h), "right")
+        equal = [k for k in range(lo, hi) if self.text[begin[k] : end[k]] == window]
+        return {self.names[who[k]] for k in equal} - {None} if equal else None
 
 
 def _mark(found: Windows, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, dict[int, set[str]]]:
@@ -68,13 +78,13 @@ def _mark(found: Windows, buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray,
     if len(start):
         h = Rolling(b).spans(start, end)
         raw = b.tobytes()
-        for size, known in found.hashes.items():
+        for size, (known, *_) in found.by_size.items():
             w = _window_hash(h, size)
             if not len(w):
                 continue
             at = np.minimum(np.searchsorted(known, w), len(known) - 1)
             for i in np.flatnonzero((known[at] == w) & (row[: len(w)] == row[size - 1 :])).tolist():
-                who = found.exact.get(b" ".join([raw[s:e] for s, e in zip(start[i : i + size].tolist(), end[i : i + size].tolist(), strict=True)]))
+                who = found.owners(size, int(w[i]), b" ".join([raw[s:e] for s, e in zip(start[i : i + size].tolist(), end[i : i + size].tolist(), strict=True)]))
                 if who is not None:
                     step[i] += 1
                     step[i + size] -= 1
