@@ -1,6 +1,7 @@
 """Each stage on its own input, and all of them."""
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -19,6 +20,38 @@ def test_stages(spark, sf_dir):
     assert packed.select("doc_id").distinct().count() == counts[-1]
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def odd(spark, texts):
+    return spark.createDataFrame([(d, t, "en", None, None if t is None else len(t)) for d, t in texts], SCHEMA).withColumn("row", F.lit("clash"))
+
+
+def test_stages_on_nothing(spark, sf_dir):
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, spark.createDataFrame([], SCHEMA), sf_dir).count() == 0
+
+
+def test_rows_of_one_id_or_none_are_documents_of_their_own(spark, sf_dir):
+    said = " ".join(f"tale{k}" for k in range(80))
+    other = " ".join(f"story{k}" for k in range(80))
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet").where("length(text) > 80").first().text
+    kept = corpus_pipeline.drop_near_copies(spark, odd(spark, [(5, said), (5, other), (None, said), (None, said + " more"), (9, other), (10, None), (11, None), (12, "")]), sf_dir).collect()
+    assert sorted(r.text or "" for r in kept) == ["", "", "", other, said]
+    clean = corpus_pipeline.drop_contaminated(spark, odd(spark, [(5, said), (5, f"{said} {benchmark}"), (None, benchmark), (None, other), (10, None)]), sf_dir).collect()
+    assert sorted(r.text or "" for r in clean) == ["", other, said]
+    cut = corpus_pipeline.cut_repeats(spark, odd(spark, [(None, f"begin {said}"), (None, f"start {said}"), (5, other), (5, None)]), sf_dir).collect()
+    assert sorted((r.text or "")[:6] for r in cut) == ["", "begin", "start", "story0"] and all("tale40" not in (r.text or "") for r in cut)
+
+
+def test_a_stage_leaves_others_tables_alone(spark, sf_dir):
+    from orrerium.llm.queries import queries
+
+    waiting = queries()["op6_warc_revisits"](spark, sf_dir)
+    corpus_pipeline.run(spark, sf_dir)
+    assert waiting.count() > 0
+
+
 def test_passages_of_over_50_words_are_cut(spark, sf_dir):
     said = " ".join(f"{chr(97 + k % 26)}{k:04d}" for k in range(54))
     own = [" ".join(f"{d}word{k}" for k in range(60)) for d in "xyz"]

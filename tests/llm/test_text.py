@@ -129,6 +129,56 @@ def test_likelihoods(spark):
     assert lm.score(spark.createDataFrame([], "doc_id long, text string"), PIECES).count() == 0
 
 
+def scored_by_hand(docs, path):
+    """One step of expectation-maximisation on the vocabulary, then each word's paths through its lattice, all of them walked."""
+    p = Pieces(path)
+    up = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = {d: [w.encode() for w in re.split(r"[\x20\x09-\x0d]+", (t or "").translate(up)) if w] for d, t in docs}
+    train = [d for d in words if d is None or zlib.crc32(str(d).encode()) % 5 != 1]
+    c = collections.Counter(w for d in train for w in words[d])
+
+    def paths(full):
+        for cuts in itertools.product([0, 1], repeat=len(full) - 1):
+            at = [0, *(i + 1 for i, x in enumerate(cuts) if x), len(full)]
+            yield [full[a:b] for a, b in itertools.pairwise(at)]
+
+    place = {r: k for k, r in enumerate(p.raw)}
+    expected = np.zeros(len(p.raw))
+    for w, n in c.items():
+        all_ = [[place[x] for x in parts] for parts in paths(b" " + w) if all(x in place for x in parts)]
+        weight = np.array([math.exp(sum(p.start[k] for k in parts)) for parts in all_])
+        for parts, x in zip(all_, weight / weight.sum() * n, strict=True):
+            for k in parts:
+                expected[k] += x
+    ends = len(train)
+    logp = np.log((expected + 0.1) / (expected.sum() + 0.1 * len(expected) + ends + 1))
+    n, kinds = sum(c.values()) + ends, len(c) + 1
+    counts = [*c.values(), ends]
+    ones, twos = counts.count(1), counts.count(2)
+    discount = ones / (ones + 2 * twos) if ones else 0.5
+    out = {}
+    for d, ws in words.items():
+        total = math.log10(max(ends - discount, 0) / n)
+        for w in ws:
+            spelt = sum(math.exp(sum(logp[place[x]] for x in parts)) for parts in paths(b" " + w) if all(x in place for x in parts))
+            total += math.log10(max(c[w] - discount, 0) / n + discount * kinds / n * spelt)
+        out[d] = total
+    return out
+
+
+def test_scores_are_sums_over_all_paths_however_documents_are_dealt(spark):
+    rnd = random.Random(9)
+    docs = [(k, " ".join(rnd.choice(["The", "tion", "ine", "é", f"w{rnd.randrange(30)}"]) for _ in range(rnd.randrange(0, 20)))) for k in range(40)] + [(70, None), (71, "")]
+    want, old = scored_by_hand(docs, PIECES), spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for parts in ("2", "11"):
+            spark.conf.set("spark.sql.shuffle.partitions", parts)
+            for r in lm.score(spark.createDataFrame(docs, "doc_id long, text string"), PIECES).collect():
+                assert r.score == pytest.approx(want[r.doc_id], abs=1e-9)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
+
+
 def rare_languages(spark):
     words = {"en": "the house and street with them".split(), "fr": "une maison dans les rues avec".split(), "fi": "yksi talo kadulla heidän kanssaan".split(), "eu": "etxe bat kalean haiekin batera".split()}
     rows, n = [], 0
@@ -170,6 +220,64 @@ def test_language_of_odd_texts(spark):
     assert language.identify(empty, language.train(empty)).count() == 0
 
 
+def test_language_replaces_columns_of_its_names_and_leaves_a_text_out_of_its_priors(spark):
+    words = {"en": "the house and street with them", "fr": "une maison dans les rues avec"}
+    rows = [(k, words[x], x, f"{x}.example", "was", 7) for k, x in enumerate(["en", "fr"] * 40)] + [(100, words["fr"], "en", "lone.example", "was", 7)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, language string, confidence int")
+    got = language.identify(docs, language.train(docs))
+    assert sorted(got.columns) == sorted({*docs.columns, "text_lang", "accepted"})
+    by = {r.doc_id: r for r in got.collect()}
+    assert by[0].language == "en" and by[1].language == "fr" and 0 < by[100].confidence < 1
+    declared = language.identify(docs.drop("lang"), language.train(docs), declared="language")
+    assert declared.count() == len(rows)
+
+
+def identified_by_hand(rows, names, logp):
+    """(language, confidence) of each row: text, declared value and leave-one-out host priors, number by number."""
+    n = len(names)
+    ll, guess = [], []
+    for text, _, _ in rows:
+        buf = np.frombuffer((text or "").encode(), np.uint8)
+        _, t = language._trigrams(buf, np.array([0, len(buf)]))
+        ll.append(logp[:, t].sum(1) * language.TEMPER)
+        guess.append(int(ll[-1].argmax()) if len((text or "").strip(" ").encode()) > 2 else None)
+    said = [-1 if d is None else names.index(d.lower()) + 1 if d.lower() in names else 0 for _, d, _ in rows]
+    table = np.full((n + 2, n), 0.5)
+    for g, d in zip(guess, said, strict=True):
+        if g is not None:
+            table[d, g] += 1
+    table = np.log(table / table.sum(0))
+    hosts = [(h or "").lower() for _, _, h in rows]
+    suffix = [h.rpartition(".")[2] if "." in h else "" for h in hosts]
+    whole = np.array([sum(g == k for g in guess) for k in range(n)]) + 1.0
+    whole /= whole.sum()
+    out = []
+    for i in range(len(rows)):
+        def counts(keys):
+            return np.array([sum(1 for j in range(len(rows)) if j != i and keys[j] == keys[i] and guess[j] == k) for k in range(n)], float)
+
+        parent = (counts(suffix) + language.SMOOTHING * whole) / (counts(suffix).sum() + language.SMOOTHING)
+        prior = (counts(hosts) + language.SMOOTHING * parent) / (counts(hosts).sum() + language.SMOOTHING)
+        score = ll[i] + table[said[i]] + np.log(prior)
+        out.append((names[int(score.argmax())], float(1 / np.exp(score - score.max()).sum())))
+    return out
+
+
+def test_language_is_the_fusion_of_its_evidence(spark):
+    rnd = random.Random(2)
+    words = {"en": "the house and street with them".split(), "fr": "une maison dans les rues avec".split(), "de": "das haus und die strasse mit".split()}
+    rows = []
+    for _ in range(90):
+        x = rnd.choice(list(words))
+        rows.append((" ".join(rnd.choice(words[rnd.choice(list(words)) if rnd.random() < 0.3 else x]) for _ in range(rnd.randrange(0, 5))), rnd.choice([x, x, "EN", None, "xx"]), rnd.choice([f"{x}.example", f"a.{x}", "local", None])))
+    rows += [(None, "fr", "a.fr"), ("ok", None, None)]
+    docs = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "doc_id long, text string, lang string, source string")
+    names, logp = language.train(docs)
+    got = {r.doc_id: (r.language, r.confidence) for r in language.identify(docs, (names, logp)).collect()}
+    for k, (name, sure) in enumerate(identified_by_hand(rows, names, logp)):
+        assert got[k][1] == pytest.approx(sure) and (got[k][0] == name or sure < 0.51)
+
+
 def test_em_finds_faults_that_do_not_overlap():
     rng = np.random.default_rng(0)
     fault = rng.integers(0, 15, 6000)  # faults 0 to 2, each a fifteenth of all
@@ -257,6 +365,43 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.read_warc(spark, f"file://{tmp_path}/b.warc").count() == 1
 
 
+def test_damaged_warc_files_end_where_they_are_damaged(spark, tmp_path):
+    one, two = (warc.warc_record(f"<{k}>", f"http://a/{k}", date, "response", 200, {}, b"x") for k, date in ((1, "no date"), (2, "2024-01-01T00:00:00Z")))
+    (tmp_path / "a.warc.gz").write_bytes(one + two[:20] + b"garbage" + two[27:])
+    (tmp_path / "b.warc").write_bytes(gzip.decompress(one) + gzip.decompress(two).replace(b"Content-Length: ", b"Content-Length: x"))
+    (tmp_path / "c.warc").write_bytes(b"")
+    for name, n in (("a.warc.gz", 1), ("b.warc", 1), ("c.warc", 0)):
+        got = warc.read_warc(spark, f"file://{tmp_path}/{name}").collect()
+        assert [(r.record_id, r.ts) for r in got] == [("<1>", None)][:n]
+
+
+def test_revisits_match_the_latest_earlier_response(spark):
+    rnd = random.Random(6)
+    rows = [(f"r{k:03d}", f"http://a.com/{rnd.randrange(6)}", rnd.randrange(40), "response", 200, {"etag": str(rnd.randrange(3))}, b"b") for k in range(120)]
+    rows += [(f"v{k:03d}", f"http://a.com/{rnd.randrange(7)}", rnd.randrange(45), "revisit", 304, {"etag": str(rnd.randrange(3))}, None) for k in range(200)]
+    got = {r.record_id: (r.state, r.source_id) for r in warc.resolve(spark.createDataFrame(rows, warc.RECORD)).collect()}
+    for i, url, ts, kind, _, headers, _ in rows:
+        if kind == "revisit":
+            earlier = max(((r[2], r[0], r[5]["etag"]) for r in rows if r[3] == "response" and r[1] == url and r[2] < ts), default=None)
+            want = ("unmatched", None) if earlier is None else ("resolved" if earlier[2] == headers["etag"] else "mismatched", earlier[1])
+            assert got[i] == want
+
+
+def test_empty_tables_and_very_long_texts(spark):
+    long = " ".join(f"word{k}" for k in range(400_000))
+    docs = spark.createDataFrame([(1, long), (2, None), (3, "")], "doc_id long, text string").withColumns({"lang": F.lit("en"), "source": F.lit("s"), "score": F.lit(1)})
+    items = spark.createDataFrame([(7, "word5 word6 word7 word8 word9 word10 word11 word12 word13 word14 word15")], "item_id long, text string")
+    assert {r.doc_id: r.n_hit for r in decontaminate.decontaminate(docs, items).collect()} == {1: 11, 2: 0, 3: 0}
+    assert {r.doc_id: r.n_tokens for r in lm.score(docs, PIECES).collect()} == {1: 400_001, 2: 1, 3: 1}
+    packed = packing.pack_documents(docs, WORDS).groupBy("doc_id").agg(F.sum("length").alias("n"), F.max("length").alias("m")).collect()
+    assert {r.doc_id for r in packed} == {1, 2, 3} and max(r.m for r in packed) == 2048
+    assert quality.score(docs).count() == 3 and language.identify(docs, language.train(docs)).count() == 3
+    none = docs.limit(0)
+    assert decontaminate.decontaminate(none, items.limit(0)).count() == packing.pack_documents(none, WORDS).count() == quality.score(none).count() == 0
+    pages = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html.main_text(pages).count() == 0
+
+
 def test_sql_names_are_queries():
     from orrerium.llm.queries import queries
 
