@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.llm import language
-from orrerium.llm.common import materialise, quiet_arrow, release, split_by_ids, table
+from orrerium.llm.common import materialise, quiet_arrow, remove, split_by_ids, step, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
@@ -26,48 +26,56 @@ SHINGLE, SHARE, OF = 5, 80, 100
 PASSAGE = 200
 
 
-def _begin(spark: SparkSession) -> None:
-    """A stage starts when the one before it has been written, so that one's own tables can go."""
-    quiet_arrow(spark, 2000)
-    release(spark)
+def _numbered(docs: DataFrame) -> DataFrame:
+    """docs with a unique `row`: the id where ids are unique and not null, else a number that is written with the rows."""
+    odd = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 or doc_id is null").limit(1).count()
+    if not odd:
+        return docs.withColumn("row", F.col("doc_id").cast("long"))
+    return materialise(docs.withColumn("row", F.monotonically_increasing_id()), "numbered")
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told with confidence; lang becomes that language. Blank texts go."""
-    _begin(spark)
+    quiet_arrow(spark, 2000)
     found = language.identify(docs, language.train(docs)).where("accepted")
     return found.withColumn("lang", F.col("language")).select(*COLUMNS)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of near copies: that of the smallest id, once. Rows without an id stay."""
-    _begin(spark)
-    gone = materialise(ngram_join(docs, SHINGLE, SHARE, OF).where("doc_id <> component_id").select("doc_id").distinct(), "copies")
-    twice = docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    maybe, rest = split_by_ids(docs, gone.unionByName(twice), "doc_id")
-    return maybe.join(gone, "doc_id", "left_anti").dropDuplicates(["doc_id"]).select(*COLUMNS).unionByName(rest.select(*COLUMNS))
+    """One document of each component of near copies: that of the smallest id. Rows without an id or with another row's id are
+    documents of their own (the first of them stands for its component); blank texts are no copies of each other."""
+    quiet_arrow(spark, 2000)
+    docs = _numbered(docs)
+    found = ngram_join(docs.select(F.col("row").alias("doc_id"), "text"), SHINGLE, SHARE, OF)
+    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "copies")
+    maybe, rest = split_by_ids(docs, gone, "row")
+    return maybe.join(gone, "row", "left_anti").select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, without the passages that repeat among them; rows without an id keep their text."""
-    _begin(spark)
-    cut = materialise(remove_repeats(docs, PASSAGE).where("n_removed > 0").select("doc_id", "kept"), "cut")
-    maybe, rest = split_by_ids(docs, cut.select("doc_id"), "doc_id")
+    """All documents, without the passages that repeat among them."""
+    quiet_arrow(spark, 2000)
+    docs = _numbered(docs)
+    cut = materialise(remove_repeats(docs.select(F.col("row").alias("doc_id"), "text"), PASSAGE).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept"), "cut")
+    maybe, rest = split_by_ids(docs, cut.select("row"), "row")
     text = F.coalesce("kept", "text")
-    changed = maybe.join(cut, "doc_id", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
+    changed = maybe.join(cut, "row", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))
     return changed.unionByName(rest.select(*COLUMNS))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no window of the benchmark."""
-    _begin(spark)
-    hit = decontaminate(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id")
-    return docs.join(hit, "doc_id", "left_anti").select(*COLUMNS)
+    """Documents that hold no window of the benchmark; rows of one id, or of none, are judged one by one."""
+    quiet_arrow(spark, 2000)
+    docs = _numbered(docs)
+    hit = decontaminate(docs.select(F.col("row").alias("doc_id"), "text"), table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("row"))
+    hit = materialise(hit, "contaminated")
+    maybe, rest = split_by_ids(docs, hit, "row")
+    return maybe.join(hit, "row", "left_anti").select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of training sequences."""
-    _begin(spark)
+    quiet_arrow(spark, 2000)
     return pack_documents(docs, tokenizer_path(spark))
 
 
@@ -84,8 +92,9 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialise(docs, f"pipeline-{k}-{name}", keep=True)
-    return docs
+    for k, (name, stage) in enumerate(STAGES[:-1]):
+        with step() as held:
+            docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}", keep=True)
+        for path in held:  # what the stage wrote on its way: its result has been written
+            remove(spark, path)
+    return STAGES[-1][1](spark, docs, sf_dir)
