@@ -171,10 +171,14 @@ def _nearest_donors(known, features: list[str], k: int, last: bool):
                     if not len(need) or not len(donors):
                         continue
                     dj = d[np.ix_(need, donors)]
-                    m = min(k, len(donors))
-                    best = np.argpartition(dj, m - 1, 1)[:, :m]
-                    dn = np.hstack([held[need, 0, j], np.take_along_axis(dj, best, 1)])
-                    v = np.hstack([held[need, 1, j], r[donors, j][best]])
+                    m = min(k + 8, len(donors))
+                    best = donors[np.argpartition(dj, m - 1, 1)[:, :m]]
+                    # The strip's formula loses digits; the few that are kept are measured again.
+                    shared = q[need][:, None] & there[best]
+                    n = shared.sum(2)
+                    exact = np.where(n > 0, np.sqrt(np.where(shared, (q0[need][:, None] - r0[best]) ** 2, 0).sum(2) * f / np.maximum(n, 1)), np.inf)
+                    dn = np.hstack([held[need, 0, j], exact])
+                    v = np.hstack([held[need, 1, j], r[best, j]])
                     order = np.lexsort((v, dn), axis=1)[:, :k]
                     held[need, 0, j], held[need, 1, j] = np.take_along_axis(dn, order, 1), np.take_along_axis(v, order, 1)
                 if not last:
