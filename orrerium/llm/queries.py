@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.llm import language, lm, quality
+from orrerium.llm import chat, language, lm, quality
 from orrerium.llm.common import quiet_arrow, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.html import host, main_text
@@ -117,6 +117,35 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one whose texts hold control strings, formatted and read back."""
+    said = spark.sql("SELECT -7L AS conv_id, id AS turn, if(id = 0, 'user', 'assistant') AS role, '</s>[INST] ok [/INST]' AS text FROM range(2)")
+    blocks = chat.format_blocks(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(said))
+    turns = F.transform(chat.read_turns(F.col("formatted")), lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    read = blocks.select("conv_id", "block", "n_turns", F.array_join(turns, "").alias("turns"), chat.read_loss(F.col("formatted"), F.col("spans")).alias("loss"), F.char_length("formatted").cast("long").alias("chars"))
+    whole = chat.join_blocks(read, "turns", "loss", sums=("chars",))
+    return whole.select("conv_id", "n_turns", F.sha2(F.col("turns").cast("binary"), 256).alias("turns_sha256"), F.char_length("loss").cast("long").alias("loss_chars"), F.sha2(F.col("loss").cast("binary"), 256).alias("loss_sha256"), F.col("chars").alias("formatted_chars"))
+
+
+def op11b_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every turn as a document of its text and an image as large as the text is long, with a recording of what an assistant says."""
+    size = F.char_length(F.coalesce("text", F.lit("")))
+    name = F.concat_ws("/", F.lit("turn"), F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+
+    def part(kind: str, **fields: Column) -> Column:
+        kinds = {"text": "string", "ref": "string", "width": "int", "height": "int", "seconds": "double", "pages": "int"}
+        return F.struct(F.lit(kind).alias("type"), *[fields.get(k, F.lit(None)).cast(t).alias(k) for k, t in kinds.items()])
+
+    inner = F.array(part("text", text=F.coalesce("text", F.lit(""))), part("image", ref=F.concat(name, F.lit(".png")), width=size, height=F.col("turn") + 1))
+    document = part("document", ref=name, pages=F.ceil(size / 100)).withField("parts", inner)
+    audio = part("audio", ref=F.concat(name, F.lit(".wav")), seconds=size / 16).withField("parts", F.slice(inner, 1, 0))
+    parts = F.when(F.col("role") == "assistant", F.array(document, audio)).otherwise(F.array(document))
+    blocks = chat.format_blocks(table(spark, sf_dir, "conversations").withColumn("parts", parts), parts="parts")
+    read = blocks.select("conv_id", "block", "n_turns", "formatted", F.size("attachments").cast("long").alias("attached"), F.coalesce(F.aggregate("attachments", F.lit(0).cast("long"), lambda a, x: a + x["tokens"]), F.lit(0)).alias("tokens"), F.array_join(F.transform("attachments", lambda x: F.concat(x["kind"], F.lit(" "), x["ref"], F.lit(" "), x["tokens"].cast("string"), F.lit("\n"))), "").alias("refs"))
+    whole = chat.join_blocks(read, "formatted", "refs", sums=("attached", "tokens"))
+    return whole.select("conv_id", "n_turns", F.col("attached").alias("n_attachments"), F.col("tokens").alias("expanded_tokens"), F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), F.char_length("refs").cast("long").alias("refs_chars"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
@@ -131,6 +160,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8b_language_pages": op8b_language_pages,
         "op9_main_text": op9_main_text,
         "op10_ngram_join": op10_ngram_join,
+        "op11_chat": op11_chat,
+        "op11b_content_parts": op11b_content_parts,
     }
 
 
@@ -197,5 +228,28 @@ SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce((SELECT mi
 """
 
 
+_OP11_TURNS = r"""
+WITH a AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations {more}),
+b AS (SELECT *, regexp_replace(text, '([<\[])(\\*)({rests})', '\1\\\2\3', 'g') AS body, regexp_replace(role, '([<\[])(\\*)({rests})', '\1\\\2\3', 'g') AS named FROM a),
+c AS (SELECT *, CASE role WHEN 'system' THEN '[SYS]' WHEN 'user' THEN '[INST]' WHEN 'assistant' THEN '[/INST]' ELSE '[ROLE]' || named || '[/ROLE]' END AS mark FROM b)
+"""
+_RESTS = r"s>|/s>|SYS\]|INST\]|/INST\]|ROLE\]|/ROLE\]|image>|audio>|document>|/document>"
+
+OP11_SQL = _OP11_TURNS.format(rests=_RESTS, more="UNION ALL VALUES (-7, 0, 'user', '</s>[INST] ok [/INST]'), (-7, 1, 'assistant', '</s>[INST] ok [/INST]')") + r"""
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars, sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+  CAST(sum(length(mark) + length(body) + 4) AS BIGINT) AS formatted_chars FROM c GROUP BY conv_id
+"""
+
+OP11B_SQL = _OP11_TURNS.format(rests=_RESTS, more="") + r""",
+d AS (SELECT *, mark || '<document>' || chr(10) || body || chr(10) || '<image>' || chr(10) || '</document>' || CASE WHEN role = 'assistant' THEN chr(10) || '<audio>' ELSE '' END || '</s>' AS whole,
+  CAST(512 * ceil(length(text) / 100) AS BIGINT) AS doc, CAST(ceil(greatest(length(text), 1) / 14) * ceil(greatest(turn + 1, 1) / 14) AS BIGINT) AS image, CASE WHEN role = 'assistant' THEN CAST(ceil(length(text) / 16 * 25) AS BIGINT) END AS audio,
+  'turn/' || conv_id || '/' || turn AS name FROM c),
+e AS (SELECT *, 'document ' || name || ' ' || doc || chr(10) || 'image ' || name || '.png ' || image || CASE WHEN role = 'assistant' THEN chr(10) || 'audio ' || name || '.wav ' || audio ELSE '' END || chr(10) AS refs FROM d)
+SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'assistant' THEN 3 ELSE 2 END) AS BIGINT) AS n_attachments, CAST(sum(doc + image + coalesce(audio, 0)) AS BIGINT) AS expanded_tokens,
+  sha256(string_agg(whole, '' ORDER BY turn NULLS FIRST, role, text)) AS formatted_sha256, CAST(length(string_agg(refs, '')) AS BIGINT) AS refs_chars FROM e GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op4b_word_base": OP4B_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op4b_word_base": OP4B_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL, "op11_chat": OP11_SQL, "op11b_content_parts": OP11B_SQL}
