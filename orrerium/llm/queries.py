@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.llm import chat, language, lm, quality
+from orrerium.llm import chat, language, lm, quality, runs
 from orrerium.llm.common import quiet_arrow, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.html import host, main_text
@@ -146,6 +146,20 @@ def op11b_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", "n_turns", F.col("attached").alias("n_attachments"), F.col("tokens").alias("expanded_tokens"), F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), F.char_length("refs").cast("long").alias("refs_chars"))
 
 
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of every document; a tenth of the documents, by their ids, repeat words from some place on."""
+    quiet_arrow(spark, 2000)
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.floor(h / 10).cast("long").alias("g"), F.when(h % 10 == 0, F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda x: x != "")).alias("w"))
+    docs = docs.withColumn("n", F.when(F.size("w") > 0, F.size("w"))).withColumn("a", (F.col("g") % F.col("n")).cast("int"))
+    docs = docs.withColumn("p", (1 + F.floor((F.col("n") - F.col("a")) / (3 + F.col("g") % 8))).cast("int"))
+    tail = F.transform(F.sequence(F.lit(0), F.col("n") - F.col("a") - 1), lambda i: F.col("w")[F.col("a") + i % F.col("p")])
+    found = runs.find(docs.select("doc_id", F.coalesce(F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a")), tail), " "), "text").alias("text")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), (-top["start"]).alias("start"), top["length"].alias("length"), (-top["period"]).alias("period"), F.floor(1000 * top["length"] / -top["period"]).cast("long").alias("exponent_milli"), F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_near_vectors": op1_near_vectors,
@@ -162,6 +176,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_join": op10_ngram_join,
         "op11_chat": op11_chat,
         "op11b_content_parts": op11b_content_parts,
+        "op13_runs": op13_runs,
     }
 
 
