@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.llm import chat, language, lm, quality, runs
+from orrerium.llm import chat, language, lm, quality, runs, search
 from orrerium.llm.common import quiet_arrow, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.html import host, main_text
@@ -146,6 +146,11 @@ def op11b_content_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whole.select("conv_id", "n_turns", F.col("attached").alias("n_attachments"), F.col("tokens").alias("expanded_tokens"), F.sha2(F.col("formatted").cast("binary"), 256).alias("formatted_sha256"), F.char_length("refs").cast("long").alias("refs_chars"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quiet_arrow(spark, 2000)
+    return search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of every document; a tenth of the documents, by their ids, repeat words from some place on."""
     quiet_arrow(spark, 2000)
@@ -176,6 +181,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_ngram_join": op10_ngram_join,
         "op11_chat": op11_chat,
         "op11b_content_parts": op11b_content_parts,
+        "op12_search": op12_search,
         "op13_runs": op13_runs,
     }
 
@@ -265,6 +271,17 @@ SELECT conv_id, count(*) AS n_turns, CAST(sum(CASE WHEN role = 'assistant' THEN
   sha256(string_agg(whole, '' ORDER BY turn NULLS FIRST, role, text)) AS formatted_sha256, CAST(length(string_agg(refs, '')) AS BIGINT) AS refs_chars FROM e GROUP BY conv_id
 """
 
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, [x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> ''] AS t FROM documents),
+b AS (SELECT DISTINCT item_id, unnest([x FOR x IN regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+') IF x <> '']) AS x FROM benchmark),
+s AS (SELECT count(*) AS n_docs, CAST(sum(len(t)) AS BIGINT) AS n_terms FROM d WHERE len(t) > 0),
+f AS (SELECT doc_id, n, x, count(*) AS tf FROM (SELECT doc_id, len(t) AS n, unnest(t) AS x FROM d) GROUP BY ALL),
+w AS (SELECT x, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w FROM (SELECT x, count(*) AS df FROM f GROUP BY x), s),
+r AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * n_docs) // n_terms)))) AS BIGINT) AS score FROM b JOIN f USING (x) JOIN w USING (x), s GROUP BY item_id, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) <= 50
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_near_vectors": OP1_SQL, "op4b_word_base": OP4B_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL, "op11_chat": OP11_SQL, "op11b_content_parts": OP11B_SQL}
+    return {"op1_near_vectors": OP1_SQL, "op4b_word_base": OP4B_SQL, "op5_decontaminate": OP5_SQL, "op6_warc_revisits": OP6_SQL, "op10_ngram_join": OP10_SQL, "op11_chat": OP11_SQL, "op11b_content_parts": OP11B_SQL, "op12_search": OP12_SQL}
