@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from orrerium.llm.common import materialise
 
-#: A box is template if it stands on at least this many pages of its host that differ in content.
-LEAST_PAGES = 5
+#: A box is template if it stands on at least this share of its host's pages that differ in content, and on so many pages.
+LEAST_SHARE, LEAST_PAGES = 1 / 3, 5
 
 #: Element classes of HTML.
 RAW = {"script", "style", "textarea", "title", "noscript", "template", "iframe", "xmp", "noembed", "noframes"}
@@ -29,6 +29,7 @@ BLOCKS = {"address", "article", "blockquote", "body", "br", "caption", "center",
 #: Parts of a text, list or table, which recur in texts that are no copies and go only with a box that holds them; elements that hold boxes.
 PARTS = {"h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "caption", "figcaption", "summary", "td", "th", "tr", "tbody", "thead", "tfoot"}
 HOLDERS = {"#root", "html", "body", "div", "section", "article", "main", "center", "header"}
+LISTS = {"ul", "ol", "dl", "table"}
 CLOSES_P = BLOCKS - {"br", "body", "html", "caption", "dd", "dt", "li", "tbody", "td", "tfoot", "th", "thead", "tr"}
 #: An element that opens here ends an open sibling of these names, up to the given limits.
 SIBLINGS = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"})}
@@ -111,9 +112,11 @@ def subtrees(root: Node) -> tuple[dict[int, int], int]:
     """(hash of each box of the page's content by identity, hash of the content): of what extract() would return.
 
     No box: the content itself and its sole wrappers, elements without text, words within a sentence, and PARTS with what
-    is all that they hold.
+    is all that they hold. Within articles and main elements, what is only text is the author's, however often it stands:
+    boxes there are lists and holders of which links are half the text at least, and named holders of several elements.
     """
-    heads = _mains(root) or [root]
+    mains = _mains(root)
+    heads = mains or [root]
     order: list[Node] = []
     todo = list(heads)
     while todo:
@@ -121,27 +124,36 @@ def subtrees(root: Node) -> tuple[dict[int, int], int]:
         order.append(x)
         todo += [c for c in x.children if isinstance(c, Node) and not c.drop]
     digest: dict[int, bytes] = {}
+    size: dict[int, int] = {}
+    linked: dict[int, int] = {}
+    held: dict[int, int] = {}
     out: dict[int, int] = {}
     for x in reversed(order):
         h = hashlib.blake2b(f"{x.tag} {x.name}".encode(errors="replace"), digest_size=8)
         inner: list[Node] = []
-        text = False
+        text = links = 0
         for c in x.children:
             if isinstance(c, str):
                 if t := " ".join(c.split()):
-                    text = True
+                    text += len(t)
                     h.update(b"\0" + t.encode(errors="replace"))
             elif id(c) in digest:
                 inner.append(c)
+                links += linked[id(c)]
                 h.update(b"\1" + digest[id(c)])
         if not (text or inner):
             continue
-        digest[id(x)] = h.digest()
+        k = id(x)
+        digest[k], size[k], held[k] = h.digest(), text + sum(size[id(c)] for c in inner), len(inner)
+        linked[k] = size[k] if x.tag == "a" else links
         alone = len(inner) == 1 and not text
         for c in inner:
+            i = id(c)
             if c.tag in PARTS or (alone and x.tag in PARTS) or (c.tag not in BLOCKS and (text or x.tag not in HOLDERS)):
                 continue
-            out[id(c)] = int.from_bytes(digest[id(c)], "little", signed=True)
+            holds = c.tag in HOLDERS or c.tag in LISTS
+            if not mains or (holds and 0 < size[i] <= 2 * linked[i]) or (c.tag in HOLDERS and c.name and held[i] > 1):
+                out[i] = int.from_bytes(digest[i], "little", signed=True)
     for x in heads:
         while True:
             out.pop(id(x), None)
@@ -207,7 +219,7 @@ def host(url) -> F.Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^(?:[a-zA-Z][a-zA-Z0-9+.-]*:)?//(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def templates(pages: DataFrame, least_share: float = LEAST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """(page, hashes): of each page the boxes that recur over its host's pages; pages without any are left out.
 
     pages: page, host, html; equal pages of a host have one key. A hash counts once a page, and pages of a host with equal content
@@ -223,14 +235,15 @@ def templates(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
                 whole.append(content)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(whole, pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["page", "host", "content", "hashes"])
 
-    known = materialise(pages.select("page", F.xxhash64("host").alias("host"), "html").mapInArrow(boxes, "page long, host long, content long, hashes array<long>").where(F.size("hashes") > 0), "boxes")
-    counts = known.dropDuplicates(["host", "content"]).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n"))
-    common = materialise(counts.where(F.col("n") >= least_pages).select("host", "hash"), "common")
-    held = known.dropDuplicates(["page"]).select("page", "host", F.explode("hashes").alias("hash")).join(common, ["host", "hash"])
+    known = materialise(pages.select("page", F.xxhash64("host").alias("host"), "html").mapInArrow(boxes, "page long, host long, content long, hashes array<long>"), "boxes")
+    totals = known.select("host", "content").distinct().groupBy("host").agg(F.count(F.lit(1)).alias("total"))
+    counts = known.where(F.size("hashes") > 0).dropDuplicates(["host", "content"]).select("host", F.explode("hashes").alias("hash")).groupBy("host", "hash").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least_pages)
+    common = materialise(counts.join(totals, "host").where(F.col("n") >= least_share * F.col("total")).select("host", "hash"), "common")
+    held = known.where(F.size("hashes") > 0).dropDuplicates(["page"]).select("page", "host", F.explode("hashes").alias("hash")).join(common, ["host", "hash"])
     return held.groupBy("page").agg(F.collect_list("hash").alias("hashes"))
 
 
-def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
+def main_text(pages: DataFrame, least_share: float = LEAST_SHARE, least_pages: int = LEAST_PAGES) -> DataFrame:
     """Every page with its main text: page_id, url, text, n_chars (code points); repeated rows one by one.
 
     pages: page_id, url, html; other columns are left aside. Null and empty pages have an empty text; pages without a URL
@@ -238,7 +251,7 @@ def main_text(pages: DataFrame, least_pages: int = LEAST_PAGES) -> DataFrame:
     """
     pages = pages.select("page_id", "url", host(F.col("url")).alias("host"), F.col("html").cast("string"))
     pages = pages.withColumn("page", F.xxhash64("host", "html"))
-    known = materialise(templates(pages, least_pages), "templates")
+    known = materialise(templates(pages, least_share, least_pages), "templates")
     kinds = {c: pages.schema[c].dataType.simpleString() for c in ("page_id", "url")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,6 +29,12 @@ SLACK = 1e-4
 _BLOB = "label {kind}, dim int, shard int, ids binary, weights binary, vectors binary, graph binary, beam int"
 
 
+def unit(v: np.ndarray) -> np.ndarray:
+    """Rows of length 1 in the directions of v's; scaled by their largest components first, so that no norm under- or overflows."""
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
 def plant(base: np.ndarray, least: float, n: int = PLANTS) -> np.ndarray:
     """Unit vectors of cosine `least` to 1 to a row of base each: half of them lie towards another row, half anywhere."""
     rnd = np.random.default_rng(len(base))
@@ -46,7 +52,7 @@ def audited_beam(graph: Graph, own: np.ndarray, least: float, beam: int = BEAM,
 
     Every plant has a link, so no shard passes on an audit without any, however sparse the links of the other shards to it.
     """
-    base = own / np.linalg.norm(own, axis=1, keepdims=True)
+    base = unit(own)
     if beam >= len(base):
         return beam
     plants = plant(base, least)
@@ -64,14 +70,13 @@ def search(graph: Graph, own: np.ndarray, queries: np.ndarray, least: float, bea
 
     The audit's queries may have no link at all, so `beam` is to be that of audited_beam().
     """
-    unit = queries / np.linalg.norm(queries, axis=1, keepdims=True)
-    base = own / np.linalg.norm(own, axis=1, keepdims=True)
-    q = unit.astype(np.float32)
+    rows, base = unit(queries), unit(own)
+    q = rows.astype(np.float32)
     sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = unit[sample] @ base.T >= least
+    truth = rows[sample] @ base.T >= least
     while True:
         a, b = graph.within(q, least - SLACK, beam)
-        ok = np.einsum("ad,ad->a", unit[a], base[b]) >= least
+        ok = np.einsum("ad,ad->a", rows[a], base[b]) >= least
         a, b = a[ok], b[ok]
         found = np.isin(a, sample).sum()
         if beam >= len(base) or found >= recall * truth.sum():
@@ -84,7 +89,8 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
 
     vectors: vec_id, embedding, label; other columns are left aside. Vectors of one label and one length are
     compared. Rows whose label, id or vector is null, whose vector is empty or zero or holds null or
-    non-finite components link with nothing and are their own component. Repeated rows count as other vectors.
+    non-finite components link with nothing and are their own component. Repeated rows count as other vectors. Components
+    may be as small or as large as doubles are.
     """
     rows = vectors.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>").alias("v"), "label")
     fine = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull()
@@ -98,7 +104,7 @@ def near_vectors(vectors: DataFrame, least: float = 0.93, shard_rows: int = SHAR
 
     def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         v = np.stack(group["v"].to_list()).astype(np.float64)
-        graph = Graph.build((v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.float32))
+        graph = Graph.build(unit(v).astype(np.float32))
         return pd.DataFrame({"label": [key[0]], "dim": [key[1]], "shard": [key[2]], "ids": [group["rep"].to_numpy(np.int64).tobytes()], "weights": [group["n"].to_numpy(np.int64).tobytes()], "vectors": [v.tobytes()], "graph": [graph.dump()], "beam": [audited_beam(graph, v, least)]})
 
     graphs = materialise(sharded.select("label", "dim", "shard", "rep", "n", "v").groupBy("label", "dim", "shard").applyInPandas(build, _BLOB.format(kind=kind)), "graphs")

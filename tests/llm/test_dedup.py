@@ -223,3 +223,24 @@ def test_beams_widen_where_sampled_queries_have_no_links():
     beam = audited_beam(graph, own, 0.93)
     a, b = search(graph, own, queries, 0.93, beam)
     assert beam == 256 and (a.tolist(), b.tolist()) == ([701], [5])
+
+
+def test_vectors_of_any_magnitude(spark):
+    """Cosines of tiny and huge vectors, against exact fractions."""
+    from fractions import Fraction
+
+    rnd = random.Random(4)
+    base = [[1.0] * 8, [1.0, 0.01, 0, 0, 0, 0, 0, 0], [rnd.gauss(0, 1) for _ in range(8)]]
+    vectors = [[x * scale * (1 + rnd.uniform(-0.2, 0.2)) for x in b] for b in base for scale in (1e-300, 1e-200, 1.0, 1e200, 1e300) for _ in range(2)] + [[1e300, 1e-300] + [0.0] * 6, [5e-324] * 8]
+    rows = list(enumerate(vectors))
+
+    def linked(a, b):
+        a, b = [Fraction(x) for x in a], [Fraction(x) for x in b]
+        dot = sum(x * y for x, y in zip(a, b, strict=True))
+        return dot > 0 and dot * dot >= Fraction(0.93) ** 2 * sum(x * x for x in a) * sum(x * x for x in b)
+
+    want = {i: sum(linked(a, b) for j, b in rows if j != i) for i, a in rows}
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame([(i, v, "x") for i, v in rows], "vec_id long, embedding array<double>, label string")).collect()}
+    assert got == want
+    none = near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label string"))
+    assert none.count() == 0

@@ -326,13 +326,27 @@ def test_site_templates_go(spark):
 
 def test_templates_within_articles_go(spark):
     box = "<div class='x1'><h3>Join us</h3><p>Ten letters a year.</p></div>"
-    rows = [(k, f"http://host.example/{k}", f"<body><article><div><h2>Why</h2><p>story {k} of <a href='/f'>France</a> it is.</p><ul><li>salt<li>item {k}</ul>{box}</div></article>") for k in range(8)]
-    rows += [(100 + k, f"http://host.example/copy/{k}", "<body><main><p>One text.</p><p>Under many addresses.</p></main>") for k in range(9)]
-    rows += [(200 + k, f"http://big.example/{k}", f"<article><p>tale {k}</p>{'<p>Seen by few.</p>' if k < 5 else ''}</article>") for k in range(150)]
+    more = "<ul><li><a href='/1'>First</a><li><a href='/2'>Second</a></ul>"
+    rows = [(k, f"http://host.example/{k}", f"<body><article><div><h2>Why</h2><p>story {k} of <a href='/f'>France</a> it is.</p><ul><li>salt<li>item {k}</ul>{box}</div>{more}</article>") for k in range(8)]
+    rows += [(100 + k, f"http://host2.example/copy/{k}", "<body><main><p>One text.</p><p>Under many addresses.</p></main>") for k in range(9)]
+    seen = "<p>Seen by all.</p><div>Set apart.</div><blockquote>Said by all.</blockquote><ul><li>salt</ul>"
+    rows += [(200 + k, f"http://big.example/{k}", f"<article><p>tale {k}</p>{seen}{more if k < 30 else box if k < 90 else ''}</article>") for k in range(150)]
     rows += [(900, "http://other.example/", f"<article><p>kept</p>{box}</article>")]
     got = {r.page_id: r.text for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got[3] == "Why story 3 of France it is. salt item 3" and got[104] == "One text. Under many addresses."
-    assert got[202] == "tale 2" and got[900] == "kept Join us Ten letters a year." and len(got) == len(rows)
+    texts = "Seen by all. Set apart. Said by all. salt"
+    assert got[202] == f"tale 2 {texts} First Second" and got[250] == f"tale 50 {texts}" and got[349] == f"tale 149 {texts}"  # a fifth, two fifths
+    assert got[900] == "kept Join us Ten letters a year." and len(got) == len(rows)
+
+
+def test_articles_lose_nothing(spark, sf_dir):
+    """Every page whose article is a document's text gives that text, with template removal as without it."""
+    pages = spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/pages.parquet")
+    plain = {r.page_id: html.extract(html.parse(r.html or ""), set()) for r in pages.collect()}
+    docs = {" ".join((r.text or "").split()) for r in spark.read.parquet(f"{sf_dir.replace('sf0.001', 'sf0.01')}/documents.parquet").select("text").collect()}
+    got = {r.page_id: r.text for r in html.main_text(pages).collect()}
+    whole = [k for k, t in plain.items() if any(t[m.end() :] in docs for m in re.finditer(r"^|(?<= )", t[:300]))]
+    assert len(whole) > 0.9 * len(plain) and all(got[k] == plain[k] for k in whole)
 
 
 def test_revisits(spark):
