@@ -5,6 +5,11 @@ Membership: config_id, node_id, row_index and a label column. A member may stand
 
 from __future__ import annotations
 
+import pickle
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -83,19 +88,157 @@ def component_summary(membership: DataFrame, comps: DataFrame, label: str) -> Da
     return size.join(stats.summary(members, ["config_id", "component_id"], label), ["config_id", "component_id"], "left")
 
 
-def permutations(membership: DataFrame, label: str, n: int = 1000, seed: int = 42) -> DataFrame:
-    """perm_id, config_id, node_id, label, n: node by label counts with the members' labels dealt out anew.
+#: Counts (entries of node and signature, by label and draw) that a task holds at a time; members that numpy's draws allow.
+DRAW_CELLS, MOST_MEMBERS = 4_000_000, 10**9
+
 
-    Labels move between members, not memberships. In a draw, members ranked by id meet labels ranked by a hash, so a draw
-    and configuration is the unit of work, and what leaves it are counts.
+def signatures(membership: DataFrame, label: str) -> DataFrame:
+    """config_id, nodes, label, n: labelled members by the set of nodes they stand in, which is all that dealing labels out needs.
+
+    Rows follow the overlaps of the cover, whatever the number of members. A member has one label; of several, the first in order.
+    """
+    members = membership.where(F.col(label).isNotNull()).groupBy("config_id", "row_index").agg(F.sort_array(F.collect_set("node_id")).alias("nodes"), F.min(label).alias("label"))
+    return members.groupBy("config_id", "nodes", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+class Urn:
+    """One configuration: signatures with their members, labels with theirs, and which nodes a signature stands in."""
+
+    def __init__(self, table: pd.DataFrame, edges: pd.DataFrame | None):
+        keys = [tuple(x) for x in table["nodes"]]
+        sets = sorted(set(keys))
+        self.labels = np.array(sorted(set(table["label"])), object)
+        self.nodes = np.array(sorted({x for s in sets for x in s}), object)
+        at, node = {s: k for k, s in enumerate(sets)}, {x: k for k, x in enumerate(self.nodes)}
+        self.observed = np.zeros((len(sets), len(self.labels)), np.int64)
+        np.add.at(self.observed, ([at[s] for s in keys], np.searchsorted(self.labels, table["label"].to_numpy(object))), table["n"].to_numpy())
+        self.sizes, self.totals = self.observed.sum(1), self.observed.sum(0)
+        if self.totals.sum() >= MOST_MEMBERS:
+            raise ValueError(f"a configuration of {self.totals.sum()} labelled members is more than one urn deals out")
+        entry = sorted((node[x], k) for k, s in enumerate(sets) for x in s)
+        self.entry = np.array([k for _, k in entry])
+        self.begin = np.searchsorted([x for x, _ in entry], np.arange(len(self.nodes)))
+        pairs = [(node[a], node[b]) for a, b in zip(edges["source"], edges["target"], strict=True) if a in node and b in node] if edges is not None else []
+        self.edges = np.array(pairs, np.int64).reshape(-1, 2)
+
+    def draw(self, rng: np.random.Generator, n: int) -> np.ndarray:
+        """n tables of signatures by labels with the margins of the observed one, as dealing out the labels to members gives them.
+
+        Signature by signature and label by label, each count is hypergeometric given those before it.
+        """
+        left = np.repeat(self.totals[None], n, 0)
+        out = np.zeros((n, *self.observed.shape), np.int32)
+        for s, size in enumerate(self.sizes.tolist()):
+            want = np.full(n, size)
+            rest = left.sum(1)
+            for k in range(len(self.labels)):
+                rest -= left[:, k]
+                out[:, s, k] = got = rng.hypergeometric(left[:, k], rest, want)
+                want -= got
+            left -= out[:, s]
+        return out
+
+    def counts(self, tables: np.ndarray) -> np.ndarray:
+        """Draw by node by label."""
+        return np.add.reduceat(tables[:, self.entry], self.begin, axis=1, dtype=np.int64)
+
+    def metrics(self, counts: np.ndarray) -> dict[str, np.ndarray]:
+        """Purity, entropy, NMI and assortativity of each draw, as global_metrics() states them."""
+        def nlogn(x: np.ndarray) -> np.ndarray:
+            return x * np.log(np.maximum(x, 1))
+
+        m, c, t = counts.sum(2), counts.sum(1), counts.sum((1, 2))
+        inner = nlogn(counts).sum(2)
+        out = {"weighted_purity": counts.max(2).sum(1) / t, "weighted_entropy": (nlogn(m) - inner).sum(1) / t}
+        ha, hb = np.log(t) - nlogn(m).sum(1) / t, np.log(t) - nlogn(c).sum(1) / t
+        mi = (inner.sum(1) - nlogn(m).sum(1) - nlogn(c).sum(1)) / t + np.log(t)
+        mean = (ha + hb) / 2
+        out["node_method_nmi"] = np.where(mean <= 0, 1.0, np.maximum(mi / np.where(mean <= 0, 1, mean), 0))
+        if len(self.edges):
+            top = counts.argmax(2)  # the first of equal counts, by label
+            la, lb = top[:, self.edges[:, 0]], top[:, self.edges[:, 1]]
+            margin = (la[:, :, None] == np.arange(len(self.labels))).sum(1)
+            ab = (margin.astype(float) ** 2).sum(1) / len(self.edges) ** 2
+            same = (la == lb).mean(1)
+            out["dominant_method_assortativity"] = np.where(ab < 1, (same - ab) / np.where(ab < 1, 1 - ab, 1), np.nan)
+        return out
+
+
+def _urns(membership: DataFrame, label: str, edges: DataFrame | None) -> DataFrame:
+    """config_id, urn, cells: an urn for each configuration; what makes it follows the graph and not its members."""
+    table = signatures(membership, label)
+    kind = dict(membership.dtypes)["config_id"]
+    schema = f"config_id {kind}, urn binary, cells long"
+
+    def pack(config: object, table: pd.DataFrame, edges: pd.DataFrame | None) -> pd.DataFrame:
+        if not len(table):
+            return pd.DataFrame({"config_id": [], "urn": [], "cells": []})
+        urn = Urn(table, edges)
+        return pd.DataFrame({"config_id": [config], "urn": [pickle.dumps(urn)], "cells": [len(urn.entry) * len(urn.labels)]})
+
+    if edges is None:
+        return written(table.groupBy("config_id").applyInPandas(lambda key, t: pack(key[0], t, None), schema), "urns")
+    links = both_ways(simple(edges)).select(F.col("config_id").alias("linked"), "source", "target")
+    return written(table.groupBy("config_id").cogroup(links.groupBy("linked")).applyInPandas(lambda key, t, e: pack(key[0], t, e), schema), "urns")
+
+
+def _dealt(urns: DataFrame, n: int, seed: int) -> DataFrame:
+    """config_id, urn, first, last: the draws of each configuration in blocks of bounded size, dealt out."""
+    per = F.greatest(F.lit(1), F.least(F.lit(n), F.floor(F.lit(DRAW_CELLS) / F.col("cells")))).cast("int")
+    blocks = urns.withColumn("first", F.explode(F.sequence(F.lit(0), F.lit(n - 1), per))).withColumn("last", F.least(F.col("first") + per, F.lit(n)))
+    return blocks.withColumn("seed", F.xxhash64(F.lit(seed), F.col("config_id").cast("string"), "first")).drop("cells").repartition("config_id", "first")
+
+
+def draws(membership: DataFrame, label: str, n: int = 1000, seed: int = 42, edges: DataFrame | None = None) -> DataFrame:
+    """config_id, perm_id, metric, null: metrics of n deals of the labels among the members (not among memberships).
+
+    A draw deals out a table of signatures by labels, so that its cost follows the graph, however many members there are.
     """
-    members = membership.where(F.col(label).isNotNull()).select("config_id", "row_index", label).distinct()
-    drawn = members.withColumn("perm_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    w = Window.partitionBy("config_id", "perm_id")
-    left = drawn.select("config_id", "perm_id", "row_index", F.row_number().over(w.orderBy("row_index")).alias("_at"))
-    right = drawn.select("config_id", "perm_id", label, F.row_number().over(w.orderBy(F.xxhash64(F.lit(seed), F.col("perm_id"), F.col("row_index")), "row_index")).alias("_at"))
-    dealt = left.join(right, ["config_id", "perm_id", "_at"]).drop("_at")
-    return membership.select("config_id", "node_id", "row_index").join(dealt, ["config_id", "row_index"]).groupBy("perm_id", "config_id", "node_id", label).agg(F.count(F.lit(1)).alias("n"))
+    urns = _urns(membership, label, edges)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for batch in batches for r in batch.itertuples()):
+            urn = pickle.loads(r.urn)
+            got = urn.metrics(urn.counts(urn.draw(np.random.default_rng(r.seed & (2**63 - 1)), r.last - r.first)))
+            for metric, value in got.items():
+                yield pd.DataFrame({"config_id": r.config_id, "perm_id": np.arange(r.first, r.last), "metric": metric, "null": value})
+
+    drawn = _dealt(urns, n, seed).mapInPandas(run, f"config_id {dict(membership.dtypes)['config_id']}, perm_id int, metric string, `null` double")
+    return drawn.withColumn("null", F.when(~F.isnan("null"), F.col("null")))
+
+
+def drawn_counts(membership: DataFrame, label: str, n: int = 1000, seed: int = 42) -> DataFrame:
+    """config_id, node_id, label, s, s2, over: sums over the draws of each node's count of a label that it has, of its square, and
+    the draws in which it is as large as observed."""
+    kinds = dict(membership.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for batch in batches for r in batch.itertuples()):
+            urn = pickle.loads(r.urn)
+            seen = urn.counts(urn.observed[None])[0]
+            got = urn.counts(urn.draw(np.random.default_rng(r.seed & (2**63 - 1)), r.last - r.first))
+            node, k = np.nonzero(seen)
+            got = got[:, node, k]
+            yield pd.DataFrame({"config_id": r.config_id, "node_id": urn.nodes[node], "label": urn.labels[k], "s": got.sum(0), "s2": (got * got).sum(0), "over": (got >= seen[node, k]).sum(0)})
+
+    parts = _dealt(_urns(membership, label, None), n, seed).mapInPandas(run, f"config_id {kinds['config_id']}, node_id {kinds['node_id']}, label {kinds[label]}, s long, s2 long, over long")
+    return parts.groupBy("config_id", "node_id", F.col("label").alias(label)).agg(*[F.sum(c).alias(c) for c in ("s", "s2", "over")])
+
+
+def expected_counts(membership: DataFrame, label: str) -> DataFrame:
+    """config_id, node_id, label, observed, null_mean, null_std, z_score in closed form: a node's count of a label is hypergeometric
+    when labels are dealt out among members."""
+    has = membership.where(F.col(label).isNotNull()).select("config_id", "node_id", "row_index", label).distinct()
+    members = has.select("config_id", "row_index", label).distinct()
+    seen = has.groupBy("config_id", "node_id", label).agg(F.count(F.lit(1)).alias("observed"))
+    size = seen.groupBy("config_id", "node_id").agg(F.sum("observed").alias("m"))
+    held = members.groupBy("config_id", label).agg(F.count(F.lit(1)).alias("c"))
+    whole = held.groupBy("config_id").agg(F.sum("c").alias("t"))
+    out = seen.join(size, ["config_id", "node_id"]).join(held, ["config_id", label]).join(whole, "config_id")
+    share = F.col("c") / F.col("t")
+    mean = F.col("m") * share
+    out = out.withColumns({"null_mean": mean, "null_std": F.sqrt(F.when(F.col("t") > 1, mean * (1 - share) * (F.col("t") - F.col("m")) / (F.col("t") - 1)).otherwise(0.0))})
+    return out.select("config_id", "node_id", label, "observed", "null_mean", "null_std", F.when(F.col("null_std") > 0, (F.col("observed") - F.col("null_mean")) / F.col("null_std")).alias("z_score"))
 
 
 def _global(counts: DataFrame, keys: list[str]) -> DataFrame:
@@ -150,9 +293,8 @@ def permutation_tests(membership: DataFrame, label: str, n: int = 1000, seed: in
     """config_id, metric, observed, null_mean, null_std, z_score, p_value of purity, NMI and (with edges) assortativity, of which high
     values are extreme, and of entropy, of which low ones are."""
     observed = global_metrics(label_counts(membership, label), ["config_id"], label, edges).withColumnRenamed("value", "observed")
-    drawn = written(permutations(membership, label, n, seed), "permutations")
-    null = global_metrics(drawn, ["perm_id", "config_id"], label, edges).withColumnRenamed("value", "null")
-    rows = null.join(F.broadcast(observed), ["config_id", "metric"])
+    null = draws(membership, label, n, seed, edges)
+    rows = null.join(observed, ["config_id", "metric"])
     high = stats.empirical(F.col("observed"), F.col("null"))
     low = stats.empirical(F.col("observed"), F.col("null"), high=False)
     out = rows.groupBy("config_id", "metric").agg(F.first("observed").alias("observed"), F.avg("null").alias("null_mean"), F.stddev_pop("null").alias("null_std"), high.alias("_high"), low.alias("_low"))
@@ -163,10 +305,7 @@ def permutation_tests(membership: DataFrame, label: str, n: int = 1000, seed: in
 def enrichment(membership: DataFrame, label: str, n: int = 1000, seed: int = 42) -> DataFrame:
     """config_id, node_id, label, observed, null_mean, ratio, z_score, p_value, q_value: labels that a node has more of than by chance."""
     seen = membership.where(F.col(label).isNotNull()).groupBy("config_id", "node_id", label).agg(F.count(F.lit(1)).alias("observed"))
-    null = permutations(membership, label, n, seed).join(seen, ["config_id", "node_id", label])
-    # Draws in which a node has none of a label make no row: they count as 0.
-    sums = null.groupBy("config_id", "node_id", label).agg(F.sum("n").alias("s"), F.sum(F.col("n") * F.col("n")).alias("s2"), F.count_if(F.col("n") >= F.col("observed")).alias("over"))
-    out = seen.join(sums, ["config_id", "node_id", label], "left").na.fill(0, ["s", "s2", "over"])
+    out = seen.join(drawn_counts(membership, label, n, seed), ["config_id", "node_id", label])
     mean = F.col("s") / n
     sd = F.sqrt(F.greatest(F.col("s2") / n - mean * mean, F.lit(0.0)))
     out = out.withColumns({"null_mean": mean, "enrichment_ratio": ratio("observed", mean), "z_score": F.when(sd > 0, F.try_divide(F.col("observed") - mean, sd)), "p_value": (F.col("over") + 1) / (n + 1.0)})

@@ -6,7 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrerium.sources.tables import written
@@ -14,12 +14,14 @@ from orrerium.sources.tables import written
 #: Rows of a block on either side: what a task holds is two blocks and a strip of their distances.
 BLOCK = 8192
 STRIP = 512
+#: Pivots that rows are placed by, and rows that they are chosen from.
+PIVOTS, SAMPLE = 16, 2048
+_BLOCKS = "g string, block long, n long, ids binary, x binary, lo array<double>, hi array<double>"
 
 
 def _packed(df: DataFrame, id_column: str, features: Sequence[str], group: str | None, block: int) -> DataFrame:
-    """Blocks of complete rows: g, block, ids, matrix."""
-    rows = df.select(F.col(id_column).cast("long").alias("id"), *[F.col(f).cast("double").alias(f) for f in features], (F.col(group).cast("string") if group else F.lit("")).alias("g"))
-    rows = rows.dropna(subset=["id", *features])
+    """Blocks of complete rows by hash: g, block, ids, matrix."""
+    rows = _complete(df, id_column, features, group)
     counts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
     rows = rows.join(counts, "g").withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
 
@@ -29,43 +31,189 @@ def _packed(df: DataFrame, id_column: str, features: Sequence[str], group: str |
     return rows.groupBy("g", "block").applyInPandas(pack, "g string, block int, blocks int, ids binary, x binary")
 
 
+def _complete(df: DataFrame, id_column: str, features: Sequence[str], group: str | None) -> DataFrame:
+    rows = df.select(F.col(id_column).cast("long").alias("id"), *[F.col(f).cast("double").alias(f) for f in features], (F.col(group).cast("string") if group else F.lit("")).alias("g"))
+    return rows.dropna(subset=["id", *features])
+
+
+def pivots(rows: DataFrame, features: Sequence[str], block: int) -> tuple[np.ndarray, bool]:
+    """(rows far from each other, whether there are blocks enough to place rows by their second nearest pivot, too).
+
+    As many as there are blocks (PIVOTS at most): each is the farthest of a bounded sample from those before.
+    """
+    sample = np.array([tuple(r) for r in rows.orderBy(F.xxhash64("id")).limit(SAMPLE).select(*features).collect()], float).reshape(-1, len(features))
+    n = rows.count()
+    most = min(PIVOTS, 1 + n // block, len(sample))
+    if not most:
+        return sample, False
+    chosen = [0]
+    far = ((sample - sample[0]) ** 2).sum(1)
+    while len(chosen) < most and far.max() > 0:
+        chosen.append(int(far.argmax()))
+        far = np.minimum(far, ((sample - sample[chosen[-1]]) ** 2).sum(1))
+    return sample[chosen], n > block * len(chosen) ** 2 // 2
+
+
+def _from(points: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Distance of each row of x to each of a few points."""
+    return np.stack([np.sqrt(((x - p) ** 2).sum(1)) for p in points], 1)
+
+
+def _ringed(rows: DataFrame, features: Sequence[str], points: np.ndarray, twice: bool, block: int) -> DataFrame:
+    """Blocks of at most about `block` rows that lie together: those nearest to one pivot (and next to another, if `twice`), in rings
+    around it, and how near and far the block's rows are from each pivot. Rows at one distance from their pivot, such as copies,
+    are dealt out by hash, as all are around a single pivot."""
+    features = list(features)
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        x = rows[features].to_numpy(np.float64)
+        d = _from(points, x)
+        return pd.DataFrame({"g": [key[0]], "n": [len(x)], "ids": [rows["id"].to_numpy(np.int64).tobytes()], "x": [x.tobytes()], "lo": [d.min(0)], "hi": [d.max(0)]})
+
+    def blocks(rows: DataFrame, *by: str) -> DataFrame:
+        return written(rows.groupBy("g", *by).applyInPandas(pack, _BLOCKS.replace("block long, ", "")).withColumn("block", F.monotonically_increasing_id()), "knn-blocks")
+
+    if len(points) == 1:
+        counts = rows.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / block).alias("parts"))
+        return blocks(rows.join(counts, "g").withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts"))), "part")
+
+    @F.pandas_udf("struct<cell: int, far: double>")
+    def place(*cols: pd.Series) -> pd.DataFrame:
+        d = _from(points, np.stack([c.to_numpy(float) for c in cols], 1)) if len(cols[0]) else np.zeros((0, len(points)))
+        order = np.argsort(d, axis=1, kind="stable")
+        cell = order[:, 0] * len(points) + (order[:, 1] if twice else 0)
+        return pd.DataFrame({"cell": cell.astype("int32"), "far": d.min(1)})
+
+    placed = written(rows.withColumn("p", place(*features)).select("*", "p.cell", "p.far").drop("p"), "knn-placed")
+    size = placed.groupBy("g", "cell").agg(F.count(F.lit(1)).alias("n"), F.min("far").alias("lo"), F.max("far").alias("hi"))
+    # Rings by a histogram of the distance: steps are joined until a block is full.
+    step = F.least(F.floor(F.when(F.col("hi") > F.col("lo"), (F.col("far") - F.col("lo")) / (F.col("hi") - F.col("lo")) * 4096).otherwise(0)), F.lit(4095)).cast("int")
+    stepped = placed.join(size, ["g", "cell"]).withColumn("step", step)
+    steps = stepped.groupBy("g", "cell", "step").agg(F.count(F.lit(1)).alias("m"))
+    before = F.sum("m").over(Window.partitionBy("g", "cell").orderBy("step")) - F.col("m")  # 4,096 rows a cell at most
+    rings = steps.withColumn("ring", F.floor(before / block)).withColumn("parts", F.ceil(F.col("m") / block))
+    ringed = stepped.drop("n", "lo", "hi").join(rings.select("g", "cell", "step", "ring", "parts"), ["g", "cell", "step"])
+    ringed = ringed.withColumn("part", F.when(F.col("parts") > 1, F.struct("step", F.pmod(F.xxhash64("id"), F.col("parts")).alias("k"))))
+
+    return blocks(ringed, "cell", "ring", "part")
+
+
+def _apart(lo: str, hi: str, other_lo: str, other_hi: str) -> Column:
+    """How far two blocks are from each other at least, by the triangle inequality at every pivot."""
+    gaps = F.zip_with(F.arrays_zip(lo, hi), F.arrays_zip(other_lo, other_hi), lambda a, b: F.greatest(a[lo] - b[other_hi], b[other_lo] - a[hi], F.lit(0.0)))
+    return F.array_max(gaps)
+
+
+def block_pairs(left: DataFrame, right: DataFrame, salts: int = 16) -> DataFrame:
+    """g, q_block, block, n, apart, offset of all pairs of a group's blocks, from their summaries alone.
+
+    Pairs of summaries, not of rows; a group's are dealt out over `salts` tasks and more.
+    """
+    q = left.select("g", F.col("block").alias("q_block"), F.col("lo").alias("q_lo"), F.col("hi").alias("q_hi"), F.pmod(F.col("block"), F.lit(salts)).cast("int").alias("salt"))
+    k = right.select("g", "block", "n", "lo", "hi", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"))
+    middle = F.array_max(F.zip_with(F.zip_with("q_lo", "q_hi", lambda a, b: a + b), F.zip_with("lo", "hi", lambda a, b: a + b), lambda a, b: F.abs(a - b)))
+    return q.join(k, ["g", "salt"]).select("g", "q_block", "block", "n", _apart("q_lo", "q_hi", "lo", "hi").alias("apart"), middle.alias("offset"))
+
+
+def _nearest_in(qi: np.ndarray, q: np.ndarray, ki: np.ndarray, x: np.ndarray, k: int, skip_self: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first query, distances, ids, whether there is one) of strips of queries: the k nearest of a block, ties by id."""
+    norm = (x * x).sum(1)
+    for lo in range(0, len(qi), STRIP):
+        s = q[lo : lo + STRIP]
+        d2 = np.maximum((s * s).sum(1)[:, None] + norm - 2 * s @ x.T, 0)
+        if skip_self:
+            d2[qi[lo : lo + STRIP, None] == ki] = np.inf
+        m = min(k + 8, len(ki))
+        near = np.argpartition(d2, m - 1, 1)[:, :m]
+        # The strip's formula loses digits; the few that are kept are measured again.
+        exact = np.sqrt(((x[near] - s[:, None]) ** 2).sum(2))
+        exact[~np.isfinite(np.take_along_axis(d2, near, 1))] = np.inf
+        order = np.lexsort((ki[near], exact), axis=1)[:, :k]
+        exact, near = np.take_along_axis(exact, order, 1), np.take_along_axis(near, order, 1)
+        if m < len(ki):  # more ties with the last than were kept, such as copies: all of them are measured
+            last = exact[:, -1] ** 2 + 1e-11 * ((s * s).sum(1) + norm.max())
+            for i in np.flatnonzero(np.isfinite(last) & ((d2 <= last[:, None]).sum(1) > m)).tolist():
+                some = np.flatnonzero(d2[i] <= last[i])
+                far = np.sqrt(((x[some] - s[i]) ** 2).sum(1))
+                best = np.lexsort((ki[some], far))[:k]
+                exact[i], near[i] = far[best], some[best]
+        yield lo, exact, ki[near], np.isfinite(exact)
+
+
 def nearest(queries: DataFrame, known: DataFrame, features: Sequence[str], k: int, query_id: str = "id", known_id: str = "id", group: str | None = None, skip_self: bool = True, block: int = BLOCK) -> DataFrame:
     """query, neighbour, distance, rank of the k nearest known rows (ties by id), within a group if one is named.
 
-    Every query meets every known row of its group, a block against a block in a task; rows with a null feature are left aside.
+    Rows lie in blocks around pivots. Each block of queries first meets one block near it that can hold k neighbours, which
+    bounds their distances; then only the blocks that may hold a nearer one, and there only the queries for which they may.
+    Rows with a null feature are left aside.
     """
     features = list(features)
-    right = written(_packed(known, known_id, features, group, block), "knn-known")
-    left = _packed(queries, query_id, features, group, block).drop("blocks").withColumnsRenamed({"block": "q_block", "ids": "q_ids", "x": "q_x"})
-    spread = left.join(right.select("g", "blocks").distinct(), "g").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")
-    pairs = spread.join(right.drop("blocks"), ["g", "block"])
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for r in batch.itertuples():
-                qi, ki = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
-                q, x = np.frombuffer(r.q_x).reshape(len(qi), -1), np.frombuffer(r.x).reshape(len(ki), -1)
-                norm = (x * x).sum(1)
-                for lo in range(0, len(qi), STRIP):
-                    s = q[lo : lo + STRIP]
-                    d2 = np.maximum((s * s).sum(1)[:, None] + norm - 2 * s @ x.T, 0)
-                    if skip_self:
-                        d2[qi[lo : lo + STRIP, None] == ki] = np.inf
-                    m = min(k + 8, len(ki))
-                    near = np.argpartition(d2, m - 1, 1)[:, :m]
-                    # The strip's formula loses digits; the few that are kept are measured again.
-                    exact = np.sqrt(((x[near] - s[:, None]) ** 2).sum(2))
-                    exact[~np.isfinite(np.take_along_axis(d2, near, 1))] = np.inf
-                    order = np.lexsort((ki[near], exact), axis=1)[:, :k]
-                    exact, near = np.take_along_axis(exact, order, 1), np.take_along_axis(near, order, 1)
-                    ok = np.isfinite(exact)
-                    yield pd.DataFrame({"query": np.repeat(qi[lo : lo + STRIP], ok.sum(1)), "neighbour": ki[near[ok]], "distance": exact[ok]})
-
-    best = pairs.repartition("g", "q_block", "block").mapInPandas(run, "query long, neighbour long, distance double")
+    kept = written(_complete(known, known_id, features, group), "knn-known")
+    points, twice = pivots(kept, features, block)
+    if not len(points):
+        return kept.sparkSession.createDataFrame([], "query long, neighbour long, distance double, rank int")
+    right = _ringed(kept, features, points, twice, block)
+    same = queries is known and query_id == known_id
+    left = right if same else _ringed(_complete(queries, query_id, features, group), features, points, twice, block)
+    pairs = block_pairs(left, right)
+    if len(points) > 1:
+        pairs = written(pairs, "knn-pairs")
+    able = pairs.where(F.col("n") > (k if skip_self else k - 1))
+    home = able.groupBy("g", "q_block").agg(F.min_by("block", F.struct("apart", "offset", "block")).alias("block"))
+    q_side = left.select("g", F.col("block").alias("q_block"), F.col("ids").alias("q_ids"), F.col("x").alias("q_x"))
+    k_side = right.select("g", "block", "ids", "x", "lo", "hi")
+
+    def first(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for batch in batches for r in batch.itertuples()):
+            qi, ki = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+            q, x = np.frombuffer(r.q_x).reshape(len(qi), -1), np.frombuffer(r.x).reshape(len(ki), -1)
+            bound, ids, far = np.full(len(qi), np.inf), np.zeros((len(qi), k), np.int64), np.full((len(qi), k), np.inf)
+            for lo, d, i, ok in _nearest_in(qi, q, ki, x, k, skip_self):
+                at = slice(lo, lo + len(d))
+                ids[at, : i.shape[1]], far[at, : d.shape[1]] = i, np.where(ok, d, np.inf)
+            bound = far[:, -1]
+            yield pd.DataFrame({"g": [r.g], "q_block": [r.q_block], "home": [r.block], "bound": [bound.tobytes()], "worst": [float(bound.max())], "near": [ids.tobytes()], "far": [far.tobytes()]})
+
+    met = q_side.join(home, ["g", "q_block"]).join(k_side, ["g", "block"]).repartition("g", "q_block")
+    bounds = written(met.select("g", "q_block", "block", "q_ids", "q_x", "ids", "x").mapInPandas(first, "g string, q_block long, home long, bound binary, worst double, near binary, far binary"), "knn-bounds")
+    rest = visited(pairs, bounds)
+
+    def again(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for batch in batches for r in batch.itertuples()):
+            qi, ki = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
+            q, x = np.frombuffer(r.q_x).reshape(len(qi), -1), np.frombuffer(r.x).reshape(len(ki), -1)
+            bound = np.frombuffer(r.bound) if r.bound is not None else np.full(len(qi), np.inf)
+            d = _from(points, q)
+            apart = np.maximum(np.maximum(d - np.array(r.hi), np.array(r.lo) - d), 0).max(1)
+            may = np.flatnonzero(apart <= bound * (1 + SLACK) + SLACK)
+            for lo, far, i, ok in _nearest_in(qi[may], q[may], ki, x, k, skip_self):
+                ok &= far <= bound[may[lo : lo + len(far)], None]
+                yield pd.DataFrame({"query": np.repeat(qi[may[lo : lo + len(far)]], ok.sum(1)), "neighbour": i[ok], "distance": far[ok]})
+
+    def unpacked(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for batch in batches for r in batch.itertuples()):
+            qi, far = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.far).reshape(-1, k)
+            ok = np.isfinite(far)
+            yield pd.DataFrame({"query": np.repeat(qi, ok.sum(1)), "neighbour": np.frombuffer(r.near, np.int64).reshape(-1, k)[ok], "distance": far[ok]})
+
+    hit = "query long, neighbour long, distance double"
+    more = rest.join(q_side, ["g", "q_block"]).join(k_side, ["g", "block"]).join(bounds.select("g", "q_block", "bound"), ["g", "q_block"], "left").repartition("g", "q_block", "block")
+    more = more.select("g", "q_ids", "q_x", "ids", "x", "lo", "hi", "bound").mapInPandas(again, hit)
+    best = bounds.join(q_side.drop("q_x"), ["g", "q_block"]).select("q_ids", "near", "far").mapInPandas(unpacked, hit).unionByName(more)
     ranked = best.withColumn("rank", F.row_number().over(Window.partitionBy("query").orderBy("distance", "neighbour")))
     return ranked.where(F.col("rank") <= k)
 
 
+#: What a bound by pivots may be off.
+SLACK = 1e-9
+
+
+def visited(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
+    """g, q_block, block of the pairs that are still to be met: not farther apart than the worst bound of the block's queries."""
+    near = pairs.join(bounds.select("g", "q_block", "home", "worst"), ["g", "q_block"], "left")
+    return near.where(F.col("worst").isNull() | ((F.col("block") != F.col("home")) & (F.col("apart") <= F.col("worst") * (1 + SLACK) + SLACK))).select("g", "q_block", "block")
+
+
 def dbscan_eps(points: DataFrame, features: Sequence[str], min_samples: int = 4, percentile: float = 0.90, id_column: str = "id") -> DataFrame:
     """One row, eps: the quantile of the distances to the (min_samples - 1)-th other point, positive ones only; then the
     95th, 90th, 75th percentile and the median, then the median of the features' spreads, then a thousandth. A single point has 0.5."""

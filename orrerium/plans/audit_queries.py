@@ -305,7 +305,7 @@ def js_kl_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def permutation_null(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = graph.written(_membership(spark, sf_dir), "membership")
-    return rounded(bias.permutation_tests(m, "method", 50, edges=mapper.nerve(m)))
+    return rounded(bias.permutation_tests(m, "method", edges=mapper.nerve(m)))
 
 
 @query(f"""WITH {NERVE}, {BIAS[len(COVER) + 2 :]}, t AS (SELECT sum(n) AS a FROM ct), r AS (SELECT node_id, sum(n) AS n FROM ct GROUP BY 1), c AS (SELECT method, sum(n) AS n FROM ct GROUP BY 1), i AS (SELECT sum(ct.n / a * ln(ct.n * a / (r.n * c.n))) AS mi FROM ct JOIN r USING (node_id) JOIN c USING (method), t),
@@ -327,7 +327,19 @@ def characterise_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def label_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rounded(bias.enrichment(_membership(spark, sf_dir), "method", 20))
+    return rounded(bias.enrichment(_membership(spark, sf_dir), "method"))
+
+
+@query(f"""WITH {COVER}, pm AS (SELECT DISTINCT row_index, method FROM mem), pc AS (SELECT method, count(*) AS c FROM pm GROUP BY 1), ptt AS (SELECT count(*) AS t FROM pm), po AS (SELECT node_id, method, count(*) AS o FROM mem GROUP BY ALL),
+ps AS (SELECT node_id, CAST(sum(o) AS BIGINT) AS m FROM po GROUP BY 1), pe AS (SELECT po.*, m * (c / t) AS mu, sqrt(m * (c / t) * (1 - c / t) * (t - m) / (t - 1)) AS sd FROM po JOIN ps USING (node_id) JOIN pc USING (method), ptt)
+SELECT 'cover' AS config_id, node_id, method, o AS observed, round(mu, 6) AS null_mean, round(sd, 6) AS null_std, round((o - mu) / sd, 6) AS z_score FROM pe""")
+def expected_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(bias.expected_counts(_membership(spark, sf_dir), "method"))
+
+
+@query(f"""WITH {COVER}, sg AS (SELECT list(node_id ORDER BY node_id) AS nodes, method FROM mem GROUP BY row_index, method) SELECT 'cover' AS config_id, array_to_string(nodes, ' ') AS nodes, method AS label, count(*) AS n FROM sg GROUP BY ALL""")
+def member_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bias.signatures(_membership(spark, sf_dir), "method").withColumn("nodes", F.array_join("nodes", " "))
 
 
 def _shadowed(m: DataFrame, edges: DataFrame) -> DataFrame:

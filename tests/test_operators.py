@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -95,12 +97,64 @@ def test_deficit_is_at_most_the_anchor(spark):
     assert len(out) == 9 and max(r.delta_N_neighbors for r in out) <= 1
 
 
-def test_permutations_keep_totals(spark):
-    m = spark.createDataFrame([("c", f"n{k % 4}", k, "xy"[k % 2]) for k in range(40)], "config_id string, node_id string, row_index long, label string")
-    p = bias.permutations(m, "label", 10)
-    assert {r.s for r in p.groupBy("perm_id").agg(F.sum("n").alias("s")).collect()} == {40}
+def overlapping(n, seed=5):
+    """Members of one or two of six nodes, of three labels that go with nodes; some bear no label."""
+    rnd = random.Random(seed)
+    rows = []
+    for k in range(n):
+        at = rnd.randrange(6)
+        label = rnd.choice("xyz") if rnd.random() < 0.6 else "xyz"[at // 2]
+        rows += [("c", f"n{x}", k, label if k % 17 else None) for x in {at, min(at + (rnd.random() < 0.3), 5)}]
+    return rows
+
+
+MEMBERS = "config_id string, node_id string, row_index long, label string"
+
+
+def test_draws_keep_margins(spark):
+    m = spark.createDataFrame(overlapping(300), MEMBERS)
+    table = bias.signatures(m, "label").toPandas()
+    urn = bias.Urn(table, None)
+    drawn = urn.draw(np.random.default_rng(1), 200)
+    assert (drawn.sum(2) == urn.sizes).all() and (drawn.sum(1) == urn.totals).all() and (drawn >= 0).all()
+    assert len(np.unique(drawn.reshape(200, -1), axis=0)) == 200
     got = {r.metric: r for r in bias.permutation_tests(m, "label", 30).collect()}
-    assert got["weighted_purity"].observed == 1.0 and got["weighted_purity"].p_value <= 2 / 31
+    assert got["weighted_purity"].p_value == pytest.approx(1 / 31) and got["weighted_entropy"].z_score < -3
+
+
+def test_draws_have_the_moments_of_the_closed_form(spark, monkeypatch):
+    monkeypatch.setattr(bias, "DRAW_CELLS", 5000)
+    rows = overlapping(400)
+    m = spark.createDataFrame(rows, MEMBERS)
+    drawn = {(r.node_id, r.label): r for r in bias.enrichment(m, "label", 2000).collect()}
+    closed = {(r.node_id, r.label): r for r in bias.expected_counts(m, "label").collect()}
+    assert drawn.keys() == closed.keys()
+    members = {k: lab for _, _, k, lab in rows if lab}
+    for key, e in closed.items():
+        inside = {k for _, n, k, lab in rows if n == key[0] and lab}
+        share = sum(lab == key[1] for lab in members.values()) / len(members)
+        var = len(inside) * share * (1 - share) * (len(members) - len(inside)) / (len(members) - 1)
+        assert e.null_mean == pytest.approx(len(inside) * share) and e.null_std == pytest.approx(var**0.5)
+        d = drawn[key]
+        assert d.observed == e.observed and abs(d.null_mean - e.null_mean) < 5 * e.null_std / 2000**0.5
+        assert d.z_score == pytest.approx(e.z_score, abs=0.35 + 0.1 * abs(e.z_score))
+
+
+def test_metrics_of_a_table_are_those_of_its_counts(spark):
+    m = spark.createDataFrame(overlapping(250, 9) + [("d", "only", 1, "x"), ("d", "only", 2, "x")], MEMBERS)
+    edges = mapper.nerve(m)
+    want = {(r.config_id, r.metric): r.value for r in bias.global_metrics(bias.label_counts(m, "label"), ["config_id"], "label", edges).collect()}
+    pairs = graph.both_ways(graph.simple(edges)).toPandas()
+    for config, table in bias.signatures(m, "label").toPandas().groupby("config_id"):
+        urn = bias.Urn(table, pairs[pairs["config_id"] == config])
+        for metric, value in urn.metrics(urn.counts(urn.observed[None])).items():
+            assert value[0] == pytest.approx(want[config, metric])
+
+
+def test_an_audits_cost_follows_the_graph(spark):
+    few, many = (bias._urns(spark.createDataFrame(overlapping(n), MEMBERS), "label", None).first() for n in (2000, 20000))
+    assert few.cells == many.cells and len(many.urn) < 1.1 * len(few.urn)
+    assert bias.permutation_tests(spark.createDataFrame([], MEMBERS), "label", 5).count() == 0
 
 
 def test_alignment_refuses_repeated_keys(spark):
@@ -153,3 +207,43 @@ def test_medoid_of_a_large_node_is_that_of_all_pairs(spark):
     rows = spark.createDataFrame([(k, v) for k, v in enumerate(x)], "row_index long, z_0 double")
     m = rows.select(F.lit("c").alias(regions.KEY), F.lit("n").alias("node_id"), "row_index", "z_0", F.lit(0.0).alias("z_1"), F.lit(0.0).alias("z_2"), F.lit(True).alias("r3_valid"))
     assert [r.row_index for r in regions.medoids(m).collect()] == [0]
+
+
+def test_nearest_meets_few_blocks(spark):
+    """Equal to a scan, copies and ties included, and the share of block pairs that is visited falls as the rows grow."""
+    rng = np.random.default_rng(8)
+    shares = []
+    for n in (300, 6000):
+        x = rng.uniform(size=(n, 3)) * [1, 1, 0.01]
+        x[: n // 6] = x[0]  # a sixth are copies
+        ids = rng.permutation(len(x))
+        df = spark.createDataFrame([(int(i), *map(float, v)) for i, v in zip(ids, x, strict=True)], "id long, a double, b double, c double")
+        got = {}
+        for r in knn.nearest(df, df, ["a", "b", "c"], 4, block=30).collect():
+            got.setdefault(r.query, []).append((r["rank"], r.neighbour, r.distance))
+        for i, v in list(zip(ids, x, strict=True))[:: n // 100]:
+            d = np.sqrt(((x - v) ** 2).sum(1))
+            order = [k for k in np.lexsort((ids, d)) if ids[k] != i][:4]
+            mine = sorted(got[i])
+            assert [m[1] for m in mine] == [int(ids[k]) for k in order] and np.allclose([m[2] for m in mine], d[order])
+        rows = knn._complete(df, "id", ["a", "b", "c"], None)
+        blocks = knn._ringed(rows, ["a", "b", "c"], *knn.pivots(rows, ["a", "b", "c"], 30), 30)
+        assert max(r.n for r in blocks.collect()) <= 60 and sum(r.n for r in blocks.collect()) == n
+        pairs = knn.block_pairs(blocks, blocks)
+        worst = {}
+        by = {i: b.block for b in blocks.collect() for i in np.frombuffer(b.ids, np.int64).tolist()}
+        for q, near in got.items():
+            worst[by[q]] = max(worst.get(by[q], 0), max(m[2] for m in near))
+        all_pairs = pairs.collect()
+        assert len(all_pairs) == blocks.count() ** 2
+        shares.append(sum(p.apart <= worst[p.q_block] for p in all_pairs) / len(all_pairs))
+    assert shares[1] < 0.3 * shares[0], shares
+
+
+def test_nearest_of_few_groups_and_nothing(spark):
+    rows = [(k, "ab"[k % 2], float(k), 0.0) for k in range(9)] + [(20, "b", None, 1.0), (21, None, 3.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, kind string, x double, y double")
+    got = {(r.query, r["rank"]): r.neighbour for r in knn.nearest(df.where("id < 4"), df, ["x", "y"], 3, group="kind").collect()}
+    assert got == {(0, 1): 2, (0, 2): 4, (0, 3): 6, (1, 1): 3, (1, 2): 5, (1, 3): 7, (2, 1): 0, (2, 2): 4, (2, 3): 6, (3, 1): 1, (3, 2): 5, (3, 3): 7}
+    assert knn.nearest(df.limit(0), df, ["x", "y"], 3).count() == 0 == knn.nearest(df, df.limit(0), ["x", "y"], 3).count()
+    assert knn.nearest(df.where("id < 2"), df.where("id < 2"), ["x", "y"], 5).count() == 2  # fewer rows than asked for
