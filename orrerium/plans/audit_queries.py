@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.functions import labels, stats
-from orrerium.operators import bias, characterise, graph, impute, knn, mapper, models, profile, regions
+from orrerium.operators import bias, characterise, context, graph, impute, knn, mapper, models, profile, regions
 from orrerium.plans.registry import Registry
 from orrerium.plans.tables import table
 
@@ -440,6 +440,34 @@ def neighbor_deficits(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(out.select("config_id", "node_id", "anchor", "radius_type", "radius", "N_obs", "N_exp_neighbors", "delta_N_neighbors", "delta_rel_neighbors", "deficit_class"))
 
 
+ANALOG = f"""an AS (SELECT sh.node_id, raw * size_weight AS s, n_members, n_valid / n_members AS vf, c0, c1, c2 FROM sh LEFT JOIN xg USING (node_id)), ak AS (SELECT quantile_cont(s, 0.5) AS cut FROM an), av AS (SELECT * FROM an WHERE c2 IS NOT NULL),
+ad AS (SELECT a.node_id, b.node_id AS other, b.s, b.n_members, b.vf, sqrt((a.c0 - b.c0) ** 2 + (a.c1 - b.c1) ** 2 + (a.c2 - b.c2) ** 2) AS d FROM av a JOIN av b ON a.node_id <> b.node_id), atau AS (SELECT quantile_cont(d, 0.35) AS tau FROM ad WHERE d > 0 AND node_id < other),
+al AS (SELECT node_id, other FROM ad, atau, ak WHERE d <= tau AND s <= cut AND n_members >= 3 AND vf >= 0.6), ao AS (SELECT DISTINCT other FROM al), am AS (SELECT qc.* FROM qc JOIN ao ON qc.node_id = ao.other),
+au AS (SELECT qr.node_id AS other, a.row_index, min({_D}) AS d FROM qr JOIN am b ON b.node_id = qr.node_id JOIN xz a ON a.node_id = qr.other WHERE a.row_index <> b.row_index GROUP BY ALL),
+ab AS (SELECT l.node_id, radius_type, al.other, count(u.d) AS n FROM qf l JOIN al USING (node_id) JOIN am ON am.node_id = al.other LEFT JOIN au u ON u.other = al.other AND u.d <= l.radius GROUP BY ALL),
+ax AS (SELECT node_id, radius_type, CASE WHEN count(*) >= 3 THEN median(n) END AS ea FROM ab GROUP BY ALL), az AS (SELECT node_id, count(*) AS n FROM al GROUP BY 1),
+ay AS (SELECT qf.*, CASE WHEN n1 >= 3 THEN 'N1' WHEN n2 >= 3 THEN 'N2' ELSE 'unavailable' END AS used, coalesce(az.n, 0) AS na, ea, (ea - o) / (ea + 1e-9) AS ra FROM qf LEFT JOIN az USING (node_id) LEFT JOIN ax USING (node_id, radius_type))"""
+
+
+def _three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m, edges, a = _anchored(spark, sf_dir)
+    nodes = regions.node_geometry(m).join(_shadowed(m.select("config_id", "node_id", "row_index", "method"), edges).select("config_id", "node_id", "shadow_score", "n_members"), ["config_id", "node_id"], "right")
+    analogs = graph.written(context.analog_nodes(nodes.withColumn("r3_valid_fraction", F.col("n_valid") / F.col("n_members")), reach=0.35, least_members=3, least_valid=0.6), "analogs")
+    return regions.analog_deficits(graph.written(regions.deficits(a, m, edges), "deficits"), analogs, m, edges)
+
+
+@query(f"""WITH {SHADOW}, {R3SQL}, {DEFICIT}, {ANALOG} SELECT 'cover' AS config_id, node_id, radius_type, o AS "N_obs", e1 AS "N_exp_first", e2 AS "N_exp_second", used AS reference_used, e AS "N_exp_neighbors", na AS n_analog_nodes, ea AS "N_exp_analog", ea - o AS "delta_N_analog", round(ra, 6) AS delta_rel_analog,
+  CASE WHEN e IS NULL THEN 'insufficient_neighbors' WHEN ea IS NULL THEN 'insufficient_analogs' END AS warning FROM ay""")
+def three_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(_three(spark, sf_dir).select("config_id", "node_id", "radius_type", "N_obs", "N_exp_first", "N_exp_second", "reference_used", "N_exp_neighbors", "n_analog_nodes", "N_exp_analog", "delta_N_analog", "delta_rel_analog", "warning"))
+
+
+@query(f"""WITH {SHADOW}, {R3SQL}, {DEFICIT}, {ANALOG} SELECT 'cover' AS config_id, node_id, anchor, round(max(dr) FILTER (radius_type = 'r_node_median'), 6) AS delta_rel_neighbors_median_radius, round(max(dr) FILTER (radius_type = 'r_node_q75'), 6) AS delta_rel_neighbors_q75_radius, round(max(dr) FILTER (radius_type = 'r_kNN'), 6) AS delta_rel_neighbors_knn_radius,
+  round(avg(dr), 6) AS delta_rel_neighbors_mean, round(median(dr), 6) AS delta_rel_neighbors_median, round(greatest(max(dr), 0), 6) AS delta_rel_neighbors_best, round(greatest(max(ra), 0), 6) AS delta_rel_analog_best FROM ay GROUP BY node_id, anchor""")
+def reference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(regions.deficit_summary(_three(spark, sf_dir)))
+
+
 @query(f"""WITH {TOI}, {DEFICIT}, qb AS (SELECT node_id, greatest(coalesce(max(dr), 0), 0) AS best, count(dr) AS n, count(*) FILTER (dr > 0) AS plus FROM qf GROUP BY node_id),
 qp AS (SELECT qa.node_id, row_index, exp(-((z0 - c0) ** 2 + (z1 - c1) ** 2 + (z2 - c2) ** 2) / (2 * CASE WHEN spread > 0 THEN spread ELSE 1e-9 END ** 2)) AS rep, toi, best, CASE WHEN n < 2 THEN 'undefined' WHEN plus = n THEN 'consistent_positive_deficit' WHEN plus > 0 THEN 'radius_sensitive_deficit' ELSE 'no_consistent_deficit' END AS st
   FROM qa JOIN xg USING (node_id) LEFT JOIN qb USING (node_id) JOIN ts USING (node_id))

@@ -247,3 +247,36 @@ def test_nearest_of_few_groups_and_nothing(spark):
     assert got == {(0, 1): 2, (0, 2): 4, (0, 3): 6, (1, 1): 3, (1, 2): 5, (1, 3): 7, (2, 1): 0, (2, 2): 4, (2, 3): 6, (3, 1): 1, (3, 2): 5, (3, 3): 7}
     assert knn.nearest(df.limit(0), df, ["x", "y"], 3).count() == 0 == knn.nearest(df, df.limit(0), ["x", "y"], 3).count()
     assert knn.nearest(df.where("id < 2"), df.where("id < 2"), ["x", "y"], 5).count() == 2  # fewer rows than asked for
+
+
+def test_ball_counts(spark):
+    rng = np.random.default_rng(1)
+    d = [("a", float(x)) for x in rng.integers(0, 20, 300)] + [("b", 0.0)] * 40 + [("c", 5.0)]
+    balls = [(k, r) for k in "abcz" for r in (None, -1.0, 0.0, 3.0, 4.5, 19.0, 20.0, 1e9)]
+    got = regions.ball_counts(spark.createDataFrame(d, "k string, d double"), spark.createDataFrame(balls, "k string, radius double"), ["k"], 7).collect()
+    assert len(got) == len(balls)
+    for r in got:
+        assert r.inside == (0 if r.radius is None else sum(k == r.k and x <= r.radius for k, x in d))
+
+
+def test_analog_reference(spark):
+    """Anchors' balls against those around analogs' medoids, by hand; too few analogs say so."""
+    rng = np.random.default_rng(4)
+    nodes = {"a": range(12), "b": range(9, 24), "d": range(20, 40), "e": range(38, 50), "f": range(60, 75)}
+    at = {i: [float(x) for x in rng.normal(size=3)] for i in range(75)}
+    m = spark.createDataFrame([("c", n, i, *at[i], True) for n, ids in nodes.items() for i in ids], "config_id string, node_id string, row_index long, z_0 double, z_1 double, z_2 double, r3_valid boolean")
+    edges, a = mapper.nerve(m), regions.anchors(m)
+    long = regions.deficits(a, m, edges)
+    analogs = [("c", n, o) for n in ("a", "f") for o in ("b", "d", "e")] + [("c", "b", "a")]
+    out = regions.analog_deficits(long, spark.createDataFrame(analogs, "config_id string, node_id string, analog_node string"), m, edges).collect()
+    near = {"a": "abd", "b": "abde", "d": "abde", "e": "bde", "f": "f"}
+    gap = lambda i, j: float(np.linalg.norm(np.subtract(at[i], at[j])))
+    middle = {n: min(ids, key=lambda i, ids=ids: (round(sum(gap(i, j) for j in ids), 9), i)) for n, ids in nodes.items()}
+    for r in out:
+        others = [o for _, n, o in analogs if n == r.node_id]
+        counts = [sum(gap(i, middle[o]) <= r.radius for i in {i for x in near[o] for i in nodes[x]} - {middle[o]}) for o in others]
+        assert r.n_analog_nodes == len(others) and r.N_exp_analog == (float(np.median(counts)) if len(others) > 2 else None)
+        assert r.reference_used == ("unavailable" if r.node_id == "f" else "N1")
+        assert r.warning == ("insufficient_neighbors" if r.node_id == "f" else None if r.node_id == "a" else "insufficient_analogs")
+    best = {r.node_id: r for r in regions.deficit_summary(spark.createDataFrame(out)).collect()}
+    assert best["b"].delta_rel_analog_best == 0 and best["f"].delta_rel_neighbors_best == 0
