@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import itertools
-from collections.abc import Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -12,8 +13,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrerium.functions.numeric import ratio, z_score
-from orrerium.operators.graph import component_stats
-from orrerium.operators.knn import nearest
+from orrerium.operators.graph import component_stats, components, graph_metrics
+from orrerium.operators.knn import dbscan_eps, nearest
 from orrerium.sources.tables import written
 
 #: Feature spaces and their other names.
@@ -107,17 +108,85 @@ def cover(points: DataFrame, n_cubes: int = 10, overlap: float = 0.35, dims: Seq
     """
     bounds = points.agg(*[f(d).alias(f"_{n}{k}") for k, d in enumerate(dims) for n, f in (("lo", F.min), ("hi", F.max))])
     out = points.dropna(subset=list(dims)).join(F.broadcast(bounds), how="cross")
-    cube = F.lit(0)
+    return _cells(out, dims, F.lit(n_cubes), F.lit(float(overlap))).drop(*bounds.columns)
+
+
+def _cells(rows: DataFrame, dims: Sequence[str], n_cubes: Column, overlap: Column) -> DataFrame:
+    """rows, with bounds _lo<k> and _hi<k> of each dimension, once for every cell that holds them."""
+    out, cube = rows, F.lit(0)
     for k, d in enumerate(dims):
         span = F.col(f"_hi{k}") - F.col(f"_lo{k}")
         w, r = span / n_cubes, span / (2.0 * n_cubes * (1.0 - overlap))
         at = F.col(d) - F.col(f"_lo{k}")
         first = F.greatest(F.ceil(F.try_divide(at - r, w) - 0.5), F.lit(0)).cast("int")
-        last = F.least(F.floor(F.try_divide(at + r, w) - 0.5), F.lit(n_cubes - 1)).cast("int")
+        last = F.least(F.floor(F.try_divide(at + r, w) - 0.5), n_cubes - 1).cast("int")
         cells = F.when(w > 0, F.when(first <= last, F.sequence(first, last)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(F.lit(0)))
         out = out.withColumn(f"cube_{k}", F.explode(cells))
         cube = cube * n_cubes + F.col(f"cube_{k}")
-    return out.withColumn("cube_id", cube).drop(*bounds.columns)
+    return out.withColumn("cube_id", cube)
+
+
+def lenses(points: DataFrame, configs: Sequence[Config], features: Mapping[str, Sequence[str]] = SPACES, domain: Mapping[str, tuple[str, str]] | None = None, k_density: int = 15, id_column: str = "row_index") -> DataFrame:
+    """space, lens, row, lens_0, lens_1, x (the space's features): every lens of the configurations once, whatever their grids.
+
+    Domain lenses are two columns of the points by space; by default the first two features.
+    """
+    parts = []
+    for name, lens in sorted({(c.space, c.lens) for c in configs}):
+        used = list(features[name])
+        if lens == "domain":
+            rows = domain_lens(points.dropna(subset=used), *((domain or {}).get(name) or (used[0], used[min(1, len(used) - 1)])))
+        elif lens in ("pca2", "density"):
+            rows = pca_lens(points, used) if lens == "pca2" else density_lens(points, used, k_density, id_column)
+        else:
+            raise ValueError(f"unknown lens {lens!r}; known: {', '.join(LENSES)}")
+        parts.append(rows.select(F.lit(name).alias("space"), F.lit(lens).alias("lens"), F.col(id_column).alias("row"), F.col("lens_0").cast("double").alias("lens_0"), F.col("lens_1").cast("double").alias("lens_1"), F.array(*[F.col(f).cast("double") for f in used]).alias("x")))
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+#: Configurations of one build: their table is broadcast.
+MOST_CONFIGS = 10_000
+
+
+def covers(lensed: DataFrame, configs: Sequence[Config], eps: Mapping[str, float] | None = None) -> DataFrame:
+    """The rows of lenses() once for every configuration and cell that holds them: config_id, cube_id, row, x, eps, min_samples.
+
+    Configurations are rows of a table that is joined by space and lens, so a grid of them is one explode. eps: by space.
+    """
+    if len(configs) > MOST_CONFIGS:
+        raise ValueError(f"{len(configs)} configurations at once; at most {MOST_CONFIGS}")
+    spark = lensed.sparkSession
+    rows = [(c.id, c.space, c.lens, c.n_cubes, float(c.overlap), float((eps or {}).get(c.space, 0.0)), c.min_samples) for c in configs]
+    table = spark.createDataFrame(rows, "config_id string, space string, lens string, n_cubes int, overlap double, eps double, min_samples int")
+    bounds = lensed.groupBy("space", "lens").agg(*[f(f"lens_{k}").alias(f"_{n}{k}") for k in range(2) for n, f in (("lo", F.min), ("hi", F.max))])
+    grid = F.broadcast(table.join(bounds, ["space", "lens"]))
+    held = lensed.dropna(subset=["lens_0", "lens_1"]).join(grid, ["space", "lens"])
+    return _cells(held, ("lens_0", "lens_1"), F.col("n_cubes"), F.col("overlap")).select("config_id", F.col("cube_id").cast("int").alias("cube_id"), "row", "x", "eps", "min_samples")
+
+
+def build_all(points: DataFrame, configs: Sequence[Config], features: Mapping[str, Sequence[str]] = SPACES, eps: Mapping[str, float] | None = None, domain: Mapping[str, tuple[str, str]] | None = None, k_density: int = 15, percentile: float = 0.90, id_column: str = "row_index", most: int | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(membership, edges, metrics) of all configurations: lenses once a space, all covers, cells and nerves in one job each.
+
+    Without eps (by space) it is estimated, once a space, from the distances of its rows. Metrics have a row for each
+    configuration, those without nodes too.
+    """
+    lensed = written(lenses(points, configs, features, domain, k_density, id_column), "lenses")
+    if eps is None:
+        eps = {}
+        for name in sorted({c.space for c in configs}):
+            least = max(c.min_samples for c in configs if c.space == name)
+            eps[name] = dbscan_eps(points.dropna(subset=list(features[name])), features[name], least, percentile, id_column).first().eps or 1e-3
+    kind = dict(points.dtypes)[id_column]
+    members = clusters(covers(lensed, configs, eps).withColumnRenamed("row", id_column), id_column, most=most or HOT_ROWS)
+    members = written(members.withColumn(id_column, F.col(id_column).cast(kind)), "memberships")
+    edges = written(nerve(members, id_column), "nerves")
+    used = lensed.groupBy("space", "lens").agg(F.count(F.lit(1)).alias("rows_used"), F.max(F.size("x")).alias("n_features"))
+    rows = [(c.id, c.space, c.lens, c.n_cubes, float(c.overlap), c.min_samples, float(eps[c.space])) for c in configs]
+    table = points.sparkSession.createDataFrame(rows, "config_id string, space string, lens string, n_cubes int, overlap double, min_samples int, eps double")
+    metrics = graph_metrics(members.select("config_id", "node_id").distinct(), edges)
+    out = table.join(used, ["space", "lens"], "left").join(metrics, "config_id", "left")
+    counts = ["rows_used", "n_nodes", "n_edges", "beta_0", "beta_1", "max_degree", "n_isolates", "largest_component"]
+    return members, edges, out.na.fill(0, counts).withColumn("largest_component_fraction", F.coalesce(F.try_divide(F.col("largest_component").cast("double"), F.col("n_nodes")), F.lit(0.0)))
 
 
 def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
@@ -148,24 +217,126 @@ def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     return out
 
 
-def cluster(covered: DataFrame, features: Sequence[str], eps: float, min_samples: int = 4, id_column: str = "row_index", keys: Sequence[str] = ("config_id",)) -> DataFrame:
-    """config_id, node_id, cube_id, cluster_id, row_index: the clusters of every cell, noise left out.
+#: Rows of a cell that one task clusters; larger cells are cut into boxes.
+HOT_ROWS = 20_000
 
-    A cell is one task; cells of fewer rows than a cluster needs have none.
+
+def cluster(covered: DataFrame, features: Sequence[str], eps: float, min_samples: int = 4, id_column: str = "row_index", keys: Sequence[str] = ("config_id",), most: int = HOT_ROWS) -> DataFrame:
+    """config_id, node_id, cube_id, cluster_id, row_index: the clusters of every cell, noise left out."""
+    rows = covered.select(*keys, "cube_id", id_column, F.array(*[F.col(f).cast("double") for f in features]).alias("x"), F.lit(float(eps)).alias("eps"), F.lit(int(min_samples)).alias("min_samples"))
+    return clusters(rows, id_column, keys, most)
+
+
+def clusters(rows: DataFrame, id_column: str = "row_index", keys: Sequence[str] = ("config_id",), most: int = HOT_ROWS) -> DataFrame:
+    """The clusters of every cell by its own eps and min_samples: keys, node_id, cube_id, cluster_id, row.
+
+    A cell is one task; one of more than `most` rows is cut into boxes (see spread_clusters) with the same result. Cells of
+    fewer rows than a cluster needs have none. rows: keys, cube_id, the row, x (its features), eps, min_samples.
     """
-    features, keys = list(features), list(keys)
+    cell = [*keys, "cube_id"]
+    hot = written(rows.groupBy(*cell).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select(*cell), "hot-cells")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(id_column)
-        label = dbscan(group[features].to_numpy(float), eps, min_samples) if len(group) >= min_samples else np.full(len(group), -1)
+        least = int(group["min_samples"].iloc[0])
+        label = dbscan(np.stack(group["x"].to_list()).astype(float), float(group["eps"].iloc[0]), least) if len(group) >= least else np.full(len(group), -1)
         held, label = group[label >= 0], label[label >= 0]
-        cubes = held["cube_id"].to_numpy()
-        names = [f"cube{c}_cluster{k}" for c, k in zip(cubes, label, strict=True)]
-        return pd.DataFrame({**{k: held[k].to_numpy() for k in keys}, "node_id": pd.Series(names, dtype=object), "cube_id": cubes, "cluster_id": label, id_column: held[id_column].to_numpy()})
+        return pd.DataFrame({**{k: held[k].to_numpy() for k in cell}, "cluster_id": label, id_column: held[id_column].to_numpy()})
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in cell), "cluster_id long", f"{id_column} {kinds[id_column]}"])
+    if hot.limit(1).count():
+        cool = rows.join(hot, cell, "left_anti")
+        out = cool.groupBy(*cell).applyInPandas(run, schema).unionByName(spread_clusters(rows.join(hot, cell, "left_semi"), id_column, keys, most))
+    else:
+        out = rows.groupBy(*cell).applyInPandas(run, schema)
+    return out.select(*keys, F.concat(F.lit("cube"), F.col("cube_id").cast("string"), F.lit("_cluster"), F.col("cluster_id").cast("string")).alias("node_id"), "cube_id", "cluster_id", id_column)
+
 
-    kinds = dict(covered.dtypes)
-    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "node_id string, cube_id int, cluster_id long", f"{id_column} {kinds[id_column]}"])
-    return covered.select(*keys, "cube_id", id_column, *features).groupBy(*keys, "cube_id").applyInPandas(run, schema)
+def _links(x: np.ndarray, eps: float) -> Iterator[tuple[int, np.ndarray]]:
+    """(first row, whether each row of a strip is within eps of each other row)."""
+    norm = (x * x).sum(1)
+    for lo in range(0, len(x), STRIP):
+        s = x[lo : lo + STRIP]
+        yield lo, (s * s).sum(1)[:, None] + norm - 2 * s @ x.T <= eps * eps + 1e-12
+
+
+def spread_clusters(rows: DataFrame, id_column: str = "row_index", keys: Sequence[str] = ("config_id",), most: int = HOT_ROWS) -> DataFrame:
+    """The clusters of cells of any size, as dbscan() numbers them: keys, cube_id, cluster_id, row.
+
+    Equal rows are one point with their number. Points are cut into boxes of at least eps by the two features that spread most,
+    each with a rim of eps of the points around it. A box tells which of its points are cores, then links cores with each
+    other and its border points with clusters; clusters that share a core are joined as components. A task holds a box,
+    which is as small as its rows allow, but not narrower than eps.
+    """
+    cell = [*keys, "cube_id"]
+    rows = written(rows, "hot-rows")
+    points = written(rows.groupBy(*cell, "x", "eps", "min_samples").agg(F.min(id_column).alias("point"), F.count(F.lit(1)).alias("w")), "hot-points")
+    wide = points.agg(F.max(F.size("x"))).first()[0] or 1
+    spreads = F.sort_array(F.array(*[F.struct(F.coalesce(F.stddev_pop(F.get("x", F.lit(k))), F.lit(-1.0)).alias("sd"), F.lit(k).alias("k"), F.min(F.get("x", F.lit(k))).alias("lo"), F.max(F.get("x", F.lit(k))).alias("hi")) for k in range(wide)]), asc=False)
+    shape = points.groupBy(*cell).agg(spreads.alias("d"), F.count(F.lit(1)).alias("n"))
+    boxed = points.join(shape, cell).withColumn("reach", F.sqrt(F.col("eps") * F.col("eps") + 1e-12) * (1 + 1e-9))
+    parts = F.greatest(F.lit(1.0), F.ceil(F.sqrt(F.col("n") * 4.0 / most)))
+    for i in range(min(2, wide)):
+        d = F.col("d")[i]
+        side = F.greatest((d["hi"] - d["lo"]) / parts, F.col("reach"))
+        at = (F.element_at("x", d["k"] + 1) - d["lo"]) / side
+        own = F.floor(at)
+        steps = F.filter(F.array(F.when((at - own) * side <= F.col("reach"), F.lit(-1)), F.lit(0), F.when((own + 1 - at) * side <= F.col("reach"), F.lit(1))), lambda s: s.isNotNull())
+        boxed = boxed.withColumns({f"own{i}": own, f"steps{i}": steps})
+    for i in range(min(2, wide)):
+        boxed = boxed.withColumn(f"step{i}", F.explode(f"steps{i}"))
+    names = [F.col(f"own{i}") + F.col(f"step{i}") for i in range(min(2, wide))]
+    mine = functools.reduce(lambda a, b: a & b, [F.col(f"step{i}") == 0 for i in range(min(2, wide))])
+    boxed = written(boxed.select(*cell, F.concat_ws(",", *[n.cast("string") for n in names]).alias("box"), mine.alias("own"), "point", "w", "x", "eps", "min_samples"), "hot-boxes")
+    kinds = dict(boxed.dtypes)
+    ident = ", ".join(f"{k} {kinds[k]}" for k in cell)
+
+    def cores(group: pd.DataFrame) -> pd.DataFrame:
+        x, w = np.stack(group["x"].to_list()).astype(float), group["w"].to_numpy()
+        near = np.concatenate([hit @ w for _, hit in _links(x, float(group["eps"].iloc[0]))])
+        group = group[group["own"].to_numpy() & (near >= int(group["min_samples"].iloc[0]))]
+        return pd.DataFrame({k: group[k].to_numpy(object) for k in (*cell, "point")})
+
+    known = written(boxed.groupBy(*cell, "box").applyInPandas(cores, f"{ident}, point {kinds['point']}").withColumn("core", F.lit(True)), "hot-cores")
+
+    def local(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.reset_index(drop=True)
+        x, core, own, point = np.stack(group["x"].to_list()).astype(float), group["core"].to_numpy(bool), group["own"].to_numpy(bool), group["point"].to_numpy()
+        root = np.arange(len(x))
+
+        def find(i: int) -> int:
+            while root[i] != i:
+                root[i] = root[root[i]]
+                i = root[i]
+            return i
+
+        for lo, hit in _links(x, float(group["eps"].iloc[0])):
+            for i in np.flatnonzero(core[lo : lo + len(hit)]).tolist():
+                a = find(lo + i)
+                for b in {find(j) for j in np.unique(root[hit[i] & core]).tolist()}:
+                    root[max(a, b)] = a = min(a, b)
+        top = np.array([find(i) for i in range(len(x))])
+        out = [(point[i], top[i], True) for i in np.flatnonzero(core).tolist()]
+        for lo, hit in _links(x, float(group["eps"].iloc[0])):
+            for i in np.flatnonzero(own[lo : lo + len(hit)] & ~core[lo : lo + len(hit)]).tolist():
+                out += [(point[lo + i], r, False) for r in np.unique(top[hit[i] & core]).tolist()]
+        part = f"{group['box'].iloc[0]}:"
+        cols = {"point": [o[0] for o in out], "part": [f"{part}{o[1]}" for o in out], "core": [o[2] for o in out]}
+        return pd.DataFrame({k: pd.Series(v, dtype=object) for k, v in ({k: [group[k].iloc[0]] * len(out) for k in cell} | cols).items()})
+
+    flagged = boxed.join(known, [*cell, "point"], "left").na.fill(False, ["core"])
+    found = written(flagged.groupBy(*cell, "box").applyInPandas(local, f"{ident}, point {kinds['point']}, part string, core boolean"), "hot-parts")
+    name = F.to_json(F.struct(*cell))
+    held = found.where("core").groupBy(*cell, "point").agg(F.sort_array(F.collect_set("part")).alias("parts"))  # four boxes at most
+    edges = held.where(F.size("parts") > 1).select(name.alias("config_id"), F.col("parts")[0].alias("source"), F.explode(F.slice("parts", 2, 4)).alias("target"))
+    comps = components(found.select(name.alias("config_id"), F.col("part").alias("node_id")), edges)
+    whole = written(found.withColumn("config", name).join(comps.select(F.col("config_id").alias("config"), F.col("node_id").alias("part"), "component_id"), ["config", "part"]), "hot-whole")
+    order = whole.where("core").groupBy("config", "component_id").agg(F.min("point").alias("first"))
+    order = order.withColumn("cluster_id", (F.row_number().over(Window.partitionBy("config").orderBy("first")) - 1).cast("long"))
+    label = whole.join(order, ["config", "component_id"]).groupBy(*cell, "point").agg(F.min("cluster_id").alias("cluster_id"))
+    at = points.join(label, [*cell, "point"]).select(*cell, "x", "cluster_id")
+    return rows.join(at, [*cell, "x"]).select(*cell, "cluster_id", id_column)
 
 
 def nerve(membership: DataFrame, id_column: str = "row_index") -> DataFrame:

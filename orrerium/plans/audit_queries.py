@@ -566,6 +566,30 @@ def candidate_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(knn.with_fallback(found, ["mass", "radius"]).select("id", "n_analogs", "mass_median", "mass_q16", "radius_median", "candidate_estimation_method"))
 
 
+GRIDS = mapper.grid(["phys_min", "phys_density"], ["domain"], [4, 7, 10], [0.2, 0.35])
+GRID_SPACES = {"phys_min": ("l_quantity", "l_extendedprice"), "phys_density": ("l_discount", "l_tax", "l_quantity")}
+
+
+@query(f"""WITH pt AS (SELECT 'phys_min' AS space, l_quantity AS x, l_extendedprice AS y FROM lineitem UNION ALL SELECT 'phys_density', l_discount, l_tax FROM lineitem),
+bd AS (SELECT space, min(x) AS x0, max(x) - min(x) AS sx, min(y) AS y0, max(y) - min(y) AS sy FROM pt GROUP BY space), cell AS (SELECT CAST(i AS INTEGER) AS i FROM range(10) AS t(i)),
+cfg AS (SELECT * FROM (VALUES {", ".join(f"('{c.id}', '{c.space}', {c.n_cubes}, CAST({c.overlap} AS DOUBLE))" for c in GRIDS)}) AS t(config_id, space, n, o)),
+k AS (SELECT config_id, a.i * n + b.i AS cube_id FROM pt JOIN bd USING (space) JOIN cfg USING (space) JOIN cell a ON a.i < n AND greatest(ceil((x - x0 - sx / (2.0::DOUBLE * n * (1.0::DOUBLE - o))) / (sx / n) - 0.5), 0) <= a.i AND a.i <= least(floor((x - x0 + sx / (2.0::DOUBLE * n * (1.0::DOUBLE - o))) / (sx / n) - 0.5), n - 1)
+  JOIN cell b ON b.i < n AND greatest(ceil((y - y0 - sy / (2.0::DOUBLE * n * (1.0::DOUBLE - o))) / (sy / n) - 0.5), 0) <= b.i AND b.i <= least(floor((y - y0 + sy / (2.0::DOUBLE * n * (1.0::DOUBLE - o))) / (sy / n) - 0.5), n - 1))
+SELECT config_id, cube_id, count(*) AS n FROM k GROUP BY ALL""")
+def cover_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of twelve configurations, from one join of the lenses with the table of configurations."""
+    points = table(spark, sf_dir, "lineitem").withColumn("row_index", _item())
+    return mapper.covers(mapper.lenses(points, GRIDS, GRID_SPACES), GRIDS).groupBy("config_id", "cube_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query()
+def mapper_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of twelve configurations of two spaces and two lenses over all vectors, built together."""
+    spaces = {"phys_min": DIMS[:2], "orbital": DIMS}
+    configs = mapper.grid(list(spaces), ["pca2", "domain"], [3, 5, 8], [0.35])
+    return rounded(mapper.build_all(_vectors(spark, sf_dir).withColumnRenamed("id", "row_index"), configs, spaces)[2])
+
+
 @query()
 def mapper_nodes_dbscan(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = _vectors(spark, sf_dir).withColumnRenamed("id", "row_index")

@@ -280,3 +280,42 @@ def test_analog_reference(spark):
         assert r.warning == ("insufficient_neighbors" if r.node_id == "f" else None if r.node_id == "a" else "insufficient_analogs")
     best = {r.node_id: r for r in regions.deficit_summary(spark.createDataFrame(out)).collect()}
     assert best["b"].delta_rel_analog_best == 0 and best["f"].delta_rel_neighbors_best == 0
+
+
+def points(n, seed):
+    """Blobs with copies, bridges between them and noise, in three features."""
+    rng = np.random.default_rng(seed)
+    x = np.concatenate([rng.normal(size=(n // 4, 3)) * 0.35 + c for c in ([0, 0, 0], [3, 0, 0], [0, 4, 1])] + [rng.uniform(-3, 7, size=(n - 3 * (n // 4), 3))])
+    x[: n // 6] = x[0]
+    x[n // 6 : n // 5] = x[n // 6] + np.outer(np.arange(n // 5 - n // 6), [0.1, 0.05, 0])
+    return x[rng.permutation(n)].round(4)
+
+
+@pytest.mark.parametrize(("n", "eps", "least"), [(240, 0.4, 4), (300, 0.15, 2), (150, 30.0, 4)])
+def test_large_cells_have_the_clusters_of_one_task(spark, n, eps, least):
+    rows = [("c", cube, k * 7 % n, *map(float, v)) for cube in (2, 5) for k, v in enumerate(points(n, cube))]
+    df = spark.createDataFrame(rows, "config_id string, cube_id int, row_index long, a double, b double, c double")
+    plain = mapper.cluster(df, ["a", "b", "c"], eps, least).collect()
+    spread = mapper.cluster(df, ["a", "b", "c"], eps, least, most=30).collect()
+    assert sorted(map(tuple, spread)) == sorted(map(tuple, plain))
+    assert eps < 0.01 or len(plain) > 10
+
+
+def test_all_configurations_are_those_built_one_by_one(spark):
+    x = points(160, 9)
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)] + [(1000, None, 1.0, 2.0)], "row_index long, a double, b double, c double")
+    spaces = {"phys_min": ("a", "b"), "phys_density": ("a", "b", "c")}
+    configs = mapper.grid(list(spaces), ["pca2", "domain"], [3], [0.2, 0.35])
+    eps = {"phys_min": 0.3, "phys_density": 0.5}
+    members, edges, metrics = mapper.build_all(df, configs, spaces, eps)
+    got, links, rows = members.collect(), edges.collect(), {r.config_id: r for r in metrics.collect()}
+    assert rows.keys() == {c.id for c in configs}
+    for c in configs[1::4]:
+        used = list(spaces[c.space])
+        lens = mapper.pca_lens(df, used) if c.lens == "pca2" else mapper.domain_lens(df.dropna(subset=used), *used[:2])
+        one, nerve = mapper.build(df, used, eps[c.space], c, lens)
+        assert sorted(tuple(r) for r in got if r.config_id == c.id) == sorted(map(tuple, one.collect()))
+        alone = graph.graph_metrics(one.select("config_id", "node_id").distinct(), nerve).first()
+        assert {k: v for k, v in rows[c.id].asDict().items() if k in alone.asDict()} == pytest.approx(alone.asDict())
+        assert sum(r.config_id == c.id for r in links) == alone.n_edges and rows[c.id].rows_used == 160
+    assert mapper.build_all(df.limit(0), configs[:2], spaces, eps)[2].count() == 2
