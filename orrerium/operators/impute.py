@@ -199,37 +199,75 @@ def _nearest_donors(known, features: list[str], k: int, last: bool):
     return run
 
 
-def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tolerance: float = 1e-3, ridge: float = 1e-6) -> DataFrame:
-    """Chained ridge regressions: each feature on all others, fewest missing first, from medians until cells move less.
+#: Shape and rate of the priors of both precisions, rounds of their updates, and the change of coefficients that ends them.
+PRIOR, EVIDENCE_ROUNDS, EVIDENCE_TOLERANCE = 1e-6, 300, 1e-3
 
-    A round aggregates one Gram matrix of the completed table per feature (features squared numbers to the driver) and
-    applies the solution as an expression over the previous round's checkpoint.
+
+class Evidence:
+    """Bayesian ridge from sums alone: precisions of noise and weights at the maximum of the evidence, and the weights' posterior.
+
+    gram, xy, yy: centred sums of products of the predictors, with the target, and of the target with itself, over n rows.
+    """
+
+    def __init__(self, gram: np.ndarray, xy: np.ndarray, yy: float, n: float):
+        values, vectors = np.linalg.eigh(gram)
+        values = np.maximum(values, 0.0)
+        along = vectors.T @ xy
+        alpha, weight = 1.0 / (yy / n + np.finfo(float).eps), 1.0
+        before = None
+        for _ in range(EVIDENCE_ROUNDS):
+            z = along / (values + weight / alpha)
+            rest = max(yy - 2 * z @ along + values @ z**2, 0.0)
+            known = (alpha * values / (weight + alpha * values)).sum()
+            weight = (known + 2 * PRIOR) / (z @ z + 2 * PRIOR)
+            alpha = (n - known + 2 * PRIOR) / (rest + 2 * PRIOR)
+            coef = vectors @ z
+            if before is not None and np.abs(coef - before).sum() < EVIDENCE_TOLERANCE:
+                break
+            before = coef
+        self.alpha, self.weight = float(alpha), float(weight)
+        self.coef = vectors @ (along / (values + weight / alpha))
+        self.covariance = (vectors / (alpha * values + weight)) @ vectors.T
+
+
+def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tolerance: float = 1e-3, spread: bool = False) -> DataFrame:
+    """Chained Bayesian ridge regressions: each feature on all others, fewest missing first, from medians until cells move less.
+
+    A regression aggregates one matrix of sums of the completed table (features squared numbers to the driver), from which its
+    evidence is worked out without another pass, and is applied as an expression over the previous round's table. Columns
+    without any value stay null. With `spread`, <feature>_spread is the posterior deviation of a filled cell, null elsewhere.
     """
     features = list(features)
     gone = {f: f"_gone_{f}" for f in features}
     work = df.withColumns({gone[f]: F.col(f).isNull() for f in features})
-    missing = work.agg(*[F.count_if(gone[f]).alias(f) for f in features]).first().asDict()
-    work = median_fill(work, features)
-    order = [f for f in sorted(features, key=lambda f: (missing[f], f)) if missing[f]]
-    width = work.agg(*[F.max(F.abs(f)).alias(f) for f in features]).first().asDict()
-    limit = tolerance * max((v or 0.0) for v in width.values())
+    seen = work.agg(*[F.count_if(gone[f]).alias(f) for f in features], *[F.max(F.abs(f)).alias(f"_{f}") for f in features]).first().asDict()
+    used = [f for f in features if seen[f"_{f}"] is not None]
+    limit = tolerance * max((seen[f"_{f}"] for f in used), default=0.0)
+    work = median_fill(work, used)
+    order = [f for f in sorted(used, key=lambda f: seen[f]) if seen[f]]
+    wide = {f"{f}_spread": F.lit(None).cast("double") for f in features} if spread else {}
+    work = work.withColumns(wide) if wide else work
     for _ in range(rounds):
         moves = []
         for f in order:
-            others = [c for c in features if c != f]
-            terms = [F.lit(1.0), *[F.col(c) for c in others]]
-            n = len(terms)
-            cells = [F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}") for i in range(n) for j in range(i, n)] + [F.sum(terms[i] * F.col(f)).alias(f"y{i}") for i in range(n)]
-            got = work.where(~F.col(gone[f])).agg(*cells).first().asDict()
-            if got["g0_0"] is None or got["g0_0"] < 2:
+            others = [c for c in used if c != f]
+            terms = [F.lit(1.0), *[F.col(c) for c in [*others, f]]]
+            m = len(terms)
+            got = work.where(~F.col(gone[f])).agg(*[F.sum(terms[i] * terms[j]).alias(f"g{i}_{j}") for i in range(m) for j in range(i, m)]).first().asDict()
+            n = got["g0_0"]
+            if not others or n is None or n < 2:
                 continue
-            gram = np.zeros((n, n))
-            for i in range(n):
-                for j in range(i, n):
-                    gram[i, j] = gram[j, i] = got[f"g{i}_{j}"] or 0.0
-            beta = np.linalg.solve(gram + ridge * got["g0_0"] * np.diag([0.0] + [1.0] * (n - 1)), np.array([got[f"y{i}"] or 0.0 for i in range(n)]))
-            value = sum((float(b) * t for b, t in zip(beta, terms, strict=True)), F.lit(0.0))
-            work = work.withColumn("_new", F.when(F.col(gone[f]), value).otherwise(F.col(f))).withColumn(f"_move_{f}", F.abs(F.col("_new") - F.col(f)))
+            whole = np.array([[got[f"g{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(m)] for i in range(m)])
+            mean = whole[0] / n
+            centred = whole - n * np.outer(mean, mean)
+            found = Evidence(centred[1:-1, 1:-1], centred[1:-1, -1], centred[-1, -1], n)
+            away = [F.col(c) - float(v) for c, v in zip(others, mean[1:-1], strict=True)]
+            value = sum((float(b) * t for b, t in zip(found.coef, away, strict=True)), F.lit(float(mean[-1])))
+            new = {"_new": F.when(F.col(gone[f]), value).otherwise(F.col(f))}
+            if spread:
+                var = sum((float(found.covariance[i, j]) * away[i] * away[j] for i in range(len(away)) for j in range(len(away))), F.lit(1.0 / found.alpha))
+                new[f"{f}_spread"] = F.when(F.col(gone[f]), F.sqrt(var))
+            work = work.withColumns(new).withColumn(f"_move_{f}", F.abs(F.col("_new") - F.col(f)))
             work = work.drop(f).withColumnRenamed("_new", f)
             moves.append(f"_move_{f}")
         if not moves:
@@ -238,9 +276,9 @@ def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tol
         work = written(work, "iterative")
         moved = max((x or 0.0) for x in work.agg(*[F.max(m) for m in moves]).first())
         work = work.drop(*moves)
-        if moved <= limit:
+        if moved < limit:
             break
-    return work.select(*df.columns)
+    return work.select(*df.columns, *wide)
 
 
 FILLS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {"median": median_fill, "knn": knn_fill, "iterative": iterative_fill, "complete_case": lambda df, features: df.dropna(subset=list(features)), "raw": lambda df, features: df}

@@ -136,6 +136,21 @@ def impute_iterative(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(impute.impute(_measured(spark, sf_dir).select("row_index", *FILLED), FILLED, "iterative"))
 
 
+_RIDGE = """z.sxy / (z.sxx + e.w / e.a)"""
+
+
+@query(f"""WITH RECURSIVE r AS (SELECT p_partkey, p_retailprice / 1000 AS x, CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 100 / 10.0 + p_retailprice / 500 END AS y FROM part),
+z AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, sum(x * x) - count(*) * avg(x) ** 2 AS sxx, sum(x * y) - count(*) * avg(x) * avg(y) AS sxy, sum(y * y) - count(*) * avg(y) ** 2 AS syy FROM r WHERE y IS NOT NULL),
+e(k, a, w, c, gone) AS (SELECT 0, 1 / (syy / n + 2.220446049250313e-16), CAST(1 AS DOUBLE), CAST(NULL AS DOUBLE), false FROM z UNION ALL
+  SELECT k + 1, (n - a * sxx / (w + a * sxx) + 2e-6) / (syy - 2 * b * sxy + sxx * b * b + 2e-6), (a * sxx / (w + a * sxx) + 2e-6) / (b * b + 2e-6), b, coalesce(abs(b - c) < 1e-3, false) FROM (SELECT e.*, z.*, {_RIDGE} AS b FROM e, z WHERE NOT e.gone AND e.k < 300)),
+l AS (SELECT {_RIDGE} AS b, 1 / (e.a * z.sxx + e.w) AS v, e.a AS a, mx, my FROM e, z ORDER BY e.k DESC LIMIT 1)
+SELECT p_partkey, round(x, 6) AS x, round(CASE WHEN y IS NULL THEN my + b * (x - mx) ELSE y END, 6) AS y, CAST(NULL AS DOUBLE) AS x_spread, CASE WHEN y IS NULL THEN round(sqrt(1 / a + v * (x - mx) ** 2), 6) END AS y_spread FROM r, l""")
+def bayesian_round(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One round of chained imputation, with the posterior spread of what it fills."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice / 1000 AS x", "CASE WHEN p_partkey % 5 <> 0 THEN p_partkey % 100 / 10e0 + p_retailprice / 500 END AS y")
+    return rounded(impute.iterative_fill(rows, ["x", "y"], 1, spread=True))
+
+
 @query()
 def masked_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _measured(spark, sf_dir).select("row_index", *FILLED)

@@ -319,3 +319,56 @@ def test_all_configurations_are_those_built_one_by_one(spark):
         assert {k: v for k, v in rows[c.id].asDict().items() if k in alone.asDict()} == pytest.approx(alone.asDict())
         assert sum(r.config_id == c.id for r in links) == alone.n_edges and rows[c.id].rows_used == 160
     assert mapper.build_all(df.limit(0), configs[:2], spaces, eps)[2].count() == 2
+
+
+def dense_ridge(x, y):
+    """Evidence updates with explicit matrices: (weights, precision of noise, posterior covariance), means taken out."""
+    x, y = x - x.mean(0), y - y.mean()
+    alpha, lam, before = 1 / (y.var() + np.finfo(float).eps), 1.0, None
+    for _ in range(300):
+        cov = np.linalg.inv(alpha * x.T @ x + lam * np.eye(x.shape[1]))
+        w = alpha * cov @ x.T @ y
+        known = x.shape[1] - lam * np.trace(cov)
+        lam, alpha = (known + 2e-6) / (w @ w + 2e-6), (len(y) - known + 2e-6) / (((y - x @ w) ** 2).sum() + 2e-6)
+        if before is not None and np.abs(w - before).sum() < 1e-3:
+            break
+        before = w
+    cov = np.linalg.inv(alpha * x.T @ x + lam * np.eye(x.shape[1]))
+    return alpha * cov @ x.T @ y, alpha, cov
+
+
+@pytest.mark.parametrize("noise", [0.0, 0.1, 3.0])
+def test_evidence_from_sums_is_that_of_rows(noise):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(80, 4)) @ rng.normal(size=(4, 4)) + 5
+    x[:, 3] = x[:, 2]  # no full rank
+    y = x @ [1.0, -2.0, 0.5, 0.5] + noise * rng.normal(size=80)
+    xc, yc = x - x.mean(0), y - y.mean()
+    got = impute.Evidence(xc.T @ xc, xc.T @ yc, float(yc @ yc), 80)
+    w, alpha, cov = dense_ridge(x, y)
+    assert np.allclose(got.coef, w, atol=1e-6) and got.alpha == pytest.approx(alpha, rel=1e-3) and np.allclose(got.covariance, cov, rtol=1e-4, atol=1e-8)
+
+
+def test_chained_regressions_are_those_of_rows(spark):
+    rng = np.random.default_rng(7)
+    full = rng.normal(size=(70, 3)) @ [[1, 0.8, -0.5], [0, 0.6, 0.2], [0, 0, 0.4]]
+    gone = rng.random(full.shape) < [0.1, 0.25, 0.0]
+    cells = [[None if g else float(v) for v, g in zip(r, h, strict=True)] for r, h in zip(full, gone, strict=True)]
+    df = spark.createDataFrame([(k, *r, None) for k, r in enumerate(cells)], "row_index long, a double, b double, c double, void double")
+    got = impute.iterative_fill(df, ["a", "b", "c", "void"], spread=True).orderBy("row_index").toPandas()
+    x = np.where(gone, np.nan, full)
+    x = np.where(gone, np.nanmedian(x, axis=0), x)
+    spread = np.full(x.shape, np.nan)
+    for _ in range(20):
+        old = x.copy()
+        for j in (0, 1):
+            rest, at = [k for k in range(3) if k != j], gone[:, j]
+            w, alpha, cov = dense_ridge(x[~at][:, rest], x[~at, j])
+            away = x[at][:, rest] - x[~at][:, rest].mean(0)
+            x[at, j] = x[~at, j].mean() + away @ w
+            spread[at, j] = np.sqrt(1 / alpha + np.einsum("ij,jk,ik->i", away, cov, away))
+        if np.abs(x - old).max() < 1e-3 * np.abs(full[~gone]).max():
+            break
+    assert np.allclose(got[["a", "b", "c"]].to_numpy(float), x, atol=1e-6)
+    assert np.allclose(got[["a_spread", "b_spread", "c_spread"]].to_numpy(float), spread, atol=1e-5, equal_nan=True)
+    assert got["void"].isna().all()
