@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections import deque
+from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -79,58 +80,82 @@ def neighbourhoods(edges: DataFrame) -> DataFrame:
     return near.withColumn("ring", F.lit(1)).unionByName(far.withColumn("ring", F.lit(2)))
 
 
-def centrality(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """Betweenness, closeness, eccentricity (in its component) and articulation of every node, a configuration to a task.
-
-    Meant for nerve graphs, whose size follows the cover and not the data.
+#: Sources whose shortest paths a task counts.
+SOURCES = 256
+
+
+def _paths_from(s: int, begin: np.ndarray, to: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(distance of every node from s, -1 if there is none; share of the shortest paths from s that each node lies within)."""
+    n = len(begin) - 1
+    dist, paths, owed = np.full(n, -1), np.zeros(n), np.zeros(n)
+    dist[s], paths[s] = 0, 1.0
+    front, steps = np.array([s]), []
+    while len(front):
+        degree = begin[front + 1] - begin[front]
+        tail = np.repeat(front, degree)
+        head = to[np.repeat(begin[front] - np.concatenate([[0], np.cumsum(degree)[:-1]]), degree) + np.arange(degree.sum())]
+        on = dist[head] < 0
+        tail, head = tail[on], head[on]
+        front = np.unique(head)
+        dist[front] = dist[tail[0]] + 1 if len(tail) else 0
+        np.add.at(paths, head, paths[tail])
+        steps.append((tail, head))
+    for tail, head in reversed(steps):
+        np.add.at(owed, tail, paths[tail] / paths[head] * (1 + owed[head]))
+    owed[s] = 0.0
+    return dist, owed
+
+
+def centrality(nodes: DataFrame, edges: DataFrame, sources: int = SOURCES) -> DataFrame:
+    """Betweenness, closeness, eccentricity (in its component) and articulation of every node.
+
+    A configuration's graph is packed as compressed rows, which go to the tasks of its batches of sources; each adds up the
+    shortest paths from its own, and sums are added by node. A task holds a graph (its edges, which follow the cover and not the
+    data) and a few numbers a node.
     """
-    rows = nodes.select(KEY, F.col("node_id").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(simple(edges).select(KEY, F.col("source").alias("a"), F.col("target").alias("b")))
-
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        near: dict[str, list[str]] = {}
-        for a, b in zip(rows["a"], rows["b"], strict=True):
-            near.setdefault(a, [])
-            if b is not None:
-                near[a].append(b)
-                near.setdefault(b, []).append(a)
-        ids = sorted(near)
-        between = dict.fromkeys(ids, 0.0)
-        out = {}
-        for s in ids:
-            # Shortest paths from s: distances, path counts, and the order of discovery.
-            dist, paths, order, queue = {s: 0}, {s: 1.0}, [], deque([s])
-            while queue:
-                v = queue.popleft()
-                order.append(v)
-                for w in near[v]:
-                    if w not in dist:
-                        dist[w] = dist[v] + 1
-                        paths[w] = 0.0
-                        queue.append(w)
-                    if dist[w] == dist[v] + 1:
-                        paths[w] += paths[v]
-            owed = dict.fromkeys(order, 0.0)
-            for w in reversed(order):
-                for v in near[w]:
-                    if dist.get(v) == dist[w] - 1:
-                        owed[v] += paths[v] / paths[w] * (1 + owed[w])
-                if w != s:
-                    between[w] += owed[w]
-            total, reach = sum(dist.values()), len(dist) - 1
-            close = (reach / total) * (reach / (len(ids) - 1)) if total else 0.0
-            out[s] = (close, max(dist.values()))
-        pairs = (len(ids) - 1) * (len(ids) - 2)
-        cut = _cut_nodes(near)
-        return pd.DataFrame([(key[0], v, between[v] / pairs if pairs else 0.0, out[v][0], out[v][1], v in cut) for v in ids], columns=[KEY, "node_id", "betweenness", "closeness", "eccentricity", "is_articulation"])
-
-    return rows.groupBy(KEY).applyInPandas(run, f"{KEY} string, node_id string, betweenness double, closeness double, eccentricity long, is_articulation boolean")
-
-
-def _cut_nodes(near: dict[str, list[str]]) -> set[str]:
+    rows = nodes.select(KEY, F.col("node_id").cast("string").alias("a"), F.lit(None).cast("string").alias("b")).unionByName(simple(edges).select(KEY, F.col("source").cast("string").alias("a"), F.col("target").cast("string").alias("b")))
+    kind = nodes.schema[KEY].dataType.simpleString()
+
+    def pack(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        a, b = rows["a"].to_numpy(object), rows["b"].to_numpy(object)
+        there = np.array([x is not None for x in b], bool)
+        ids = np.array(sorted({*a.tolist(), *b[there].tolist()}), object)
+        at = {x: k for k, x in enumerate(ids)}
+        one, two = np.array([at[x] for x in a[there]], np.int64), np.array([at[x] for x in b[there]], np.int64)
+        tail, head = np.concatenate([one, two]), np.concatenate([two, one])
+        order = np.lexsort((head, tail))
+        begin = np.searchsorted(tail[order], np.arange(len(ids) + 1))
+        return pd.DataFrame({KEY: [key[0]], "n": [len(ids)], "ids": [ids.tolist()], "begin": [begin.astype(np.int64).tobytes()], "to": [head[order].tobytes()]})
+
+    packed = written(rows.groupBy(KEY).applyInPandas(pack, f"{KEY} {kind}, n long, ids array<string>, begin binary, to binary"), "graphs")
+    batches = packed.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(sources).cast("long")))).repartition(KEY, "first")
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for r in (r for part in parts for r in part.itertuples()):
+            begin, to, ids = np.frombuffer(r.begin, np.int64), np.frombuffer(r.to, np.int64), np.array(list(r.ids), object)
+            total, close, far = np.zeros(r.n), np.full(r.n, np.nan), np.zeros(r.n, np.int64)
+            for s in range(r.first, min(r.first + sources, r.n)):
+                dist, owed = _paths_from(s, begin, to)
+                total += owed
+                reach, length = (dist > 0).sum(), dist[dist > 0].sum()
+                close[s] = (reach / length) * (reach / (r.n - 1)) if length else 0.0
+                far[s] = dist.max()
+            cut = np.zeros(r.n, bool)
+            if not r.first:
+                cut[list(_cut_nodes({v: to[begin[v] : begin[v + 1]].tolist() for v in range(r.n)}))] = True
+            pairs = (r.n - 1) * (r.n - 2)
+            yield pd.DataFrame({KEY: r.config_id, "node_id": ids, "betweenness": total / pairs if pairs else total * 0, "closeness": close, "eccentricity": far, "cut": cut})
+
+    out = batches.mapInPandas(run, f"{KEY} {kind}, node_id string, betweenness double, closeness double, eccentricity long, cut boolean")
+    near = F.max(F.when(~F.isnan("closeness"), F.col("closeness")))
+    return out.groupBy(KEY, "node_id").agg(F.sum("betweenness").alias("betweenness"), near.alias("closeness"), F.max("eccentricity").alias("eccentricity"), F.max("cut").alias("is_articulation"))
+
+
+def _cut_nodes(near: dict[int, list[int]]) -> set[int]:
     """Nodes whose removal splits their component (depth first, without recursion)."""
-    seen: dict[str, int] = {}
-    low: dict[str, int] = {}
-    cut: set[str] = set()
+    seen: dict[int, int] = {}
+    low: dict[int, int] = {}
+    cut: set[int] = set()
     for root in near:
         if root in seen:
             continue

@@ -262,7 +262,13 @@ def mapper_graph_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(graph.graph_metrics(m.select("config_id", "node_id").distinct(), mapper.nerve(m)))
 
 
-@query()
+@query(f"""WITH RECURSIVE {NERVE}, bt AS (SELECT source AS a, target AS b FROM nv UNION ALL SELECT target, source FROM nv), vs AS (SELECT DISTINCT node_id AS a FROM mem),
+rc(a, b, d) AS (SELECT a, a, 0 FROM vs UNION SELECT rc.a, bt.b, d + 1 FROM rc JOIN bt ON rc.b = bt.a WHERE d < 20), di AS (SELECT a, b, min(d) AS d FROM rc GROUP BY a, b),
+ps(a, b, d, n) AS (SELECT a, a, 0, CAST(1 AS DOUBLE) FROM vs UNION ALL SELECT ps.a, bt.b, ps.d + 1, sum(ps.n) FROM ps JOIN bt ON ps.b = bt.a JOIN di ON di.a = ps.a AND di.b = bt.b AND di.d = ps.d + 1 GROUP BY ALL),
+be AS (SELECT x.b AS a, sum(x.n * y.n / z.n) AS s FROM ps x JOIN ps y ON y.a = x.b AND y.b <> x.b JOIN ps z ON z.a = x.a AND z.b = y.b AND z.d = x.d + y.d WHERE x.a <> x.b AND x.a <> y.b GROUP BY 1),
+ca AS (SELECT a, count(*) FILTER (d > 0) AS r, sum(d) AS t, max(d) AS e FROM di GROUP BY a), nn AS (SELECT count(*) AS n FROM vs), ms AS (SELECT a, min(b) AS b FROM bt GROUP BY a),
+ct(a, b) AS (SELECT a, b FROM ms UNION SELECT ct.a, bt.b FROM ct JOIN bt ON bt.a = ct.b WHERE bt.b <> ct.a), cu AS (SELECT DISTINCT a FROM bt WHERE NOT EXISTS (SELECT 1 FROM ct WHERE ct.a = bt.a AND ct.b = bt.b))
+SELECT 'cover' AS config_id, ca.a AS node_id, round(coalesce(s, 0) / ((n - 1) * (n - 2)), 6) AS betweenness, round(CASE WHEN t > 0 THEN r / t * (r / (n - 1)) ELSE 0 END, 6) AS closeness, CAST(e AS BIGINT) AS eccentricity, cu.a IS NOT NULL AS is_articulation FROM ca LEFT JOIN be USING (a) LEFT JOIN cu USING (a), nn""")
 def node_centrality(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = graph.written(_membership(spark, sf_dir), "membership")
     return rounded(graph.centrality(m.select("config_id", "node_id").distinct(), mapper.nerve(m)))

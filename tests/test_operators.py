@@ -372,3 +372,40 @@ def test_chained_regressions_are_those_of_rows(spark):
     assert np.allclose(got[["a", "b", "c"]].to_numpy(float), x, atol=1e-6)
     assert np.allclose(got[["a_spread", "b_spread", "c_spread"]].to_numpy(float), spread, atol=1e-5, equal_nan=True)
     assert got["void"].isna().all()
+
+
+def test_centralities_are_those_of_all_paths(spark):
+    """Batches of sources against sums over all shortest paths, found by walking; components, loops and lone nodes included."""
+    rnd = random.Random(12)
+    names = [f"n{k}" for k in range(26)]
+    links = {tuple(sorted(rnd.sample(names[:20], 2))) for _ in range(30)} | {("n20", "n21"), ("n21", "n22")}
+    nodes = spark.createDataFrame([(c, v) for c in ("p", "q") for v in names], "config_id string, node_id string")
+    edges = spark.createDataFrame([(c, *e) for c in ("p", "q") for e in [*links, ("n3", "n3")] if c == "p" or "n0" not in e], "config_id string, source string, target string")
+    got = {(r.config_id, r.node_id): r for r in graph.centrality(nodes, edges, sources=7).collect()}
+    assert len(got) == 52
+
+    def shortest(near, a):
+        """Every shortest path from a, by its end."""
+        found, layer = {a: [[a]]}, {a: [[a]]}
+        while layer:
+            ahead = {}
+            for v, ways in layer.items():
+                for w in near[v]:
+                    if w not in found:
+                        ahead.setdefault(w, []).extend([*p, w] for p in ways)
+            found |= ahead
+            layer = ahead
+        return found
+
+    for c in ("p", "q"):
+        near = {v: {b if a == v else a for a, b in links if v in (a, b) and (c == "p" or "n0" not in (a, b))} for v in names}
+        ways = {v: shortest(near, v) for v in names}
+        for v in names:
+            between = sum(sum(v in p[1:-1] for p in ps) / len(ps) for a in names for ps in ways[a].values())
+            far = [len(ps[0]) - 1 for ps in ways[v].values()]
+            reach = len(far) - 1
+            r = got[c, v]
+            assert r.betweenness == pytest.approx(between / (25 * 24)) and r.eccentricity == max(far)
+            assert r.closeness == pytest.approx(reach / sum(far) * reach / 25 if reach else 0)
+            rest = {a: near[a] - {v} for a in names if a != v}
+            assert r.is_articulation == any(b not in shortest(rest, a) for a in near[v] for b in near[v])
