@@ -11,6 +11,7 @@ from orrerium.operators import impute, mapper
 from orrerium.plans.audit_queries import COVER, NERVE, _membership
 from orrerium.plans.case_queries import Query, rounded
 from orrerium.plans.tables import table
+from orrerium.sources import graphs
 from orrerium.sources import tables as sources
 
 QUERIES: dict[str, Query] = {}
@@ -124,6 +125,75 @@ def membership_with_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sources.with_catalog(members, cat).select("node_id", "row_index", "pl_name", "pl_rade", "discoverymethod")
 
 
+# Membership from the first source that has it; many graph files ---------------------------------------------------
+
+
+_LEVELS = ("table", "partial", "graph", "lists")
+
+
+def _level(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """Members of configuration c1, from a source of the kind; those before it are missing or have none of its rows."""
+    path, part = _scratch(spark), table(spark, sf_dir, "part")
+    m = part.selectExpr("concat('c', CAST(p_partkey % 3 AS STRING)) AS config_id", "concat('n', CAST(p_partkey % 9 AS STRING)) AS node_id", "p_partkey AS row_index")
+    mine = m.where("config_id = 'c1'")
+    if kind == "table":
+        sources.write(m, f"{path}/table.parquet")
+    else:
+        sources.write(m.where("config_id = 'c0'"), f"{path}/table.parquet")
+    if kind == "partial":
+        sources.write(mine.withColumnRenamed("node_id", "mapper_node"), f"{path}/partial.csv", "csv")
+    if kind == "graph":
+        none = mine.select("config_id", F.col("node_id").alias("source"), F.col("node_id").alias("target")).limit(0)
+        sources.graph_json(mine, none).select("json").coalesce(1).write.text(f"{path}/graph")
+    if kind == "lists":
+        sources.write(mine.groupBy("config_id", "node_id").agg(F.to_json(F.collect_list("row_index")).alias("member_indices")), f"{path}/lists.parquet")
+    ends = {"table": "table.parquet", "partial": "partial.csv", "graph": "graph", "lists": "lists.parquet"}
+    found, warnings = graphs.resolve_membership(spark, "c1", [graphs.MemberSource(k, f"{path}/{ends[k]}") for k in _LEVELS], part.select(F.col("p_partkey").alias("row_index")))
+    return found.drop("path").withColumn("warnings", F.lit(len(warnings)).cast("long"))
+
+
+def _level_sql(kind: str) -> str:
+    return f"SELECT 'c1' AS config_id, 'n' || (p_partkey % 9) AS node_id, p_partkey AS row_index, '{kind}' AS source, true AS in_catalog, CAST({0 if kind == 'table' else 2} AS BIGINT) AS warnings FROM part WHERE p_partkey % 3 = 1"
+
+
+@query(_level_sql("table"))
+def membership_from_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "table")
+
+
+@query(_level_sql("partial"))
+def membership_from_partial(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "partial")
+
+
+@query(_level_sql("graph"))
+def membership_from_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "graph")
+
+
+@query(_level_sql("lists"))
+def membership_from_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _level(spark, sf_dir, "lists")
+
+
+@query("""WITH m AS (SELECT 'c' || (p_partkey % 4) AS config_id, 'n' || (p_partkey // 4 % 7) AS node_id, p_size AS r FROM part), d AS (SELECT DISTINCT * FROM m), n AS (SELECT config_id, count(DISTINCT node_id) AS n_nodes, count(DISTINCT r) AS n_members FROM m GROUP BY 1),
+e AS (SELECT config_id, count(*) AS n_edges FROM (SELECT DISTINCT a.config_id, a.node_id, b.node_id AS o FROM d a JOIN d b ON a.config_id = b.config_id AND a.r = b.r AND a.node_id < b.node_id) GROUP BY 1)
+SELECT config_id, true AS found, config_id <> 'c3' AS listed, CAST(NULL AS VARCHAR) AS error, n_members, n_nodes, coalesce(n_edges, 0) AS n_edges FROM n LEFT JOIN e USING (config_id)
+UNION ALL VALUES ('gone', false, true, 'missing', NULL, NULL, NULL), ('cut', true, true, 'unreadable JSON', NULL, NULL, NULL), ('far', true, false, 'position out of bounds', NULL, NULL, NULL), ('odd', true, false, 'no nodes', NULL, NULL, NULL), ('link', true, false, 'link to an unknown node', NULL, NULL, NULL), ('list', true, false, 'no nodes', NULL, NULL, NULL)""")
+def graph_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph files of four configurations beside damaged ones, against a manifest that lists a missing one."""
+    path = _scratch(spark)
+    m = sources.written(table(spark, sf_dir, "part").selectExpr("concat('c', CAST(p_partkey % 4 AS STRING)) AS config_id", "concat('n', CAST(p_partkey div 4 % 7 AS STRING)) AS node_id", "CAST(p_size AS BIGINT) AS row_index"), "catalog")
+    good = sources.graph_json(m.distinct(), mapper.nerve(m.distinct()))
+    one = good.where("config_id = 'c1'")
+    bad = {"cut": F.substring("json", 1, 50), "far": F.lit('{"nodes": {"a": [0, 2]}, "sample_id_lookup": [7, 8]}'), "odd": F.lit("{}"), "link": F.lit('{"nodes": {"a": [0]}, "links": {"a": ["b"]}}'), "list": F.lit('{"nodes": [[1]]}')}
+    for name, text in bad.items():
+        good = good.unionByName(one.select(F.lit(name).alias("config_id"), text.alias("json")))
+    good.repartition("config_id").write.partitionBy("config_id").text(path)
+    listed = spark.createDataFrame([("c0",), ("c1",), ("c2",), ("gone",), ("cut",), (None,)], "config_id string")
+    return graphs.graph_catalog(spark, f"{path}/*", listed).select("config_id", "found", "listed", "error", "n_members", "n_nodes", "n_edges")
+
+
 # Bounds, resampled graphs, all methods ----------------------------------------------------------------------------
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orrerium.operators import bias, graph, impute, knn, mapper, profile, regions
 from orrerium.plans.registry import Context, Pipeline, Registry, merged, override
-from orrerium.sources import tables
+from orrerium.sources import graphs, tables
 
 
 def test_derivation_has_sources(spark):
@@ -409,3 +409,24 @@ def test_centralities_are_those_of_all_paths(spark):
             assert r.closeness == pytest.approx(reach / sum(far) * reach / 25 if reach else 0)
             rest = {a: near[a] - {v} for a in names if a != v}
             assert r.is_articulation == any(b not in shortest(rest, a) for a in near[v] for b in near[v])
+
+
+def test_membership_comes_from_the_first_source_that_has_it(spark, tmp_path):
+    (tmp_path / "graph_c.json").write_text('{"nodes": {"n1": [0, 1], "n2": [1]}, "sample_id_lookup": [10, 11]}')
+    (tmp_path / "graph_bad.json").write_text('{"nodes": {"n1": [0, 5]}, "sample_id_lookup": [10, 11]}')
+    (tmp_path / "table.csv").write_text("config_id,node_id,row_index\nother,n9,1\n")
+    at = lambda kind, name: graphs.MemberSource(kind, f"file://{tmp_path}/{name}")
+    known = spark.createDataFrame([(10,), (11,)], "row_index long")
+    got, warnings = graphs.resolve_membership(spark, "c", [at("table", "none.csv"), at("table", "table.csv"), at("graph", "graph_c.json"), at("graph", "graph_bad.json")], known)
+    assert {(r.node_id, r.row_index, r.source) for r in got.collect()} == {("n1", 10, "graph"), ("n1", 11, "graph"), ("n2", 11, "graph")}
+    assert len(warnings) == 2 and got.first().path.endswith("graph_c.json")
+    with pytest.raises(ValueError, match="out of bounds"):
+        graphs.resolve_membership(spark, "c", [at("graph", "graph_bad.json")])
+    with pytest.raises(ValueError, match="1 members .* row 1"):
+        graphs.resolve_membership(spark, "other", [at("table", "table.csv")], known)
+    loose = graphs.resolve_membership(spark, "other", [at("table", "table.csv")], known, strict=False)[0].collect()
+    assert [(r.row_index, r.in_catalog) for r in loose] == [(1, False)]
+    with pytest.raises(FileNotFoundError, match="none.csv"):
+        graphs.resolve_membership(spark, "c", [at("table", "none.csv")])
+    with pytest.raises(ValueError, match="unknown kind"):
+        graphs.MemberSource("guess", "x")
