@@ -6,7 +6,8 @@ import pytest
 
 from orrerium.operators import characterise, models
 from orrerium.plans import stages
-from orrerium.plans.registry import Context
+from orrerium.plans.registry import Context, Pipeline
+from orrerium.plans.resume import content, run_resumable
 
 
 @pytest.fixture
@@ -67,3 +68,63 @@ def test_models_that_are_read_again_predict_the_same(spark, small_forests, tmp_p
 def test_ablation_goes_on_where_a_set_cannot_be_fitted(spark, small_forests):
     got = characterise.ablation(catalog(spark, 120), {"orbit": ["log_pl_orbper", "st_mass"], "none": ["st_lum"]}, "random").collect()
     assert {(r.experiment, r.warning != "") for r in got} == {("orbit", False), ("none", True)}
+
+
+def test_a_run_that_is_cut_is_resumed(spark, tmp_path):
+    ran, broken = [], [True]
+    p = Pipeline()
+
+    @p.stage("double")
+    def double(ctx):
+        ran.append("double")
+        return {"doubled": ctx.tables["numbers"].selectExpr("k", "v * 2 AS v")}
+
+    @p.stage("total")
+    def total(ctx):
+        ran.append("total")
+        out = ctx.tables["doubled"].selectExpr("sum(v) AS total")
+        if broken[0]:  # fails within a task, after the first table has been written
+            return {"a": out, "b": out.selectExpr("assert_true(false, 'cut') AS x", "total")}
+        return {"a": out}
+
+    @p.stage("scaled")
+    def scaled(ctx):
+        ran.append("scaled")
+        return {"scaled": ctx.tables["a"].selectExpr(f"total * {ctx.config['by']} AS t")}
+
+    folder = f"file://{tmp_path}/stages"
+
+    def run(by=3, values=(1, 2, 3), unused=0, version=""):
+        ran.clear()
+        numbers = spark.createDataFrame(list(enumerate(values)), "k int, v int")
+        return run_resumable(p, Context(spark, {"by": by, "unused": unused}, {"numbers": numbers}), folder, version=version)
+
+    with pytest.raises(Exception, match="cut"):
+        run()
+    assert ran == ["double", "total"] and not (tmp_path / "stages/total/manifest.json").exists()
+    assert any(x.name.startswith("_attempt") for x in (tmp_path / "stages/total").iterdir())
+    broken[0] = False
+    got = run()
+    assert ran == ["total", "scaled"] and got.tables["scaled"].first().t == 36
+    assert [s["status"] for s in got.manifest["stages"]] == ["kept", "done", "done"]
+    assert not any(x.name.startswith("_") for x in (tmp_path / "stages/total").iterdir())  # the cut attempt is gone
+    got = run(unused=5)
+    assert ran == [] and got.tables["scaled"].first().t == 36
+    assert run(by=4).tables["scaled"].first().t == 48 and ran == ["scaled"]
+    assert run(by=4, values=(3, 2, 2)).tables["scaled"].first().t == 56 and ran == ["double", "total", "scaled"]
+    run(by=4, values=(3, 2, 2), version="2")
+    assert len(ran) == 3
+
+
+def test_content_goes_by_rows_and_not_by_their_order(spark):
+    df = spark.createDataFrame([(1, "a"), (2, None), (2, None)], "k int, v string")
+    assert content(df) == content(df.repartition(3).orderBy("v")) == content(df.select("k", "v"))
+    assert len({content(x) for x in (df, df.distinct(), df.withColumnRenamed("v", "w"), df.limit(0), df.withColumn("v", df["k"].cast("string")))}) == 5
+
+
+def test_the_engines_stages_are_kept(spark, tmp_path):
+    rows = catalog(spark, 60)
+    for want in ("done", "kept"):
+        ctx = Context(spark, stages.DEFAULTS, {"catalog": rows})
+        got = run_resumable(stages.standard(), ctx, f"file://{tmp_path}/s", ["feature_audit", "imputation", "system_missing_planets"])
+        assert [s["status"] for s in got.manifest["stages"]] == [want] * 3 and got.tables["imputed"].count() == 60
