@@ -36,8 +36,6 @@ FEW = 12
 HOT_KEY = 4096
 SENT_KEYS = 200_000
 BUCKET_BYTES = 8 << 20
-#: Buckets at least: a set's point goes once to each bucket that its keys fall into, so few buckets would make small inputs look cheap.
-LEAST_BUCKETS = 256
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -382,7 +380,7 @@ def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFr
     # The representatives' texts alone: by a filter of ids, or by a join if there are too many for it.
     known = id_filter(reps.select("rep")) if many <= FILTER_BITS else None
     texts = docs if known else rows_of(docs, reps.select("rep"), "doc_id")
-    buckets = max(LEAST_BUCKETS, partitions(docs.sparkSession), -(-size * 6 // BUCKET_BYTES))
+    buckets = max(partitions(docs.sparkSession), -(-size * 6 // BUCKET_BYTES))
     dealt = set_keys(texts, n, p, q, sketch(texts, n, known), buckets, known)
     cluster = components(dealt.groupBy("bucket").applyInArrow(lambda g: meet(g, p, q), "a long, b long"))
     roots = cluster.select(F.col("component").alias("id"), "component").distinct()
@@ -402,9 +400,8 @@ def _verified(texts: DataFrame, reps: DataFrame, members: DataFrame, n: int, p:
     blocks = sizes.groupBy("c").agg(F.count(F.lit(1)).alias("m"), F.sum("n_shingles").alias("s")).select("c", F.ceil(F.greatest(F.col("m") / BLOCK_DOCS, F.col("s") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
     placed = sizes.select("name", "c", F.col("rep").alias("doc_id")).join(materialise(blocks, "blocks"), "c")
     placed = materialise(placed.withColumn("mine", F.pmod(F.xxhash64("name"), F.col("blocks")).cast("int")), "placed")
-    # Merged at any size: a plan that broadcasts small sides would say nothing of large ones.
     mine = rows_of(texts, placed.select("doc_id"), "doc_id")
-    spread = mine.join(placed.hint("merge"), "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = mine.join(placed, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = spread.select("c", F.least("mine", "other").alias("i"), F.greatest("mine", "other").alias("j"), "mine", "name", "text").repartition("c", "i", "j").sortWithinPartitions("c", "i", "j")
 
     def close(key: tuple, held: list[tuple[int, int, np.ndarray]]) -> pa.RecordBatch:
