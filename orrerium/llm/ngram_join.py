@@ -164,28 +164,23 @@ def unplanes(raw: bytes) -> np.ndarray:
 
 
 def set_keys(docs: DataFrame, n: int, p: int, q: int, level: np.ndarray, buckets: int, ids=None) -> DataFrame:
-    """(bucket, keys, names, points): the keys of the sets of a run of documents, packed by bucket with their sets."""
+    """(bucket, keys, names, points): the keys of the sets of a run of documents, each with its set's name, packed by bucket; in bucket
+    -1 the names of the run's sets with their points."""
     known = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tight, held, n_held = zstandard.ZstdCompressor(level=1), [], 0
 
         def send() -> pa.RecordBatch:
-            name, point, key = (np.concatenate([x[k] for x in held]) for k in (0, 1, 3))
-            base = np.cumsum([0] + [len(x[0]) for x in held[:-1]])
-            who = np.concatenate([x[2] + b for x, b in zip(held, base, strict=True)])
+            name, point = (np.concatenate([x[k] for x in held]) for k in (0, 1))
+            mine, key = np.concatenate([x[0][x[2]] for x in held]), np.concatenate([x[3] for x in held])
             bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((who, bucket))
+            order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut)).tolist()
-            cols: list[list[bytes]] = [[], [], []]
-            for b in full:
-                at = order[cut[b] : cut[b + 1]]
-                # Keys stand in order of their set, so that each set's number of them says whose they are.
-                mine, times = np.unique(who[at], return_counts=True)
-                for c, x in zip(cols, (key[at].tobytes(), name[mine].tobytes(), tight.compress(planes(np.hstack([times[:, None], point[mine]])))), strict=True):
-                    c.append(x)
-            return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), *(pa.array(c, pa.binary()) for c in cols)], ["bucket", "keys", "names", "points"])
+            parts = [order[cut[b] : cut[b + 1]] for b in full]
+            cols = [[*(x[at].tobytes() for at in parts), last] for x, last in ((key, b""), (mine, name.tobytes()))]
+            return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), *(pa.array(c, pa.binary()) for c in (*cols, [None] * len(full) + [tight.compress(planes(point))]))], ["bucket", "keys", "names", "points"])
 
         for batch in batches:
             for i, j, buf, off in text_chunks(_texts(batch, ids)):
@@ -198,12 +193,46 @@ def set_keys(docs: DataFrame, n: int, p: int, q: int, level: np.ndarray, buckets
                 if n_held >= SENT_KEYS:
                     yield send()
                     held, n_held = [], 0
-        if n_held:
+        if held:
             yield send()
 
     return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, names binary, points binary")
 
 
+def shared(group: pa.Table) -> pa.Table:
+    """bucket, name, keys: the sets of a bucket that have a key in common with another one, with those keys."""
+    trim()
+    bucket = group.column("bucket")[0].as_py()
+    key, name = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("names", np.int64)))
+    order = np.lexsort((name, key))
+    key, name = key[order], name[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
+    key, name = key[new], name[new]
+    same = key[1:] == key[:-1]
+    many = np.append(same, False) | np.append(False, same)
+    key, name = key[many], name[many]
+    order = np.argsort(name, kind="stable")
+    key, name = key[order], name[order]
+    first = np.flatnonzero(np.append(True, name[1:] != name[:-1])) if len(name) else np.zeros(0, np.int64)
+    cut = np.append(first, len(name)).tolist()
+    return pa.table({"bucket": pa.array(np.full(len(first), bucket), pa.int32()), "name": pa.array(name[first]), "keys": pa.array([key[a:b].tobytes() for a, b in zip(cut, cut[1:])], pa.binary())})
+
+
+def _points_of(dealt: DataFrame) -> DataFrame:
+    """name, point of every set."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        loose = zstandard.ZstdDecompressor()
+        for batch in batches:
+            for name, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                x = unplanes(loose.decompress(raw)).reshape(-1, DIMENSIONS).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(name, np.int64)), pa.array([planes(v) for v in x], pa.binary())], ["name", "point"])
+
+    rows = dealt.where("bucket = -1").select("names", "points").mapInArrow(run, "name long, point binary")
+    return rows.groupBy("name").agg(F.first("point").alias("point"))
+
+
 def class_name(size: np.ndarray, s1: np.ndarray, s2: np.ndarray) -> np.ndarray:
     """A class in 64 bits, at least 0."""
     return (mix(s1.view(np.uint64) + mix(s2.view(np.uint64) + size.astype(np.uint64))) >> np.uint64(1)).view(np.int64)
@@ -311,39 +340,20 @@ def _of_hot_key(who: np.ndarray, group: np.ndarray, point: np.ndarray, size: np.
 
 
 def meet(group: pa.Table, p: int, q: int) -> pa.Table:
-    """A bucket's sets that have a key in common and whose bounds allow a link, as a forest (a, b) of what may be alike."""
+    """A bucket's sets that have a key in common and whose bounds allow a link, as a forest (a, b) of what may be alike.
+
+    group: name, keys, point; a name once.
+    """
     trim()
-    loose = zstandard.ZstdDecompressor()
-    cols = {c: group.column(c).to_pylist() for c in ("keys", "names", "points")}
-    name = [np.frombuffer(x, np.int64) for x in cols["names"]]
-    base = np.cumsum([0] + [len(x) for x in name])
-    key = np.frombuffer(b"".join(cols["keys"]), np.uint64)
-    held = [unplanes(loose.decompress(x)).reshape(-1, DIMENSIONS + 1).astype(np.int32) for x in cols["points"]]
-    local = np.repeat(np.arange(base[-1]), np.concatenate([x[:, 0] for x in held]))
-    names, doc = np.unique(np.concatenate(name), return_inverse=True)
-    who = doc[local]
+    names = np.asarray(group.column("name"))
+    held = group.column("keys").to_pylist()
+    key, who = np.frombuffer(b"".join(held), np.uint64), np.repeat(np.arange(len(names)), [len(x) // 8 for x in held])
+    point = np.stack([unplanes(x) for x in group.column("point").to_pylist()]).astype(np.int32)
+    size = point.sum(1, dtype=np.int64)
     order = np.lexsort((who, key))
     key, who = key[order], who[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (who[1:] != who[:-1])
-    key, who = key[new], who[new]
-    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
     m = np.diff(np.append(first, len(key)))
-    first, m = first[m > 1], m[m > 1]
-    none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-    if not len(m):
-        return none
-    # Points of those sets alone that share a key.
-    used = np.zeros(len(names), bool)
-    used[who[np.repeat(first - np.cumsum(m) + m, m) + np.arange(m.sum())]] = True
-    slot = np.cumsum(used) - 1
-    point, size = np.zeros((int(used.sum()), DIMENSIONS), np.int32), np.zeros(int(used.sum()), np.int64)
-    for k, x in enumerate(held):
-        d = doc[base[k] : base[k + 1]]
-        mine = used[d]
-        point[slot[d[mine]]] = x[mine, 1:]
-    size[:] = point.sum(1)
-    who, names = slot[who], names[used]
     pairs = [np.zeros((0, 2), np.int64)]
     for n in np.unique(m[m <= FEW]).tolist():
         sets = who[first[m == n][:, None] + np.arange(n)]
@@ -381,8 +391,10 @@ def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFr
     known = id_filter(reps.select("rep")) if many <= FILTER_BITS else None
     texts = docs if known else rows_of(docs, reps.select("rep"), "doc_id")
     buckets = max(partitions(docs.sparkSession), -(-size * 6 // BUCKET_BYTES))
-    dealt = set_keys(texts, n, p, q, sketch(texts, n, known), buckets, known)
-    cluster = components(dealt.groupBy("bucket").applyInArrow(lambda g: meet(g, p, q), "a long, b long"))
+    dealt = materialise(set_keys(texts, n, p, q, sketch(texts, n, known), buckets, known), "keys")
+    common = dealt.where("bucket >= 0").select("bucket", "keys", "names").groupBy("bucket").applyInArrow(shared, "bucket int, name long, keys binary")
+    met = common.join(_points_of(dealt), "name").groupBy("bucket").applyInArrow(lambda g: meet(g, p, q), "a long, b long")
+    cluster = components(met)
     roots = cluster.select(F.col("component").alias("id"), "component").distinct()
     members = materialise(cluster.unionByName(roots).select(F.col("id").alias("name"), F.col("component").alias("c")), "clusters")
     found = components(_verified(docs, reps, members, n, p, q))
