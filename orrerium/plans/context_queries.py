@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from orrerium.functions import derived
 from orrerium.operators import context, impute, profile
 from orrerium.plans.case_queries import Query, but, listed, rounded, share, shown
 from orrerium.plans.node_queries import EDGES, MEM
@@ -158,3 +159,17 @@ def _donors(f: str) -> str:
 def nearest_donors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Missing cells from the nearest rows that have them; rows without any value stay as they are."""
     return rounded(impute.knn_fill(table(spark, sf_dir, "part").selectExpr(*listed(_HOLES)), ["a", "b", "c"], block=700))
+
+
+_CANDIDATE = {"p_partkey": "p_partkey", "hostname": "CASE WHEN p_partkey % 6 <> 0 THEN p_brand END", "pl_orbper": "CASE WHEN p_partkey % 7 <> 0 THEN p_retailprice / 10e0 END", "a_au": "p_size / 20e0", "st_rad": "p_partkey % 4 * 0.5e0", "st_mass": "0.2e0 + p_size / 40e0", "st_lum": "CASE WHEN p_partkey % 5 <> 0 THEN p_size / 9e0 END", "st_teff": "4000e0 + p_partkey % 3000", "neighbor_mass": "p_partkey % 9 * 1e0", "p_inner": "p_retailprice / 25e0", "outer_period": "p_partkey % 3 * p_retailprice / 4e0", "gap_toi_score": "p_partkey % 10 / 10e0", "node_degree": "p_partkey % 12 * 1e0", "candidate_eqt": "CASE WHEN p_partkey % 2 = 0 THEN 300e0 END"}
+
+
+@query(f"""WITH n AS (SELECT {', '.join(listed(_CANDIDATE))} FROM part), k AS (SELECT hostname, count(*) AS c FROM n WHERE hostname IS NOT NULL GROUP BY 1)
+SELECT p_partkey, round(pl_orbper, 6) AS candidate_pl_orbper, a_au AS candidate_pl_orbsmax, CASE WHEN st_rad > 0 THEN round(st_rad * 0.00465047::DOUBLE / a_au, 6) END AS proxy_transit_probability_proxy,
+  CASE WHEN neighbor_mass > 0 THEN round(neighbor_mass / (pow(st_mass, 2 / 3) * pow(pl_orbper, 1 / 3)), 6) END AS rv_amplitude_proxy, round(st_lum / (a_au * a_au), 6) AS candidate_insol, candidate_eqt, CASE WHEN st_rad > 0 THEN round(st_teff * sqrt(st_rad * 0.00465047::DOUBLE / (2 * a_au)), 6) END AS proxy_candidate_eqt,
+  c AS n_known_planets, round(pl_orbper / p_inner, 6) AS period_ratio_inner, CASE WHEN outer_period > 0 THEN round(outer_period / pl_orbper, 6) END AS period_ratio_outer, CASE WHEN outer_period > 0 THEN round(log10(outer_period) - log10(p_inner), 6) END AS log_gap_width,
+  CASE WHEN outer_period > 0 THEN round((log10(pl_orbper) - log10(p_inner)) / (log10(outer_period) - log10(p_inner)), 6) END AS normalized_gap_position, gap_toi_score AS "TOI", gap_toi_score AS topo_toi, CAST(NULL AS DOUBLE) AS shadow_score, node_degree AS topo_node_degree, CAST(NULL AS DOUBLE) AS topo_node_size
+FROM n LEFT JOIN k USING (hostname)""")
+def derived_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = derived.derived_features(table(spark, sf_dir, "part").selectExpr(*listed(_CANDIDATE)))
+    return rounded(out.select("p_partkey", "candidate_pl_orbper", "candidate_pl_orbsmax", "proxy_transit_probability_proxy", "rv_amplitude_proxy", "candidate_insol", "candidate_eqt", "proxy_candidate_eqt", "n_known_planets", "period_ratio_inner", "period_ratio_outer", "log_gap_width", "normalized_gap_position", "TOI", "topo_toi", "shadow_score", "topo_node_degree", "topo_node_size"))

@@ -59,3 +59,17 @@ def test_weighted_quantiles(spark):
 def test_mutual_information_of_equal_columns(spark):
     df = spark.createDataFrame([(x, x) for x in "aabbc"], "a string, b string")
     assert stats.mutual_information(df, "a", "b").first().nmi == pytest.approx(1.0)
+
+
+def test_derived_features_keep_what_is_there(spark):
+    from orrerium.functions.derived import derived_features
+
+    rows = [("h", "10", 0.0, None, 7.0), ("h", "x", 1.0, 5000.0, 7.0), (None, None, 2.0, 5000.0, 7.0)]
+    df = spark.createDataFrame(rows, "hostname string, pl_orbper string, a_au double, st_teff double, TOI double")
+    out = derived_features(df).collect()
+    assert len(out) == 3 and {r.TOI for r in out} == {7.0} == {r.topo_toi for r in out}
+    assert sorted((r.candidate_pl_orbper or 0, r.n_known_planets or 0) for r in out) == [(0, 0), (0, 2), (10.0, 2)]
+    assert all(r.candidate_eqt is None and r.transit_probability_proxy is None and r.topo_node_size is None for r in out)
+    again = derived_features(derived_features(df))
+    assert len(out[0]) > 30 and again.columns[: len(out[0])] == derived_features(df).columns and again.count() == 3
+    assert derived_features(df.drop("hostname").limit(0)).count() == 0
