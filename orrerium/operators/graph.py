@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -23,6 +23,18 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return edges.select(KEY, "source", "target").unionByName(edges.select(KEY, F.col("target").alias("source"), F.col("source").alias("target")))
 
 
+def signatures(membership: DataFrame, sums: Sequence[str] = (), used: str = "true", id_column: str = "row_index") -> DataFrame:
+    """config_id, nodes, n, n_used, sum_<column>: rows by the set of nodes they stand in, each row once.
+
+    What nodes share, and sums over unions of nodes, follow from this table alone, and its size follows the overlaps of
+    the cover: one shuffle of the members serves them all. Sums and n_used are over rows that pass `used`; its value and the columns
+    are the row's own, equal in all of its nodes.
+    """
+    kept = F.coalesce(F.expr(used), F.lit(False))
+    rows = membership.groupBy(KEY, id_column).agg(F.sort_array(F.collect_set("node_id")).alias("nodes"), F.max(kept).alias("used"), *[F.max(F.when(kept, F.col(c))).alias(c) for c in sums])
+    return rows.groupBy(KEY, "nodes").agg(F.count(F.lit(1)).alias("n"), F.count_if("used").alias("n_used"), *[F.sum(c).alias(f"sum_{c}") for c in sums])
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """config_id, node_id, component_id: the least node of its component. Least labels spread, and pointers are halved each round."""
     near = written(both_ways(simple(edges)), "graph-edges")

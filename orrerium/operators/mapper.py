@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from orrerium.functions.numeric import ratio, z_score
-from orrerium.operators.graph import component_stats, components, graph_metrics
+from orrerium.operators.graph import component_stats, components, graph_metrics, signatures
 from orrerium.operators.knn import dbscan_eps, nearest
 from orrerium.sources.tables import written
 
@@ -342,12 +342,16 @@ def spread_clusters(rows: DataFrame, id_column: str = "row_index", keys: Sequenc
 def nerve(membership: DataFrame, id_column: str = "row_index") -> DataFrame:
     """config_id, source, target, n_shared_members, source_size, target_size, jaccard_members: nodes that share rows.
 
-    A row stands in at most a few cells of the cover: one shuffle brings its nodes together, and what leaves it are counts of pairs.
+    A row stands in at most a few cells of the cover: one shuffle brings its nodes together, and what leaves it are counts of sets of nodes.
     """
-    rows = membership.groupBy("config_id", id_column).agg(F.array_sort(F.collect_set("node_id")).alias("nodes"))
-    size = rows.select("config_id", F.explode("nodes").alias("node_id")).groupBy("config_id", "node_id").agg(F.count(F.lit(1)).alias("n"))
+    return nerve_of(signatures(membership, id_column=id_column))
+
+
+def nerve_of(rows: DataFrame) -> DataFrame:
+    """The nerve from graph.signatures()."""
+    size = rows.select("config_id", "n", F.explode("nodes").alias("node_id")).groupBy("config_id", "node_id").agg(F.sum("n").alias("n"))
     pairs = F.expr("flatten(transform(nodes, (a, i) -> transform(slice(nodes, i + 2, size(nodes)), b -> struct(a AS source, b AS target))))")
-    shared = rows.where(F.size("nodes") > 1).select("config_id", F.explode(pairs).alias("p")).groupBy("config_id", "p.source", "p.target").agg(F.count(F.lit(1)).alias("n_shared_members"))
+    shared = rows.where(F.size("nodes") > 1).select("config_id", "n", F.explode(pairs).alias("p")).groupBy("config_id", "p.source", "p.target").agg(F.sum("n").alias("n_shared_members"))
     out = shared.join(size.select("config_id", F.col("node_id").alias("source"), F.col("n").alias("source_size")), ["config_id", "source"]).join(size.select("config_id", F.col("node_id").alias("target"), F.col("n").alias("target_size")), ["config_id", "target"])
     out = out.withColumn("jaccard_members", ratio("n_shared_members", F.col("source_size") + F.col("target_size") - F.col("n_shared_members")))
     return out.select("config_id", "source", "target", "n_shared_members", "source_size", "target_size", "jaccard_members")

@@ -217,13 +217,16 @@ def bh_fdr(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Cover, nerve, compositions, shadow -------------------------------------------------------------------------------
 
 
-def _points(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _points(spark: SparkSession, sf_dir: str, *more: Column) -> DataFrame:
     rows = table(spark, sf_dir, "lineitem")
-    return rows.select(_item().alias("row_index"), F.col("l_quantity").alias("lens_0"), (F.col("l_discount") * 100).alias("lens_1"), F.concat("l_returnflag", "l_linestatus").alias("method"))
+    return rows.select(*more, _item().alias("row_index"), F.col("l_quantity").alias("lens_0"), (F.col("l_discount") * 100).alias("lens_1"), F.concat("l_returnflag", "l_linestatus").alias("method"))
+
+
+MEMBER = ("'cover' AS config_id", "CAST(cube_id AS STRING) AS node_id", "row_index", "method")
 
 
 def _membership(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mapper.cover(_points(spark, sf_dir)).select(F.lit("cover").alias("config_id"), F.col("cube_id").cast("string").alias("node_id"), "row_index", "method")
+    return mapper.cover(_points(spark, sf_dir)).selectExpr(*MEMBER)
 
 
 COVER = f"""pt AS (SELECT {ITEM} AS row_index, l_quantity AS x, l_discount * 100 AS y, l_returnflag || l_linestatus AS method FROM lineitem),
@@ -385,8 +388,9 @@ def shadow_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _r3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "lineitem").select(_item().alias("row_index"), F.col("l_extendedprice").alias("pl_bmasse"), F.col("l_quantity").alias("pl_orbper"), F.col("l_tax").alias("pl_orbsmax"))
-    return regions.r3(_membership(spark, sf_dir).join(rows, "row_index"))
+    """Coordinates ride along with the points, so the members needn't be joined back to their rows."""
+    points = _points(spark, sf_dir, F.col("l_extendedprice").alias("pl_bmasse"), F.col("l_quantity").alias("pl_orbper"), F.col("l_tax").alias("pl_orbsmax"))
+    return regions.r3(mapper.cover(points).selectExpr(*MEMBER, *regions.R3))
 
 
 @query("""WITH l AS (SELECT l_orderkey, l_linenumber, log10(l_extendedprice) AS a, log10(l_quantity) AS b, CASE WHEN l_tax > 0 THEN log10(l_tax) END AS c FROM lineitem),
@@ -410,10 +414,11 @@ def node_geometry(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _toi(m: DataFrame) -> DataFrame:
-    edges = graph.written(mapper.nerve(m), "nerve")
+    sums = graph.written(graph.signatures(m, regions.Z, "r3_valid"), "signatures")
+    edges = graph.written(mapper.nerve_of(sums), "nerve")
     degree = graph.both_ways(edges).groupBy("config_id", F.col("source").alias("node_id")).agg(F.count(F.lit(1)).alias("degree"))
     nodes = _shadowed(m.select("config_id", "node_id", "row_index", "method"), edges).join(degree, ["config_id", "node_id"], "left").na.fill(0, ["degree"]).withColumn("I_R3", F.lit(0.0))
-    nodes = nodes.join(regions.distance_to_neighbours(m, edges).select("config_id", "node_id", "physical_distance_v_to_N1"), ["config_id", "node_id"], "left")
+    nodes = nodes.join(regions.distance_to_neighbours(m, edges, sums).select("config_id", "node_id", "physical_distance_v_to_N1"), ["config_id", "node_id"], "left")
     return regions.toi(regions.network_support(nodes))
 
 

@@ -430,3 +430,32 @@ def test_membership_comes_from_the_first_source_that_has_it(spark, tmp_path):
         graphs.resolve_membership(spark, "c", [at("table", "none.csv")])
     with pytest.raises(ValueError, match="unknown kind"):
         graphs.MemberSource("guess", "x")
+
+
+def test_distances_to_neighbours_count_a_member_once(spark):
+    import random
+
+    draw = random.Random(3)
+    at = {i: (draw.random(), draw.random(), draw.random() if draw.random() > 0.2 else None) for i in range(200)}
+    stands = {i: sorted({f"n{draw.randrange(9)}" for _ in range(draw.randrange(1, 4))}) for i in at}
+    rows = [("c", n, i, *map(float, at[i][:2]), at[i][2], at[i][2] is not None) for i in at for n in stands[i]]
+    members = spark.createDataFrame(rows + rows[:20], "config_id string, node_id string, row_index long, z_0 double, z_1 double, z_2 double, r3_valid boolean")
+    edges = mapper.nerve(members).where("source <> 'n0' AND target <> 'n0'")
+    got = {r.node_id: r for r in regions.distance_to_neighbours(members, edges).collect()}
+    near = {n: set() for n in got}
+    for e in edges.collect():
+        near[e.source].add(e.target)
+        near[e.target].add(e.source)
+
+    def centre(nodes):
+        held = [at[i] for i in at if at[i][2] is not None and nodes & set(stands[i])]
+        return [sum(x) / len(held) for x in zip(*held)] if held else None
+
+    for n, r in got.items():
+        own, other = centre({n}), centre(near[n])
+        assert [r.c_0, r.c_1, r.c_2] == pytest.approx(own)
+        if other is None:
+            assert r.physical_distance_v_to_N1 is None
+        else:
+            assert r.physical_distance_v_to_N1 == pytest.approx(sum((a - b) ** 2 for a, b in zip(own, other)) ** 0.5)
+    assert got["n0"].physical_distance_v_to_N1 is None and len(got) == 9
