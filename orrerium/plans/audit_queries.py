@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.functions import labels, stats
-from orrerium.operators import bias, characterise, context, graph, impute, knn, mapper, models, profile, regions
+from orrerium.operators import bias, cases, characterise, context, graph, impute, knn, mapper, models, profile, regions, studies
 from orrerium.plans.registry import Registry
 from orrerium.plans.tables import table
 
@@ -494,6 +494,34 @@ def reference_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(regions.deficit_summary(_three(spark, sf_dir)))
 
 
+_LOCAL = f"""lc AS (SELECT CAST(slot AS INTEGER) AS slot, node_id FROM (SELECT row_number() OVER (ORDER BY o, k) AS slot, node_id FROM (SELECT 0 AS o, 0 AS k, node_id FROM nm WHERE node_id = '55'
+  UNION ALL SELECT 1, row_number() OVER (ORDER BY raw * size_weight DESC, sh.n_members DESC, sh.node_id), sh.node_id FROM sh JOIN nm USING (node_id) WHERE nm.top = 'AF' AND sh.n_members >= 10 AND sh.node_id <> '55')) WHERE slot <= 5),
+lm AS (SELECT node_id, median(a - b / 3) AS m FROM xr GROUP BY node_id), lr AS (SELECT node_id, ring, count(*) AS n, median(v) AS m FROM (SELECT DISTINCT qr.node_id, ring, xr.row_index, a - b / 3 AS v FROM qr JOIN xr ON xr.node_id = other WHERE ring > 0 AND c IS NOT NULL) GROUP BY ALL),
+lu AS (SELECT lm.node_id, lm.m, CASE WHEN x.node_id IS NOT NULL THEN x.m WHEN y.node_id IS NOT NULL THEN y.m ELSE lm.m END AS r FROM lm LEFT JOIN lr x ON x.node_id = lm.node_id AND x.ring = 1 AND x.n >= 3 LEFT JOIN lr y ON y.node_id = lm.node_id AND y.ring = 2 AND y.n >= 3),
+lb AS (SELECT node_id, max(dr) AS dn, max(ra) AS da FROM ay GROUP BY node_id)"""
+
+
+@query(f"""WITH {SHADOW}, {R3SQL}, {DEFICIT}, {ANALOG}, {_LOCAL} SELECT slot, 'cover' AS config_id, lc.node_id, round(raw * size_weight, 6) AS shadow_score, qa.row_index AS anchor, CASE WHEN mem.method = 'AF' THEN 'preferred_method_least_imputed_near_medoid' WHEN mem.method IS NOT NULL THEN 'no_preferred_member_least_imputed_near_medoid' END AS selection_reason,
+  round(dn, 6) AS delta_rel_neighbors_best, round(da, 6) AS delta_rel_analog_best, CASE WHEN lb.node_id IS NULL OR qa.node_id IS NULL THEN 'not_available' WHEN lu.m >= lu.r THEN 'lower_rv_proxy_at_like_orbit' ELSE 'lower_mass_at_like_orbit' END AS expected_missing_direction,
+  CASE WHEN coalesce(dn, 0) <= 0.1 THEN 'no_deficit' WHEN dn <= 0.3 THEN 'weak_deficit' WHEN dn <= 0.6 THEN 'moderate_deficit' ELSE 'strong_deficit' END AS deficit_class,
+  CASE WHEN raw * size_weight >= 0.22 AND dn >= 0.3 THEN 'higher' WHEN raw * size_weight >= 0.15 THEN 'medium' ELSE 'lower' END AS confidence_level
+  FROM lc JOIN sh ON sh.node_id = lc.node_id LEFT JOIN qa ON qa.node_id = lc.node_id LEFT JOIN mem ON mem.node_id = qa.node_id AND mem.row_index = qa.row_index LEFT JOIN lb ON lb.node_id = lc.node_id LEFT JOIN lu ON lu.node_id = lc.node_id""")
+def local_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five case nodes: chosen, anchored, measured against three references and put side by side."""
+    m = graph.written(_r3(spark, sf_dir), "r3")
+    edges = graph.written(mapper.nerve(m), "nerve")
+    shadowed = graph.written(_shadowed(m.select("config_id", "node_id", "row_index", "method"), edges).join(bias.node_metrics(m, "method").select("config_id", "node_id", F.col("top").alias("top_method")), ["config_id", "node_id"]), "shadowed")
+    chosen = cases.choose_nodes(shadowed, shadowed, "cover", ["55"], "AF", 5, 10).select("slot", "node_id")
+    chosen = graph.written(shadowed.select("config_id", "node_id", "shadow_score").join(chosen, "node_id").withColumn("I_R3", F.lit(0.0)), "cases")
+    a = graph.written(studies.local_anchors(m, chosen, "method", "AF"), "anchors")
+    nodes = regions.node_geometry(m).join(shadowed.select("config_id", "node_id", "shadow_score", "n_members"), ["config_id", "node_id"], "right")
+    analogs = context.analog_nodes(nodes.withColumn("r3_valid_fraction", F.col("n_valid") / F.col("n_members")), reach=0.35, least_members=3, least_valid=0.6)
+    analogs = graph.written(analogs.join(chosen.select("config_id", "node_id"), ["config_id", "node_id"], "left_semi"), "analogs")
+    long = graph.written(regions.deficits(a, m, edges), "deficits")
+    out = studies.compare_cases(chosen, a, regions.analog_deficits(long, analogs, m, edges), studies.missing_direction(a, m, edges))
+    return rounded(out.select("slot", "config_id", "node_id", "shadow_score", "anchor", "selection_reason", "delta_rel_neighbors_best", "delta_rel_analog_best", "expected_missing_direction", "deficit_class", "confidence_level"))
+
+
 @query(f"""WITH {TOI}, {DEFICIT}, qb AS (SELECT node_id, greatest(coalesce(max(dr), 0), 0) AS best, count(dr) AS n, count(*) FILTER (dr > 0) AS plus FROM qf GROUP BY node_id),
 qp AS (SELECT qa.node_id, row_index, exp(-((z0 - c0) ** 2 + (z1 - c1) ** 2 + (z2 - c2) ** 2) / (2 * CASE WHEN spread > 0 THEN spread ELSE 1e-9 END ** 2)) AS rep, toi, best, CASE WHEN n < 2 THEN 'undefined' WHEN plus = n THEN 'consistent_positive_deficit' WHEN plus > 0 THEN 'radius_sensitive_deficit' ELSE 'no_consistent_deficit' END AS st
   FROM qa JOIN xg USING (node_id) LEFT JOIN qb USING (node_id) JOIN ts USING (node_id))

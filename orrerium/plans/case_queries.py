@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.operators import cases, synthesis
+from orrerium.operators import cases, studies, synthesis
 from orrerium.plans.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -305,6 +305,29 @@ def radius_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown(cases.radius_detail(_anchors(spark, sf_dir), _deficits(spark, sf_dir)), "anchor_pl_name node_id radius_type radius_order", "ATI TOI delta_rel_neighbors_recomputed")
 
 
+def _picked(parts: str) -> str:
+    """The names of the least and the greatest of named parts, ties to the first."""
+    known = f"list_filter([{parts}], lambda x: x.v IS NOT NULL)"
+    return f"'bottleneck=' || list_sort(list_transform({known}, lambda x: {{'v': x.v, 'k': x.k, 'f': x.f}}))[1].f || '; strongest=' || list_sort(list_transform({known}, lambda x: {{'v': -x.v, 'k': x.k, 'f': x.f}}))[1].f"
+
+
+_C_PHYS = but(11, share(67, 100))
+_TOI_PARTS = "{'v': shadow_score, 'k': 0, 'f': 'shadow_score'}, {'v': 1 - I_R3, 'k': 1, 'f': 'low_imputation'}, {'v': C_phys, 'k': 2, 'f': 'physical_continuity'}, {'v': S_net, 'k': 3, 'f': 'network_support'}"
+_ATI_PARTS = "{'v': TOI, 'k': 0, 'f': 'TOI_region'}, {'v': delta_rel_neighbors_best, 'k': 1, 'f': 'local_deficit'}, {'v': 1 - r3_imputation_score, 'k': 2, 'f': 'anchor_low_imputation'}, {'v': anchor_representativeness, 'k': 3, 'f': 'anchor_representativeness'}"
+
+
+@query(f"""WITH r AS (SELECT {', '.join(listed(REGIONS))}, {_C_PHYS} AS C_phys FROM part) SELECT node_id, n_members, TOI_rank, coalesce({_picked(_TOI_PARTS)}, 'unknown') AS dominant_toi_driver, round(shadow_score, 6) AS shadow_score, round(I_R3, 6) AS I_R3, round(C_phys, 6) AS C_phys, round(S_net, 6) AS S_net, round(TOI, 6) AS TOI FROM r ORDER BY r.TOI DESC, r.node_id LIMIT 25""")
+def region_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "part").selectExpr(*listed(REGIONS), f"{_C_PHYS} AS C_phys")
+    return rounded(studies.region_profiles(rows, studies.toi_parts(rows), 25).select("node_id", "n_members", "TOI_rank", "dominant_toi_driver", "shadow_score", "I_R3", "C_phys", "S_net", "TOI"))
+
+
+@query(f"""WITH a AS (SELECT {', '.join(listed(ANCHORS))} FROM part) SELECT node_id, anchor_pl_name, round(ATI, 6) AS ATI, round(TOI * delta_rel_neighbors_best * (1 - r3_imputation_score) * anchor_representativeness, 6) AS ATI_recomputed, round(abs(ATI - TOI * delta_rel_neighbors_best * (1 - r3_imputation_score) * anchor_representativeness), 6) AS ATI_abs_error,
+  coalesce({_picked(_ATI_PARTS)}, 'unknown') AS dominant_ati_driver FROM a""")
+def ati_decomposition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rounded(studies.ati_parts(_anchors(spark, sf_dir)).select("node_id", "anchor_pl_name", "ATI", "ATI_recomputed", "ATI_abs_error", "dominant_ati_driver"))
+
+
 @query("SELECT p_partkey, round(log10(p_retailprice) - log10(p_size) / 3, 6) AS rv_proxy, round(log10(p_retailprice) - log10(p_size) / 3 - 2.0 / 3.0 * CASE WHEN p_partkey % 5 > 0 THEN log10(p_partkey % 5) END, 6) AS rv_proxy_with_star FROM part")
 def rv_proxies(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "part").selectExpr("p_partkey", "p_retailprice AS pl_bmasse", "CAST(p_size AS DOUBLE) AS pl_orbper", "CAST(p_partkey % 5 AS DOUBLE) AS st_mass")

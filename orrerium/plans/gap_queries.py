@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from orrerium.operators import gaps
+from orrerium.operators import gaps, studies
 from orrerium.plans.tables import CATALOG, catalog
 
 
@@ -76,7 +76,16 @@ def system_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(out.select("hostname", "n_observed_planets", "n_gaps", "n_candidates", "max_gap_ratio", "max_priority_score", "mean_priority_score", "system_priority_class"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (system_metadata, adjacent_gaps, gap_statistics, candidate_gaps, expand_candidates, loo_validation, loo_recall, nearest_inner_outer, detectability, priority_score, system_summary)}
+#: Hosts of the tables in place of named ones; the third study's methods come second to mixed systems.
+_STUDIES = (studies.Study(1, "top_ranked_visual_case", ("1147", "33"), ("Transit",)), studies.Study(2, "radial_velocity_like_case", (), ("Radial Velocity",)), studies.Study(3, "mixed_or_fallback_case", ("7",), ("Mixed", "Transit")))
+
+
+def gap_case_studies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = studies.case_studies(_scored(spark, sf_dir), gaps.system_metadata(catalog(spark, sf_dir)), _STUDIES, ("medium",))
+    return _rounded(out.select("case_rank", "case_type", "hostname", "candidate_id", "candidate_period_days", "gap_period_ratio", "candidate_priority_score", "likely_missing_due_to", "followup", F.col("n_observed_planets").cast("long").alias("n_observed_planets")))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (system_metadata, adjacent_gaps, gap_statistics, candidate_gaps, expand_candidates, loo_validation, loo_recall, nearest_inner_outer, detectability, priority_score, system_summary, gap_case_studies)}
 
 _META = (
     CATALOG
@@ -166,7 +175,19 @@ qual AS (SELECT *, (4 * 0.7 + 2 * 0.7 + CASE WHEN candidate_semimajor_au IS NOT
 prio AS (SELECT *, least(1, 0.30 * gap_score + 0.15 * missing_detectability_score + 0.10 * data_quality_score) AS candidate_priority_score FROM qual)"""
 )
 
+_CASES = (
+    _DETECT
+    + """,
+high AS (SELECT *, dominant_method_group AS g FROM prio WHERE candidate_priority_score >= 0.40),
+s1 AS (SELECT 1 AS case_rank, 'top_ranked_visual_case' AS case_type, * FROM high WHERE g = 'Transit' ORDER BY hostname NOT IN ('1147', '33'), candidate_priority_score DESC, gap_period_ratio DESC, missing_detectability_score DESC, candidate_id LIMIT 1),
+s2 AS (SELECT 2, 'radial_velocity_like_case', * FROM high WHERE likely_missing_due_to = 'weak_RV_signal' AND hostname NOT IN (SELECT hostname FROM s1) ORDER BY candidate_priority_score DESC, gap_period_ratio DESC, missing_detectability_score DESC, candidate_id LIMIT 1),
+s3 AS (SELECT 3, 'mixed_or_fallback_case', * FROM high WHERE hostname NOT IN (SELECT hostname FROM s1 UNION ALL SELECT hostname FROM s2) ORDER BY CASE g WHEN 'Mixed' THEN 0 WHEN 'Transit' THEN 1 ELSE 2 END, hostname <> '7', candidate_priority_score DESC, gap_period_ratio DESC, missing_detectability_score DESC, candidate_id LIMIT 1),
+ss AS (FROM s1 UNION ALL FROM s2 UNION ALL FROM s3)"""
+)
+
 SQL: dict[str, str] = {
+    "gap_case_studies": f"""WITH {_CASES} SELECT case_rank, case_type, hostname, candidate_id, round(candidate_period_days, 6) AS candidate_period_days, round(gap_period_ratio, 6) AS gap_period_ratio, round(candidate_priority_score, 6) AS candidate_priority_score, likely_missing_due_to,
+  CASE WHEN case_rank = 2 OR likely_missing_due_to = 'weak_RV_signal' THEN 'radial_velocity_series' WHEN likely_missing_due_to IN ('shallow_transit_depth', 'low_transit_probability', 'long_period') THEN 'photometry_and_transit_windows' ELSE 'photometry_with_radial_velocity' END AS followup, CAST(n_observed_planets AS BIGINT) AS n_observed_planets FROM ss JOIN meta USING (hostname)""",
     "system_metadata": f"WITH {_META} SELECT * FROM meta",
     "adjacent_gaps": f"WITH {CATALOG}, {_adjacent(1)} SELECT * FROM adj1",
     "gap_statistics": f"WITH {_STATS} SELECT * FROM stats",
