@@ -20,6 +20,12 @@ from orrerium.sources.tables import written
 #: Features whose logarithm is modelled; bounds that imputed values keep; parts of names that are no measurements.
 LOG_FEATURES = ("pl_rade", "pl_bmasse", "pl_dens", "pl_orbper", "pl_orbsmax", "pl_insol", "sy_dist", "st_mass", "st_rad", "st_lum")
 BOUNDS: dict[str, tuple[float | None, float | None]] = {"pl_orbeccen": (0.0, 1.0), "sy_pnum": (1.0, None), "sy_snum": (1.0, None)} | {c: (0.0, None) for c in ("pl_rade", "pl_bmasse", "pl_dens", "pl_orbper", "pl_orbsmax", "pl_insol", "pl_eqt", "sy_dist", "st_mass", "st_rad", "st_teff")}
+#: The features of Mapper's tables, and the columns that go along with them.
+PHYSICAL = ("pl_rade", "pl_bmasse", "pl_dens")
+ORBITAL = ("pl_orbper", "pl_orbsmax", "pl_insol", "pl_eqt")
+ECCENTRICITY = ("pl_orbeccen",)
+STELLAR = ("st_teff", "st_met", "st_mass", "st_rad", "st_lum", "sy_pnum", "sy_snum")
+CONTEXT = ("pl_name", "hostname", "discoverymethod", "disc_year", "disc_facility", "sy_dist", "tran_flag", "rv_flag", "ima_flag", "micro_flag")
 NO_MEASUREMENT = ("err1", "err2", "lim", "reflink", "refname", "systemref")
 FLOOR = 1e-12
 
@@ -392,6 +398,36 @@ def selectable(df: DataFrame, features: Sequence[str], most_missing: float = 0.7
     return [f for f in features if f not in reasons], reasons
 
 
+def mapper_table(df: DataFrame, features: Sequence[str], complete_only: bool, id_column: str = "row_index") -> DataFrame:
+    """Rows that have all of the features, in the space that Mapper clusters: logarithms of those that are modelled so, then (x - median) / IQR
+    over the rows of this table. With `complete_only`, rows with an imputed, excluded or unnamed source go, too.
+
+    Columns: the id, context, features, original_<feature>, and <feature>_was_missing and _source where there. A value without a
+    logarithm is null, its row stays. Features that the table lacks are left out; without any, all rows stay with their context alone.
+    """
+    have = set(df.columns)
+    used = [f for f in features if f in have]
+    context = [c for c in (id_column, *CONTEXT) if c in have and c not in used]
+    if not used:
+        return df.select(*context)
+    rows = df.withColumns({f"original_{f}": to_numeric(f) for f in used})
+    keep = _all_known([f"original_{f}" for f in used])
+    for f in used:
+        source = F.col(f"{f}_source")
+        if complete_only and f"{f}_source" in have:
+            keep = keep & F.coalesce(~source.startswith("imputed_") & (source != "excluded_too_missing"), F.lit(False))
+    rows = rows.where(keep).withColumns({f: safe_log10(f"original_{f}") if f in LOG_FEATURES else F.col(f"original_{f}") for f in used})
+    flags = [c for f in used for c in (f"{f}_was_missing", f"{f}_source") if c in have]
+    return robust_scale(rows, used).select(*context, *used, *[f"original_{f}" for f in used], *flags)
+
+
+def mapper_tables(df: DataFrame, stellar: bool = False, eccentricity: bool = False, id_column: str = "row_index") -> dict[str, DataFrame]:
+    """The physical, orbital and joint tables, of complete rows and with imputed ones: phys_complete, ..., joint_imputed."""
+    orbital = (*ORBITAL, *(ECCENTRICITY if eccentricity else ()))
+    groups = {"phys": PHYSICAL, "orb": orbital, "joint": (*PHYSICAL, *orbital, *(STELLAR if stellar else ()))}
+    return {f"{g}_{kind}": mapper_table(df, fs, kind == "complete", id_column) for kind in ("complete", "imputed") for g, fs in groups.items()}
+
+
 def assert_complete(df: DataFrame, features: Sequence[str], positive: Sequence[str] = ()) -> DataFrame:
     """Raises, as the rows are read, on a null in the features or on a value that isn't positive."""
     bad = F.lit(False)

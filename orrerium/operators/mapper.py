@@ -9,7 +9,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from orrerium.functions.numeric import ratio, z_score
@@ -189,6 +189,38 @@ def build_all(points: DataFrame, configs: Sequence[Config], features: Mapping[st
     return members, edges, out.na.fill(0, counts).withColumn("largest_component_fraction", F.coalesce(F.try_divide(F.col("largest_component").cast("double"), F.col("n_nodes")), F.lit(0.0)))
 
 
+def compare_methods(inputs: Mapping[str, DataFrame | None], configs: Sequence[Config], features: Mapping[str, Sequence[str]] = SPACES, eps: Mapping[str, float] | None = None, id_column: str = "row_index", **options) -> tuple[DataFrame, DataFrame]:
+    """(metrics, availability): the same configurations over the tables of several imputation methods, a build_all for each.
+
+    Metrics: input_method, config_id, space, lens, n_nodes, n_edges, beta_0, beta_1, mean_node_imputation_fraction (over nodes, of
+    the mean over their members of the share of the space's features that were imputed, by <feature>_source; 0 without nodes) and
+    largest_component_fraction. An input that is None or has no rows is not available and has no metrics.
+    """
+    there, parts = [], []
+    for method, points in inputs.items():
+        n = 0 if points is None else points.count()
+        there.append((method, n > 0, n))
+        if not n:
+            continue
+        points = written(points, "method-points")
+        members, _, metrics = build_all(points, configs, features, eps, id_column=id_column, **options)
+        have = set(points.columns)
+        shares = []
+        for name in sorted({c.space for c in configs}):
+            flags = [F.coalesce(F.col(f"{f}_source").startswith("imputed"), F.lit(False)).cast("double") for f in features[name] if f"{f}_source" in have]
+            shares.append(F.struct(F.lit(name).alias("space"), (sum(flags, F.lit(0.0)) / len(features[name])).alias("share")))
+        share = points.select(id_column, F.explode(F.array(*shares)).alias("s")).select(id_column, "s.*")
+        spaces_of = F.broadcast(metrics.select("config_id", "space"))  # a row a configuration
+        each = members.join(spaces_of, "config_id").join(share, [id_column, "space"]).groupBy("config_id", "node_id").agg(F.avg("share").alias("share"))
+        mean = each.groupBy("config_id").agg(F.avg("share").alias("mean_node_imputation_fraction"))
+        out = metrics.join(mean, "config_id", "left").na.fill(0.0, ["mean_node_imputation_fraction"])
+        parts.append(out.select(F.lit(method).alias("input_method"), "config_id", "space", "lens", "n_nodes", "n_edges", "beta_0", "beta_1", "mean_node_imputation_fraction", "largest_component_fraction"))
+    spark = SparkSession.active()
+    table = spark.createDataFrame(there, "input_method string, available boolean, n_rows long")
+    empty = "input_method string, config_id string, space string, lens string, n_nodes long, n_edges long, beta_0 long, beta_1 long, mean_node_imputation_fraction double, largest_component_fraction double"
+    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], empty), table
+
+
 def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
     """Cluster of each row, -1 for noise: clusters number by their least core row; a border row joins the least cluster beside it."""
     n = len(x)

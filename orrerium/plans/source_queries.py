@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -212,6 +213,54 @@ def masked_methods(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(every)
 
 
+_CELLS = {
+    "pl_rade": "CASE WHEN p_partkey % 9 <> 0 THEN CAST(p_size AS DOUBLE) END",
+    "pl_bmasse": "p_retailprice - CASE WHEN p_partkey % 50 = 7 THEN 1e6 ELSE 0e0 END",
+    "pl_dens": "CASE WHEN p_partkey % 7 <> 0 THEN p_size / 7e0 + p_partkey % 11 + 1 END",
+    "pl_orbper": "CAST(p_partkey % 97 + 1 AS DOUBLE)",
+    "pl_eqt": "p_retailprice / (p_size + 1)",
+}
+_SOURCES = {
+    "pl_rade_source": "CASE WHEN p_partkey % 4 = 0 THEN 'imputed_knn' ELSE 'observed' END",
+    "pl_dens_source": "CASE WHEN p_partkey % 5 = 0 THEN 'derived_density' WHEN p_partkey % 13 <> 0 THEN 'observed' END",
+    "pl_eqt_source": "CASE WHEN p_partkey % 6 = 0 THEN 'excluded_too_missing' ELSE 'observed' END",
+}
+_GROUPS = {"phys": ["pl_rade", "pl_bmasse", "pl_dens"], "orb": ["pl_orbper", "pl_eqt"], "joint": ["pl_rade", "pl_bmasse", "pl_dens", "pl_orbper", "pl_eqt"]}
+
+
+def _scaled(group: str, kind: str) -> str:
+    """One of Mapper's tables in long form."""
+    fs = _GROUPS[group]
+    keep = [f"{f} IS NOT NULL" for f in fs]
+    if kind == "complete":
+        keep += [f"coalesce(NOT starts_with({f}_source, 'imputed_') AND {f}_source <> 'excluded_too_missing', false)" for f in fs if f"{f}_source" in _SOURCES]
+    logs = {f: f"CASE WHEN {f} > 0 THEN log10({f}) END" if f != "pl_eqt" else f for f in fs}
+    rows = " UNION ALL ".join(f"SELECT row_index, '{f}' AS feature, {f} AS original, {x} AS x FROM pt WHERE {' AND '.join(keep)}" for f, x in logs.items())
+    return f"""SELECT '{group}_{kind}' AS table_name, row_index, feature, round(original, 6) AS original, round((x - m) / CASE WHEN s > 0 THEN s ELSE 1 END, 6) AS scaled
+  FROM ({rows}) JOIN (SELECT feature, median(x) AS m, quantile_cont(x, 0.75) - quantile_cont(x, 0.25) AS s FROM ({rows}) GROUP BY feature) USING (feature)"""
+
+
+@query(f"WITH pt AS (SELECT p_partkey AS row_index, {', '.join(f'{e} AS {c}' for c, e in (_CELLS | _SOURCES).items())} FROM part) " + " UNION ALL ".join(_scaled(g, k) for g in _GROUPS for k in ("complete", "imputed")))
+def mapper_feature_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six tables in long form."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS row_index", *[f"{e} AS {c}" for c, e in (_CELLS | _SOURCES).items()])
+    parts = []
+    for name, t in impute.mapper_tables(rows).items():
+        cells = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f"original_{f}").alias("original"), F.col(f).alias("scaled")) for f in _GROUPS[name.split("_")[0]]])
+        parts.append(t.select(F.lit(name).alias("table_name"), "row_index", F.explode(cells).alias("c")).select("table_name", "row_index", "c.*"))
+    return rounded(functools.reduce(DataFrame.unionByName, parts))
+
+
+@query()
+def method_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graphs of the same configurations over complete rows and three ways of filling them."""
+    rows = table(spark, sf_dir, "part").selectExpr("p_partkey AS row_index", *[f"{_CELLS[f]} AS {f}" for f in _GROUPS["phys"]])
+    inputs = {m: impute.mapper_table(impute.impute(rows, _GROUPS["phys"], m), _GROUPS["phys"], False) for m in ("iterative", "knn", "median", "complete_case")}
+    inputs = {m: t.dropna(subset=_GROUPS["phys"]) for m, t in inputs.items()}
+    spaces = {"phys_min": ("pl_rade", "pl_bmasse"), "phys_density": ("pl_rade", "pl_bmasse", "pl_dens")}
+    return rounded(mapper.compare_methods(inputs, mapper.grid(list(spaces), ["pca2"], [6], [0.35]), spaces, dict.fromkeys(spaces, 0.2))[0])
+
+
 @query()
 def resampled_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Graph metrics of bootstrap and shuffled draws beside the plain graph's, in summary."""

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from orrerium.operators import mapper, regions, studies
+from orrerium.operators import impute, mapper, regions, studies
 
 CANDIDATE = "candidate_id string, hostname string, candidate_period_days double, candidate_priority_class string, dominant_discoverymethod_system string, likely_missing_due_to string, candidate_priority_score double, gap_period_ratio double, missing_detectability_score double, inner_planet string, outer_planet string"
 
@@ -87,3 +87,49 @@ def test_local_cases_keep_nodes_without_anchor(spark):
         assert r.node_rv_proxy == pytest.approx(statistics.median(proxy[i] for i in stands[r.node_id]))
         assert r.reference_rv_proxy == pytest.approx(statistics.median(proxy[i] for i in ring))
         assert (r.expected_missing_direction == "lower_rv_proxy_at_like_orbit") == (r.node_rv_proxy >= r.reference_rv_proxy)
+
+
+def test_mapper_tables_scale_their_own_rows(spark):
+    import numpy as np
+
+    rows = [(i, float(i + 1) if i % 3 else None, 10.0 * (i + 1) if i % 5 else -1.0, "imputed_knn" if i % 4 == 0 else "observed", None if i == 7 else "observed", i % 3 == 0, "x") for i in range(40)]
+    df = spark.createDataFrame(rows, "row_index long, pl_rade double, pl_bmasse double, pl_rade_source string, pl_bmasse_source string, pl_rade_was_missing boolean, hostname string")
+    tables = impute.mapper_tables(df, stellar=True, eccentricity=True)
+    assert list(tables) == [f"{g}_{k}" for k in ("complete", "imputed") for g in ("phys", "orb", "joint")]
+    whole = {r.row_index: r for r in tables["phys_complete"].collect()}
+    assert set(whole) == {i for i in range(40) if i % 3 and i % 4 and i != 7}
+    every = {r.row_index: r for r in tables["phys_imputed"].collect()}
+    assert set(every) == {i for i in range(40) if i % 3}
+    for held in (whole, every):
+        x = {i: np.log10(i + 1) for i in held}
+        lo, mid, hi = np.percentile(list(x.values()), [25, 50, 75])
+        assert all(r.pl_rade == pytest.approx((x[i] - mid) / (hi - lo)) and r.original_pl_rade == i + 1 for i, r in held.items())
+        # What has no logarithm is null, and its row stays.
+        assert all((r.pl_bmasse is None) == (i % 5 == 0) for i, r in held.items())
+    assert tables["phys_imputed"].columns == ["row_index", "hostname", "pl_rade", "pl_bmasse", "original_pl_rade", "original_pl_bmasse", "pl_rade_was_missing", "pl_rade_source", "pl_bmasse_source"]
+    assert tables["orb_imputed"].columns == ["row_index", "hostname"] and tables["orb_imputed"].count() == 40
+    assert impute.mapper_table(df.limit(0), impute.PHYSICAL, True).count() == 0
+
+
+def test_method_comparison_equals_single_builds(spark):
+    draw = random.Random(9)
+    rows = [(i, draw.gauss(i % 3, 0.2), draw.gauss(i % 3, 0.2), "imputed_median" if i % 4 == 0 else "observed") for i in range(150)]
+    whole = spark.createDataFrame(rows, "row_index long, a double, b double, a_source string")
+    some = whole.where("a_source = 'observed'")
+    spaces = {"phys_min": ("a", "b")}
+    configs = mapper.grid(["phys_min"], ["pca2"], [3, 5], [0.35])
+    metrics, there = mapper.compare_methods({"median": whole, "complete_case": some, "knn": None, "iterative": whole.limit(0)}, configs, spaces, {"phys_min": 0.3})
+    assert {(r.input_method, r.available, r.n_rows) for r in there.collect()} == {("median", True, 150), ("complete_case", True, some.count()), ("knn", False, 0), ("iterative", False, 0)}
+    got = {(r.input_method, r.config_id): r for r in metrics.collect()}
+    assert set(got) == {(m, c.id) for m in ("median", "complete_case") for c in configs}
+    for method, points in (("median", whole), ("complete_case", some)):
+        for c in configs:
+            members, edges = mapper.build(points, ["a", "b"], 0.3, c)
+            r = got[method, c.id]
+            nodes = {}
+            for x in members.collect():
+                nodes.setdefault(x.node_id, []).append(0.5 if x.row_index % 4 == 0 else 0.0)
+            assert (r.n_nodes, r.n_edges) == (len(nodes), edges.count())
+            assert r.mean_node_imputation_fraction == pytest.approx(sum(sum(v) / len(v) for v in nodes.values()) / len(nodes))
+    empty, none = mapper.compare_methods({"knn": None}, configs, spaces)
+    assert empty.columns == metrics.columns and empty.count() == 0 and none.count() == 1
