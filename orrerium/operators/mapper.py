@@ -5,7 +5,7 @@ from __future__ import annotations
 import functools
 import itertools
 from collections.abc import Iterator, Mapping, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -190,35 +190,48 @@ def build_all(points: DataFrame, configs: Sequence[Config], features: Mapping[st
 
 
 def compare_methods(inputs: Mapping[str, DataFrame | None], configs: Sequence[Config], features: Mapping[str, Sequence[str]] = SPACES, eps: Mapping[str, float] | None = None, id_column: str = "row_index", **options) -> tuple[DataFrame, DataFrame]:
-    """(metrics, availability): the same configurations over the tables of several imputation methods, a build_all for each.
+    """(metrics, availability): the same configurations over the tables of several imputation methods, in one build_all.
 
     Metrics: input_method, config_id, space, lens, n_nodes, n_edges, beta_0, beta_1, mean_node_imputation_fraction (over nodes, of
     the mean over their members of the share of the space's features that were imputed, by <feature>_source; 0 without nodes) and
     largest_component_fraction. An input that is None or has no rows is not available and has no metrics.
+    Ids are unique within an input; names of methods and spaces hold no double underscore.
     """
-    there, parts = [], []
+    spark = SparkSession.active()
+    names = sorted({c.space for c in configs})
+    there, wide, shares = [], [], []
     for method, points in inputs.items():
+        points = None if points is None else written(points, "method-points")
         n = 0 if points is None else points.count()
         there.append((method, n > 0, n))
         if not n:
             continue
-        points = written(points, "method-points")
-        members, _, metrics = build_all(points, configs, features, eps, id_column=id_column, **options)
+        used = sorted({f for name in names for f in features[name]})
+        wide.append(points.select(id_column, *[F.col(f).alias(f"{method}__{f}") for f in used]))
         have = set(points.columns)
-        shares = []
-        for name in sorted({c.space for c in configs}):
-            flags = [F.coalesce(F.col(f"{f}_source").startswith("imputed"), F.lit(False)).cast("double") for f in features[name] if f"{f}_source" in have]
-            shares.append(F.struct(F.lit(name).alias("space"), (sum(flags, F.lit(0.0)) / len(features[name])).alias("share")))
-        share = points.select(id_column, F.explode(F.array(*shares)).alias("s")).select(id_column, "s.*")
-        spaces_of = F.broadcast(metrics.select("config_id", "space"))  # a row a configuration
-        each = members.join(spaces_of, "config_id").join(share, [id_column, "space"]).groupBy("config_id", "node_id").agg(F.avg("share").alias("share"))
-        mean = each.groupBy("config_id").agg(F.avg("share").alias("mean_node_imputation_fraction"))
-        out = metrics.join(mean, "config_id", "left").na.fill(0.0, ["mean_node_imputation_fraction"])
-        parts.append(out.select(F.lit(method).alias("input_method"), "config_id", "space", "lens", "n_nodes", "n_edges", "beta_0", "beta_1", "mean_node_imputation_fraction", "largest_component_fraction"))
-    spark = SparkSession.active()
+        flags = {f: F.coalesce(F.col(f"{f}_source").startswith("imputed"), F.lit(False)).cast("double") for f in used if f"{f}_source" in have}
+        by = [F.struct(F.lit(f"{method}__{name}").alias("space"), (sum((flags[f] for f in features[name] if f in flags), F.lit(0.0)) / len(features[name])).alias("share")) for name in names]
+        shares.append(points.select(id_column, F.explode(F.array(*by)).alias("s")).select(id_column, "s.*"))
     table = spark.createDataFrame(there, "input_method string, available boolean, n_rows long")
-    empty = "input_method string, config_id string, space string, lens string, n_nodes long, n_edges long, beta_0 long, beta_1 long, mean_node_imputation_fraction double, largest_component_fraction double"
-    return functools.reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], empty), table
+    if not wide:
+        empty = "input_method string, config_id string, space string, lens string, n_nodes long, n_edges long, beta_0 long, beta_1 long, mean_node_imputation_fraction double, largest_component_fraction double"
+        return spark.createDataFrame([], empty), table
+    # A method's table is a set of columns and its spaces are spaces of their own, so that one build serves all methods.
+    points = written(functools.reduce(lambda x, y: x.join(y, id_column, "full_outer"), wide), "all-methods")
+    known = [m for m, ok, _ in there if ok]
+    own = {f"{m}__{name}": tuple(f"{m}__{f}" for f in features[name]) for m in known for name in names}
+    every = [replace(c, space=f"{m}__{c.space}") for m in known for c in configs]
+    members, _, metrics = build_all(points, every, own, {f"{m}__{name}": e for m in known for name, e in eps.items()} if eps is not None else None, id_column=id_column, **options)
+    spaces_of = F.broadcast(metrics.select("config_id", "space"))  # a row a configuration
+    share = functools.reduce(DataFrame.unionByName, shares)
+    each = members.join(spaces_of, "config_id").join(share, [id_column, "space"]).groupBy("config_id", "node_id").agg(F.avg("share").alias("share"))
+    mean = each.groupBy("config_id").agg(F.avg("share").alias("mean_node_imputation_fraction"))
+    out = metrics.join(mean, "config_id", "left").na.fill(0.0, ["mean_node_imputation_fraction"])
+
+    def plain(c: str) -> Column:
+        return F.substring_index(c, "__", -1).alias(c)
+
+    return out.select(F.substring_index("space", "__", 1).alias("input_method"), plain("config_id"), plain("space"), "lens", "n_nodes", "n_edges", "beta_0", "beta_1", "mean_node_imputation_fraction", "largest_component_fraction"), table
 
 
 def dbscan(x: np.ndarray, eps: float, min_samples: int) -> np.ndarray:
