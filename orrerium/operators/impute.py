@@ -217,8 +217,10 @@ class Evidence:
 
     def __init__(self, gram: np.ndarray, xy: np.ndarray, yy: float, n: float):
         values, vectors = np.linalg.eigh(gram)
-        values = np.maximum(values, 0.0)
-        along = vectors.T @ xy
+        # Directions without spread hold rounding alone, which a small noise would blow up: the sums say nothing of them.
+        real = values > values.max(initial=0.0) * len(values) * np.finfo(float).eps * 16
+        values = np.where(real, values, 0.0)
+        along = np.where(real, vectors.T @ xy, 0.0)
         alpha, weight = 1.0 / (yy / n + np.finfo(float).eps), 1.0
         before = None
         for _ in range(EVIDENCE_ROUNDS):
