@@ -83,6 +83,18 @@ def _mean(parts: Sequence[Column]) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(known, F.lit(0.0), lambda a, x: a + x) / F.size(known))
 
 
+def _spread(parts: Sequence[Column]) -> Column:
+    """Population deviation of what is known, by a running mean: values of 1e10 beside ones near 0 keep their last digit."""
+    known = F.filter(F.array(*parts), lambda x: x.isNotNull())
+    start = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1.0)
+        return F.struct((a["n"] + 1.0).alias("n"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))
+
+    return F.when(F.size(known) > 0, F.aggregate(known, start, add, lambda a: F.sqrt(a["m2"] / a["n"])))
+
+
 def stability(deficits: DataFrame, anchors: DataFrame, regions: DataFrame) -> DataFrame:
     """One row an anchor and node: its recomputed deficit by radius, their statistics and class, with the anchor's and the region's columns.
 
@@ -95,7 +107,7 @@ def stability(deficits: DataFrame, anchors: DataFrame, regions: DataFrame) -> Da
     middle = F.when(n > 0, (F.get(known, ((n - 1) / 2).cast("int")) + F.get(known, (n / 2).cast("int"))) / 2.0)
     mean = _mean(parts)
     out = wide.withColumns({"delta_rel_mean": mean, "delta_rel_median": middle, "delta_rel_min": F.array_min(known), "delta_rel_max": F.array_max(known)})
-    spread = F.when(n > 0, F.sqrt(F.aggregate(known, F.lit(0.0), lambda a, x: a + (x - F.col("delta_rel_mean")) * (x - F.col("delta_rel_mean"))) / n))
+    spread = _spread(parts)
 
     def count(sign: int) -> Column:
         return F.size(F.filter(known, lambda x: x * sign > 0)).cast("long")
