@@ -1,8 +1,10 @@
 """What showed only on larger or odd tables: results against SQL there, and work that must not follow the square of the rows."""
 
 import duckdb
+import numpy as np
 import pytest
 
+from orrerium.operators import regions
 from orrerium.plans import catalogue
 
 
@@ -25,3 +27,60 @@ PART = "SELECT range AS p_partkey, CAST(range % 50 + 1 AS INTEGER) AS p_size, 'B
 def test_stability_is_that_of_sql_where_nothing_was_expected(spark, tmp_path, name):
     got, want = against_sql(spark, name, {"part": PART}, tmp_path)
     assert got == want
+
+
+def members(spark, seed, n, nodes):
+    """Members of a cloud, a third of them copies of others, in overlapping nodes side by side."""
+    rng = np.random.default_rng(seed)
+    x = np.round(rng.normal(size=(n, 3)), 3)
+    x[rng.integers(0, n, n // 3)] = x[rng.integers(0, n, n // 3)]
+    rows = [("c", f"n{k}", i, *map(float, x[i]), True) for k in range(nodes) for i in range(k * n // (nodes + 1), (k + 2) * n // (nodes + 1))]
+    return rows, spark.createDataFrame(rows, "config_id string, node_id string, row_index long, z_0 double, z_1 double, z_2 double, r3_valid boolean")
+
+
+def tables_of(monkeypatch):
+    """Rows of the tables that regions writes, by name."""
+    seen, own = {}, regions.written
+
+    def spy(df, name):
+        out = own(df, name)
+        seen.setdefault(name, []).append(out)
+        return out
+
+    monkeypatch.setattr(regions, "written", spy)
+    return seen
+
+
+def test_medoids_sum_few_members_over_all(spark, monkeypatch):
+    seen = tables_of(monkeypatch)
+    rows, df = members(spark, 1, 6000, 3)
+    want = {}
+    for k in {r[1] for r in rows}:
+        own = [r for r in rows if r[1] == k]
+        x = np.array([r[3:6] for r in own])
+        total = np.concatenate([np.sqrt(((x[lo : lo + 200, None] - x) ** 2).sum(2)).sum(1) for lo in range(0, len(x), 200)])
+        want[k] = min(zip(np.round(total, 9), (r[2] for r in own), strict=True))[1]
+    assert {r.node_id: r.row_index for r in regions.medoids(df, 500).collect()} == want
+    assert seen["medoid-left"][-1].count() < 0.05 * len(rows)
+
+
+def test_a_universe_is_counted_without_a_row_for_each_node(spark, monkeypatch):
+    seen = tables_of(monkeypatch)
+    rows, df = members(spark, 2, 600, 5)
+    edges = [("c", f"n{k}", f"n{k + 1}") for k in range(4)]
+    anchors = [next(r for r in rows if r[1] == f"n{k}") for k in range(5)]
+    a = spark.createDataFrame([(r[0], r[1], *r[2:6]) for r in anchors], "config_id string, node_id string, row_index long, z_0 double, z_1 double, z_2 double")
+    got = regions.deficits(a, df, spark.createDataFrame(edges, "config_id string, source string, target string")).collect()
+    place = {r[2]: np.array(r[3:6]) for r in rows}
+    of = {f"n{k}": {r[2] for r in rows if r[1] == f"n{k}"} for k in range(5)}
+    assert len(got) == 15
+    for r in got:
+        k = int(r.node_id[1:])
+        ring = [set().union(*(of[f"n{j}"] for j in range(5) if abs(j - k) == d)) for d in range(3)]
+        d = {i: np.sqrt(((place[i] - place[r.anchor]) ** 2).sum()) for i in set().union(*ring)}
+        others = sorted(x for i, x in d.items() if i != r.anchor)
+        own = [d[i] for i in of[r.node_id] if i != r.anchor]
+        assert r.radius == pytest.approx({"r_node_median": np.median(own), "r_node_q75": np.quantile(own, 0.75), "r_kNN": others[9]}[r.radius_type])
+        assert r.N_obs == sum(x <= r.radius for x in others)
+        assert (r.N_exp_first, r.N_exp_second) == tuple(sum(d[i] <= r.radius for i in ring[j]) for j in (1, 2))
+    assert sum(len(r.ids) // 8 for r in seen["reach"][0].select("ids").collect()) == len(place)
