@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.llm import language
-from orrerium.llm.common import materialise, quiet_arrow, remove, split_by_ids, step, table
+from orrerium.llm.common import materialise, quiet_arrow, remove, settled, split_by_ids, step, table
 from orrerium.llm.decontaminate import decontaminate
 from orrerium.llm.ngram_join import ngram_join
 from orrerium.llm.packing import pack_documents
@@ -46,8 +46,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     documents of their own (the first of them stands for its component); blank texts are no copies of each other."""
     quiet_arrow(spark, 2000)
     docs = _numbered(docs)
-    found = ngram_join(docs.select(F.col("row").alias("doc_id"), "text"), SHINGLE, SHARE, OF)
-    gone = materialise(found.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "copies")
+    with step() as held:
+        found = ngram_join(docs.select(F.col("row").alias("doc_id"), "text"), SHINGLE, SHARE, OF)
+    gone = settled(found.where("doc_id <> component_id").select(F.col("doc_id").alias("row")), "copies", held)
     maybe, rest = split_by_ids(docs, gone, "row")
     return maybe.join(gone, "row", "left_anti").select(*COLUMNS).unionByName(rest.select(*COLUMNS))
 
@@ -56,7 +57,9 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, without the passages that repeat among them."""
     quiet_arrow(spark, 2000)
     docs = _numbered(docs)
-    cut = materialise(remove_repeats(docs.select(F.col("row").alias("doc_id"), "text"), PASSAGE).where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept"), "cut")
+    with step() as held:
+        found = remove_repeats(docs.select(F.col("row").alias("doc_id"), "text"), PASSAGE)
+    cut = settled(found.where("n_removed > 0").select(F.col("doc_id").alias("row"), "kept"), "cut", held)
     maybe, rest = split_by_ids(docs, cut.select("row"), "row")
     text = F.coalesce("kept", "text")
     changed = maybe.join(cut, "row", "left").select("doc_id", text.alias("text"), "lang", "source", F.length(text).cast("long").alias("n_chars"))

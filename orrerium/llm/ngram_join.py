@@ -18,7 +18,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orrerium.llm.common import FILTER_BITS, LOWER, NOT_SPACE, Rolling, id_filter, materialise, may_have, mix, partitions, rows_of, text_chunks, trim, words
+from orrerium.llm.common import FILTER_BITS, LOWER, NOT_SPACE, Rolling, id_filter, materialise, may_have, mix, partitions, rows_of, settled, step, text_chunks, trim, words
 from orrerium.llm.components import components, forest
 
 #: Coordinates of a point, points of a node, and the most documents and shingles of a block of a cluster.
@@ -127,25 +127,33 @@ def sketch(docs: DataFrame, n: int, known=None) -> np.ndarray:
 
 
 def keys(row: np.ndarray, g: np.ndarray, size: np.ndarray, name: np.ndarray, level: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key): of each set the rarest shingles, one more than a set as similar may lack; hot ones once for each pair of blocks."""
+    """placed_keys without the places."""
+    return placed_keys(row, g, size, name, level, p, q)[:2]
+
+
+def placed_keys(row: np.ndarray, g: np.ndarray, size: np.ndarray, name: np.ndarray, level: np.ndarray, p: int, q: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, key, place): of each set the rarest shingles, one more than a set as similar may lack, and how many are rarer still; hot
+    ones once for each pair of blocks."""
     cell = level[(g >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
     order = np.lexsort((g, cell, row))
     first = np.cumsum(size) - size
     lead = size - -(-size * p // q) + 1
-    take = order[np.arange(len(order)) - first[row] < lead[row]]
+    place = np.arange(len(order)) - first[row]
+    early = place < lead[row]
+    take, place = order[early], place[early]
     row, g, cell = row[take], g[take], cell[take]
     spare = 2.0 ** (float(np.median(level)) / 8)
     blocks = np.maximum(1, np.ceil((2.0 ** (cell / 8) - spare) / HOT_KEY)).astype(np.int64)
     hot = np.flatnonzero(blocks > 1)
     if not len(hot):
-        return row, g
+        return row, g, place
     times = blocks[hot]
     who = np.repeat(hot, times)
     other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
     mine = (mix(name[row[who]].view(np.uint64)) % blocks[who].astype(np.uint64)).astype(np.int64)
     pair = np.minimum(mine, other) * 1_000_003 + np.maximum(mine, other)
     cold = blocks == 1
-    return np.concatenate([row[cold], row[who]]), np.concatenate([g[cold], mix(g[who] * _ODD + mix(pair.astype(np.uint64)))])
+    return np.concatenate([row[cold], row[who]]), np.concatenate([g[cold], mix(g[who] * _ODD + mix(pair.astype(np.uint64)))]), np.concatenate([place[cold], place[who]])
 
 
 def points(row: np.ndarray, g: np.ndarray, rows: int) -> np.ndarray:
@@ -164,8 +172,8 @@ def unplanes(raw: bytes) -> np.ndarray:
 
 
 def set_keys(docs: DataFrame, n: int, p: int, q: int, level: np.ndarray, buckets: int, ids=None) -> DataFrame:
-    """(bucket, keys, names, points): the keys of the sets of a run of documents, each with its set's name, packed by bucket; in bucket
-    -1 the names of the run's sets with their points."""
+    """(bucket, keys, names, sizes, places, points): the keys of the sets of a run of documents, each with its set's name and size and its
+    place in the set's order, packed by bucket; in bucket -1 the names of the run's sets with their points."""
     known = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,22 +181,23 @@ def set_keys(docs: DataFrame, n: int, p: int, q: int, level: np.ndarray, buckets
 
         def send() -> pa.RecordBatch:
             name, point = (np.concatenate([x[k] for x in held]) for k in (0, 1))
-            mine, key = np.concatenate([x[0][x[2]] for x in held]), np.concatenate([x[3] for x in held])
+            mine, key, size, place = np.concatenate([x[0][x[2]] for x in held]), *(np.concatenate([x[k] for x in held]) for k in (3, 4, 5))
             bucket = (mix(key) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
             full = np.flatnonzero(np.diff(cut)).tolist()
             parts = [order[cut[b] : cut[b + 1]] for b in full]
             cols = [[*(x[at].tobytes() for at in parts), last] for x, last in ((key, b""), (mine, name.tobytes()))]
-            return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), *(pa.array(c, pa.binary()) for c in (*cols, [None] * len(full) + [tight.compress(planes(point))]))], ["bucket", "keys", "names", "points"])
+            cols += [[*(planes(x[at]) for at in parts), None] for x in (size, place)]
+            return pa.RecordBatch.from_arrays([pa.array([*full, -1], pa.int32()), *(pa.array(c, pa.binary()) for c in (*cols, [None] * len(full) + [tight.compress(planes(point))]))], ["bucket", "keys", "names", "sizes", "places", "points"])
 
         for batch in batches:
             for i, j, buf, off in text_chunks(_texts(batch, ids)):
                 row, g = shingles(buf, off, n)
                 size, s1, s2 = class_of(row, g, j - i)
                 name = class_name(size, s1, s2)
-                who, key = keys(row, g, size, name, known.value, p, q)
-                held.append((name, points(row, g, j - i), who, key))
+                who, key, place = placed_keys(row, g, size, name, known.value, p, q)
+                held.append((name, points(row, g, j - i), who, key, size[who], place))
                 n_held += len(key)
                 if n_held >= SENT_KEYS:
                     yield send()
@@ -196,21 +205,44 @@ def set_keys(docs: DataFrame, n: int, p: int, q: int, level: np.ndarray, buckets
         if held:
             yield send()
 
-    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, names binary, points binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "bucket int, keys binary, names binary, sizes binary, places binary, points binary")
+
+
+def _paired(first: np.ndarray, m: np.ndarray, size: np.ndarray, place: np.ndarray, p: int, q: int) -> np.ndarray:
+    """Which entries of runs of equal keys (by size within a run) may be the first that two sets as similar as asked have in common.
+
+    Of a key that few sets have, every pair is tried: sizes, and what both have from the key on, must allow the overlap. Of others,
+    the sets next in size must.
+    """
+    out = np.zeros(len(size), bool)
+    for n in np.unique(m[(m > 1) & (m <= FEW)]).tolist():
+        at = first[m == n][:, None] + np.arange(n)
+        for x, y in zip(*np.triu_indices(n, 1), strict=True):
+            a, b = at[:, x], at[:, y]
+            rest = np.minimum(size[a] - place[a], size[b] - place[b])
+            fit = (size[a] * q >= size[b] * p) & (size[b] * q >= size[a] * p) & (rest * (p + q) >= (size[a] + size[b]) * p)
+            out[a[fit]] = out[b[fit]] = True
+    many = np.repeat(m > FEW, m)
+    run = np.repeat(np.arange(len(m)), m)
+    near = many[1:] & (run[1:] == run[:-1]) & (size[:-1] * q >= size[1:] * p)
+    out[1:] |= near
+    out[:-1] |= near
+    return out
 
 
-def shared(group: pa.Table) -> pa.Table:
-    """bucket, name, keys: the sets of a bucket that have a key in common with another one, with those keys."""
+def shared(group: pa.Table, p: int, q: int) -> pa.Table:
+    """bucket, name, keys: the sets of a bucket that have a key in common with another one that may be as similar as asked, with those keys."""
     trim()
     bucket = group.column("bucket")[0].as_py()
     key, name = (np.frombuffer(b"".join(group.column(c).to_pylist()), kind) for c, kind in (("keys", np.uint64), ("names", np.int64)))
-    order = np.lexsort((name, key))
-    key, name = key[order], name[order]
+    size, place = (np.concatenate([unplanes(x) for x in group.column(c).to_pylist()]) for c in ("sizes", "places"))
+    order = np.lexsort((name, size, key))
+    key, name, size, place = key[order], name[order], size[order], place[order]
     new = np.ones(len(key), bool)
     new[1:] = (key[1:] != key[:-1]) | (name[1:] != name[:-1])
-    key, name = key[new], name[new]
-    same = key[1:] == key[:-1]
-    many = np.append(same, False) | np.append(False, same)
+    key, name, size, place = key[new], name[new], size[new], place[new]
+    first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+    many = _paired(first, np.diff(np.append(first, len(key))), size, place, p, q)
     key, name = key[many], name[many]
     order = np.argsort(name, kind="stable")
     key, name = key[order], name[order]
@@ -373,6 +405,13 @@ def meet(group: pa.Table, p: int, q: int) -> pa.Table:
     return pa.table({"a": pa.array(names[at]), "b": pa.array(names[own[at]])})
 
 
+def _clusters(dealt: DataFrame, p: int, q: int) -> DataFrame:
+    """(id, component) of the sets that keys and bounds leave possible."""
+    common = dealt.where("bucket >= 0").select("bucket", "keys", "names", "sizes", "places").groupBy("bucket").applyInArrow(lambda g: shared(g, p, q), "bucket int, name long, keys binary")
+    met = common.join(_points_of(dealt), "name").groupBy("bucket").applyInArrow(lambda g: meet(g, p, q), "a long, b long")
+    return components(met)
+
+
 def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFrame:
     """Every document with the size of its shingle set and its component of links (q * overlap >= p * union).
 
@@ -391,12 +430,11 @@ def ngram_join(docs: DataFrame, n: int = 3, p: int = 90, q: int = 100) -> DataFr
     known = id_filter(reps.select("rep")) if many <= FILTER_BITS else None
     texts = docs if known else rows_of(docs, reps.select("rep"), "doc_id")
     buckets = max(partitions(docs.sparkSession), -(-size * 6 // BUCKET_BYTES))
-    dealt = materialise(set_keys(texts, n, p, q, sketch(texts, n, known), buckets, known), "keys")
-    common = dealt.where("bucket >= 0").select("bucket", "keys", "names").groupBy("bucket").applyInArrow(shared, "bucket int, name long, keys binary")
-    met = common.join(_points_of(dealt), "name").groupBy("bucket").applyInArrow(lambda g: meet(g, p, q), "a long, b long")
-    cluster = components(met)
-    roots = cluster.select(F.col("component").alias("id"), "component").distinct()
-    members = materialise(cluster.unionByName(roots).select(F.col("id").alias("name"), F.col("component").alias("c")), "clusters")
+    with step() as held:
+        dealt = materialise(set_keys(texts, n, p, q, sketch(texts, n, known), buckets, known), "keys")
+        cluster = _clusters(dealt, p, q)
+        roots = cluster.select(F.col("component").alias("id"), "component").distinct()
+    members = settled(cluster.unionByName(roots).select(F.col("id").alias("name"), F.col("component").alias("c")), "clusters", held)
     found = components(_verified(docs, reps, members, n, p, q))
     named = reps.join(found.withColumnRenamed("id", "name"), "name", "left").withColumn("top", F.coalesce("component", "name"))
     named = materialise(named.select("n_shingles", "s1", "s2", "rep", "top"), "named")

@@ -7,6 +7,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -244,3 +245,36 @@ def test_vectors_of_any_magnitude(spark):
     assert got == want
     none = near_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label string"))
     assert none.count() == 0
+
+
+def test_keys_that_sets_share_by_chance_go_nowhere():
+    """A key sends two sets on only if it can be the first that they share: their sizes, and what is left of both, allow the overlap."""
+
+    def sent(*sets):
+        size, place = (np.array(x) for x in zip(*sets, strict=True))
+        columns = {"keys": np.full(len(sets), 7, np.uint64).tobytes(), "names": np.arange(len(sets)).tobytes(), "sizes": ngram_join.planes(size), "places": ngram_join.planes(place)}
+        return sorted(ngram_join.shared(pa.table({"bucket": pa.array([0], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()}}), 80, 100).column("name").to_pylist())
+
+    assert sent((100, 3), (100, 11)) == [0, 1]
+    assert sent((100, 3), (100, 12)) == sent((100, 0), (79, 0)) == sent((100, 0)) == []
+    assert sent((100, 0), (60, 0), (81, 0)) == [0, 2]
+    assert sent(*[(100, 20)] * 20, (70, 0)) == list(range(20))
+
+
+def test_first_shared_keys_of_similar_sets_are_sent():
+    rng = np.random.default_rng(1)
+    level = rng.integers(0, 40, 1 << ngram_join.SKETCH_BITS).astype(np.uint8)
+    for k in range(200):
+        p, size = (90, 80)[k % 2], int(rng.integers(1, 200))
+        fresh = rng.integers(0, 2**63, 2 * size).astype(np.uint64) * np.uint64(2)
+        differ = int(size * (100 - p) / (100 + p))
+        a, b = fresh[:size], np.concatenate([fresh[differ // 2 : size], fresh[size : size + differ - differ // 2]])
+        both = len(np.intersect1d(a, b))
+        if 100 * both < p * (len(a) + len(b) - both):
+            continue
+        sizes, names = np.array([len(a), len(b)]), np.array([5, 6])
+        who, key, place = ngram_join.placed_keys(np.repeat([0, 1], sizes), np.concatenate([a, b]), sizes, names, level, p, 100)
+        columns = {"keys": key.tobytes(), "names": names[who].tobytes(), "sizes": ngram_join.planes(sizes[who]), "places": ngram_join.planes(place)}
+        got = ngram_join.shared(pa.table({"bucket": pa.array([0], pa.int32()), **{c: pa.array([x], pa.binary()) for c, x in columns.items()}}), p, 100)
+        held = [set(np.frombuffer(x, np.uint64).tolist()) for x in got.column("keys").to_pylist()]
+        assert len(held) == 2 and held[0] & held[1]
