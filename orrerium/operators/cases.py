@@ -95,10 +95,11 @@ def _spread(parts: Sequence[Column]) -> Column:
     return F.when(F.size(known) > 0, F.aggregate(known, start, add, lambda a: F.sqrt(a["m2"] / a["n"])))
 
 
-def stability(deficits: DataFrame, anchors: DataFrame, regions: DataFrame) -> DataFrame:
+def stability(deficits: DataFrame, anchors: DataFrame, regions: DataFrame, every: bool = False) -> DataFrame:
     """One row an anchor and node: its recomputed deficit by radius, their statistics and class, with the anchor's and the region's columns.
 
-    Of repeated rows of one radius the least value counts, of repeated anchors and regions the least row.
+    Of repeated rows of one radius the least value counts, of repeated anchors and regions the least row; with `every`, each row of
+    an anchor has a row of its own.
     """
     wide = deficits.groupBy(*ANCHOR).agg(*[F.min(F.when(F.col("radius_type") == r, F.col("delta_rel_neighbors_recomputed"))).alias(c) for r, c in RADII.items()])
     parts = [F.col(c) for c in RADII.values()]
@@ -123,7 +124,8 @@ def stability(deficits: DataFrame, anchors: DataFrame, regions: DataFrame) -> Da
     })
     beside = [c for c in ("ATI", "TOI", "r3_imputation_score", "anchor_representativeness", "deficit_class", "expected_incompleteness_direction", "discoverymethod", "disc_year", "disc_facility") if c in anchors.columns]
     around = [c for c in ("n_members", "shadow_score", "I_R3", "C_phys", "S_net", "top_method") if c in regions.columns]
-    return _with(_with(out, anchors, ANCHOR, beside), regions, ("node_id",), around)
+    own = out.join(anchors.select(*ANCHOR, *beside), list(ANCHOR), "left") if every else _with(out, anchors, ANCHOR, beside)
+    return _with(own, regions, ("node_id",), around)
 
 
 def _with(left: DataFrame, right: DataFrame, keys: Sequence[str], columns: Sequence[str]) -> DataFrame:

@@ -29,6 +29,13 @@ def test_stability_is_that_of_sql_where_nothing_was_expected(spark, tmp_path, na
     assert got == want
 
 
+def test_stability_has_a_row_for_each_row_of_an_anchor(spark, tmp_path):
+    """Beyond 67,900 parts anchors repeat; these are two turns of a few of them."""
+    part = PART.replace("range(1, 20001)", "(SELECT range + 67900 * turn AS range FROM range(1, 301), (VALUES (0), (1)) AS t(turn))")
+    got, want = against_sql(spark, "deficit_stability", {"part": part}, tmp_path)
+    assert got == want and len(got) == 600
+
+
 def members(spark, seed, n, nodes):
     """Members of a cloud, a third of them copies of others, in overlapping nodes side by side."""
     rng = np.random.default_rng(seed)
