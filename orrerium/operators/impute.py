@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from orrerium.functions import physics
 from orrerium.functions.numeric import average_rank, clip, safe_log10, to_numeric
+from orrerium.functions.stats import exact_quantiles
 from orrerium.sources.tables import written
 
 #: Features whose logarithm is modelled; bounds that imputed values keep; parts of names that are no measurements.
@@ -98,6 +99,14 @@ def robust_stats(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.agg(*out)
 
 
+def robust_row(df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """robust_stats, worked out once and by no task that holds a feature's values."""
+    cells = []
+    for f, (lo, middle, hi) in exact_quantiles(df.select(*[to_numeric(f).alias(f) for f in features]), {f: [0.25, 0.5, 0.75] for f in features}).items():
+        cells += [(f"{f}_center", middle), (f"{f}_scale", hi - lo if middle is not None and hi > lo else 1.0)]
+    return df.sparkSession.createDataFrame([tuple(v for _, v in cells)], ", ".join(f"`{c}` double" for c, _ in cells))
+
+
 def robust_scale(df: DataFrame, features: Sequence[str], stats: DataFrame | None = None) -> DataFrame:
     """(x - median) / IQR of each feature; null stays null. The statistics are one row."""
     stats = stats if stats is not None else robust_stats(df, features)
@@ -238,22 +247,139 @@ class Evidence:
         self.covariance = (vectors / (alpha * values + weight)) @ vectors.T
 
 
+#: Most sets of holes whose sums the driver holds; tables with more are filled row by row, a table a round.
+PATTERNS = 4096
+
+
 def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tolerance: float = 1e-3, spread: bool = False) -> DataFrame:
     """Chained Bayesian ridge regressions: each feature on all others, fewest missing first, from medians until cells move less.
 
-    A regression aggregates one matrix of sums of the completed table (features squared numbers to the driver), from which its
-    evidence is worked out without another pass, and is applied as an expression over the previous round's table. Columns
-    without any value stay null. With `spread`, <feature>_spread is the posterior deviation of a filled cell, null elsewhere.
+    Filled cells of rows that lack the same features are one linear function of what those rows have, in every round. So one pass sums
+    products by set of holes, from which all rounds are worked out, and the last functions are applied to the table. How far cells
+    move lies between bounds from the same sums; only where these leave open whether a round was the last, a pass measures it.
+    Columns without any value stay null. With `spread`, <feature>_spread is the posterior deviation of a filled cell, null elsewhere.
     """
     features = list(features)
-    gone = {f: f"_gone_{f}" for f in features}
-    work = df.withColumns({gone[f]: F.col(f).isNull() for f in features})
-    seen = work.agg(*[F.count_if(gone[f]).alias(f) for f in features], *[F.max(F.abs(f)).alias(f"_{f}") for f in features]).first().asDict()
+    work = df.withColumns({f: to_numeric(f) for f in features})
+    seen = work.agg(*[F.count_if(F.col(f).isNull()).alias(f) for f in features], *[F.max(F.abs(f)).alias(f"_{f}") for f in features]).first().asDict()
     used = [f for f in features if seen[f"_{f}"] is not None]
+    middle = [m[0] for m in exact_quantiles(work, {f: [0.5] for f in used}).values()]
     limit = tolerance * max((seen[f"_{f}"] for f in used), default=0.0)
-    work = median_fill(work, used)
     order = [f for f in sorted(used, key=lambda f: seen[f]) if seen[f]]
     wide = {f"{f}_spread": F.lit(None).cast("double") for f in features} if spread else {}
+    if not order:
+        return work.withColumns(wide).select(*df.columns, *wide) if wide else work
+    sums = _pattern_sums(work, used, middle) if len(used) < 63 else None
+    if sums is None:
+        return _iterative_by_rows(work, used, order, rounds, limit, wide).select(*df.columns, *wide)
+    for _ in range(rounds):
+        before = sums.rows.copy()
+        if not any([sums.regress(used.index(f), spread) for f in order]):
+            break
+        least, most = sums.moved(before)
+        if least < limit <= most:
+            steps = {f"_{f}": _linear(sums, used.index(f), "_b") for f in order}
+            least = max((x or 0.0) for x in sums.joined(work, sums.rows - before).agg(*[F.max(F.abs(v)).alias(n) for n, v in steps.items()]).first())
+        if least < limit:
+            break
+    out = sums.joined(work, sums.rows)
+    new = {f: F.when(F.col(f).isNull(), F.lit(sums.middle[used.index(f)]) + _linear(sums, used.index(f), "_b")).otherwise(F.col(f)) for f in order}
+    if spread:
+        new |= wide | {f"{f}_spread": F.when(F.col(f).isNull(), _deviation(sums, used.index(f))) for f in order if used.index(f) in sums.variances}
+    return out.withColumns(new).select(*df.columns, *wide)
+
+
+class PatternSums:
+    """Sums of products of (1, features less their middles, 0 where missing) by set of holes, and the filled cells' linear functions of them."""
+
+    def __init__(self, used: list[str], middle: list[float], masks: np.ndarray, sums: np.ndarray, low: np.ndarray, high: np.ndarray):
+        self.used, self.middle, self.masks, self.sums, self.low, self.high = used, middle, masks, sums, low, high
+        m = len(used) + 1
+        self.gone = (masks[:, None] >> np.arange(m - 1)) & 1 == 1
+        self.rows = np.where(self.gone[:, :, None], 0.0, np.eye(m)[1:])
+        self.variances: dict[int, np.ndarray] = {}
+
+    def regress(self, j: int, spread: bool) -> bool:
+        """Feature j on all others, over the rows that have it; whether there was something to fit."""
+        others = [i for i in range(len(self.used)) if i != j]
+        there = ~self.gone[:, j]
+        n = self.sums[there, 0, 0].sum()
+        if not others or n < 2:
+            return False
+        one = np.zeros((len(self.rows), 1, self.rows.shape[2]))
+        one[:, 0, 0] = 1.0
+        terms = np.concatenate([one, self.rows[:, [*others, j]]], 1)
+        whole = (terms[there] @ self.sums[there] @ terms[there].transpose(0, 2, 1)).sum(0)
+        mean = whole[0] / n
+        centred = whole - n * np.outer(mean, mean)
+        found = Evidence(centred[1:-1, 1:-1], centred[1:-1, -1], centred[-1, -1], n)
+        away = terms[:, 1:-1] - mean[1:-1, None] * one
+        self.rows[:, j] = np.where(there[:, None], self.rows[:, j], found.coef @ away + mean[-1] * one[:, 0])
+        if spread:
+            square = away.transpose(0, 2, 1) @ found.covariance @ away
+            square[:, 0, 0] += 1.0 / found.alpha
+            self.variances[j] = square
+        return True
+
+    def moved(self, before: np.ndarray) -> tuple[float, float]:
+        """Bounds of the farthest that a filled cell moved: the largest root mean square of a pattern, and what its range of values allows."""
+        step = np.where(self.gone[:, :, None], self.rows - before, 0.0)
+        square = np.einsum("pfi,pij,pfj->pf", step, self.sums, step) / self.sums[:, :1, 0]
+        low, high = (np.concatenate([np.ones((len(x), 1)), x], 1)[:, None] for x in (self.low, self.high))
+        ends = np.abs([np.minimum(step * low, step * high).sum(2), np.maximum(step * low, step * high).sum(2)])
+        return float(np.sqrt(np.maximum(square, 0).max())) * (1 - 1e-6), float(ends.max()) * (1 + 1e-6)
+
+    def joined(self, work: DataFrame, rows: np.ndarray) -> DataFrame:
+        """The table with _b, the coefficients of each row's pattern (and _v, those of the variances)."""
+        square = [np.concatenate([self.variances[j][p].ravel() for j in sorted(self.variances)]).tolist() if self.variances else [] for p in range(len(rows))]
+        table = work.sparkSession.createDataFrame([(int(k), r.ravel().tolist(), v) for k, r, v in zip(self.masks, rows, square, strict=True)], "_p long, _b array<double>, _v array<double>")
+        return work.withColumn("_p", _pattern(self.used)).join(F.broadcast(table), "_p")
+
+    def terms(self) -> list[Column]:
+        return _centred(self.used, self.middle)
+
+
+def _pattern(used: Sequence[str]) -> Column:
+    """The set of a row's holes as bits."""
+    return sum((F.when(F.col(f).isNull(), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, f in enumerate(used)), F.lit(0).cast("long"))
+
+
+def _centred(used: Sequence[str], middle: Sequence[float]) -> list[Column]:
+    return [F.lit(1.0), *[F.coalesce(F.col(f) - F.lit(float(m)), F.lit(0.0)) for f, m in zip(used, middle, strict=True)]]
+
+
+def _pattern_sums(work: DataFrame, used: list[str], middle: list[float]) -> PatternSums | None:
+    """Sums by set of holes, in one pass; none if there are too many sets."""
+    z, m = _centred(used, middle), len(used) + 1
+    pairs = [(i, j) for i in range(m) for j in range(i, m)]
+    ends = [f(F.col(c) - F.lit(float(v))).alias(f"{n}{i}") for i, (c, v) in enumerate(zip(used, middle, strict=True)) for n, f in (("lo", F.min), ("hi", F.max))]
+    got = work.groupBy(_pattern(used).alias("_p")).agg(*[F.sum(z[i] * z[j]).alias(f"g{i}_{j}") for i, j in pairs], *ends).limit(PATTERNS + 1).collect()
+    if len(got) > PATTERNS:
+        return None
+    sums = np.zeros((len(got), m, m))
+    for i, j in pairs:
+        sums[:, i, j] = sums[:, j, i] = [r[f"g{i}_{j}"] for r in got]
+    low, high = (np.array([[r[f"{n}{i}"] or 0.0 for i in range(m - 1)] for r in got]) for n in ("lo", "hi"))
+    return PatternSums(used, middle, np.array([r["_p"] for r in got], np.int64), sums, low, high)
+
+
+def _linear(sums: PatternSums, j: int, column: str) -> Column:
+    """The function of feature j, of the coefficients in a column."""
+    z = sums.terms()
+    return sum((F.get(F.col(column), F.lit(j * len(z) + i)) * t for i, t in enumerate(z)), F.lit(0.0))
+
+
+def _deviation(sums: PatternSums, j: int) -> Column:
+    z = sums.terms()
+    start = sorted(sums.variances).index(j) * len(z) ** 2
+    return F.sqrt(sum((F.get("_v", F.lit(start + a * len(z) + b)) * z[a] * z[b] for a in range(len(z)) for b in range(len(z))), F.lit(0.0)))
+
+
+def _iterative_by_rows(work: DataFrame, used: list[str], order: list[str], rounds: int, limit: float, wide: dict[str, Column]) -> DataFrame:
+    """The same for tables of very many sets of holes: a regression aggregates one matrix of sums of the completed table, and is applied
+    as an expression over the previous round's."""
+    gone = {f: f"_gone_{f}" for f in used}
+    work = median_fill(work.withColumns({gone[f]: F.col(f).isNull() for f in used}), used)
     work = work.withColumns(wide) if wide else work
     for _ in range(rounds):
         moves = []
@@ -272,7 +398,7 @@ def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tol
             away = [F.col(c) - float(v) for c, v in zip(others, mean[1:-1], strict=True)]
             value = sum((float(b) * t for b, t in zip(found.coef, away, strict=True)), F.lit(float(mean[-1])))
             new = {"_new": F.when(F.col(gone[f]), value).otherwise(F.col(f))}
-            if spread:
+            if wide:
                 var = sum((float(found.covariance[i, j]) * away[i] * away[j] for i in range(len(away)) for j in range(len(away))), F.lit(1.0 / found.alpha))
                 new[f"{f}_spread"] = F.when(F.col(gone[f]), F.sqrt(var))
             work = work.withColumns(new).withColumn(f"_move_{f}", F.abs(F.col("_new") - F.col(f)))
@@ -286,7 +412,7 @@ def iterative_fill(df: DataFrame, features: Sequence[str], rounds: int = 20, tol
         work = work.drop(*moves)
         if moved < limit:
             break
-    return work.select(*df.columns, *wide)
+    return work
 
 
 FILLS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {"median": median_fill, "knn": knn_fill, "iterative": iterative_fill, "complete_case": lambda df, features: df.dropna(subset=list(features)), "raw": lambda df, features: df}
@@ -298,14 +424,17 @@ def impute(df: DataFrame, features: Sequence[str], method: str = "median", log_f
         raise ValueError(f"unknown method {method!r}; known: {', '.join(FILLS)}")
     logs = [f for f in features if f in log_features]
     base = with_provenance(df, features)
-    model = log_transform(base.select(id_column, *features), logs)
-    stats = robust_stats(model, features)
+    model = log_transform(base.select(id_column, *features) if method == "knn" else base.withColumns({f"_own_{f}": F.col(f) for f in features}), logs)
+    stats = robust_row(model, features)
     filled = invert_robust_scale(FILLS[method](robust_scale(model, features, stats), features), features, stats)
     filled = bounded(filled.withColumns({f: F.greatest(F.pow(F.lit(10.0), F.col(f)), F.lit(FLOOR)) if f in logs else F.col(f) for f in features}), {f: b for f, b in BOUNDS.items() if f in features})
-    out = base.join(filled.select(id_column, *[F.col(f).alias(f"_{f}") for f in features]), id_column, "inner" if method == "complete_case" else "left")
-    new = {f: F.col(f).isNull() & F.col(f"_{f}").isNotNull() for f in features}
-    out = out.withColumns({f"{f}_source": F.when(new[f], f"imputed_{method}").otherwise(F.col(f"{f}_source")) for f in features}).withColumns({f: F.coalesce(f, f"_{f}") for f in features})
-    return with_flags(out.drop(*[f"_{f}" for f in features]), features)
+    if method == "knn":  # its tasks hold the features alone
+        out = base.withColumnsRenamed({f: f"_own_{f}" for f in features}).join(filled, id_column, "left")
+    else:
+        out = filled
+    new = {f: F.col(f"_own_{f}").isNull() & F.col(f).isNotNull() for f in features}
+    out = out.withColumns({f"{f}_source": F.when(new[f], f"imputed_{method}").otherwise(F.col(f"{f}_source")) for f in features}).withColumns({f: F.coalesce(f"_own_{f}", f) for f in features})
+    return with_flags(out.select(*base.columns), features)
 
 
 def imputed_cells(df: DataFrame, features: Sequence[str], id_column: str = "row_index") -> DataFrame:
