@@ -474,44 +474,57 @@ def _all_known(features: Sequence[str]) -> Column:
     return out
 
 
+def _hash(feature: str, seed: int, id_column: str) -> Column:
+    return F.xxhash64(F.lit(seed), F.col(id_column), F.lit(feature)).cast("double")
+
+
+def _hidden(df: DataFrame, features: Sequence[str], share: float, seed: int, id_column: str) -> dict[str, Column]:
+    """By feature, whether a row's cell is to be hidden: at most the quantile of the hashes of its observed cells."""
+    cuts = exact_quantiles(df.select(*[F.when(F.col(f).isNotNull(), _hash(f, seed, id_column)).alias(f) for f in features]), {f: [share] for f in features})
+    return {f: F.col(f).isNotNull() & (_hash(f, seed, id_column) <= F.lit(cuts[f][0])) if cuts[f][0] is not None else F.lit(False) for f in features}
+
+
 def masks(df: DataFrame, features: Sequence[str], share: float = 0.15, seed: int = 42, id_column: str = "row_index") -> DataFrame:
     """(id, feature): of each feature's observed cells the given share, rounded up, in order of a seeded hash.
 
     The cut is a quantile of the hashes: no window over all cells of a feature.
     """
-    rows = [F.struct(F.lit(f).alias("feature"), F.col(f).alias("value")) for f in features]
-    long = df.select(id_column, F.explode(F.array(*rows)).alias("r")).select(id_column, "r.*").where("value is not null").withColumn("h", F.xxhash64(F.lit(seed), F.col(id_column), F.col("feature")))
-    cut = long.groupBy("feature").agg(F.percentile(F.col("h").cast("double"), share).alias("cut"))
-    return long.join(F.broadcast(cut), "feature").where(F.col("h").cast("double") <= F.col("cut")).select(id_column, "feature")
+    chosen = F.array(*[F.when(h, F.lit(f)) for f, h in _hidden(df, features, share, seed, id_column).items()])
+    return df.select(id_column, F.explode(F.array_compact(chosen)).alias("feature"))
 
 
 def masked_validation(df: DataFrame, features: Sequence[str], method: str, share: float = 0.15, seed: int = 42, id_column: str = "row_index") -> DataFrame:
-    """Hide cells, fill them, compare: method, feature and errors."""
-    hidden = masks(df, features, share, seed, id_column)
-    wide = hidden.groupBy(id_column).agg(F.collect_set("feature").alias("_hidden"))
-    blind = df.join(wide, id_column, "left").withColumns({f: F.when(~F.coalesce(F.array_contains("_hidden", F.lit(f)), F.lit(False)), F.col(f)) for f in features}).drop("_hidden")
+    """Hide cells, fill them, compare: method, feature and errors. Hidden values go along with their rows."""
+    hidden = _hidden(df, features, share, seed, id_column)
+    blind = df.withColumns({f"_true_{f}": F.when(h, to_numeric(f)) for f, h in hidden.items()}).withColumns({f: F.when(F.col(f"_true_{f}").isNull(), F.col(f)) for f in features})
     filled = impute(blind, features, method, id_column=id_column)
+    cells = F.array(*[F.when(F.col(f"_true_{f}").isNotNull() & F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), F.col(f"_true_{f}").alias("truth"), F.col(f).alias("guess"))) for f in features])
+    pairs = written(filled.select(F.explode(F.array_compact(cells)).alias("r")).select("r.*"), "masked")
+    far = F.abs(F.col("guess") - F.col("truth"))
+    medians = exact_quantiles(pairs.select(*[F.when(F.col("feature") == f, far).alias(f) for f in features]), {f: [0.5] for f in features})
+    table = df.sparkSession.createDataFrame([(f, m[0]) for f, m in medians.items()], "feature string, median_error double")
+    return errors(pairs, ["feature"], table).withColumn("method", F.lit(method))
 
-    def long(d: DataFrame, name: str) -> DataFrame:
-        return d.select(id_column, F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).alias(name)) for f in features])).alias("r")).select(id_column, "r.*")
-
-    pairs = hidden.join(long(df, "truth"), [id_column, "feature"]).join(long(filled, "guess"), [id_column, "feature"]).where("truth is not null and guess is not null")
-    return errors(pairs, ["feature"]).withColumn("method", F.lit(method))
 
+def errors(pairs: DataFrame, keys: list[str], medians: DataFrame | None = None) -> DataFrame:
+    """mae, rmse, median error, mape (only if no truth is 0), log errors (positive pairs) of truth and guess by group.
 
-def errors(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """mae, rmse, median error, mape (only if no truth is 0), log errors (positive pairs) of truth and guess by group."""
+    medians: keys and median_error, where they are known already.
+    """
     e = F.col("guess") - F.col("truth")
     le = safe_log10("guess") - safe_log10("truth")
-    return pairs.groupBy(*keys).agg(
+    out = pairs.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n"),
         F.avg(F.abs(e)).alias("mae"),
         F.sqrt(F.avg(e * e)).alias("rmse"),
-        F.median(F.abs(e)).alias("median_error"),
+        *([F.median(F.abs(e)).alias("median_error")] if medians is None else []),
         F.when(F.min(F.abs("truth")) > 1e-12, F.avg(F.try_divide(F.abs(e), F.abs("truth")))).alias("mape"),
         F.avg(F.abs(le)).alias("log_mae"),
         F.sqrt(F.avg(le * le)).alias("log_rmse"),
     )
+    if medians is None:
+        return out
+    return out.join(F.broadcast(medians), keys).select(*keys, "n", "mae", "rmse", "median_error", "mape", "log_mae", "log_rmse")
 
 
 def method_ranks(metrics: DataFrame, by: str = "mae") -> DataFrame:

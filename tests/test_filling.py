@@ -38,3 +38,14 @@ def test_quantiles_are_exact_without_a_map_of_all_values(spark):
     ps = [0.0, 0.15, 0.25, 0.5, 0.6123, 0.75, 1.0]
     got = exact_quantiles(df, {"x": ps, "gone": [0.5], "two": [0.5]})
     assert got["x"] == pytest.approx(np.quantile(x, ps).tolist(), rel=1e-12) and got["gone"] == [None] and got["two"] == [np.quantile((x > 0).astype(float), 0.5)]
+
+
+def test_masked_validation_doesn_t_join_cells(spark, monkeypatch):
+    df = _holes(spark)
+    hidden = {(r.row_index, r.feature) for r in impute.masks(df, ["a", "b", "c"]).collect()}
+    known = {f: df.where(f"{f} is not null").count() for f in "abc"}
+    assert all(sum(f == g for _, g in hidden) == int(0.15 * (known[f] - 1)) + 1 for f in "abc")
+    # An id that stands twice once multiplied its pairs.
+    twice = df.unionByName(df.where("row_index = 7 or row_index = 8"))
+    assert impute.masked_validation(twice, ["a", "b", "c"], "median").agg({"n": "sum"}).first()[0] == impute.masks(twice, ["a", "b", "c"]).count()
+    assert {r.feature: r.n for r in impute.masked_validation(df, ["a", "b", "c"], "median").collect()} == {f: sum(g == f for _, g in hidden) for f in "abc"}
