@@ -186,9 +186,18 @@ def by_config(df: DataFrame, config_id: str) -> DataFrame:
     return df if mine.isEmpty() else mine
 
 
+def _graph_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Graph documents: one a file, or by a .jsonl path one a line, whose nodes and links add up."""
+    return spark.read.schema(schema).option("multiLine", not in_lines(path)).json(path)
+
+
+def in_lines(path: str) -> bool:
+    return re.sub(r"[/*]+$", "", path).rpartition(".")[2].lower() in ("jsonl", "ndjson")
+
+
 def graph_members(spark: SparkSession, path: str, config_id: str | None = None) -> DataFrame:
     """Membership of a graph JSON {nodes: {id: [position]}, sample_id_lookup: [id]}: config_id, node_id, row_index."""
-    rows = spark.read.schema("nodes map<string,array<long>>, sample_id_lookup array<long>").option("multiLine", True).json(path)
+    rows = _graph_rows(spark, path, "nodes map<string,array<long>>, sample_id_lookup array<long>")
     rows = rows.select(F.explode("nodes").alias("node_id", "at"), "sample_id_lookup").withColumn("at", F.explode("at"))
     row = F.when(F.col("sample_id_lookup").isNull(), F.col("at")).otherwise(F.try_element_at("sample_id_lookup", (F.col("at") + 1).cast("int")))
     return rows.select(F.lit(config_id).alias("config_id"), "node_id", row.alias("row_index")).where("row_index is not null")
@@ -196,7 +205,7 @@ def graph_members(spark: SparkSession, path: str, config_id: str | None = None)
 
 def graph_edges(spark: SparkSession, path: str, config_id: str | None = None) -> DataFrame:
     """Undirected edges of a graph JSON's links, each once, no loops."""
-    rows = spark.read.schema("links map<string,array<string>>").option("multiLine", True).json(path).select(F.explode("links").alias("a", "bs")).withColumn("b", F.explode("bs"))
+    rows = _graph_rows(spark, path, "links map<string,array<string>>").select(F.explode("links").alias("a", "bs")).withColumn("b", F.explode("bs"))
     return rows.where("a <> b").select(F.lit(config_id).alias("config_id"), F.least("a", "b").alias("source"), F.greatest("a", "b").alias("target")).distinct()
 
 
@@ -214,6 +223,19 @@ def graph_json(membership: DataFrame, edges: DataFrame) -> DataFrame:
     return nodes.join(links, "config_id", "left").select("config_id", F.to_json(F.struct("nodes", "links")).alias("json"))
 
 
+def graph_lines(membership: DataFrame, edges: DataFrame, most: int = 10_000) -> DataFrame:
+    """The documents of graph_json in pieces, for graphs of any size: config_id, json; to be written as .jsonl.
+
+    A piece has one node with about `most` of its members, or one node's links; no task holds a node.
+    """
+    n = membership.groupBy("config_id", "node_id").agg(F.ceil(F.count(F.lit(1)) / most).alias("pieces"))  # follows the cover
+    dealt = membership.join(F.broadcast(n), ["config_id", "node_id"]).withColumn("piece", F.pmod(F.xxhash64("row_index"), F.col("pieces")))
+    nodes = dealt.groupBy("config_id", "node_id", "piece").agg(F.array_sort(F.collect_set("row_index")).alias("m")).select("config_id", F.to_json(F.struct(F.create_map("node_id", "m").alias("nodes"))).alias("json"))
+    both = edges.select("config_id", "source", "target").unionByName(edges.select("config_id", F.col("target").alias("source"), F.col("source").alias("target")))
+    links = both.groupBy("config_id", "source").agg(F.array_sort(F.collect_set("target")).alias("t")).select("config_id", F.to_json(F.struct(F.create_map("source", "t").alias("links"))).alias("json"))
+    return nodes.unionByName(links)
+
+
 def write(df: DataFrame, path: str, kind: str = "parquet", partition_by: Sequence[str] = (), mode: str = "overwrite") -> None:
     """A table sink: parquet, csv (with header) or json (a document a line, to be read as .jsonl)."""
     writer = df.write.mode(mode).partitionBy(*partition_by) if partition_by else df.write.mode(mode)
