@@ -9,24 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orrerium.operators.graph import graph_metrics
-from orrerium.sources.tables import NODE_NAMES, exists, member_lists, read_table, standardise, written
+from orrerium.sources.tables import NODE_NAMES, exists, in_lines, member_lists, read_table, standardise, written
 
 _GRAPH = "nodes map<string,array<long>>, links map<string,array<string>>, sample_id_lookup array<long>, _bad string"
 
 
 def graph_files(spark: SparkSession, pattern: str) -> DataFrame:
     """path, config_id, nodes, links, lookup, error: every graph file of a pattern, one scan, a row each; damaged files are rows with
-    an error. The configuration is in the file's name (graph_<id>.json) or folder (config_id=<id>)."""
+    an error. The configuration is in the file's name (graph_<id>.json) or folder (config_id=<id>).
+
+    By a .jsonl pattern lines are pieces of graphs (tables.graph_lines), a row each: a piece may have links alone, whose nodes aren't checked here.
+    """
+    whole = not in_lines(pattern)
     path = F.col("_metadata.file_path")
     name = F.coalesce(*[F.nullif(F.regexp_extract(path, p, 1), F.lit("")) for p in (r"graph_([^/]+)\.json$", r"config_id=([^/]+)/")])
-    rows = spark.read.text(pattern, wholetext=True).select(path.alias("path"), name.alias("config_id"), "value")
+    rows = spark.read.text(pattern, wholetext=whole).select(path.alias("path"), name.alias("config_id"), "value")
     g = F.from_json("value", _GRAPH, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"})
     rows = rows.withColumn("g", g).withColumn("json", F.get_json_object("value", "$").isNotNull()).select("path", "config_id", "json", "g.nodes", F.coalesce("g.links", F.create_map().cast("map<string,array<string>>")).alias("links"), F.col("g.sample_id_lookup").alias("lookup"), F.col("g._bad").alias("bad"))
     at = F.flatten(F.map_values("nodes"))
-    outside = F.exists(at, lambda x: x.isNull() | (x < 0) | F.coalesce(x >= F.size("lookup"), F.lit(False)))
+    # No column of the document within a lambda: it would be parsed once for each position.
+    outside = F.exists(at, lambda x: x.isNull()) | F.coalesce(F.array_min(at) < 0, F.lit(False)) | F.coalesce(F.array_max(at) >= F.size("lookup"), F.lit(False))
     named = F.array_distinct(F.concat(F.map_keys("links"), F.flatten(F.map_values("links"))))
     stray = F.size(F.array_except(named, F.map_keys("nodes"))) > 0
-    error = F.when(~F.col("json"), "unreadable JSON").when(F.col("nodes").isNull(), "no nodes").when(F.col("bad").isNotNull(), "nodes, links or lookup of another shape").when(outside, "position out of bounds").when(stray, "link to an unknown node")
+    error = F.when(~F.col("json"), "unreadable JSON").when(F.col("nodes").isNull() & (F.lit(whole) | (F.size("links") == 0)), "no nodes").when(F.col("bad").isNotNull(), "nodes, links or lookup of another shape").when(outside, "position out of bounds").when(F.lit(whole) & stray, "link to an unknown node")
     return rows.withColumn("error", error).select("path", "config_id", "nodes", "links", "lookup", "error")
 
 
@@ -74,6 +79,11 @@ def _read(spark: SparkSession, source: MemberSource, config_id: str) -> DataFram
         wrong = files.where("error is not null").select("path", "error").first()
         if wrong:
             raise ValueError(f"membership cannot be recovered from {wrong.path}: {wrong.error}")
+        if in_lines(source.path):
+            named = files.select(F.explode("links").alias("a", "bs")).select(F.explode(F.concat(F.array("a"), "bs")).alias("node")).distinct()
+            lost = named.join(files.select(F.explode(F.map_keys("nodes")).alias("node")).distinct(), "node", "left_anti").first()
+            if lost:
+                raise ValueError(f"membership cannot be recovered from {source.path}: link to an unknown node")
         return _members(files).select(F.lit(config_id).alias("config_id"), "node_id", "row_index")
     df = standardise(read_table(spark, source.path), {"node_id": NODE_NAMES})
     if "config_id" in df.columns:
