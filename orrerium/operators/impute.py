@@ -6,16 +6,19 @@ f_was_missing, f_was_observed, f_was_physically_derived and f_was_imputed.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+import functools
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType
 
 from orrerium.functions import physics
 from orrerium.functions.numeric import average_rank, clip, safe_log10, to_numeric
 from orrerium.functions.stats import exact_quantiles
+from orrerium.operators.knn import nearest_in_boxes
 from orrerium.sources.tables import written
 
 #: Features whose logarithm is modelled; bounds that imputed values keep; parts of names that are no measurements.
@@ -137,22 +140,101 @@ def median_fill(df: DataFrame, features: Sequence[str]) -> DataFrame:
     return df.join(F.broadcast(stats), how="cross").withColumns({f: F.coalesce(to_numeric(f), F.col(f"_{f}")) for f in features}).drop(*stats.columns)
 
 
+#: What finding a row's donors in boxes costs, in distances of a scan.
+SEARCH = 2_000
+
+
 def knn_fill(df: DataFrame, features: Sequence[str], k: int = 7, block: int = 200_000, id_column: str = "row_index") -> DataFrame:
-    """Missing cells as the inverse-distance mean of the k nearest rows that have the value.
+    """Missing cells as the inverse-distance mean of the k nearest rows that have the value, equal distances by value.
 
-    Distances are over shared coordinates, scaled up for missing ones. Every row is a donor: they are dealt into blocks by a hash of
-    the id, one block is broadcast at a time, and each missing cell keeps the nearest k so far. What a task holds is a block and a
-    batch; the work is the product of rows with holes and of donors, as exact neighbours under missing coordinates ask for.
+    Distances are over shared coordinates, scaled up for missing ones. Every row is a donor. Which coordinates are shared follows from
+    the sets of holes of both rows: for each that occurs, nearest donors are found in boxes (knn.nearest_in_boxes). Few rows, and rows of
+    very many sets of holes, meet all donors instead, a broadcast block of them at a time, and each cell keeps the nearest k so far.
     """
     features = list(features)
-    have = df.where(" or ".join(f"`{f}` is not null" for f in features)).select(id_column, *features)
+    rows = df.withColumns({f: F.nanvl(F.col(f).cast("double"), F.lit(None).cast("double")) for f in features})
+    kinds = {r[0]: r[1] for r in rows.groupBy(_pattern(features).alias("_p")).count().limit(PATTERNS + 1).collect()} if len(features) < 63 else {}
+    if kinds and len(kinds) <= PATTERNS:
+        every = (1 << len(features)) - 1
+        holes, donors = (sum(n for p, n in kinds.items() if p != e) for e in (0, every))
+        holes -= kinds.get(every, 0)
+        most = holes * donors // SEARCH if SEARCH else None
+        units = _shared(kinds, len(features), most)
+        if units is not None:
+            return _fill_by_boxes(rows, features, k, units).select(*df.columns)
+    return _fill_by_scan(rows, features, k, block, id_column)
+
+
+def _shared(kinds: Mapping[int, int], f: int, most: int | None) -> list[tuple[int, int, int, int]] | None:
+    """(holes of a row, feature, shared coordinates, holes of its donors) that occur; none if donors would be copied more than `most` times."""
+    every, units, copies = (1 << f) - 1, [], 0
+    for p in kinds:
+        for r in kinds:
+            s = every & ~p & ~r
+            for j in (j for j in range(f) if s and p >> j & 1 and not r >> j & 1):
+                units.append((p, j, s, r))
+                copies += kinds[r] + kinds[p]
+        if most is not None and copies > most:
+            return None
+    return units
+
+
+@F.pandas_udf(LongType())
+def _order(v: pd.Series) -> pd.Series:
+    """Whole numbers in the order of doubles."""
+    bits = (v.to_numpy(np.float64) + 0.0).view(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits))
+
+
+@F.pandas_udf(DoubleType())
+def _unorder(n: pd.Series) -> pd.Series:
+    bits = n.to_numpy(np.int64)
+    return pd.Series(np.where(bits < 0, bits ^ np.int64(2**63 - 1), bits).view(np.float64))
+
+
+def _fill_by_boxes(rows: DataFrame, features: list[str], k: int, units: list[tuple[int, int, int, int]]) -> DataFrame:
+    """Rows with the same known values share their donors, and of donors at one place only the k least values matter."""
+    spark, at = rows.sparkSession, [f"_x{i}" for i in range(len(features))]
+    place = [F.when(F.col("s").bitwiseAND(F.lit(1 << i)) != 0, F.col(f) + 0.0).otherwise(0.0).alias(x) for i, (f, x) in enumerate(zip(features, at, strict=True))]
+    name = {u: f"{u[0]}:{u[1]}:{u[2]}" for u in units}
+
+    def table(of: set) -> DataFrame:
+        return F.broadcast(spark.createDataFrame(sorted(of), "_p long, g string, j int, s long"))
+
+    holed = rows.select(*features).withColumn("_p", _pattern(features)).where(F.col("_p") != 0)
+    points = written(holed.distinct().withColumn("point", F.monotonically_increasing_id()), "fill-points")
+    asked = points.join(table({(u[0], name[u], u[1], u[2]) for u in units}), "_p").select("point", "g", "j", *place)
+    places = written(asked.select("g", *at).distinct().withColumn("place", F.monotonically_increasing_id()), "fill-places")
+    own = rows.select(*features).withColumn("_p", _pattern(features)).join(table({(u[3], name[u], u[1], u[2]) for u in units}), "_p")
+    own = own.select("g", *place, _order(F.get(F.array(*features), F.col("j"))).alias("v"))
+    own = own.withColumn("n", F.row_number().over(Window.partitionBy("g", *at).orderBy("v"))).where(F.col("n") <= k).drop("n")
+    scales = {name[u]: (float(len(features)), float(u[2].bit_count())) for u in units}
+    found = nearest_in_boxes(places.withColumnRenamed("place", "id"), own.withColumnRenamed("v", "id"), at, k, scales)
+    lists = found.withColumn("v", _unorder("neighbour")).groupBy(F.col("query").alias("place")).agg(F.collect_list(F.struct("distance", "v")).alias("near"))
+    known = asked.join(places, ["g", *at]).join(lists, "place")
+    cells = [_donated(F.slice(F.array_sort(F.flatten(F.collect_list(F.when(F.col("j") == i, F.col("near"))))), 1, k)).alias(f"_new{i}") for i in range(len(features))]
+    new = points.join(known.groupBy("point").agg(*cells), "point").select(*[F.col(f).alias(f"_old{i}") for i, f in enumerate(features)], *[f"_new{i}" for i in range(len(features))])
+    same = functools.reduce(lambda a, b: a & b, [F.col(f).eqNullSafe(F.col(f"_old{i}")) for i, f in enumerate(features)])
+    return rows.join(new, same, "left").withColumns({f: F.coalesce(f, f"_new{i}") for i, f in enumerate(features)})
+
+
+def _donated(near: Column) -> Column:
+    """The mean of the values of (distance, v), weighted by inverse distances; of those at no distance, if there are any."""
+    here = F.filter(near, lambda r: r["distance"] <= 0)
+    used = F.when(F.size(here) > 0, F.transform(here, lambda r: F.struct(F.lit(1.0).alias("w"), r["v"].alias("v")))).otherwise(F.transform(near, lambda r: F.struct((1.0 / r["distance"]).alias("w"), r["v"].alias("v"))))
+    return F.try_divide(F.aggregate(used, F.lit(0.0), lambda a, r: a + r["w"] * r["v"]), F.aggregate(used, F.lit(0.0), lambda a, r: a + r["w"]))
+
+
+def _fill_by_scan(rows: DataFrame, features: list[str], k: int, block: int, id_column: str) -> DataFrame:
+    """Every row with holes against all donors: what a task holds is a block of donors and a batch."""
+    have = rows.where(" or ".join(f"`{f}` is not null" for f in features)).select(id_column, *features)
     blocks = max(1, -(-have.count() // block))
-    out = df.withColumns({f: F.col(f).cast("double") for f in features} | {"_near": F.lit(None).cast("binary")})
+    out = rows.withColumn("_near", F.lit(None).cast("binary"))
     schema = out.schema
     place = F.pmod(F.xxhash64(id_column), F.lit(blocks))
     for n in range(blocks):
         donors = have if blocks == 1 else have.where(place == n)
-        known = df.sparkSession.sparkContext.broadcast(donors.select(*features).toPandas().to_numpy(np.float64))  # a block
+        known = rows.sparkSession.sparkContext.broadcast(donors.select(*features).toPandas().to_numpy(np.float64))  # a block
         out = out.mapInPandas(_nearest_donors(known, features, k, n == blocks - 1), schema)
         if n < blocks - 1:
             out = written(out, "knn-fill")
@@ -192,8 +274,20 @@ def _nearest_donors(known, features: list[str], k: int, last: bool):
                     shared = q[need][:, None] & there[best]
                     n = shared.sum(2)
                     exact = np.where(n > 0, np.sqrt(np.where(shared, (q0[need][:, None] - r0[best]) ** 2, 0).sum(2) * f / np.maximum(n, 1)), np.inf)
+                    values = r[best, j]
+                    order = np.lexsort((values, exact), axis=1)[:, :k]
+                    exact, values = np.take_along_axis(exact, order, 1), np.take_along_axis(values, order, 1)
+                    if m < len(donors):  # more ties with the last than were kept, such as copies: all of them are measured
+                        norm = (q0[need] ** 2).sum(1) + (r0**2).sum(1).max()
+                        reach = np.sqrt(exact[:, -1] ** 2 + 1e-11 * f * norm)
+                        for i in np.flatnonzero(np.isfinite(reach) & ((dj <= reach[:, None]).sum(1) > m)).tolist():
+                            some = donors[dj[i] <= reach[i]]
+                            both_i = q[need[i]] & there[some]
+                            far = np.sqrt(np.where(both_i, (q0[need[i]] - r0[some]) ** 2, 0).sum(1) * f / both_i.sum(1))
+                            least = np.lexsort((r[some, j], far))[:k]
+                            exact[i], values[i] = far[least], r[some[least], j]
                     dn = np.hstack([held[need, 0, j], exact])
-                    v = np.hstack([held[need, 1, j], r[best, j]])
+                    v = np.hstack([held[need, 1, j], values])
                     order = np.lexsort((v, dn), axis=1)[:, :k]
                     held[need, 0, j], held[need, 1, j] = np.take_along_axis(dn, order, 1), np.take_along_axis(v, order, 1)
                 if not last:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -115,8 +115,87 @@ def block_pairs(left: DataFrame, right: DataFrame, salts: int = 16) -> DataFrame
     return q.join(k, ["g", "salt"]).select("g", "q_block", "block", "n", _apart("q_lo", "q_hi", "lo", "hi").alias("apart"), middle.alias("offset"))
 
 
-def _nearest_in(qi: np.ndarray, q: np.ndarray, ki: np.ndarray, x: np.ndarray, k: int, skip_self: bool) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """(first query, distances, ids, whether there is one) of strips of queries: the k nearest of a block, ties by id."""
+#: Rows of a leaf of a block, and the most features by which leaves are told apart.
+LEAF, FEW = 32, 4
+
+
+def leaves(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(order, starts, lows, highs): rows halved along their widest feature until LEAF are left, and the boxes of the parts."""
+    order, todo, starts = np.arange(len(x)), [(0, len(x))], []
+    while todo:
+        a, b = todo.pop()
+        if b - a <= LEAF:
+            starts.append(a)
+            continue
+        part, m = order[a:b], (b - a) // 2
+        rows = x[part]
+        order[a:b] = part[np.argpartition(rows[:, (rows.max(0) - rows.min(0)).argmax()], m)]
+        todo += [(a, a + m), (a + m, b)]
+    starts = np.sort(starts)
+    return order, starts, np.minimum.reduceat(x[order], starts), np.maximum.reduceat(x[order], starts)
+
+
+def spans(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All numbers from each start to before its end."""
+    n = ends - starts
+    return np.arange(n.sum()) + np.repeat(starts - np.cumsum(n) + n, n)
+
+
+def _nearest_by_leaves(qi: np.ndarray, q: np.ndarray, ki: np.ndarray, x: np.ndarray, k: int, skip_self: bool, bound: np.ndarray | None = None, scale: tuple[float, float] = (1.0, 1.0)) -> tuple[np.ndarray, np.ndarray]:
+    """(distances, ids) of the k nearest of a block within the queries' bounds, ties by id; infinite where there are fewer.
+
+    scale: squares are multiplied and divided by these before the root.
+    """
+    far, ids = np.full((len(qi), k), np.inf), np.zeros((len(qi), k), np.int64)
+    some = [j for j in range(x.shape[1]) if j == 0 or x[:, j].any() or q[:, j].any()]
+    x, q = x[:, some], q[:, some]
+    order, starts, lo, hi = leaves(x)
+    # A feature a row: sums over few features are sums of rows.
+    x, ki, ends, lo, hi = x[order].T.copy(), ki[order], np.append(starts[1:], len(x)), lo.T.copy(), hi.T.copy()
+    want = min(len(starts), 1 + 2 * -(-(k + 1) // LEAF))
+    asked, first, qlo, qhi = leaves(q)
+
+    def squares(own: np.ndarray, c: np.ndarray) -> np.ndarray:
+        return sum((np.square(x[j, c] - q[own, j, None]) for j in range(len(x))), 0.0)
+
+    for i, (a, b) in enumerate(zip(first, np.append(first[1:], len(q)), strict=True)):
+        apart = sum((np.square(np.maximum(np.maximum(lo[j] - qhi[i, j], qlo[i, j] - hi[j]), 0.0)) for j in range(len(x))), 0.0)
+        if bound is None:
+            c = spans(*((e[np.argpartition(apart, want - 1)[:want]]) for e in (starts, ends)))
+            d2 = squares(asked[a:b], c)
+            limit = np.partition(d2, k, 1)[:, k].max() if len(c) > k else np.inf
+        else:
+            limit = bound[asked[a:b]].max() ** 2 * scale[1] / scale[0]
+        at = apart <= limit * (1 + SLACK)
+        c = spans(starts[at], ends[at])
+        if not len(c):
+            continue
+        step = max(1, 1_000_000 // len(c))
+        for own in (asked[s : min(s + step, b)] for s in range(a, b, step)):
+            d = np.sqrt(squares(own, c) * scale[0] / scale[1])
+            if skip_self:
+                d[qi[own, None] == ki[c]] = np.inf
+            most = np.partition(d, k - 1, 1)[:, k - 1, None] if len(c) > k else np.inf
+            row, col = np.nonzero((d <= most) & np.isfinite(d) & (d <= (bound[own, None] if bound is not None else np.inf)))
+            best = np.lexsort((ki[c[col]], d[row, col], row))
+            row, col = row[best], col[best]
+            rank = np.arange(len(row)) - np.searchsorted(row, row)
+            row, col, rank = row[rank < k], col[rank < k], rank[rank < k]
+            far[own[row], rank], ids[own[row], rank] = d[row, col], ki[c[col]]
+    return far, ids
+
+
+def _nearest_in(qi: np.ndarray, q: np.ndarray, ki: np.ndarray, x: np.ndarray, k: int, skip_self: bool, bound: np.ndarray | None = None) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first query, distances, ids, whether there is one) of strips of queries: the k nearest of a block, ties by id.
+
+    Rows of few features go by leaves, those of many by strips.
+    """
+    if not len(qi) or not len(ki):
+        return
+    if x.shape[1] <= FEW:
+        far, ids = _nearest_by_leaves(qi, q, ki, x, k, skip_self, bound)
+        yield 0, far, ids, np.isfinite(far)
+        return
     norm = (x * x).sum(1)
     for lo in range(0, len(qi), STRIP):
         s = q[lo : lo + STRIP]
@@ -167,7 +246,7 @@ def nearest(queries: DataFrame, known: DataFrame, features: Sequence[str], k: in
         for r in (r for batch in batches for r in batch.itertuples()):
             qi, ki = np.frombuffer(r.q_ids, np.int64), np.frombuffer(r.ids, np.int64)
             q, x = np.frombuffer(r.q_x).reshape(len(qi), -1), np.frombuffer(r.x).reshape(len(ki), -1)
-            bound, ids, far = np.full(len(qi), np.inf), np.zeros((len(qi), k), np.int64), np.full((len(qi), k), np.inf)
+            ids, far = np.zeros((len(qi), k), np.int64), np.full((len(qi), k), np.inf)
             for lo, d, i, ok in _nearest_in(qi, q, ki, x, k, skip_self):
                 at = slice(lo, lo + len(d))
                 ids[at, : i.shape[1]], far[at, : d.shape[1]] = i, np.where(ok, d, np.inf)
@@ -186,7 +265,7 @@ def nearest(queries: DataFrame, known: DataFrame, features: Sequence[str], k: in
             d = _from(points, q)
             apart = np.maximum(np.maximum(d - np.array(r.hi), np.array(r.lo) - d), 0).max(1)
             may = np.flatnonzero(apart <= bound * (1 + SLACK) + SLACK)
-            for lo, far, i, ok in _nearest_in(qi[may], q[may], ki, x, k, skip_self):
+            for lo, far, i, ok in _nearest_in(qi[may], q[may], ki, x, k, skip_self, bound[may]):
                 ok &= far <= bound[may[lo : lo + len(far)], None]
                 yield pd.DataFrame({"query": np.repeat(qi[may[lo : lo + len(far)]], ok.sum(1)), "neighbour": i[ok], "distance": far[ok]})
 
@@ -214,6 +293,116 @@ def visited(pairs: DataFrame, bounds: DataFrame) -> DataFrame:
     return near.where(F.col("worst").isNull() | ((F.col("block") != F.col("home")) & (F.col("apart") <= F.col("worst") * (1 + SLACK) + SLACK))).select("g", "q_block", "block")
 
 
+#: Known rows and queries of a box, and rows that boxes are chosen from.
+BOX, ASKED, BOX_SAMPLE = 50_000, 200_000, 20_000
+
+
+class Boxes:
+    """A group's space, halved along the widest feature of some of its rows: each place lies in one box."""
+
+    def __init__(self, rows: np.ndarray, parts: int):
+        self.cuts: list[tuple[int, float, int, int]] = []
+        self.lo: list[np.ndarray] = []
+        self.hi: list[np.ndarray] = []
+        wide = rows.shape[1]
+        self.top = self._cut(rows, parts, np.full(wide, -np.inf), np.full(wide, np.inf))
+        self.lo, self.hi = np.array(self.lo), np.array(self.hi)
+
+    def _cut(self, rows: np.ndarray, parts: int, lo: np.ndarray, hi: np.ndarray) -> int:
+        """The number of a cut, or -1 less the number of a box."""
+        spread = rows.max(0) - rows.min(0) if len(rows) else np.zeros(rows.shape[1])
+        j = int(spread.argmax())
+        if parts < 2 or not spread[j] > 0:
+            self.lo.append(lo)
+            self.hi.append(hi)
+            return -len(self.lo)
+        x = np.sort(rows[:, j])
+        at = x[(len(x) - 1) * (parts // 2) // parts]
+        at = float(at if at < x[-1] else x[x < x[-1]][-1])
+        below, low, high = rows[:, j] <= at, lo.copy(), hi.copy()
+        low[j] = high[j] = at
+        left, right = self._cut(rows[below], parts // 2, lo, high), self._cut(rows[~below], parts - parts // 2, low, hi)
+        self.cuts.append((j, at, left, right))
+        return len(self.cuts) - 1
+
+    def of(self, x: np.ndarray) -> np.ndarray:
+        out, todo = np.zeros(len(x), np.int32), [(self.top, np.arange(len(x)))]
+        while todo:
+            node, at = todo.pop()
+            if node < 0:
+                out[at] = -1 - node
+                continue
+            j, cut, left, right = self.cuts[node]
+            below = x[at, j] <= cut
+            todo += [(left, at[below]), (right, at[~below])]
+        return out
+
+    def near(self, x: np.ndarray, reach: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, box) of all boxes that are not farther than a row's reach."""
+        found = []
+        for lo in range(0, len(x), 1024):
+            s = x[lo : lo + 1024, None]
+            row, box = np.nonzero((np.maximum(np.maximum(self.lo - s, s - self.hi), 0) ** 2).sum(2) <= reach[lo : lo + 1024, None] ** 2)
+            found.append((row + lo, box))
+        return tuple(np.concatenate(p) for p in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+
+
+def nearest_in_boxes(queries: DataFrame, known: DataFrame, features: Sequence[str], k: int, scales: Mapping[str, tuple[float, float]], box: int = BOX) -> DataFrame:
+    """query, neighbour, distance: known rows among which are the k nearest of the query's group, ties by neighbour, for few features.
+
+    Space is cut into boxes by a bounded sample. A query meets the rows of its own box, and then those of other boxes that its
+    k-th distance reaches: what is shuffled are rows, and few of them a second time. Columns: g, id, features, none of them null.
+    scales: by group, what squared distances are multiplied and divided by before the root.
+    """
+    features = list(features)
+    known, queries = written(known.select("g", "id", *features), "box-known"), queries.select("g", "id", *features)
+    sizes = {r["g"]: r["count"] for r in known.groupBy("g").count().collect()}
+    least = F.lit(BOX_SAMPLE / max(1, sum(sizes.values())) * 2.0**64 - 2.0**63)
+    some = known.where(F.xxhash64("id", *features).cast("double") <= least).limit(2 * BOX_SAMPLE).toPandas()
+    trees = {g: Boxes(some.loc[some["g"] == g, features].to_numpy(float), -(-n // box)) for g, n in sizes.items()}
+    columns = ", ".join(f"`{f}` double" for f in features)
+
+    def placed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            b["box"] = np.int32(0)
+            for g, rows in b.groupby("g").indices.items():
+                if g in trees:
+                    b.iloc[rows, -1] = trees[g].of(b[features].to_numpy(float)[rows])
+            yield b
+
+    def routed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for g, rows in b.groupby("g").indices.items():
+                if g in trees:
+                    own = b.iloc[rows]
+                    reach = own["bound"].to_numpy(float) * (scales[g][1] / scales[g][0]) ** 0.5 * (1 + SLACK) + SLACK
+                    row, to = trees[g].near(own[features].to_numpy(float), reach)
+                    other = to != own["box"].to_numpy()[row]
+                    yield own.iloc[row[other]].assign(box=to[other].astype("int32"))
+
+    def meet(q: pd.DataFrame, near: pd.DataFrame) -> pd.DataFrame:
+        qi, ki = q["id"].to_numpy(np.int64), near["id"].to_numpy(np.int64)
+        far, ids = np.full((len(qi), k), np.inf), np.zeros((len(qi), k), np.int64)
+        if len(qi) and len(ki):
+            bound = q["bound"].to_numpy(float) if "bound" in q else None
+            far, ids = _nearest_by_leaves(qi, q[features].to_numpy(float), ki, near[features].to_numpy(float), k, False, bound, scales[q["g"].iloc[0]])
+        return pd.DataFrame({c: q[c] for c in ("g", "id", *features, "box")} | {"bound": far[:, -1], "near": list(ids), "far": list(far)})
+
+    there = written(known.mapInPandas(placed, f"g string, id long, {columns}, box int"), "box-rows")
+
+    def met(q: DataFrame) -> DataFrame:
+        parts = F.broadcast(q.groupBy("g", "box").agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("parts")))  # a row a box
+        left = q.join(parts, ["g", "box"]).withColumn("part", F.pmod(F.xxhash64("id"), F.col("parts")).cast("int")).drop("parts")
+        right = there.join(parts, ["g", "box"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        both = left.groupBy("g", "box", "part").cogroup(right.groupBy("g", "box", "part"))
+        return both.applyInPandas(meet, f"g string, id long, {columns}, box int, bound double, near array<long>, far array<double>")
+
+    first = written(met(written(queries.mapInPandas(placed, f"g string, id long, {columns}, box int"), "box-asked")), "box-first")
+    again = written(first.drop("near", "far").mapInPandas(routed, f"g string, id long, {columns}, box int, bound double"), "box-again")
+    hits = first.select("id", "near", "far").unionByName(met(again).select("id", "near", "far"))
+    return hits.select(F.col("id").alias("query"), F.explode(F.arrays_zip("near", "far")).alias("r")).select("query", F.col("r.near").alias("neighbour"), F.col("r.far").alias("distance")).where(F.col("distance") < float("inf"))
+
+
 def dbscan_eps(points: DataFrame, features: Sequence[str], min_samples: int = 4, percentile: float = 0.90, id_column: str = "id") -> DataFrame:
     """One row, eps: the quantile of the distances to the (min_samples - 1)-th other point, positive ones only; then the
     95th, 90th, 75th percentile and the median, then the median of the features' spreads, then a thousandth. A single point has 0.5."""
