@@ -141,7 +141,7 @@ def median_fill(df: DataFrame, features: Sequence[str]) -> DataFrame:
 
 
 #: What finding a row's donors in boxes costs, in distances of a scan.
-SEARCH = 2_000
+SEARCH = 500
 
 
 def knn_fill(df: DataFrame, features: Sequence[str], k: int = 7, block: int = 200_000, id_column: str = "row_index") -> DataFrame:

@@ -6,7 +6,7 @@ import pytest
 from orrerium.operators import impute, knn
 
 
-@pytest.mark.parametrize(("block", "search"), [(10**6, 2_000), (17, 2_000), (17, 0)])
+@pytest.mark.parametrize(("block", "search"), [(10**6, 500), (17, 500), (17, 0)])
 def test_equal_distances_go_by_value(spark, monkeypatch, block, search):
     monkeypatch.setattr(impute, "SEARCH", search)
     rng = np.random.default_rng(3)
