@@ -145,25 +145,27 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
     """
     if not wanted:
         return {}
-    n = df.agg(*[f(c).alias(f"{k}_{c}") for c in wanted for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]).first()
     out = {c: [None] * len(ps) for c, ps in wanted.items()}
-    left = [(c, k, p) for c, ps in wanted.items() for k, p in enumerate(ps) if n[f"n_{c}"]]
+    left = [(c, k, p) for c, ps in wanted.items() for k, p in enumerate(ps)]
     reach = 2 / ACCURACY
     while left:
         ends = {c: sorted({min(max(p + s * reach, 0.0), 1.0) for d, _, p in left if d == c for s in (-1, 1)}) for c in {c for c, _, _ in left}}
-        near = df.agg(*[F.percentile_approx(c, F.array(*[F.lit(e) for e in es]), ACCURACY).alias(c) for c, es in ends.items()]).first()
+        sums = [f(c).alias(f"{k}_{c}") for c in ends for k, f in (("n", F.count), ("lo", F.min), ("hi", F.max))]
+        n = df.agg(*sums, *[F.percentile_approx(c, F.array(*[F.lit(e) for e in es]), ACCURACY).alias(f"near_{c}") for c, es in ends.items()]).first()
+        left = [(c, k, p) for c, k, p in left if n[f"n_{c}"]]
+        if not left:
+            break
         cuts = []
         for c, _, p in left:
-            lo, hi = (n[f"{k}_{c}"] if at in (0.0, 1.0) else near[c][ends[c].index(at)] for k, at in (("lo", max(p - reach, 0.0)), ("hi", min(p + reach, 1.0))))
+            lo, hi = (n[f"{k}_{c}"] if at in (0.0, 1.0) else n[f"near_{c}"][ends[c].index(at)] for k, at in (("lo", max(p - reach, 0.0)), ("hi", min(p + reach, 1.0))))
             cuts.append((float(lo), float(hi)))
-        below = df.agg(*[F.count_if(F.col(c) < lo).alias(f"b{i}") for i, ((c, _, _), (lo, _)) in enumerate(zip(left, cuts, strict=True))]).first()
         spots = [p * (n[f"n_{c}"] - 1) for c, _, p in left]
-        inside = F.array(*[F.when(F.col(c).between(lo, hi), F.struct(F.lit(i).alias("i"), F.col(c).cast("double").alias("x"))) for i, ((c, _, _), (lo, hi)) in enumerate(zip(left, cuts, strict=True))])
-        counted = df.select(F.explode(F.array_compact(inside)).alias("r")).groupBy("r.i", "r.x").agg(F.count(F.lit(1)).alias("m"))
-        up_to = F.sum("m").over(Window.partitionBy("i").orderBy("x"))  # a bracket's values
-        first = F.array(*[F.lit(float(math.floor(s) - b)) for s, b in zip(spots, below, strict=True)])
-        last = F.array(*[F.lit(float(math.ceil(s) - b)) for s, b in zip(spots, below, strict=True)])
-        ranked = counted.withColumn("to", up_to).where((F.col("to") > F.get(first, "i")) & (F.col("to") - F.col("m") <= F.get(last, "i"))).collect()
+        # Values below a bracket count as one, which is null.
+        near = F.array(*[F.when(F.col(c) <= hi, F.struct(F.lit(i).alias("i"), F.when(F.col(c) >= lo, F.col(c).cast("double")).alias("x"))) for i, ((c, _, _), (lo, hi)) in enumerate(zip(left, cuts, strict=True))])
+        counted = df.select(F.explode(F.array_compact(near)).alias("r")).groupBy("r.i", "r.x").agg(F.count(F.lit(1)).alias("m"))
+        up_to = F.sum("m").over(Window.partitionBy("i").orderBy(F.col("x").asc_nulls_first()))  # a bracket's values
+        first, last = (F.array(*[F.lit(float(f(s))) for s in spots]) for f in (math.floor, math.ceil))
+        ranked = counted.withColumn("to", up_to).where((F.col("to") > F.get(first, "i")) & (F.col("to") - F.col("m") <= F.get(last, "i")) & F.col("x").isNotNull()).collect()
         again = []
         for i, (c, k, p) in enumerate(left):
             rows = sorted((r["to"], r["m"], r["x"]) for r in ranked if r["i"] == i)
@@ -171,7 +173,7 @@ def exact_quantiles(df: DataFrame, wanted: Mapping[str, Sequence[float]]) -> dic
             def at(rank: int, rows: list = rows) -> float | None:
                 return next((x for to, m, x in rows if to - m <= rank < to), None)
 
-            lo, hi = at(math.floor(spots[i]) - below[i]), at(math.ceil(spots[i]) - below[i])
+            lo, hi = at(math.floor(spots[i])), at(math.ceil(spots[i]))
             if lo is None or hi is None:
                 again.append((c, k, p))
             else:

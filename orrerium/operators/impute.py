@@ -205,8 +205,10 @@ def _fill_by_boxes(rows: DataFrame, features: list[str], k: int, units: list[tup
     points = written(holed.distinct().withColumn("point", F.monotonically_increasing_id()), "fill-points")
     asked = points.join(table({(u[0], name[u], u[1], u[2]) for u in units}), "_p").select("point", "g", "j", *place)
     places = written(asked.select("g", *at).distinct().withColumn("place", F.monotonically_increasing_id()), "fill-places")
-    own = rows.select(*features).withColumn("_p", _pattern(features)).join(table({(u[3], name[u], u[1], u[2]) for u in units}), "_p")
-    own = own.select("g", *place, _order(F.get(F.array(*features), F.col("j"))).alias("v"))
+    # Of equal donors k are as good as all.
+    donors = rows.groupBy(*features).agg(F.least(F.count(F.lit(1)), F.lit(k)).alias("_m")).withColumns({"_p": _pattern(features), "_v": F.array(*[_order(f) for f in features])})
+    donors = donors.withColumn("_m", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_m"))))
+    own = donors.join(table({(u[3], name[u], u[1], u[2]) for u in units}), "_p").select("g", *place, F.get("_v", F.col("j")).alias("v"))
     own = own.withColumn("n", F.row_number().over(Window.partitionBy("g", *at).orderBy("v"))).where(F.col("n") <= k).drop("n")
     scales = {name[u]: (float(len(features)), float(u[2].bit_count())) for u in units}
     found = nearest_in_boxes(places.withColumnRenamed("place", "id"), own.withColumnRenamed("v", "id"), at, k, scales)
@@ -512,14 +514,24 @@ def _iterative_by_rows(work: DataFrame, used: list[str], order: list[str], round
 FILLS: dict[str, Callable[[DataFrame, Sequence[str]], DataFrame]] = {"median": median_fill, "knn": knn_fill, "iterative": iterative_fill, "complete_case": lambda df, features: df.dropna(subset=list(features)), "raw": lambda df, features: df}
 
 
-def impute(df: DataFrame, features: Sequence[str], method: str = "median", log_features: Sequence[str] = LOG_FEATURES, id_column: str = "row_index") -> DataFrame:
-    """Log, scale, fill, undo both, hold bounds; observed cells stay as they are, filled ones are named so in their source."""
+def impute_each(df: DataFrame, features: Sequence[str], methods: Sequence[str], log_features: Sequence[str] = LOG_FEATURES, id_column: str = "row_index") -> dict[str, DataFrame]:
+    """impute() by each method. All read one table, dealt out over the tasks whatever its files, and its units are worked out once."""
+    rows = written(df.repartition(id_column), "impute-rows")
+    stats = robust_row(log_transform(with_provenance(rows, features), [f for f in features if f in log_features]), features)
+    return {m: impute(rows, features, m, log_features, id_column, stats) for m in methods}
+
+
+def impute(df: DataFrame, features: Sequence[str], method: str = "median", log_features: Sequence[str] = LOG_FEATURES, id_column: str = "row_index", stats: DataFrame | None = None) -> DataFrame:
+    """Log, scale, fill, undo both, hold bounds; observed cells stay as they are, filled ones are named so in their source.
+
+    stats: robust_row of the logarithms, where it is known already.
+    """
     if method not in FILLS:
         raise ValueError(f"unknown method {method!r}; known: {', '.join(FILLS)}")
     logs = [f for f in features if f in log_features]
     base = with_provenance(df, features)
     model = log_transform(base.select(id_column, *features) if method == "knn" else base.withColumns({f"_own_{f}": F.col(f) for f in features}), logs)
-    stats = robust_row(model, features)
+    stats = stats if stats is not None else robust_row(model, features)
     filled = invert_robust_scale(FILLS[method](robust_scale(model, features, stats), features), features, stats)
     filled = bounded(filled.withColumns({f: F.greatest(F.pow(F.lit(10.0), F.col(f)), F.lit(FLOOR)) if f in logs else F.col(f) for f in features}), {f: b for f, b in BOUNDS.items() if f in features})
     if method == "knn":  # its tasks hold the features alone
@@ -588,16 +600,24 @@ def masks(df: DataFrame, features: Sequence[str], share: float = 0.15, seed: int
 
 
 def masked_validation(df: DataFrame, features: Sequence[str], method: str, share: float = 0.15, seed: int = 42, id_column: str = "row_index") -> DataFrame:
-    """Hide cells, fill them, compare: method, feature and errors. Hidden values go along with their rows."""
+    """Hide cells, fill them, compare: method, feature and errors."""
+    return masked_validations(df, features, [method], share, seed, id_column)
+
+
+def masked_validations(df: DataFrame, features: Sequence[str], methods: Sequence[str], share: float = 0.15, seed: int = 42, id_column: str = "row_index") -> DataFrame:
+    """masked_validation() of several methods on the same hidden cells, which are chosen once. Hidden values go along with their rows."""
+    df = written(df.repartition(id_column), "masked-rows")
     hidden = _hidden(df, features, share, seed, id_column)
     blind = df.withColumns({f"_true_{f}": F.when(h, to_numeric(f)) for f, h in hidden.items()}).withColumns({f: F.when(F.col(f"_true_{f}").isNull(), F.col(f)) for f in features})
-    filled = impute(blind, features, method, id_column=id_column)
     cells = F.array(*[F.when(F.col(f"_true_{f}").isNotNull() & F.col(f).isNotNull(), F.struct(F.lit(f).alias("feature"), F.col(f"_true_{f}").alias("truth"), F.col(f).alias("guess"))) for f in features])
-    pairs = written(filled.select(F.explode(F.array_compact(cells)).alias("r")).select("r.*"), "masked")
+    parts = [t.select(F.lit(m).alias("method"), F.explode(F.array_compact(cells)).alias("r")).select("method", "r.*") for m, t in impute_each(blind, features, methods, id_column=id_column).items()]
+    pairs = written(functools.reduce(DataFrame.unionByName, parts), "masked")
     far = F.abs(F.col("guess") - F.col("truth"))
-    medians = exact_quantiles(pairs.select(*[F.when(F.col("feature") == f, far).alias(f) for f in features]), {f: [0.5] for f in features})
-    table = df.sparkSession.createDataFrame([(f, m[0]) for f, m in medians.items()], "feature string, median_error double")
-    return errors(pairs, ["feature"], table).withColumn("method", F.lit(method))
+    of = {f"{i}_{j}": (m, f) for i, m in enumerate(methods) for j, f in enumerate(features)}
+    medians = exact_quantiles(pairs.select(*[F.when((F.col("method") == m) & (F.col("feature") == f), far).alias(c) for c, (m, f) in of.items()]), {c: [0.5] for c in of})
+    table = df.sparkSession.createDataFrame([(*of[c], m[0]) for c, m in medians.items()], "method string, feature string, median_error double")
+    out = errors(pairs, ["method", "feature"], table)
+    return out.select(*[c for c in out.columns if c != "method"], "method")
 
 
 def errors(pairs: DataFrame, keys: list[str], medians: DataFrame | None = None) -> DataFrame:

@@ -49,3 +49,20 @@ def test_masked_validation_doesn_t_join_cells(spark, monkeypatch):
     twice = df.unionByName(df.where("row_index = 7 or row_index = 8"))
     assert impute.masked_validation(twice, ["a", "b", "c"], "median").agg({"n": "sum"}).first()[0] == impute.masks(twice, ["a", "b", "c"]).count()
     assert {r.feature: r.n for r in impute.masked_validation(df, ["a", "b", "c"], "median").collect()} == {f: sum(g == f for _, g in hidden) for f in "abc"}
+
+
+def test_methods_hide_the_same_cells_once(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, float(i % 7), i % 5 + 0.5, i % 3 * 2.0 + i % 7) for i in range(400)], "row_index long, a double, b double, c double")
+    chosen, units = [], []
+    hidden, row = impute._hidden, impute.robust_row
+    monkeypatch.setattr(impute, "_hidden", lambda *a: chosen.append(1) or hidden(*a))
+    monkeypatch.setattr(impute, "robust_row", lambda *a: units.append(1) or row(*a))
+    methods = ("median", "knn", "iterative")
+    together = {tuple(r) for r in impute.masked_validations(rows, ["a", "b", "c"], methods).collect()}
+    assert (len(chosen), len(units)) == (1, 1)
+    alone = {tuple(r) for m in methods for r in impute.masked_validation(rows, ["a", "b", "c"], m).collect()}
+    key = {(r[0], r[-1]): r[1:-1] for r in alone}
+    assert len(together) == len(key) == 9
+    for r in together:
+        for a, b in zip(r[1:-1], key[r[0], r[-1]], strict=True):
+            assert a == b if None in (a, b) else a == pytest.approx(b, rel=1e-9)
