@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 
 from orrerium.functions import labels, physics
 from orrerium.functions.numeric import clip, clip01, mean_of, ratio, to_numeric
+from orrerium.functions.stats import exact_quantiles
+from orrerium.sources.tables import written
 
 #: Least ratio of a gap; most candidates of one; gaps that a median needs.
 MIN_RATIO = 2.8
@@ -72,12 +74,28 @@ def adjacent(catalog: DataFrame, step: int = 1) -> DataFrame:
 
 
 def statistics(pairs: DataFrame) -> DataFrame:
-    """Median log width and number of gaps: over all, by method group, and by method group and star bin, in one pass."""
-    g = F.grouping_id()
-    out = pairs.groupingSets([[], ["dominant_method_group"], ["dominant_method_group", "stellar_mass_bin"]], "dominant_method_group", "stellar_mass_bin")
-    out = out.agg(F.median("gap_log_width").alias("median_log_gap"), F.count(F.lit(1)).alias("n_gaps"), g.alias("_g"))
-    level = F.when(F.col("_g") == 3, "global").when(F.col("_g") == 1, "method_group").otherwise("method_plus_mass_bin")
-    return out.select(level.alias("level"), "dominant_method_group", "stellar_mass_bin", "median_log_gap", "n_gaps")
+    """Median log width and number of gaps: over all, by method group, and by method group and star bin.
+
+    Medians are exact, and no task holds the widths of a group. The groups are few: those of two labels.
+    """
+    return _statistics(written(pairs.select("dominant_method_group", "stellar_mass_bin", "gap_log_width"), "gap-widths"))
+
+
+def _statistics(pairs: DataFrame) -> DataFrame:
+    """statistics() of a table that is read more than once."""
+    spark, found = pairs.sparkSession, {}
+    schema = "level string, dominant_method_group string, stellar_mass_bin string, median_log_gap double, n_gaps long"
+    for r in pairs.groupBy("dominant_method_group", "stellar_mass_bin").agg(F.count(F.lit(1)).alias("n")).collect():
+        for group in (("global", None, None), ("method_group", r[0], None), ("method_plus_mass_bin", r[0], r[1])):
+            found[group] = found.get(group, 0) + r["n"]
+    groups = list(found)
+    cells = {}
+    for i, (level, method, star) in enumerate(groups):
+        own = F.lit(level == "global") | F.col("dominant_method_group").eqNullSafe(F.lit(method))
+        own = own & (F.lit(level != "method_plus_mass_bin") | F.col("stellar_mass_bin").eqNullSafe(F.lit(star)))
+        cells[f"g{i}"] = F.when(own, F.col("gap_log_width"))
+    medians = exact_quantiles(pairs.select(*[c.alias(g) for g, c in cells.items()]), {g: [0.5] for g in cells})
+    return spark.createDataFrame([(*group, medians[f"g{i}"][0], found[group]) for i, group in enumerate(groups)], schema)
 
 
 def _typical(pairs: DataFrame, stats: DataFrame) -> DataFrame:
@@ -120,7 +138,8 @@ def candidate_gaps(catalog: DataFrame, least: int = 2, min_ratio: float = MIN_RA
     meta = system_metadata(catalog, least)
     pairs = adjacent(catalog).join(meta.drop("n_observed_planets", "dominant_method_fraction"), "hostname")
     pairs = pairs.withColumnsRenamed({"system_st_mass_median": "candidate_stellar_mass", "system_st_rad_median": "candidate_stellar_radius"})
-    scored = _percentile(_expected(_typical(pairs, statistics(pairs)), min_ratio, most), pairs.select("gap_log_width"))
+    pairs = written(pairs, "gap-pairs")
+    scored = _percentile(_expected(_typical(pairs, _statistics(pairs)), min_ratio, most), pairs.select("gap_log_width"))
     return scored.where(F.col("gap_ratio") >= min_ratio)
 
 

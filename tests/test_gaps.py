@@ -1,5 +1,6 @@
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -46,3 +47,20 @@ def test_priority_classes(spark):
     got = {r.candidate_id: (round(r.candidate_priority_score, 6), r.candidate_priority_class) for r in gaps.priority(rows).collect()}
     assert got == {"a": (1.0, "high"), "b": (0.6, "medium"), "c": (0.0, "low")}
     assert math.isclose(sum(gaps.WEIGHTS.values()), 1.0) and F is not None
+
+
+def test_medians_of_gaps_are_exact_and_held_by_no_task(spark):
+    rng = np.random.default_rng(3)
+    rows = [(m, b, float(x)) for m, b, x in zip(rng.choice(["Transit", "Mixed"], 500), rng.choice(["low", "high", None], 500), rng.normal(size=500).round(2), strict=True)]
+    pairs = spark.createDataFrame([(str(m), None if b is None else str(b), x) for m, b, x in rows], "dominant_method_group string, stellar_mass_bin string, gap_log_width double")
+    stats = gaps.statistics(pairs)
+    plan = stats._jdf.queryExecution().toString()
+    assert "median(" not in plan and "percentile(" not in plan
+    got = {tuple(r)[:3]: tuple(r)[3:] for r in stats.collect()}
+    want = {("global", None, None): [x for _, _, x in rows]}
+    for m, b, x in rows:
+        want.setdefault(("method_group", m, None), []).append(x)
+    for m, b, x in rows:
+        want.setdefault(("method_plus_mass_bin", m, b), []).append(x)
+    assert got == {k: (pytest.approx(float(np.median(v)), abs=1e-12), len(v)) for k, v in want.items()}
+    assert gaps.statistics(pairs.limit(0)).count() == 0
