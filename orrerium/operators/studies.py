@@ -90,6 +90,7 @@ def case_studies(candidates: DataFrame, systems: DataFrame, studies: Sequence[St
     then score, gap and detectability, then id. A study that nothing fits has no row. systems: hostname, n_observed_planets.
     """
     pool = candidates.where(F.col("hostname").isNotNull() & to_numeric("candidate_period_days").isNotNull() & F.col("candidate_priority_class").isin(*classes))
+    pool = written(pool, "case-pool")
     method = F.coalesce("dominant_discoverymethod_system", F.lit("Unknown"))
     picked = None
     for s in studies:

@@ -133,3 +133,18 @@ def test_method_comparison_equals_single_builds(spark):
             assert r.mean_node_imputation_fraction == pytest.approx(sum(sum(v) / len(v) for v in nodes.values()) / len(nodes))
     empty, none = mapper.compare_methods({"knn": None}, configs, spaces)
     assert empty.columns == metrics.columns and empty.count() == 0 and none.count() == 1
+
+
+def test_candidates_of_case_studies_are_worked_out_once(spark):
+    _, df = made(spark, 40, 2)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(len(b))
+            yield b
+
+    specs = (studies.Study(1, "top_ranked_visual_case", ("c",), ("Transit",)), studies.Study(2, "radial_velocity_like_case", ("a", "b"), ()), studies.Study(3, "mixed_or_fallback_case", (), ("Transit",)))
+    systems = spark.createDataFrame([(h, k) for k, h in enumerate("abcde")], "hostname string, n_observed_planets long")
+    assert studies.case_studies(df.mapInPandas(counted, df.schema), systems, specs).count()
+    assert seen.value == 40
