@@ -4,6 +4,7 @@ import tracemalloc
 
 import numpy as np
 
+from orrerium.operators import knn
 from orrerium.operators.mapper import dbscan
 
 
@@ -32,3 +33,25 @@ def test_clusters_are_those_of_all_distances():
         for i in np.flatnonzero(~core & (near & core).any(1)):
             want[i] = want[near[i] & core].min()
         assert dbscan(x, 0.5, 4).tolist() == want.tolist()
+
+
+def test_tasks_hold_a_pair_of_blocks_and_no_batch_of_them(spark):
+    x = np.random.default_rng(6).normal(size=(300, 6))
+    cols = [f"f{i}" for i in range(6)]
+    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())], "id long, " + ", ".join(f"{c} double" for c in cols))
+    near = knn.nearest(rows, rows, cols, 3, block=40)
+    assert "FlatMapGroupsInPandas" in near._jdf.queryExecution().toString()
+    got = {(r["query"], r["rank"]): r["neighbour"] for r in near.collect()}
+    d = np.sqrt(((x[:, None] - x) ** 2).sum(2))
+    np.fill_diagonal(d, np.inf)
+    assert got == {(i, k + 1): j for i, js in enumerate(np.argsort(d, axis=1)[:, :3].tolist()) for k, j in enumerate(js)}
+    assert knn.nearest(rows.limit(0), rows, cols, 3, block=40).count() == 0
+
+
+def test_rows_that_are_all_close_are_met_in_small_parts():
+    x = np.random.default_rng(2).random((20_000, 2))
+    tracemalloc.start()
+    dbscan(x, 2.0, 4)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40e6
