@@ -244,9 +244,14 @@ class Close:
         self.order, starts, self.lo, self.hi = leaves(x, LEAF if x.shape[1] <= FEW else 8 * LEAF)
         self.cuts = np.append(starts, len(x))
 
-    def met(self, own: np.ndarray, other: np.ndarray, later: bool = False, label: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    def whole(self, i: int) -> np.ndarray:
+        """The leaves all of whose rows are close to all of leaf i: the farthest corners of both tell."""
+        span = np.maximum(self.hi - self.lo[i], self.hi[i] - self.lo)
+        return (span * span).sum(1) <= self.most * (1 - 1e-9) - 1e-12 * self.norm.max()
+
+    def met(self, own: np.ndarray, other: np.ndarray, later: bool = False, label: np.ndarray | None = None, mixed: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """(rows of `own` in a leaf, rows of `other` near the leaf, which are close). later: no pair of leaves twice. label: leaves that hold
-        a single label aren't met by leaves of the same one."""
+        a single label aren't met by leaves of the same one. mixed: without the pairs of leaves of whole()."""
         n = len(self.cuts) - 1
         for i in range(n):
             a = self.order[self.cuts[i] : self.cuts[i + 1]]
@@ -257,6 +262,8 @@ class Close:
             near = (gap * gap).sum(1) <= self.most * (1 + 1e-9) + 1e-12
             if later:
                 near[:i] = False
+            if mixed:
+                near &= ~self.whole(i)
             near = np.flatnonzero(near)
             c = self.order[spans(self.cuts[near], self.cuts[near + 1])]
             c = c[other[c]]
@@ -269,14 +276,25 @@ class Close:
     def weights(self, w: np.ndarray) -> np.ndarray:
         """Of each row the weight of all rows close to it, itself included."""
         out, every = np.zeros(len(self.x), w.dtype), np.ones(len(self.x), bool)
-        for a, c, hit in self.met(every, every):
-            out[a] = hit @ w[c]
+        leaf = np.add.reduceat(w[self.order], self.cuts[:-1])
+        for i in range(len(leaf)):
+            out[self.order[self.cuts[i] : self.cuts[i + 1]]] = leaf[self.whole(i)].sum()
+        for a, c, hit in self.met(every, every, mixed=True):
+            out[a] += hit @ w[c]
         return out
 
     def parts(self, core: np.ndarray) -> np.ndarray:
         """Of each core the least core that it is joined with through close cores; other rows are by themselves."""
         root = np.arange(len(self.x))
-        for a, c, hit in self.met(core, core, True, root):
+        for i in range(len(self.cuts) - 1):
+            a = self.order[self.cuts[i] : self.cuts[i + 1]]
+            near = np.flatnonzero(self.whole(i))
+            c = self.order[spans(self.cuts[near], self.cuts[near + 1])]
+            held = root[c[core[c]]]
+            if core[a].any() and len(held) and (held != held[0]).any():  # leaf i is close to all of them, and they are joined through its cores
+                root[held] = held.min()
+                root[:] = root[root]
+        for a, c, hit in self.met(core, core, True, root, mixed=True):
             i, j = np.nonzero(hit & (root[a][:, None] != root[c]))
             i, j = a[i], c[j]
             while len(i):
@@ -473,6 +491,7 @@ def resampled(points: DataFrame, features: Sequence[str], eps: float, config: Co
     (for shuffled ones of their shuffled values), so no draw fits one of its own, and the cells are those of all draws of a kind.
     """
     features = list(features)
+    points = written(points.select(id_column, *features).repartition(id_column), "resampled-points")  # read by every draw
     centre, w = principal(points, features)
 
     def lensed(df: DataFrame) -> DataFrame:
@@ -489,8 +508,8 @@ def resampled(points: DataFrame, features: Sequence[str], eps: float, config: Co
         out = size.join(e, "config_id", "left").join(b, "config_id", "left").na.fill(0.0, ["n_edges", "beta_1"])
         return out.unpivot(["config_id"], ["n_nodes", "n_edges", "beta_0", "beta_1", "mean_node_size"], "metric", "value")
 
-    plain = metrics(points.select(id_column, *features).withColumn("_draw", F.lit("plain")), id_column).select("metric", F.col("value").alias("observed"))
-    boot = bootstrap(points.select(id_column, *features), draws, seed=seed, id_column=id_column).withColumn("_draw", F.concat(F.lit("b"), F.col("boot_id").cast("string")))
+    plain = metrics(points.withColumn("_draw", F.lit("plain")), id_column).select("metric", F.col("value").alias("observed"))
+    boot = bootstrap(points, draws, seed=seed, id_column=id_column).withColumn("_draw", F.concat(F.lit("b"), F.col("boot_id").cast("string")))
     boot = boot.withColumn("_row", F.col(id_column) * 64 + F.col("copy"))
     null = shuffled(points, features, draws, seed, id_column).withColumn("_draw", F.concat(F.lit("s"), F.col("null_id").cast("string")))
     every = metrics(boot, "_row").withColumn("kind", F.lit("bootstrap")).unionByName(metrics(null, id_column).withColumn("kind", F.lit("column_shuffle")))

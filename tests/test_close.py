@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 
 from orrerium.operators import knn
-from orrerium.operators.mapper import dbscan
+from orrerium.operators.mapper import Close, dbscan
 
 
 def test_rows_that_are_all_close_hold_no_pairs():
@@ -55,3 +55,11 @@ def test_rows_that_are_all_close_are_met_in_small_parts():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert peak < 40e6
+
+
+def test_leaves_that_are_wholly_close_are_not_measured(monkeypatch):
+    x = np.random.default_rng(2).random((3000, 3))
+    parts = []
+    met = Close.met
+    monkeypatch.setattr(Close, "met", lambda self, *a, **k: (parts.append(r[2].size) or r for r in met(self, *a, **k)))
+    assert (dbscan(x, 3.0, 4) == 0).all() and sum(parts) == 0
