@@ -269,15 +269,16 @@ def _case(df: DataFrame, kind: str, nodes: Column | None = None) -> DataFrame:
 
 def future_cases(regions: DataFrame, anchors: DataFrame, n: int = 5) -> DataFrame:
     """At most one case each: the best region, the best anchor by the plain and by the conservative index, the anchor of most nodes
-    and the most stable deficit."""
+    and the most stable deficit. Rows of one anchor and node that a ranking leaves equal go by the plain index, then by all else that is shown."""
+    last = [*ANCHOR, *[_down(c) for c in ("ATI_original", *_CASE) if c in anchors.columns and c not in ANCHOR]]
     top = repeated_anchors(anchors).orderBy(_down("n_nodes_as_anchor"), _down("max_ATI_conservative"), "anchor_pl_name").limit(1).select("anchor_pl_name", "nodes_list")
     spread = "TOI_rank_mean_sensitivity"
     found = [
         _case(_first(regions, _down("TOI_original"), *([F.col(spread).asc_nulls_last()] if spread in regions.columns else []), F.col("node_id")), "top_toi_region"),
-        _case(_first(anchors, _down("ATI_original"), *ANCHOR), "top_ati_original_anchor"),
-        _case(_first(anchors, _down("ATI_conservative"), *ANCHOR), "top_ati_conservative_anchor"),
-        _case(_first(anchors.join(top, "anchor_pl_name"), _down("ATI_conservative"), _down("ATI_original"), F.col("node_id")), "repeated_anchor_transition_case", F.col("nodes_list")),
-        _case(_first(anchors.where(F.col("deficit_stability_class").isin(*STABLE)), _down("stable_deficit_score"), _down("ATI_conservative"), *ANCHOR), "stable_deficit_anchor"),
+        _case(_first(anchors, _down("ATI_original"), *last), "top_ati_original_anchor"),
+        _case(_first(anchors, _down("ATI_conservative"), *last), "top_ati_conservative_anchor"),
+        _case(_first(anchors.join(top, "anchor_pl_name"), _down("ATI_conservative"), _down("ATI_original"), F.col("node_id"), *last), "repeated_anchor_transition_case", F.col("nodes_list")),
+        _case(_first(anchors.where(F.col("deficit_stability_class").isin(*STABLE)), _down("stable_deficit_score"), _down("ATI_conservative"), *last), "stable_deficit_anchor"),
     ]
     out = found[0]
     for f in found[1:n]:

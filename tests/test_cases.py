@@ -121,3 +121,12 @@ def test_priors_of_flat_and_missing_scores(spark):
     assert {r.pl_name: r.topology_prior_planet for r in prior.collect()} == {"m": 1.0, "k": 0.0}
     gap = priors.attach_topology(spark.createDataFrame([(1, "m", "k"), (2, "z", None)], "id int, inner_planet string, outer_planet string"), prior)
     assert {r.id: r.topology_score for r in gap.collect()} == {1: 1.0, 2: 0.0}
+
+
+def test_final_cases_do_not_go_by_the_order_of_equal_rows(spark):
+    regions = cases.region_robustness(spark.createDataFrame([("n1", 0.2)], "node_id string, TOI double"))
+    rows = [("a", "n1", ati, 0.0, 0.0, 3, "small_but_stable_deficit", 1 - k) for k, ati in enumerate((0.9, 0.5, 0.3, 0.1))]
+    kinds = "anchor_pl_name string, node_id string, ATI_original double, ATI_conservative double, stable_deficit_score double, n_members long, deficit_stability_class string, rank_shift long"
+    for order in (rows, rows[::-1], rows[2:] + rows[:2]):
+        got = {r.case_type: r.rank_shift for r in cases.future_cases(regions, spark.createDataFrame(order, kinds).coalesce(1)).collect()}
+        assert got["top_ati_conservative_anchor"] == got["stable_deficit_anchor"] == 1
