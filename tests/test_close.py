@@ -5,7 +5,7 @@ import tracemalloc
 import numpy as np
 
 from orrerium.operators import knn
-from orrerium.operators.mapper import Close, dbscan
+from orrerium.operators.mapper import Close, dbscan, spread_clusters
 
 
 def test_rows_that_are_all_close_hold_no_pairs():
@@ -63,3 +63,12 @@ def test_leaves_that_are_wholly_close_are_not_measured(monkeypatch):
     met = Close.met
     monkeypatch.setattr(Close, "met", lambda self, *a, **k: (parts.append(r[2].size) or r for r in met(self, *a, **k)))
     assert (dbscan(x, 3.0, 4) == 0).all() and sum(parts) == 0
+
+
+def test_boxes_as_wide_as_eps_are_all_joined(spark):
+    x = np.round(np.random.default_rng(1).random((120, 2)) * 12, 3)
+    x[:2] = [[0, 0], [12, 12]]
+    rows = [("c", 0, k, v.tolist(), 1.0, 2) for k, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "config_id string, cube_id int, row_index long, x array<double>, eps double, min_samples int")
+    got = {r.row_index: r.cluster_id for r in spread_clusters(df, most=2).collect()}  # a core stands in nine boxes
+    assert got == {k: int(c) for k, c in enumerate(dbscan(x, 1.0, 2)) if c >= 0}
