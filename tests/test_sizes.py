@@ -91,3 +91,15 @@ def test_a_universe_is_counted_without_a_row_for_each_node(spark, monkeypatch):
         assert r.N_obs == sum(x <= r.radius for x in others)
         assert (r.N_exp_first, r.N_exp_second) == tuple(sum(d[i] <= r.radius for i in ring[j]) for j in (1, 2))
     assert sum(len(r.ids) // 8 for r in seen["reach"][0].select("ids").collect()) == len(place)
+
+
+def test_members_at_one_place_are_one_row(spark):
+    rows = [("c", f"n{k % 3}", k // 3, float(k // 12), 0.5, 1.0, k < 90) for k in range(96)]
+    df = spark.createDataFrame(rows + rows[:7], "config_id string, node_id string, row_index long, z_0 double, z_1 double, z_2 double, r3_valid boolean")
+    edges = spark.createDataFrame([("c", "n0", "n1"), ("c", "n1", "n2")], "config_id string, source string, target string")
+    points, held = regions.places(df), regions.standing(df)
+    assert sum(r.w for r in points.collect()) == 90 and points.count() == 24
+    a = regions.anchors(df, points=points)
+    out = regions.deficits(a, None, edges, points=points, held=held).collect()  # members themselves aren't read again
+    assert sorted(map(str, out)) == sorted(map(str, regions.deficits(a, df, edges).collect())) and len(out) == 9
+    assert {r.node_id: r.n_valid for r in regions.node_geometry(df).collect()} == {"n0": 30, "n1": 30, "n2": 30}
